@@ -25,91 +25,110 @@ from mediasift.params import Params
 _AT = {code: i + 1 for i, code in enumerate(vocab.CHECKS)}
 
 
-def with_detection(df: DataFrame, params: Params) -> DataFrame:
-    """Facts the checks compare: extension, detected format, limit, parameters."""
+def _known_facts() -> Column:
+    """What the row says by itself: extension, declared type, state of the probe."""
     # a webm document is refused before a probe is asked for
     needs_probe = F.col("header_kind").isin(*vocab.PROBED_KINDS) & ~F.col(
         "document_type"
     ).eqNullSafe(F.lit("webm"))
-    probe_bad = needs_probe & (
-        F.coalesce(F.col("probe_status"), F.lit("system_failure")) == "system_failure"
-    )
-    probe_malformed = needs_probe & (F.col("probe_status") == "ok") & F.col("probe").isNull()
+    probed = F.coalesce(F.col("probe_status"), F.lit("system_failure"))
+    malformed = (probed == "ok") & F.col("probe").isNull()
     detected = F.when(
-        ~needs_probe | (F.col("probe_status") == "ok"),
+        ~needs_probe | (probed == "ok"),
         P.resolved_extension(F.col("header_kind"), F.col("brands"), F.col("probe")),
     )
-    df = df.withColumns(
-        {
-            "extension": X.file_extension(F.col("original_name")),
-            "declared_mime": X.normalized_mime(F.col("declared_content_type")),
-            "probe_failed": F.coalesce(probe_bad | probe_malformed, F.lit(False)),
-            "probe_rejected": F.coalesce(
-                needs_probe & (F.col("probe_status") == "rejected"), F.lit(False)
-            ),
-            "detected_extension": F.when(
-                F.coalesce(F.col("document_type"), F.lit("")) != "webm", detected
-            ),
-        }
+    yes = F.lit(True)
+    return F.struct(
+        X.file_extension(F.col("original_name")).alias("extension"),
+        X.normalized_mime(F.col("declared_content_type")).alias("declared_mime"),
+        F.coalesce(needs_probe & ((probed == "system_failure") | malformed), ~yes).alias(
+            "probe_failed"
+        ),
+        F.coalesce(needs_probe & (probed == "rejected"), ~yes).alias("probe_rejected"),
+        F.when(~F.col("document_type").eqNullSafe(F.lit("webm")), detected).alias(
+            "detected_extension"
+        ),
     )
-    df = df.withColumns(
-        {
-            "expected_mime": P.format_field(F.col("extension"), "mime"),
-            "detected_mime": P.format_field(F.col("detected_extension"), "mime"),
-            "media_type": P.format_field(F.col("detected_extension"), "media_type"),
-            "container": P.format_field(F.col("detected_extension"), "container"),
-        }
+
+
+def _looked_up(known: Column) -> Column:
+    """Adds what the format matrix says about both extensions."""
+    return F.struct(
+        known["extension"].alias("extension"),
+        known["declared_mime"].alias("declared_mime"),
+        known["probe_failed"].alias("probe_failed"),
+        known["probe_rejected"].alias("probe_rejected"),
+        known["detected_extension"].alias("detected_extension"),
+        P.format_field(known["extension"], "mime").alias("expected_mime"),
+        P.format_field(known["detected_extension"], "mime").alias("detected_mime"),
+        P.format_field(known["detected_extension"], "media_type").alias("media_type"),
+        P.format_field(known["detected_extension"], "container").alias("container"),
     )
-    return df.withColumns(
-        {
-            "limit_bytes": P.size_limit_bytes(F.col("media_type"), params),
-            "audio_parameters": F.when(
-                F.col("media_type") == "audio", P.audio_parameters(F.col("probe"))
-            ).cast(schemas.AUDIO),
-            "video_parameters": F.when(
-                F.col("media_type") == "video", P.video_parameters(F.col("probe"), F.col("container"))
-            ).cast(schemas.VIDEO),
-            "image_parameters": F.when(F.col("media_type") == "image", F.col("image")).cast(
-                schemas.IMAGE
-            ),
-        }
+
+
+_FACTS = (
+    "extension",
+    "declared_mime",
+    "probe_failed",
+    "probe_rejected",
+    "detected_extension",
+    "expected_mime",
+    "detected_mime",
+    "media_type",
+    "container",
+)
+
+
+def _measured(f: Column, params: Params) -> Column:
+    """Adds the size limit and the technical parameters of the detected media type."""
+    kind, probe = f["media_type"], F.col("probe")
+    return F.struct(
+        *[f[n].alias(n) for n in _FACTS],
+        P.size_limit_bytes(kind, params).alias("limit_bytes"),
+        F.when(kind == "image", F.col("image")).cast(schemas.IMAGE).alias("image_parameters"),
+        F.when(kind == "audio", P.audio_parameters(probe)).cast(schemas.AUDIO).alias(
+            "audio_parameters"
+        ),
+        F.when(kind == "video", P.video_parameters(probe, f["container"]))
+        .cast(schemas.VIDEO)
+        .alias("video_parameters"),
     )
 
 
-def _passes() -> dict[str, Column]:
+def _passes(f: Column) -> dict[str, Column]:
     """One predicate per check; null counts as a failure."""
-    c = F.col
-    undeclared = c("declared_content_type").isNull()
-    parameters = F.coalesce(
-        c("image_parameters").isNotNull(), F.lit(False)
-    ) | c("audio_parameters").isNotNull() | c("video_parameters").isNotNull()
-    read_ok = F.coalesce(c("read_status") == "ok", F.lit(False))
+    undeclared = F.col("declared_content_type").isNull()
+    parameters = (
+        f["image_parameters"].isNotNull()
+        | f["audio_parameters"].isNotNull()
+        | f["video_parameters"].isNotNull()
+    )
     yes = F.lit(True)
     return {
-        "file_not_empty": c("size_bytes") > 0,
-        "extension_present": c("extension").isNotNull(),
-        "extension_allowed": c("expected_mime").isNotNull(),
-        "file_signature_valid": c("detected_extension").isNotNull()
-        & ~c("probe_failed")
-        & ~c("probe_rejected"),
+        "file_not_empty": F.col("size_bytes") > 0,
+        "extension_present": f["extension"].isNotNull(),
+        "extension_allowed": f["expected_mime"].isNotNull(),
+        "file_signature_valid": f["detected_extension"].isNotNull()
+        & ~f["probe_failed"]
+        & ~f["probe_rejected"],
         "detected_mime_allowed": yes,
         "media_type_supported": yes,
-        "type_consistent": c("expected_mime") == c("detected_mime"),
-        "declared_mime_consistent": undeclared | c("declared_mime").eqNullSafe(c("detected_mime")),
-        "file_size_allowed": c("size_bytes") <= c("limit_bytes"),
-        "safe_read_completed": read_ok & parameters,
+        "type_consistent": f["expected_mime"] == f["detected_mime"],
+        "declared_mime_consistent": undeclared | f["declared_mime"].eqNullSafe(f["detected_mime"]),
+        "file_size_allowed": F.col("size_bytes") <= f["limit_bytes"],
+        "safe_read_completed": (F.col("read_status") == "ok") & parameters,
         "technical_parameters_available": yes,
         "sha256_available": yes,
     }
 
 
-def _error_code() -> Column:
+def _error_code(f: Column, failed_at: Column) -> Column:
     code = {
         "file_not_empty": F.lit("file_empty"),
         "extension_present": F.lit("missing_extension"),
         "extension_allowed": F.lit("unsupported_extension"),
         "file_signature_valid": F.when(
-            F.col("probe_rejected"), F.lit("unsafe_or_unreadable_file")
+            f["probe_rejected"], F.lit("unsafe_or_unreadable_file")
         ).otherwise(F.lit("unsupported_mime_type")),
         "type_consistent": F.lit("file_signature_mismatch"),
         "declared_mime_consistent": F.lit("file_signature_mismatch"),
@@ -118,59 +137,83 @@ def _error_code() -> Column:
     }
     out: Column | None = None
     for check, value in code.items():
-        hit = F.col("failed_at") == _AT[check]
+        hit = failed_at == _AT[check]
         out = F.when(hit, value) if out is None else out.when(hit, value)
     return out
 
 
-def _details(code: Column, limit: Column) -> Column:
-    """Safe details: the detected MIME of a mismatch, both sizes of an oversized file."""
-    return F.struct(
-        F.when(code == "file_signature_mismatch", F.col("detected_mime")).alias(
-            "detected_mime_type"
-        ),
-        F.when(code == "file_too_large", limit).alias("max_size_bytes"),
-        F.when(code == "file_too_large", F.col("size_bytes")).alias("observed_size_bytes"),
-    )
+def _judged(f: Column, params: Params) -> Column:
+    flags = _passes(f)
+    results = F.array(*[F.coalesce(flags[c], F.lit(False)) for c in vocab.CHECKS])
+    broken = ~(F.coalesce(F.col("size_bytes") >= 0, F.lit(False)) & X.is_sha256(F.col("sha256")))
+    over = F.coalesce(F.col("size_bytes") > params.hard_limit_bytes, F.lit(False))
+
+    def verdict(failed_at: Column) -> Column:
+        unreadable = F.coalesce(F.col("read_status"), F.lit("system_failure")) == "system_failure"
+        our_fault = (
+            broken
+            | ((failed_at == _AT["file_signature_valid"]) & f["probe_failed"])
+            | ((failed_at == _AT["safe_read_completed"]) & unreadable)
+        )
+        status = (
+            F.when(over, "rejected")
+            .when(our_fault, "failed")
+            .when(failed_at == 0, "accepted")
+            .otherwise("rejected")
+        )
+        return F.struct(
+            failed_at.alias("failed_at"), over.alias("over_hard_limit"), status.alias("status")
+        )
+
+    def with_error(v: Column) -> Column:
+        rejected = v["status"] == "rejected"
+        names = F.array(*[F.lit(c) for c in vocab.CHECKS])
+        return F.struct(
+            *[f[n].alias(n) for n in _FACTS],
+            *[
+                f[n].alias(n)
+                for n in ("limit_bytes", "image_parameters", "audio_parameters", "video_parameters")
+            ],
+            v["failed_at"].alias("failed_at"),
+            v["over_hard_limit"].alias("over_hard_limit"),
+            v["status"].alias("status"),
+            F.when(
+                rejected & ~v["over_hard_limit"], F.try_element_at(names, v["failed_at"])
+            ).alias("failed_check"),
+            F.when(v["over_hard_limit"], "file_too_large")
+            .when(v["status"] == "failed", "internal_error")
+            .when(rejected, _error_code(f, v["failed_at"]))
+            .alias("error_code"),
+        )
+
+    at = F.array_position(results, F.lit(False)).cast("int")
+    return let(at, lambda n: let(verdict(n), with_error))
 
 
 def with_verdict(df: DataFrame, params: Params) -> DataFrame:
-    """Adds status, failed_at, failed_check, error_code.
+    """Adds the facts and status, failed_at, failed_check, error_code.
 
     status is 'accepted', 'rejected' (the input is at fault) or 'failed' (we are). A file over
     the largest limit is rejected before any check, so it has no check list.
+
+    The verdict is one nested expression, in which each intermediate value is named once: a
+    filter on the status can be pushed below this projection without multiplying its size.
     """
-    flags = _passes()
-    results = F.array(*[F.coalesce(flags[c], F.lit(False)) for c in vocab.CHECKS])
-    broken = ~(F.coalesce(F.col("size_bytes") >= 0, F.lit(False)) & X.is_sha256(F.col("sha256")))
-    system_at_signature = (F.col("failed_at") == _AT["file_signature_valid"]) & F.col(
-        "probe_failed"
+    facts = let(
+        let(_known_facts(), _looked_up),
+        lambda f: let(_measured(f, params), lambda m: _judged(m, params)),
     )
-    system_at_read = (F.col("failed_at") == _AT["safe_read_completed"]) & F.coalesce(
-        F.col("read_status") == "system_failure", F.col("read_status").isNull()
-    )
-    over = F.col("size_bytes") > params.hard_limit_bytes
-    df = df.withColumn("failed_at", F.array_position(results, F.lit(False)).cast("int"))
-    df = df.withColumn(
-        "status",
-        F.when(F.coalesce(over, F.lit(False)), "rejected")
-        .when(broken | system_at_signature | system_at_read, "failed")
-        .when(F.col("failed_at") == 0, "accepted")
-        .otherwise("rejected"),
-    )
-    over = F.coalesce(over, F.lit(False))
-    rejected = F.col("status") == "rejected"
-    return df.withColumns(
-        {
-            "over_hard_limit": over,
-            "failed_check": F.when(
-                rejected & ~over,
-                F.try_element_at(F.array(*[F.lit(c) for c in vocab.CHECKS]), F.col("failed_at")),
-            ),
-            "error_code": F.when(over, "file_too_large")
-            .when(F.col("status") == "failed", "internal_error")
-            .when(rejected, _error_code()),
-        }
+    return df.withColumn("_gate", facts).select(*df.columns, "_gate.*")
+
+
+def _details(code: Column, limit: Column) -> Column:
+    """Safe details: the detected MIME of a mismatch, both sizes of an oversized file."""
+    return F.struct(
+        F.when(code == "file_signature_mismatch", F.col("detected_mime")).alias(
+            "detected_mime_type"
+        ),
+        F.when(code == "file_too_large", limit).alias("max_size_bytes"),
+        F.when(code == "file_too_large", F.col("size_bytes")).alias("observed_size_bytes"),
     )
 
 
@@ -245,7 +288,7 @@ def with_records(df: DataFrame, params: Params) -> DataFrame:
 def run_gate(df: DataFrame, params: Params | None = None) -> DataFrame:
     """Verdict columns only: the cheap form for reports."""
     params = params or Params()
-    return with_verdict(with_detection(df, params), params)
+    return with_verdict(df, params)
 
 
 def validate(df: DataFrame, params: Params | None = None) -> DataFrame:
