@@ -186,40 +186,107 @@ def missing_capabilities(catalog: DataFrame, analyzer_rows: DataFrame) -> DataFr
     return per.where(~F.col("done")).select("analysis_id", "capability")
 
 
+def risk_record(assessed: DataFrame) -> DataFrame:
+    """Adds the nested `completeness`, `risk_assessment` and `recommendation` records.
+
+    Needs the columns of `recommend`. The list of critical ids is left to `assemble`.
+    """
+    none = F.array().cast("array<string>")
+    level = F.coalesce("final_level", F.lit("not available"))
+    c = F.col
+    return assessed.withColumns(
+        {
+            "completeness": F.struct(
+                c("completeness_status").alias("status"),
+                *[
+                    c(f"{n}_analyzers").cast("int").alias(f"{n}_analyzers")
+                    for n in (
+                        "planned",
+                        "applicable",
+                        "completed",
+                        "failed",
+                        "timed_out",
+                        "skipped",
+                        "not_applicable",
+                    )
+                ],
+                c("coverage_ratio"),
+                none.alias("missing_capabilities"),
+                F.format_string(
+                    "%d of %d applicable analyzers completed.",
+                    F.round(c("coverage_ratio") * c("applicable_analyzers")).cast("int"),
+                    c("applicable_analyzers").cast("int"),
+                ).alias("explanation"),
+            ),
+            "risk_assessment": F.struct(
+                c("policy_id").alias("model_id"),
+                c("policy_version").alias("model_version"),
+                c("score"),
+                c("score_based_level"),
+                c("critical_override_applied"),
+                none.alias("critical_finding_ids"),
+                c("final_level"),
+                c("probability"),
+                F.lit(None).cast("string").alias("probability_method"),
+                F.concat(F.lit("Risk indication: "), level).alias("summary"),
+                F.lit("Provisional weights; an indication, not proof.").alias("explanation"),
+                none.alias("limitations"),
+            ),
+            "recommendation": F.struct(
+                c("primary_action"),
+                none.alias("additional_actions"),
+                F.replace("primary_action", F.lit("_"), F.lit(" ")).alias("text"),
+                c("requires_manual_review"),
+            ),
+        }
+    )
+
+
+_KEEP_NULLS = {"ignoreNullFields": "false"}
+
+
 def assemble(
-    assessed: DataFrame,
+    heads: DataFrame,
     analyzer_rows: DataFrame,
     findings: DataFrame,
     *,
     part_size: int = 50_000,
 ) -> DataFrame:
-    """Result documents: analysis_id, part, n_parts, doc.
+    """Result documents as JSON text: analysis_id, part, n_parts, n_analyzers, n_findings, doc.
+
+    heads: one row per analysis with every other field of the document, `risk_assessment` among
+    them. analyzer_rows and findings: the fields of the nested records, plus analysis_id; findings
+    may have a boolean `_critical` that marks override evidence.
 
     An analysis up to `part_size` children is one document. A larger one is written as several
-    parts with the same head; each child is in exactly one part, so no task ever holds more than
-    about `part_size` children of one analysis. Parts are chosen by a hash of the child id, and
-    children are sorted by id inside a part. Lists are kept when empty.
+    documents with the same head; each child is in exactly one of them, so no task holds much more
+    than `part_size` children of one analysis. Children are spread by a hash of their id and sorted
+    by id inside a part. Lists are kept when empty.
     """
-    a = analyzer_rows.select(
-        "analysis_id",
-        F.lit("a").alias("kind"),
-        F.col("analyzer_id").alias("child_id"),
-        F.to_json(F.struct(*[c for c in analyzer_rows.columns if c != "analysis_id"]), {"ignoreNullFields": "false"}).alias("child"),
-    )
-    f = findings.select(
-        "analysis_id",
-        F.lit("f").alias("kind"),
-        F.col("finding_id").alias("child_id"),
-        F.to_json(F.struct(*[c for c in findings.columns if c != "analysis_id"]), {"ignoreNullFields": "false"}).alias("child"),
+    critical = F.col("_critical") if "_critical" in findings.columns else F.lit(False)
+
+    def children(rows: DataFrame, kind: str, child_id: str, is_critical: Column) -> DataFrame:
+        fields = [c for c in rows.columns if c not in ("analysis_id", "_critical")]
+        return rows.select(
+            "analysis_id",
+            F.lit(kind).alias("kind"),
+            F.col(child_id).alias("child_id"),
+            is_critical.alias("critical"),
+            F.to_json(F.struct(*fields), _KEEP_NULLS).alias("child"),
+        )
+
+    every = children(analyzer_rows, "a", "analyzer_id", F.lit(False)).unionByName(
+        children(findings, "f", "finding_id", critical)
     )
-    children = a.unionByName(f)
-    sizes = children.groupBy("analysis_id").agg(
-        F.ceil(F.count("*") / F.lit(part_size)).cast("int").alias("n_parts")
+    # only analyses with more than one part are looked up; adaptive execution broadcasts the
+    # list when its real size allows and splits the skewed side when it does not
+    large = (
+        every.groupBy("analysis_id")
+        .agg(F.ceil(F.count("*") / F.lit(part_size)).cast("bigint").alias("n_parts"))
+        .where("n_parts > 1")
     )
-    # only oversized analyses are looked up; for all others the part is 0
-    large = sizes.where("n_parts > 1")
-    parted = children.join(dims.broadcast_if_small(large), "analysis_id", "left").withColumn(
-        "part", F.coalesce(F.pmod(F.xxhash64("child_id"), F.col("n_parts").cast("bigint")), F.lit(0))
+    parted = every.join(large, "analysis_id", "left").withColumn(
+        "part", F.coalesce(F.pmod(F.xxhash64("child_id"), "n_parts"), F.lit(0))
     )
 
     def items(kind: str) -> Column:
@@ -230,29 +297,37 @@ def assemble(
         F.coalesce(F.max("n_parts"), F.lit(1)).alias("n_parts"),
         items("a").alias("analyzers"),
         items("f").alias("findings"),
-    )
-    head_columns = [c for c in assessed.columns if c != "analysis_id"]
-    head = assessed.select(
-        "analysis_id",
-        F.to_json(F.struct("analysis_id", *head_columns), {"ignoreNullFields": "false"}).alias("head"),
+        F.sort_array(F.collect_list(F.when(F.col("critical"), F.col("child_id")))).alias("critical_ids"),
     )
     none = F.array().cast("array<string>")
+    risk = F.col("risk_assessment")
+    fields = [c for c in heads.columns if c not in ("risk_assessment", "first_override_finding")]
+    first = (
+        F.array_compact(F.array("first_override_finding"))
+        if "first_override_finding" in heads.columns
+        else none
+    )
+    ids = F.when(F.size(F.coalesce("critical_ids", none)) > 0, F.col("critical_ids")).otherwise(first)
+    body = F.to_json(F.struct(*fields), _KEEP_NULLS)
 
     def as_list(name: str) -> Column:
         return F.concat(F.lit("["), F.array_join(F.coalesce(F.col(name), none), ","), F.lit("]"))
 
     doc = F.concat(
-        F.lit('{"schema_version":"1.0","head":'), F.col("head"),
-        F.lit(',"analyzers":'), as_list("analyzers"),
-        F.lit(',"findings":'), as_list("findings"),
+        F.substring(body, F.lit(1), F.length(body) - 1),
+        F.lit(',"risk_assessment":'),
+        F.to_json(risk.withField("critical_finding_ids", ids), _KEEP_NULLS),
+        F.lit(',"analyzers":'),
+        as_list("analyzers"),
+        F.lit(',"findings":'),
+        as_list("findings"),
         F.lit("}"),
     )
-    joined = head.join(lists, "analysis_id", "left")
-    return joined.select(
+    return heads.join(lists, "analysis_id", "left").select(
         "analysis_id",
         F.coalesce("part", F.lit(0)).cast("int").alias("part"),
-        F.coalesce("n_parts", F.lit(1)).alias("n_parts"),
-        F.coalesce(F.size("analyzers"), F.lit(0)).alias("n_analyzers"),
-        F.coalesce(F.size("findings"), F.lit(0)).alias("n_findings"),
+        F.coalesce("n_parts", F.lit(1)).cast("int").alias("n_parts"),
+        F.size(F.coalesce("analyzers", none)).alias("n_analyzers"),
+        F.size(F.coalesce("findings", none)).alias("n_findings"),
         doc.alias("doc"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from mediasift import schemas
 from mediasift.functions import jsontypes as J
+from mediasift.functions.base import let
 
 
 def flatten_array(results: DataFrame, array: str, *, keep_empty: bool = False) -> DataFrame:
@@ -19,38 +20,37 @@ def flatten_array(results: DataFrame, array: str, *, keep_empty: bool = False) -
     ).select("analysis_id", "pos", "item.*")
 
 
+_PLACE_FIELDS = {
+    "bounding_box": ("x", "y", "width", "height", "coordinate_space"),
+    "time_interval": ("start_seconds", "end_seconds"),
+    "frame_interval": ("start_frame", "end_frame"),
+}
+
+
 def decode_localization(value: Column) -> Column:
-    """Tagged union as one wide struct; fields of other kinds stay null."""
-    kind = J.scalar_text(J.member(value, "type"))
-
-    def number(name: str, *kinds: str) -> Column:
-        return F.when(kind.isin(*kinds), F.try_variant_get(value, f"$.{name}", "double")).alias(name)
-
-    def frame(name: str) -> Column:
-        return F.when(
-            kind == "frame_interval", F.try_variant_get(value, f"$.{name}", "bigint")
-        ).alias(name)
-
-    box = "bounding_box"
-    return F.when(
-        kind.isNotNull(),
-        F.struct(
-            kind.alias("type"),
-            number("x", box),
-            number("y", box),
-            number("width", box),
-            number("height", box),
-            F.when(kind == box, J.scalar_text(J.member(value, "coordinate_space"))).alias(
-                "coordinate_space"
-            ),
-            number("start_seconds", "time_interval"),
-            number("end_seconds", "time_interval"),
-            frame("start_frame"),
-            frame("end_frame"),
-        ).cast(schemas.LOCALIZATION),
+    """Tagged union as one wide struct.
+
+    The object is read once as the union of all fields. Fields of another kind are kept, so that
+    the closed-shape rule R16 can see them; an object without a known type gives null.
+    """
+    return let(
+        F.try_variant_get(value, "$", schemas.LOCALIZATION),
+        lambda p: F.when(p["type"].isNotNull(), p),
     )
 
 
+def own_fields(place: Column) -> Column:
+    """The same localization with the fields of other kinds set to null."""
+    return F.struct(
+        place["type"].alias("type"),
+        *[
+            F.when(place["type"] == kind, place[name]).alias(name)
+            for kind, names in _PLACE_FIELDS.items()
+            for name in names
+        ],
+    ).cast(schemas.LOCALIZATION)
+
+
 def file_kind(file: Column) -> Column:
     """'validated' or 'input' by the keys a JSON `file` object has."""
     return F.when(F.array_contains(J.object_keys(file), "sha256"), "validated").otherwise("input")

@@ -92,3 +92,257 @@ def results_exists(spark: SparkSession, sf: str) -> DataFrame:
     ids = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("analysis_id")).distinct()
     stored = read(spark, sf, "orders").where("o_orderstatus = 'F'")
     return results.existing(ids, stored.select(F.col("o_orderkey").alias("analysis_id")))
+
+
+# --- integrity rules -----------------------------------------------------------------------------
+def _listing(parts: list[tuple[str, str]]) -> str:
+    """Comma-separated names of the SQL conditions that are violated, in order."""
+    arms = ", ".join(f"CASE WHEN {condition} THEN '{name}' END" for name, condition in parts)
+    return f"concat_ws(',', {arms})"
+
+
+@query(
+    "rules_result",
+    f"{cte('result_v')} SELECT o_orderkey, "
+    + _listing(
+        [
+            ("R20", "status = 'completed' AND NOT (validated AND completeness = 'complete' AND level IS NOT NULL)"),
+            ("R21", "status = 'partial' AND NOT (validated AND completeness = 'partial' AND level IS NOT NULL)"),
+            ("R22", "status = 'partial' AND NOT explained"),
+            (
+                "R23",
+                "status = 'rejected' AND NOT (n_analyzers = 0 AND n_findings = 0 AND level IS NULL "
+                "AND completeness = 'not_assessed' AND n_errors > 0)",
+            ),
+            ("R24", "status = 'failed' AND NOT (level IS NULL AND n_errors > 0)"),
+            ("R25", "completeness = 'insufficient' AND level IS NOT NULL"),
+        ]
+    )
+    + " AS violations FROM result_v",
+)
+def rules_result(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.col
+    rules = R.terminal_rules(
+        status=c("status"),
+        validated=c("validated"),
+        completeness=c("completeness"),
+        level=c("level"),
+        n_analyzers=c("n_analyzers"),
+        n_findings=c("n_findings"),
+        n_errors=c("n_errors"),
+        limitation_explained=c("explained"),
+    )
+    return R.with_violations(view(spark, sf, "result_v"), rules).select(
+        "o_orderkey", F.array_join("violations", ",").alias("violations")
+    )
+
+
+@query(
+    "rules_result_counts",
+    f"{cte('result_v')} SELECT 'R25' AS rule, count(*) AS n_rows FROM result_v WHERE completeness = 'insufficient' AND level IS NOT NULL "
+    "UNION ALL SELECT 'R24', count(*) FROM result_v WHERE status = 'failed' AND NOT (level IS NULL AND n_errors > 0)",
+)
+def rules_result_counts(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.col
+    rules = R.terminal_rules(
+        status=c("status"), validated=c("validated"), completeness=c("completeness"), level=c("level"),
+        n_analyzers=c("n_analyzers"), n_findings=c("n_findings"), n_errors=c("n_errors"),
+        limitation_explained=c("explained"),
+    )
+    chosen = {k: v for k, v in rules.items() if k in ("R24", "R25")}
+    return R.violation_counts(R.with_violations(view(spark, sf, "result_v"), chosen))
+
+
+@query(
+    "rules_analyzer",
+    f"{cte('analyzer_v')} SELECT event_id, "
+    + _listing(
+        [
+            ("R08", "score_name IS NULL"),
+            ("R09", "status = 'not_applicable' AND applicable"),
+            ("R10", "status IN ('error', 'timeout') AND n_errors = 0"),
+            ("R11", "status = 'skipped' AND trim(summary) = '' AND trim(warning) = ''"),
+            ("R12", "run_ms < 0"),
+        ]
+    )
+    + " AS violations FROM analyzer_v",
+)
+def rules_analyzer(spark: SparkSession, sf: str) -> DataFrame:
+    runs = view(spark, sf, "analyzer_v").withColumns(
+        {
+            "score": F.col("value"),
+            "duration_ms": F.col("run_ms"),
+            "warnings": F.array("warning"),
+            "errors": F.when(F.col("n_errors") > 0, F.array("event_id")).otherwise(
+                F.array().cast("array<bigint>")
+            ),
+        }
+    )
+    return R.with_violations(runs, R.analyzer_rules(F.col)).select(
+        "event_id", F.array_join("violations", ",").alias("violations")
+    )
+
+
+_PLACE = (
+    f"{cte('place_v')}, p AS (SELECT row_id, kind, a, b, "
+    "kind = 'bounding_box' AND (a >= 100 OR b IN (5, 6)) AS bad13, kind = 'time_interval' AND a > b AS bad14, "
+    "kind = 'frame_interval' AND a > b AS bad15, kind = 'bounding_box' AND b = 5 AS bad16 FROM place_v)"
+)
+
+
+def _places(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "place_v").select(
+        "row_id", findings.decode_localization(F.try_parse_json("place_json")).alias("place")
+    )
+
+
+@query(
+    "rules_localization",
+    f"{_PLACE} SELECT row_id, "
+    + _listing([("R13", "bad13"), ("R14", "bad14"), ("R15", "bad15"), ("R16", "bad16 OR (kind = 'file' AND a = 7)")])
+    + " AS violations FROM p",
+)
+def rules_localization(spark: SparkSession, sf: str) -> DataFrame:
+    places = _places(spark, sf)
+    rules = R.localization_rules(lambda n: F.col("place")[n])
+    return R.with_violations(places, rules).select(
+        "row_id", F.array_join("violations", ",").alias("violations")
+    )
+
+
+@query(
+    "union_decode",
+    f"{_PLACE} SELECT row_id, kind AS type, CAST(CASE WHEN kind = 'bounding_box' THEN CASE WHEN a >= 100 THEN 1.5 ELSE 0 END END AS DOUBLE) AS x, "
+    "CAST(CASE WHEN kind = 'time_interval' THEN a END AS DOUBLE) AS start_seconds, "
+    "CASE WHEN kind = 'frame_interval' THEN b END AS end_frame FROM p",
+)
+def union_decode(spark: SparkSession, sf: str) -> DataFrame:
+    own = _places(spark, sf).select("row_id", findings.own_fields(F.col("place")).alias("place"))
+    return own.select("row_id", "place.type", "place.x", "place.start_seconds", "place.end_frame")
+
+
+@query(
+    "json_keys",
+    f"{_PLACE} SELECT row_id, "
+    + _listing(
+        [
+            ("R03:file.x", "kind = 'file' AND a = 7"),
+            ("R03:note", "a = b"),
+            ("R04:bounding_box.coordinate_space", "kind = 'bounding_box' AND b = 5"),
+        ]
+    )
+    + " AS violations FROM p",
+)
+def json_keys(spark: SparkSession, sf: str) -> DataFrame:
+    places = view(spark, sf, "place_v").withColumn("v", F.try_parse_json("place_json"))
+    shape = F.when(F.lit(False), F.array().cast("array<string>"))
+    for name in vocab.LOCALIZATION_TYPES:
+        shape = shape.when(F.col("kind") == name, R.shape_violations(F.col("v"), name))
+    plain = F.transform(shape, lambda v: F.regexp_replace(v, r"^R03:\w+\.note$", "R03:note"))
+    return places.select("row_id", F.array_join(F.array_sort(plain), ",").alias("violations"))
+
+
+@query(
+    "null_vs_missing",
+    f"{_PLACE} SELECT row_id, a = b AS is_null, a <> b AS is_missing FROM p",
+)
+def null_vs_missing(spark: SparkSession, sf: str) -> DataFrame:
+    places = view(spark, sf, "place_v").withColumn("v", F.try_parse_json("place_json"))
+    return places.select(
+        "row_id",
+        J.is_json_null(F.col("v"), "note").alias("is_null"),
+        J.is_missing(F.col("v"), "note").alias("is_missing"),
+    )
+
+
+@query(
+    "file_union_kind",
+    "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'input' ELSE 'validated' END AS kind, "
+    "CASE WHEN doc_id % 3 <> 0 THEN lang END AS media_type FROM documents",
+)
+def file_union_kind(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").selectExpr(
+        "doc_id",
+        "CASE WHEN doc_id % 3 = 0 THEN '{\"size_bytes\":' || n_chars || '}' "
+        "ELSE '{\"sha256\":\"' || sha2(text, 256) || '\",\"media_type\":\"' || lang || '\"}' END AS file_json",
+    )
+    tree = docs.withColumn("v", F.try_parse_json("file_json"))
+    return tree.select(
+        "doc_id",
+        findings.file_kind(F.col("v")).alias("kind"),
+        F.try_variant_get("v", "$.media_type", "string").alias("media_type"),
+    )
+
+
+@query(
+    "json_passthrough",
+    "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, replace(props, ' ', '') AS props FROM events",
+)
+def json_passthrough(spark: SparkSession, sf: str) -> DataFrame:
+    tree = read(spark, sf, "events").withColumn("v", F.try_parse_json("props"))
+    return tree.select(
+        "event_id", F.variant_get("v", "$.k", "bigint").alias("k"), F.to_json("v").alias("props")
+    )
+
+
+@query(
+    "finite_numbers",
+    "SELECT event_id, event_id % 5 = 0 AS bad FROM events",
+)
+def finite_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "events").selectExpr(
+        "event_id",
+        "'{\"m\":[{\"v\":' || CASE event_id % 5 WHEN 0 THEN '-1e' || (400 + event_id) WHEN 1 THEN '1e300' "
+        "WHEN 2 THEN '\"1e999\"' WHEN 3 THEN cast(event_id AS STRING) ELSE '\"q\\\\\"1e999\"' END || '}]}' AS doc",
+    )
+    return docs.select("event_id", X.has_non_finite_number(F.col("doc")).alias("bad"))
+
+
+@query(
+    "rules_risk",
+    "WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 0.5 END AS probability, "
+    "CASE o_orderkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN 'bayes' END AS method, o_custkey % 5 = 0 AS override, o_custkey % 2 AS n FROM orders) "
+    "SELECT o_orderkey, "
+    + _listing(
+        [
+            ("R18", "probability IS NOT NULL AND coalesce(trim(method), '') = ''"),
+            ("R19", "override AND n = 0"),
+        ]
+    )
+    + " AS violations FROM r",
+)
+def rules_risk(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "orders").select(
+        "o_orderkey",
+        F.col("o_totalprice").alias("score"),
+        F.lit(None).cast("string").alias("score_based_level"),
+        F.lit("low").alias("final_level"),
+        F.when(F.col("o_orderkey") % 4 == 0, F.lit(0.5)).alias("probability"),
+        F.expr("CASE o_orderkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN 'bayes' END").alias("probability_method"),
+        (F.col("o_custkey") % 5 == 0).alias("critical_override_applied"),
+        F.when(F.col("o_custkey") % 2 == 1, F.array(F.lit("f"))).otherwise(
+            F.array().cast("array<string>")
+        ).alias("critical_finding_ids"),
+    )
+    return R.with_violations(rows, R.risk_rules(F.col)).select(
+        "o_orderkey", F.array_join("violations", ",").alias("violations")
+    )
+
+
+@query(
+    "rules_completeness",
+    "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 AND l_partkey % 2 = 0 OR l_tax * 20 > 1 THEN 'R17' ELSE '' END AS violations FROM lineitem",
+)
+def rules_completeness(spark: SparkSession, sf: str) -> DataFrame:
+    zero = F.lit(0)
+    rows = read(spark, sf, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+        F.lit("complete").alias("status"),
+        F.when((F.col("l_linenumber") % 3 == 0) & (F.col("l_partkey") % 2 == 0), -1).otherwise(1).alias("planned_analyzers"),
+        *[zero.alias(f"{n}_analyzers") for n in ("applicable", "completed", "failed", "timed_out", "skipped", "not_applicable")],
+        (F.col("l_tax") * 20).alias("coverage_ratio"),
+    )
+    return R.with_violations(rows, R.completeness_rules(F.col)).select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+        F.array_join("violations", ",").alias("violations"),
+    )
