@@ -5,6 +5,7 @@ from mediasift.plans import (  # noqa: F401
     file_queries,
     lifecycle_queries,
     result_queries,
+    stream_queries,
 )
 from mediasift.plans.registry import ORACLE, QUERIES
 

@@ -377,7 +377,7 @@ def resolve_format(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- the gate ----------------------------------------------------------------------------------
-_GATE = f"""{cte(*FILES)}, p AS (
+GATE_SQL = f"""{cte(*FILES)}, p AS (
   SELECT *, {_EXT} AS ext, {_MIME} AS declared_mime,
     json_extract_string(probe_json, '$.format.format_name') AS names,
     len(list_filter(json_extract(probe_json, '$.streams[*]'), lambda s: json_extract_string(s, '$.codec_type') = 'audio')) AS na,
@@ -421,8 +421,8 @@ _CHECK_NAME = (
 )
 
 
-def gate_inputs(spark: SparkSession, sf: str) -> DataFrame:
-    files = view(spark, sf, "files_v")
+def gate_inputs(files: DataFrame) -> DataFrame:
+    """Gate columns from `files_v`."""
     image = F.struct(
         (F.col("doc_id") % 4096 + 1).cast("int").alias("width"),
         (F.col("doc_id") % 2048 + 1).cast("int").alias("height"),
@@ -451,10 +451,10 @@ def gate_inputs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "gate_first_error",
-    f"{_GATE} SELECT doc_id, status, CASE WHEN status = 'rejected' THEN {_CHECK_NAME} END AS failed_check, error_code FROM o",
+    f"{GATE_SQL} SELECT doc_id, status, CASE WHEN status = 'rejected' THEN {_CHECK_NAME} END AS failed_check, error_code FROM o",
 )
 def gate_first_error(spark: SparkSession, sf: str) -> DataFrame:
-    return gate.run_gate(gate_inputs(spark, sf), PARAMS).select(
+    return gate.run_gate(gate_inputs(view(spark, sf, "files_v")), PARAMS).select(
         "doc_id", "status", "failed_check", "error_code"
     )
 
@@ -467,7 +467,7 @@ _PASSED = (
 
 @query(
     "gate_checks_passed",
-    f"{_GATE} SELECT doc_id, {_PASSED} AS n_passed, CASE WHEN failed_at = 99 OR status = 'failed' THEN NULL ELSE {_CHECK_NAME} END AS last_failed, "
+    f"{GATE_SQL} SELECT doc_id, {_PASSED} AS n_passed, CASE WHEN failed_at = 99 OR status = 'failed' THEN NULL ELSE {_CHECK_NAME} END AS last_failed, "
     "CASE error_code WHEN 'file_empty' THEN 'validation' WHEN 'missing_extension' THEN 'unsupported_media' "
     "WHEN 'unsupported_extension' THEN 'unsupported_media' WHEN 'unsupported_mime_type' THEN 'unsupported_media' "
     "WHEN 'unsafe_or_unreadable_file' THEN 'validation' WHEN 'file_signature_mismatch' THEN 'validation' "
@@ -476,7 +476,7 @@ _PASSED = (
     "CASE WHEN failed_at IN (7, 8) AND status = 'rejected' THEN detected_mime END AS detail_mime FROM o",
 )
 def gate_checks_passed(spark: SparkSession, sf: str) -> DataFrame:
-    out = gate.validate(gate_inputs(spark, sf), PARAMS)
+    out = gate.validate(gate_inputs(view(spark, sf, "files_v")), PARAMS)
     checks, error = F.col("validation.checks"), F.get(F.col("errors"), F.lit(0))
     detail = error["safe_details"]
     return out.select(
@@ -491,10 +491,10 @@ def gate_checks_passed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "gate_outcomes",
-    f"{_GATE} SELECT source AS source_name, status, error_code, count(*) AS n_files FROM o GROUP BY ALL",
+    f"{GATE_SQL} SELECT source AS source_name, status, error_code, count(*) AS n_files FROM o GROUP BY ALL",
 )
 def gate_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    verdicts = gate.run_gate(gate_inputs(spark, sf), PARAMS).withColumnRenamed("source", "source_name")
+    verdicts = gate.run_gate(gate_inputs(view(spark, sf, "files_v")), PARAMS).withColumnRenamed("source", "source_name")
     return rejections_by_source(verdicts)
 
 
@@ -512,12 +512,12 @@ def hard_limit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "outcome_union",
-    f"{_GATE} SELECT doc_id, status, CASE WHEN status <> 'accepted' THEN 'finished' END AS stage, "
+    f"{GATE_SQL} SELECT doc_id, status, CASE WHEN status <> 'accepted' THEN 'finished' END AS stage, "
     "CASE WHEN status <> 'accepted' THEN 'not_assessed' END AS completeness_status, "
     "CASE WHEN status = 'accepted' THEN detected_mime END AS mime FROM o",
 )
 def outcome_union(spark: SparkSession, sf: str) -> DataFrame:
-    out = gate.validate(gate_inputs(spark, sf), PARAMS)
+    out = gate.validate(gate_inputs(view(spark, sf, "files_v")), PARAMS)
     both = gate.outcome_union(gate.accepted(out), gate.terminal(out))
     return both.select(
         "doc_id",
@@ -530,10 +530,10 @@ def outcome_union(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "outcome_rules",
-    f"{_GATE} SELECT status, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_inconsistent FROM o GROUP BY status",
+    f"{GATE_SQL} SELECT status, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_inconsistent FROM o GROUP BY status",
 )
 def outcome_rules(spark: SparkSession, sf: str) -> DataFrame:
-    out = gate.validate(gate_inputs(spark, sf), PARAMS)
+    out = gate.validate(gate_inputs(view(spark, sf, "files_v")), PARAMS)
     n_errors = F.size("errors")
     ok = F.when(
         F.col("status") == "accepted",

@@ -407,9 +407,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view as a DataFrame; unused expressions and columns are pruned by the optimizer."""
-    v = VIEWS[name]
-    df = read(spark, sf_dir, v.table)
-    for layer in v.layers:
+    return derive(read(spark, sf_dir, VIEWS[name].table), name)
+
+
+def derive(df: DataFrame, name: str) -> DataFrame:
+    """The view over an already opened base table, batch or stream."""
+    for layer in VIEWS[name].layers:
         df = df.selectExpr("*", *[f"{e} AS {n}" for n, e in layer.items()])
     return df
 
