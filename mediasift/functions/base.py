@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,3 +15,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     into the generated code once per mention.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def text_array(values: Iterable[str]) -> Column:
+    """Constant array<string>, as one expression."""
+    return F.expr(f"cast(array({', '.join(_quoted(v) for v in values)}) AS array<string>)")
+
+
+def text_map(pairs: Mapping[str, str]) -> Column:
+    """Constant map<string,string>, as one expression."""
+    return F.expr("map(" + ", ".join(f"{_quoted(k)}, {_quoted(v)}" for k, v in pairs.items()) + ")")

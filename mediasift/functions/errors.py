@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mediasift import schemas, vocab
+from mediasift.functions.base import text_map
 
 MESSAGES = {
     "file_empty": "The file is empty.",
@@ -21,9 +22,7 @@ MESSAGES = {
 
 
 def _lookup(pairs: dict[str, str], key: Column) -> Column:
-    return F.try_element_at(
-        F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]), key
-    )
+    return F.try_element_at(text_map(pairs), key)
 
 
 def category_of(code: Column) -> Column:

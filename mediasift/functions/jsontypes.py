@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from mediasift.functions.base import let
 
+# the types `schema_of_variant` names, by their first three letters
+STRING, BIGINT, DECIMAL, DOUBLE, FLOAT, BOOLEAN = "STR", "BIG", "DEC", "DOU", "FLO", "BOO"
+OBJECT, ARRAY, VOID = "OBJ", "ARR", "VOI"
+
 INT_TEXT = r"^\s*[+-]?\d+(_\d+)*\s*\z"
 FLOAT_TEXT = r"^\s*[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+)?\s*\z"
 
@@ -17,8 +21,18 @@ def member(value: Column, key: str) -> Column:
 
 
 def kind(value: Column) -> Column:
-    """STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, OBJECT, ARRAY or VOID; null when missing."""
-    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    """First letters of the variant's type, one of the constants above; null when missing."""
+    return F.substring(F.schema_of_variant(value), 1, 3)
+
+
+def members(value: Column) -> Column:
+    """The members of a JSON object as a map; null for anything that is no object."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def items(value: Column) -> Column:
+    """The items of a JSON array; null for anything that is no array."""
+    return F.try_variant_get(value, "$", "array<variant>")
 
 
 def is_missing(value: Column, key: str) -> Column:
@@ -30,7 +44,7 @@ def is_json_null(value: Column, key: str) -> Column:
 
 
 def object_keys(value: Column) -> Column:
-    return F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+    return F.map_keys(members(value))
 
 
 def scalar_text(value: Column) -> Column:
@@ -51,7 +65,7 @@ def _positive(number: Column) -> Column:
 
 def positive_int(value: Column) -> Column:
     """Integer or integer-like text above zero; booleans and fractions are not integers."""
-    text = _text_if(value, "STRING", "BIGINT")
+    text = _text_if(value, STRING, BIGINT)
     return _positive(_digits(text, INT_TEXT).try_cast("bigint"))
 
 
@@ -61,12 +75,12 @@ def _finite(number: Column) -> Column:
 
 def positive_float(value: Column) -> Column:
     """Number or number-like text above zero and finite."""
-    text = _text_if(value, "STRING", "BIGINT", "DECIMAL", "DOUBLE")
+    text = _text_if(value, STRING, BIGINT, DECIMAL, DOUBLE)
     return _finite(_digits(text, FLOAT_TEXT).try_cast("double"))
 
 
 def nonempty_text(value: Column) -> Column:
-    return let(_text_if(value, "STRING"), lambda t: F.when(t != "", t))
+    return let(_text_if(value, STRING), lambda t: F.when(t != "", t))
 
 
 def frame_rate(value: Column) -> Column:
@@ -82,4 +96,4 @@ def frame_rate(value: Column) -> Column:
         )
         return F.coalesce(ratio, _digits(text, FLOAT_TEXT).try_cast("double"))
 
-    return let(_text_if(value, "STRING"), lambda t: _finite(rate(t)))
+    return let(_text_if(value, STRING), lambda t: _finite(rate(t)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mediasift import vocab
 from mediasift.functions import jsontypes as J
-from mediasift.functions.base import let
+from mediasift.functions.base import let, text_array, text_map
 from mediasift.params import Params
 
 
@@ -30,11 +30,11 @@ def _flatten_document(doc: Column) -> Column:
     streams = F.try_variant_get(doc, "$.streams", "array<variant>")
     name = J.nonempty_text(J.member(container, "format_name"))
     well_formed = (
-        (J.kind(doc) == "OBJECT")
-        & (J.kind(container) == "OBJECT")
-        & (J.kind(J.member(doc, "streams")) == "ARRAY")
+        (J.kind(doc) == J.OBJECT)
+        & (J.kind(container) == J.OBJECT)
+        & (J.kind(J.member(doc, "streams")) == J.ARRAY)
         & name.isNotNull()
-        & F.forall(streams, lambda s: J.kind(s) == "OBJECT")
+        & F.forall(streams, lambda s: J.kind(s) == J.OBJECT)
     )
 
     def codec_type(stream: Column) -> Column:
@@ -129,7 +129,7 @@ def resolved_extension(kind: Column, brands: Column, probe: Column) -> Column:
     moving = has_streams(probe["video"])
     sounding = has_streams(probe["audio"])
     is_bmff = (kind == "isobmff") & F.arrays_overlap(
-        names, F.array(*[F.lit(n) for n in vocab.ISO_BMFF_FORMAT_NAMES])
+        names, text_array(vocab.ISO_BMFF_FORMAT_NAMES)
     )
     quicktime = F.array_contains(brands, "71742020")
     return (
@@ -155,5 +155,4 @@ def size_limit_bytes(media_type: Column, params: Params) -> Column:
 def format_field(extension: Column, field: str) -> Column:
     """One column of the fixed format matrix, looked up by extension."""
     at = {"mime": 1, "media_type": 2, "container": 3}[field]
-    pairs = [F.lit(v) for row in vocab.FORMATS for v in (row[0], row[at])]
-    return F.try_element_at(F.create_map(*pairs), extension)
+    return F.try_element_at(text_map({row[0]: row[at] for row in vocab.FORMATS}), extension)

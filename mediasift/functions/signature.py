@@ -202,8 +202,14 @@ def classify(header: Column, *, mpeg_before_bmff: bool = True) -> Column:
     form = F.substring(magic, 17, 8)
 
     def record(kind: str | None, doctype: Column | None = None, brands: Column | None = None) -> Column:
+        if doctype is None and brands is None:
+            name = "NULL" if kind is None else f"'{kind}'"
+            return F.expr(
+                f"named_struct('kind', CAST({name} AS string), 'document_type', CAST(NULL AS string), "
+                "'brands', CAST(NULL AS array<string>))"
+            )
         return F.struct(
-            F.lit(kind).cast("string").alias("kind"),
+            F.lit(kind).alias("kind"),
             (F.lit(None) if doctype is None else doctype).cast("string").alias("document_type"),
             (F.lit(None) if brands is None else brands).cast("array<string>").alias("brands"),
         )

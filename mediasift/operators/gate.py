@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from mediasift import schemas, vocab
 from mediasift.functions import probe as P
 from mediasift.functions import text as X
-from mediasift.functions.base import let
+from mediasift.functions.base import let, text_array
 from mediasift.functions.errors import error_record
 from mediasift.params import Params
 
@@ -167,7 +167,7 @@ def _judged(f: Column, params: Params) -> Column:
 
     def with_error(v: Column) -> Column:
         rejected = v["status"] == "rejected"
-        names = F.array(*[F.lit(c) for c in vocab.CHECKS])
+        names = text_array(vocab.CHECKS)
         return F.struct(
             *[f[n].alias(n) for n in _FACTS],
             *[
@@ -221,7 +221,7 @@ def with_records(df: DataFrame, params: Params) -> DataFrame:
     """Adds the nested `validation` and `validated_file` records and `errors`."""
     validated = ~F.col("over_hard_limit") & (F.col("status") != "failed")
     reached = F.when(F.col("failed_at") == 0, len(vocab.CHECKS)).otherwise(F.col("failed_at"))
-    names = F.slice(F.array(*[F.lit(c) for c in vocab.CHECKS]), F.lit(1), reached)
+    names = F.slice(text_array(vocab.CHECKS), F.lit(1), reached)
     listed = F.filter(
         names,
         lambda c: (c != "declared_mime_consistent") | F.col("declared_content_type").isNotNull(),
@@ -297,29 +297,35 @@ def validate(df: DataFrame, params: Params | None = None) -> DataFrame:
     return with_records(run_gate(df, params), params)
 
 
+def with_terminal_fields(outcomes: DataFrame) -> DataFrame:
+    """Accepted and terminal outcomes in one table and one pass.
+
+    Terminal rows get the fixed fields of an outcome before analysis; accepted rows get nulls.
+    """
+    ended = F.col("status") != "accepted"
+    return outcomes.withColumns(
+        {
+            "stage": F.when(ended, "finished"),
+            "completeness_status": F.when(ended, "not_assessed"),
+            "final_risk_level": F.lit(None).cast("string"),
+            "recommendation": F.lit(None).cast("string"),
+            "n_analyzers": F.when(ended, 0),
+            "n_findings": F.when(ended, 0),
+        }
+    )
+
+
 def accepted(outcomes: DataFrame) -> DataFrame:
     return outcomes.where("status = 'accepted'")
 
 
 def terminal(outcomes: DataFrame) -> DataFrame:
     """Rejected and failed rows with the fixed fields of a terminal outcome."""
-    return (
-        outcomes.where("status <> 'accepted'")
-        .withColumns(
-            {
-                "stage": F.lit("finished"),
-                "completeness_status": F.lit("not_assessed"),
-                "final_risk_level": F.lit(None).cast("string"),
-                "recommendation": F.lit(None).cast("string"),
-                "n_analyzers": F.lit(0),
-                "n_findings": F.lit(0),
-            }
-        )
-    )
+    return with_terminal_fields(outcomes).where("status <> 'accepted'")
 
 
 def outcome_union(accepted_rows: DataFrame, terminal_rows: DataFrame) -> DataFrame:
-    """Accepted and terminal outcomes as one table."""
+    """Separately stored accepted and terminal outcomes as one table."""
     return accepted_rows.unionByName(terminal_rows, allowMissingColumns=True)
 
 

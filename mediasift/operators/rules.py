@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from mediasift import vocab
 from mediasift.functions import jsontypes as J
 from mediasift.functions import text as X
-from mediasift.functions.base import let
+from mediasift.functions.base import let, text_array, text_map
 from mediasift.params import Params
 
 Get = Callable[[str], Column]
@@ -316,123 +316,155 @@ SHAPES: dict[str, dict[str, str]] = {
         "analyzer_id?": "S0", "safe_details?": "O",
     },
 }
-_KINDS = {
-    "S": ("STRING",), "I": ("BIGINT",), "N": ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"),
-    "B": ("BOOLEAN",), "O": ("OBJECT",), "A": ("ARRAY",), "0": ("VOID",),
+_SCALARS = {
+    "S": (J.STRING,),
+    "I": (J.BIGINT,),
+    "N": (J.BIGINT, J.DECIMAL, J.DOUBLE, J.FLOAT),
+    "B": (J.BOOLEAN,),
+    "0": (J.VOID,),
 }
+Body = Callable[[Column], Column]
 
 
-def _texts(values) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+def _no_names() -> Column:
+    return F.expr("cast(array() AS array<string>)")
 
 
-def shape_violations(value: Column, shape: str, *, strict: bool = True) -> Column:
-    """Unknown keys (R03), missing keys (R04) and wrong JSON types of one object."""
+def shape_violations(
+    value: Column, shape: str, *, strict: bool = True, children: Body | None = None
+) -> Column:
+    """Unknown keys (R03), missing keys (R04) and wrong JSON types of one object.
+
+    The object is opened once, as a map of its members; `children` may look further into them.
+    Types of scalars are compared by name; objects and arrays are recognised by opening them, which
+    does not describe their whole content.
+    """
     spec = {name.rstrip("?"): (name.endswith("?"), code) for name, code in SHAPES[shape].items()}
-    allowed = _texts(spec)
-    required = _texts(k for k, (optional, _) in spec.items() if not optional)
-    kinds = F.create_map(
-        *[
-            x
-            for k, (_, code) in spec.items()
-            for x in (F.lit(k), _texts(t for letter in code for t in _KINDS[letter]))
-        ]
+    allowed = text_array(spec)
+    required = text_array(k for k, (optional, _) in spec.items() if not optional)
+    scalars = {k: code for k, (_, code) in spec.items() if code[0] not in "OA"}
+    kinds = text_map(
+        {k: " ".join(kind for letter in code for kind in _SCALARS[letter]) for k, code in scalars.items()}
     )
+    nested = {k: code for k, (_, code) in spec.items() if code[0] in "OA"}
 
     def judge(members: Column) -> Column:
         keys = F.map_keys(members)
-        unknown = F.transform(
-            F.array_except(keys, allowed), lambda k: F.concat(F.lit(f"R03:{shape}."), k)
-        )
-        missing = F.transform(
-            F.array_except(required, keys), lambda k: F.concat(F.lit(f"R04:{shape}."), k)
-        )
-        wrong = F.transform(
-            F.filter(
-                F.map_entries(members),
-                lambda e: ~F.coalesce(
-                    F.array_contains(
-                        F.try_element_at(kinds, e["key"]), F.coalesce(J.kind(e["value"]), F.lit("VOID"))
+        parts = [
+            F.transform(
+                F.array_except(required, keys), lambda k: F.concat(F.lit(f"R04:{shape}."), k)
+            ),
+            F.transform(
+                F.filter(
+                    F.map_entries(members),
+                    # a null variant is JSON null; keys that are no scalars find no kinds
+                    lambda e: ~F.coalesce(
+                        F.contains(
+                            F.try_element_at(kinds, e["key"]),
+                            F.coalesce(J.kind(e["value"]), F.lit(J.VOID)),
+                        ),
+                        F.lit(True),
                     ),
-                    F.lit(True),
                 ),
+                lambda e: F.concat(F.lit(f"TYPE:{shape}."), e["key"]),
             ),
-            lambda e: F.concat(F.lit(f"TYPE:{shape}."), e["key"]),
-        )
-        return F.concat(*([unknown] if strict else []), missing, wrong)
-
-    members = F.try_variant_get(value, "$", "map<string,variant>")
-    return F.coalesce(let(members, judge), F.array().cast("array<string>"))
-
-
-def _elements(value: Column, key: str) -> Column:
-    return F.coalesce(
-        F.try_variant_get(value, f"$.{key}", "array<variant>"), F.array().cast("array<variant>")
-    )
+        ]
+        if strict:
+            unknown = F.array_except(keys, allowed)
+            parts.append(F.transform(unknown, lambda k: F.concat(F.lit(f"R03:{shape}."), k)))
+        for key, code in nested.items():
+            member = F.try_element_at(members, F.lit(key))
+            opened = J.members(member) if code[0] == "O" else J.items(member)
+            wrong = member.isNotNull() & opened.isNull()
+            if code.endswith("0"):
+                wrong = wrong & ~F.is_variant_null(member)
+            parts.append(F.when(wrong, text_array([f"TYPE:{shape}.{key}"])).otherwise(_no_names()))
+        if children is not None:
+            parts.append(children(members))
+        return F.concat(*parts)
+
+    return F.coalesce(let(J.members(value), judge), _no_names())
 
 
 def document_shape(doc: Column, *, strict: bool = True) -> Column:
     """Shape violations of a stored result, at every nesting level."""
 
-    def shape(value: Column, name: str) -> Column:
-        return shape_violations(value, name, strict=strict)
+    def shape(value: Column, name: str, children: Body | None = None) -> Column:
+        return shape_violations(value, name, strict=strict, children=children)
 
-    def every(values: Column, body: Callable[[Column], Column]) -> Column:
-        return F.flatten(F.transform(values, body))
+    def at(members: Column, key: str) -> Column:
+        return F.try_element_at(members, F.lit(key))
 
-    def text_items(value: Column, key: str) -> Column:
-        bad = F.exists(_elements(value, key), lambda e: J.kind(e) != "STRING")
-        return F.when(bad, _texts([f"TYPE:{key}"])).otherwise(_texts([]))
+    def each(members: Column, key: str, body: Body) -> Column:
+        found = F.flatten(F.transform(J.items(at(members, key)), body))
+        return F.coalesce(found, _no_names())
+
+    def texts(members: Column, *keys: str) -> Column:
+        """Arrays that hold texts only."""
+        return F.concat(
+            *[
+                F.when(
+                    F.exists(J.items(at(members, key)), lambda e: J.kind(e) != J.STRING),
+                    text_array([f"TYPE:{key}"]),
+                ).otherwise(_no_names())
+                for key in keys
+            ]
+        )
 
-    def errors(value: Column) -> Column:
-        return every(_elements(value, "errors"), lambda e: shape(e, "error"))
+    def errors(members: Column) -> Column:
+        return each(members, "errors", lambda e: shape(e, "error"))
 
-    def media_file(value: Column) -> Column:
-        p = J.member(value, "technical_parameters")
-        parameters = (
+    def technical(members: Column) -> Column:
+        p = at(members, "technical_parameters")
+        return (
             F.when(~J.is_missing(p, "color_mode"), shape(p, "image"))
             .when(~J.is_missing(p, "video_codec"), shape(p, "video"))
             .otherwise(shape(p, "audio"))
         )
-        return F.when(
-            J.is_missing(value, "sha256"), shape(value, "input_file")
-        ).otherwise(F.concat(shape(value, "validated_file"), parameters))
 
-    def place(value: Column) -> Column:
+    def media_file(value: Column) -> Column:
+        return F.when(J.is_missing(value, "sha256"), shape(value, "input_file")).otherwise(
+            shape(value, "validated_file", technical)
+        )
+
+    def place(members: Column) -> Column:
+        value = at(members, "localization")
         kind = J.scalar_text(J.member(value, "type"))
-        out = F.when(J.kind(value) != "OBJECT", _texts([]))
+        out = F.when(value.isNull() | F.is_variant_null(value), _no_names())
         for name in vocab.LOCALIZATION_TYPES:
             out = out.when(kind == name, shape(value, name))
-        return out.otherwise(_texts(["R16:localization"]))
-
-    return F.concat(
-        shape(doc, "result"),
-        *[
-            shape(J.member(doc, name), name)
-            for name in (
-                "source", "processing", "completeness", "risk_assessment", "recommendation", "cleanup",
-            )
-        ],
-        media_file(J.member(doc, "file")),
-        every(
-            _elements(doc, "analyzers"),
-            lambda a: F.concat(shape(a, "analyzer"), text_items(a, "warnings"), errors(a)),
-        ),
-        every(
-            _elements(doc, "findings"),
-            lambda f: F.concat(
-                shape(f, "finding"),
-                text_items(f, "evidence_refs"),
-                F.coalesce(place(J.member(f, "localization")), _texts([])),
+        return out.otherwise(text_array(["R16:localization"]))
+
+    def analyzer(value: Column) -> Column:
+        return shape(value, "analyzer", lambda m: F.concat(texts(m, "warnings"), errors(m)))
+
+    def finding(value: Column) -> Column:
+        return shape(value, "finding", lambda m: F.concat(texts(m, "evidence_refs"), place(m)))
+
+    def whole(m: Column) -> Column:
+        return F.concat(
+            shape(at(m, "source"), "source"),
+            media_file(at(m, "file")),
+            shape(at(m, "processing"), "processing"),
+            each(m, "analyzers", analyzer),
+            each(m, "findings", finding),
+            shape(
+                at(m, "completeness"), "completeness", lambda c: texts(c, "missing_capabilities")
             ),
-        ),
-        text_items(doc, "warnings"),
-        text_items(J.member(doc, "completeness"), "missing_capabilities"),
-        text_items(J.member(doc, "risk_assessment"), "critical_finding_ids"),
-        text_items(J.member(doc, "risk_assessment"), "limitations"),
-        errors(doc),
-        errors(J.member(doc, "cleanup")),
-    )
+            shape(
+                at(m, "risk_assessment"),
+                "risk_assessment",
+                lambda r: texts(r, "critical_finding_ids", "limitations"),
+            ),
+            shape(
+                at(m, "recommendation"), "recommendation", lambda r: texts(r, "additional_actions")
+            ),
+            shape(at(m, "cleanup"), "cleanup", errors),
+            texts(m, "warnings"),
+            errors(m),
+        )
+
+    return shape(doc, "result", whole)
 
 
 def result_rules(r: Column) -> dict[str, Column]:

@@ -250,8 +250,7 @@ def missing_caps(spark: SparkSession, sf: str) -> DataFrame:
 # --- documents -------------------------------------------------------------------------------------
 def document_heads(spark: SparkSession, sf: str) -> DataFrame:
     """Every field of the result documents of orders but the nested lists."""
-    base = view(spark, sf, "order_analyzer_v").sparkSession
-    assessed = assess.risk_record(assess.recommend(_assessed(base, sf)))
+    assessed = assess.risk_record(assess.recommend(_assessed(spark, sf)))
     none = F.array().cast("array<string>")
     noon = F.lit("2026-01-01T12:00:00Z")
     errors = F.when(
@@ -372,22 +371,46 @@ def document_children(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFram
 
 @query(
     "assemble",
-    f"{_ASSESSED} SELECT analysis_id, CAST(planned_analyzers AS INT) AS n_analyzers, CAST(n_findings AS INT) AS n_findings, "
-    "final_level, CAST(n_override_findings AS INT) AS n_critical, '' AS violations FROM f",
+    f"{_ASSESSED} SELECT analysis_id, CAST(0 AS INT) AS part, CAST(1 AS INT) AS n_parts, CAST(planned_analyzers AS INT) AS n_analyzers, "
+    "CAST(n_findings AS INT) AS n_findings, final_level, CAST(n_override_findings AS INT) AS n_critical FROM f",
 )
 def assemble(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents are built, read back as stored results and judged by every rule."""
     runs, found = document_children(spark, sf)
     docs = assess.assemble(document_heads(spark, sf), runs, found)
-    judged = results.judge(docs.select("doc"))
+    risk = F.from_json(
+        F.get_json_object("doc", "$.risk_assessment"),
+        "final_level string, critical_finding_ids array<string>",
+    )
+    return docs.withColumn("risk", risk).select(
+        "analysis_id",
+        "part",
+        "n_parts",
+        "n_analyzers",
+        "n_findings",
+        F.col("risk.final_level").alias("final_level"),
+        F.size("risk.critical_finding_ids").alias("n_critical"),
+    )
+
+
+@query(
+    "documents_valid",
+    f"{_ASSESSED} SELECT completeness_status, count(*) AS n_documents, CAST(0 AS BIGINT) AS n_invalid, CAST(sum(planned_analyzers) AS BIGINT) AS n_analyzers, "
+    "CAST(sum(n_findings) AS BIGINT) AS n_findings FROM f GROUP BY completeness_status",
+)
+def documents_valid(spark: SparkSession, sf: str) -> DataFrame:
+    """Built documents are read back as stored results and judged by every rule."""
+    runs, found = document_children(spark, sf)
+    docs = assess.assemble(document_heads(spark, sf), runs, found).select("doc")
     r = F.col("result")
-    return judged.select(
-        r["analysis_id"].alias("analysis_id"),
-        F.size(r["analyzers"]).alias("n_analyzers"),
-        F.size(r["findings"]).alias("n_findings"),
-        r["risk_assessment"]["final_level"].alias("final_level"),
-        F.size(r["risk_assessment"]["critical_finding_ids"]).alias("n_critical"),
-        F.array_join("violations", ",").alias("violations"),
+    return (
+        results.judge(docs)
+        .groupBy(r["completeness"]["status"].alias("completeness_status"))
+        .agg(
+            F.count("*").alias("n_documents"),
+            F.count_if(F.size("violations") > 0).alias("n_invalid"),
+            F.sum(F.size(r["analyzers"])).alias("n_analyzers"),
+            F.sum(F.size(r["findings"])).alias("n_findings"),
+        )
     )
 
 

@@ -518,8 +518,7 @@ def hard_limit(spark: SparkSession, sf: str) -> DataFrame:
 )
 def outcome_union(spark: SparkSession, sf: str) -> DataFrame:
     out = gate.validate(gate_inputs(view(spark, sf, "files_v")), PARAMS)
-    both = gate.outcome_union(gate.accepted(out), gate.terminal(out))
-    return both.select(
+    return gate.with_terminal_fields(out).select(
         "doc_id",
         "status",
         "stage",

@@ -35,7 +35,7 @@ def judge(documents: DataFrame, params: Params | None = None) -> DataFrame:
     shape = let(
         tree,
         lambda v: F.when(v.isNull(), F.array(F.lit("JSON"))).otherwise(
-            F.when(J.kind(v) != "OBJECT", F.array(F.lit("JSON"))).otherwise(
+            F.when(J.members(v).isNull(), F.array(F.lit("JSON"))).otherwise(
                 R.document_shape(v, strict=params.strict_fields)
             )
         ),
