@@ -124,6 +124,8 @@ def utc_timestamp(value: Column) -> Column:
         value, r"^(\d{4}-\d{2}-\d{2})[Tt _](\d{2}:\d{2}(?::\d{2})?)(?:[.,](\d{1,6}))?", 0
     )
     plain = F.translate(body, "t_,", "TT.")
+    # the cast wants seconds
+    plain = F.when(F.length(plain) == 16, F.concat(plain, F.lit(":00"))).otherwise(plain)
     return F.concat(plain, F.lit("Z")).try_cast("timestamp")
 
 
