@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Mapping
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,3 +31,22 @@ def text_array(values: Iterable[str]) -> Column:
 def text_map(pairs: Mapping[str, str]) -> Column:
     """Constant map<string,string>, as one expression."""
     return F.expr("map(" + ", ".join(f"{_quoted(k)}, {_quoted(v)}" for k, v in pairs.items()) + ")")
+
+
+def built_once(fn):
+    """Keep the columns that `fn` builds, per Spark application and arguments.
+
+    A column is an unresolved expression, so it can be used on any number of DataFrames. Building
+    the widest ones takes thousands of calls into the JVM; streams and repeated queries pay once.
+    """
+    kept: dict[tuple, object] = {}
+
+    @functools.wraps(fn)
+    def wrapper(*args, **kwargs):
+        context = SparkContext._active_spark_context
+        key = (context and context.applicationId, args, tuple(sorted(kwargs.items())))
+        if key not in kept:
+            kept[key] = fn(*args, **kwargs)
+        return kept[key]
+
+    return wrapper

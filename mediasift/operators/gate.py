@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from mediasift import schemas, vocab
 from mediasift.functions import probe as P
 from mediasift.functions import text as X
-from mediasift.functions.base import let, text_array
+from mediasift.functions.base import built_once, let, text_array
 from mediasift.functions.errors import error_record
 from mediasift.params import Params
 
@@ -199,11 +199,15 @@ def with_verdict(df: DataFrame, params: Params) -> DataFrame:
     The verdict is one nested expression, in which each intermediate value is named once: a
     filter on the status can be pushed below this projection without multiplying its size.
     """
-    facts = let(
+    return df.withColumn("_gate", _verdict(params)).select(*df.columns, "_gate.*")
+
+
+@built_once
+def _verdict(params: Params) -> Column:
+    return let(
         let(_known_facts(), _looked_up),
         lambda f: let(_measured(f, params), lambda m: _judged(m, params)),
     )
-    return df.withColumn("_gate", facts).select(*df.columns, "_gate.*")
 
 
 def _details(code: Column, limit: Column) -> Column:

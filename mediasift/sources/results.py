@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from mediasift import schemas
 from mediasift.functions import jsontypes as J
 from mediasift.functions import text as X
-from mediasift.functions.base import let
+from mediasift.functions.base import built_once, let
 from mediasift.operators import rules as R
 from mediasift.params import Params
 
@@ -30,34 +30,40 @@ def judge(documents: DataFrame, params: Params | None = None) -> DataFrame:
     A document that fails an early stage is not judged by the later ones.
     """
     params = params or Params()
+    named = "file_name" in documents.columns
+    df = documents.withColumn("shape", _shape(params.strict_fields))
+    df = df.withColumn(
+        "result", F.when(F.size("shape") == 0, F.from_json("doc", schemas.RESULT))
+    )
+    return df.withColumn("violations", _violations(named)).drop("shape")
+
+
+@built_once
+def _shape(strict: bool) -> Column:
     readable = F.is_valid_utf8(F.col("doc"))
-    tree = F.when(readable, F.try_parse_json("doc"))
+    not_json = F.array(F.lit("JSON"))
     shape = let(
-        tree,
-        lambda v: F.when(v.isNull(), F.array(F.lit("JSON"))).otherwise(
-            F.when(J.members(v).isNull(), F.array(F.lit("JSON"))).otherwise(
-                R.document_shape(v, strict=params.strict_fields)
-            )
+        F.when(readable, F.try_parse_json("doc")),
+        lambda v: F.when(J.members(v).isNull(), not_json).otherwise(
+            R.document_shape(v, strict=strict)
         ),
     )
-    df = documents.withColumn(
-        "shape",
+    return (
         F.when(~readable, F.array(F.lit("UTF8")))
         .when(X.has_non_finite_number(F.col("doc")), F.array(F.lit("R01")))
-        .otherwise(shape),
-    )
-    df = df.withColumn(
-        "result", F.when(F.size("shape") == 0, F.from_json("doc", schemas.RESULT))
+        .otherwise(shape)
     )
+
+
+@built_once
+def _violations(named: bool) -> Column:
     typed = R.result_rules(F.col("result"))
     typed["R26"] = X.is_safe_id(F.col("result.analysis_id"))
-    if "file_name" in documents.columns:
+    if named:
         typed["R26"] = typed["R26"] & (
             F.col("file_name") == F.concat(F.col("result.analysis_id"), F.lit(".json"))
         )
-    return df.withColumn(
-        "violations", F.when(F.size("shape") > 0, F.col("shape")).otherwise(R.violations(typed))
-    ).drop("shape")
+    return F.when(F.size("shape") > 0, F.col("shape")).otherwise(R.violations(typed))
 
 
 def read_results(spark: SparkSession, directory: str, params: Params | None = None) -> DataFrame:
@@ -172,6 +178,14 @@ def _place_variant(place: Column) -> Column:
     return out
 
 
+def _with_defaults(errors: Column) -> Column:
+    """Left-out `safe_details` means an empty object."""
+    empty = F.parse_json(F.lit("{}"))
+    return F.transform(
+        errors, lambda e: e.withField("safe_details", F.coalesce(e["safe_details"], empty))
+    )
+
+
 def documents(results: DataFrame, params: Params | None = None) -> DataFrame:
     """JSON text of each result: nulls and empty lists kept (A11), export switches applied.
 
@@ -188,6 +202,15 @@ def documents(results: DataFrame, params: Params | None = None) -> DataFrame:
         )
     if not params.store_original_name:
         r = r.withField("file", r["file"].withField("original_name", F.lit("")))
+    r = (
+        r.withField("schema_version", F.lit(R.vocab.SCHEMA_VERSION))
+        .withField("errors", _with_defaults(r["errors"]))
+        .withField("cleanup", r["cleanup"].withField("errors", _with_defaults(r["cleanup"]["errors"])))
+        .withField(
+            "analyzers",
+            F.transform(r["analyzers"], lambda a: a.withField("errors", _with_defaults(a["errors"]))),
+        )
+    )
     r = r.withField("file", _file_variant(r["file"])).withField(
         "findings",
         F.transform(
