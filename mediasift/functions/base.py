@@ -6,7 +6,7 @@ import functools
 from collections.abc import Callable, Iterable, Mapping
 
 from pyspark import SparkContext
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def with_fields_of(df: DataFrame, record: Column, *keep: str) -> DataFrame:
+    """Adds the fields of a wide record to the columns `keep` (all by default), computed once.
+
+    The record passes through a generator of one row. A filter on its fields then reads the
+    finished values: pushed below a plain projection, it would copy the whole expression and
+    evaluate it a second time for every row.
+    """
+    return df.select(*(keep or ("*",)), F.inline(F.array(record)))
+
+
 def _quoted(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 

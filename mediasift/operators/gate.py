@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from mediasift import schemas, vocab
 from mediasift.functions import probe as P
 from mediasift.functions import text as X
-from mediasift.functions.base import built_once, let, text_array
+from mediasift.functions.base import built_once, let, text_array, with_fields_of
 from mediasift.functions.errors import error_record
 from mediasift.params import Params
 
@@ -196,10 +196,9 @@ def with_verdict(df: DataFrame, params: Params) -> DataFrame:
     status is 'accepted', 'rejected' (the input is at fault) or 'failed' (we are). A file over
     the largest limit is rejected before any check, so it has no check list.
 
-    The verdict is one nested expression, in which each intermediate value is named once: a
-    filter on the status can be pushed below this projection without multiplying its size.
+    The verdict is one nested expression, in which each intermediate value is named once.
     """
-    return df.withColumn("_gate", _verdict(params)).select(*df.columns, "_gate.*")
+    return with_fields_of(df, _verdict(params))
 
 
 @built_once

@@ -467,6 +467,31 @@ def document_shape(doc: Column, *, strict: bool = True) -> Column:
     return shape(doc, "result", whole)
 
 
+def finite_numbers(r: Column) -> Column:
+    """Every number of a typed stored result is finite."""
+    p, risk = r["file"]["technical_parameters"], r["risk_assessment"]
+    single = (
+        p["duration_seconds"],
+        p["fps"],
+        r["completeness"]["coverage_ratio"],
+        risk["score"],
+        risk["probability"],
+    )
+    place = ("x", "y", "width", "height", "start_seconds", "end_seconds")
+    return both(
+        *[X.is_finite(v) for v in single],
+        F.forall(r["analyzers"], lambda a: X.is_finite(a["score"])),
+        F.forall(
+            r["findings"],
+            lambda f: both(
+                X.is_finite(f["source_score"]),
+                X.is_finite(f["score_impact"]),
+                *[X.is_finite(f["localization"][n]) for n in place],
+            ),
+        ),
+    )
+
+
 def result_rules(r: Column) -> dict[str, Column]:
     """Rules over a typed stored result."""
 
@@ -495,17 +520,9 @@ def result_rules(r: Column) -> dict[str, Column]:
     parameters_match = F.lit(False)
     for name, present in is_kind.items():
         parameters_match = parameters_match | ((file["media_type"] == name) & present)
-    finite = both(
-        *[
-            X.is_finite(v)
-            for v in (
-                p["duration_seconds"], p["fps"], done["coverage_ratio"], risk["score"], risk["probability"],
-            )
-        ]
-    )
     actions = vocab.RECOMMENDED_ACTIONS
     return {
-        "R01": finite,
+        "R01": finite_numbers(r),
         "R02": utc(
             r["created_at"], r["updated_at"], file["received_at"], r["processing"]["queued_at"],
             r["processing"]["started_at"], r["processing"]["finished_at"], r["cleanup"]["finished_at"],

@@ -10,6 +10,7 @@ from mediasift.functions import jsontypes as J
 from mediasift.functions import probe as P
 from mediasift.functions import signature as G
 from mediasift.functions import text as X
+from mediasift.functions.base import with_fields_of
 from mediasift.operators import gate
 from mediasift.operators import rules as R
 from mediasift.plans.intake import rejections_by_source
@@ -313,8 +314,9 @@ def probe_flatten(spark: SparkSession, sf: str) -> DataFrame:
 )
 def probe_audio(spark: SparkSession, sf: str) -> DataFrame:
     return (
-        _probed(spark, sf)
-        .select("doc_id", P.audio_parameters(F.col("probe")).alias("a"))
+        with_fields_of(
+            _probed(spark, sf), F.struct(P.audio_parameters(F.col("probe")).alias("a")), "doc_id"
+        )
         .where("a IS NOT NULL")
         .select("doc_id", "a.*")
     )
@@ -338,8 +340,11 @@ _FPS = (
 def probe_video(spark: SparkSession, sf: str) -> DataFrame:
     container = F.expr("CASE detected_no WHEN 8 THEN 'mp4' WHEN 9 THEN 'mov' WHEN 10 THEN 'avi' ELSE 'mkv' END")
     return (
-        _probed(spark, sf)
-        .select("doc_id", P.video_parameters(F.col("probe"), container).alias("v"))
+        with_fields_of(
+            _probed(spark, sf),
+            F.struct(P.video_parameters(F.col("probe"), container).alias("v")),
+            "doc_id",
+        )
         .where("v IS NOT NULL")
         .select("doc_id", "v.*")
     )

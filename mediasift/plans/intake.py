@@ -31,6 +31,25 @@ def attach_probes(measured: DataFrame, probes: DataFrame, reads: DataFrame | Non
     )
 
 
+def _unread(registered: DataFrame) -> DataFrame:
+    """Gate columns of files whose bytes are not looked at: oversized or empty."""
+    absent = {
+        "header_kind": "string",
+        "document_type": "string",
+        "brands": "array<string>",
+        "probe_status": "string",
+        "read_status": "string",
+        "image": schemas.IMAGE,
+    }
+    # the hash of no bytes is known; an oversized file has none
+    empty_hash = F.when(F.col("length") == 0, F.sha2(F.lit("").cast("binary"), 256))
+    return (
+        registered.withColumns({n: F.lit(None).cast(k) for n, k in absent.items()})
+        .withColumns({"sha256": empty_hash, "probe": P.flatten(F.lit(None).cast("string"))})
+        .withColumnRenamed("length", "size_bytes")
+    )
+
+
 def triage_directory(
     spark: SparkSession,
     path: str,
@@ -39,27 +58,24 @@ def triage_directory(
     source: Column,
     as_of: Column,
     reads: DataFrame | None = None,
+    manifest: DataFrame | None = None,
     params: Params | None = None,
 ) -> DataFrame:
-    """Outcome rows of every file under `path`, oversized ones included."""
+    """Outcome rows of every file under `path`, oversized ones included.
+
+    Spark's file sources do not list empty files. A `manifest` of what was received (path,
+    modificationTime, length) adds them, so that they are rejected and not overlooked.
+    """
     params = params or Params()
     small = media.register(media.scan_media(spark, path, params), source, as_of)
-    measured = media.measure(small, params)
-    checked = gate.validate(attach_probes(measured, probes, reads), params)
-    big = media.register(media.scan_oversized(spark, path, params), source, as_of)
-    big = big.withColumnRenamed("length", "size_bytes")
-    for name, kind in (
-        ("sha256", "string"),
-        ("header_kind", "string"),
-        ("document_type", "string"),
-        ("brands", "array<string>"),
-        ("probe_status", "string"),
-        ("read_status", "string"),
-        ("image", schemas.IMAGE),
-    ):
-        big = big.withColumn(name, F.lit(None).cast(kind))
-    big = big.withColumn("probe", P.flatten(F.lit(None).cast("string")))
-    return checked.unionByName(gate.validate(big, params))
+    checked = attach_probes(media.measure(small, params), probes, reads)
+    unread = media.scan_oversized(spark, path, params)
+    if manifest is not None:
+        unread = unread.unionByName(
+            manifest.where("length = 0").select("path", "modificationTime", "length")
+        )
+    rest = _unread(media.register(unread, source, as_of))
+    return gate.validate(checked.unionByName(rest), params)
 
 
 def rejections_by_source(outcomes: DataFrame, source: str = "source_name") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mediasift import schemas
 from mediasift.functions import signature as G
 from mediasift.functions import text as X
+from mediasift.functions.base import let, with_fields_of
 from mediasift.params import Params
 
 
@@ -43,17 +44,21 @@ def measure(files: DataFrame, params: Params) -> DataFrame:
     The content ends here: only the derived columns go on, so no later shuffle carries bytes.
     """
     found = G.classify(G.header_of(F.col("content")), mpeg_before_bmff=params.mpeg_before_bmff)
-    return files.select(
+    measured = let(
+        found,
+        lambda s: F.struct(
+            F.col("length").alias("size_bytes"),
+            F.sha2("content", 256).alias("sha256"),
+            s["kind"].alias("header_kind"),
+            s["document_type"].alias("document_type"),
+            s["brands"].alias("brands"),
+        ),
+    )
+    return with_fields_of(
+        files,
+        measured,
         *[c for c in files.columns if c not in ("content", "length")],
-        F.col("length").alias("size_bytes"),
-        F.sha2("content", 256).alias("sha256"),
-        found.alias("signature"),
-    ).select(
-        "*",
-        F.col("signature.kind").alias("header_kind"),
-        F.col("signature.document_type").alias("document_type"),
-        F.col("signature.brands").alias("brands"),
-    ).drop("signature")
+    )
 
 
 def source_record(

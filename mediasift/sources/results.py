@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from mediasift import schemas
 from mediasift.functions import jsontypes as J
 from mediasift.functions import text as X
-from mediasift.functions.base import built_once, let
+from mediasift.functions.base import built_once, let, with_fields_of
 from mediasift.operators import rules as R
 from mediasift.params import Params
 
@@ -31,15 +31,12 @@ def judge(documents: DataFrame, params: Params | None = None) -> DataFrame:
     """
     params = params or Params()
     named = "file_name" in documents.columns
-    df = documents.withColumn("shape", _shape(params.strict_fields))
-    df = df.withColumn(
-        "result", F.when(F.size("shape") == 0, F.from_json("doc", schemas.RESULT))
-    )
-    return df.withColumn("violations", _violations(named)).drop("shape")
+    return with_fields_of(documents, _judgement(params.strict_fields, named))
 
 
 @built_once
-def _shape(strict: bool) -> Column:
+def _judgement(strict: bool, named: bool) -> Column:
+    """struct(result, violations) of `doc`: parsed once, every stage only if the one before held."""
     readable = F.is_valid_utf8(F.col("doc"))
     not_json = F.array(F.lit("JSON"))
     shape = let(
@@ -48,22 +45,28 @@ def _shape(strict: bool) -> Column:
             R.document_shape(v, strict=strict)
         ),
     )
-    return (
+    early = (
         F.when(~readable, F.array(F.lit("UTF8")))
         .when(X.has_non_finite_number(F.col("doc")), F.array(F.lit("R01")))
         .otherwise(shape)
     )
 
+    def typed(found: Column) -> Column:
+        parsed = F.when(F.size(found) == 0, F.from_json("doc", schemas.RESULT))
 
-@built_once
-def _violations(named: bool) -> Column:
-    typed = R.result_rules(F.col("result"))
-    typed["R26"] = X.is_safe_id(F.col("result.analysis_id"))
-    if named:
-        typed["R26"] = typed["R26"] & (
-            F.col("file_name") == F.concat(F.col("result.analysis_id"), F.lit(".json"))
-        )
-    return F.when(F.size("shape") > 0, F.col("shape")).otherwise(R.violations(typed))
+        def judged(result: Column) -> Column:
+            rules = R.result_rules(result)
+            rules["R26"] = X.is_safe_id(result["analysis_id"])
+            if named:
+                rules["R26"] = rules["R26"] & (
+                    F.col("file_name") == F.concat(result["analysis_id"], F.lit(".json"))
+                )
+            broken = F.when(F.size(found) > 0, found).otherwise(R.violations(rules))
+            return F.struct(result.alias("result"), broken.alias("violations"))
+
+        return let(parsed, judged)
+
+    return let(early, typed)
 
 
 def read_results(spark: SparkSession, directory: str, params: Params | None = None) -> DataFrame:
@@ -193,33 +196,35 @@ def documents(results: DataFrame, params: Params | None = None) -> DataFrame:
     """
     params = params or Params()
     r = F.col("result")
-    if not params.include_raw_metrics:
-        r = r.withField(
-            "analyzers",
-            F.transform(
-                r["analyzers"], lambda a: a.withField("raw_metrics", F.parse_json(F.lit("{}")))
-            ),
-        )
+    no_metrics = F.parse_json(F.lit("{}"))
+
+    def analyzer(a: Column) -> Column:
+        out = a.withField("errors", _with_defaults(a["errors"]))
+        return out if params.include_raw_metrics else out.withField("raw_metrics", no_metrics)
+
+    def finding(f: Column) -> Column:
+        return f.withField("localization", _place_variant(f["localization"]))
+
+    file = r["file"]
     if not params.store_original_name:
-        r = r.withField("file", r["file"].withField("original_name", F.lit("")))
-    r = (
-        r.withField("schema_version", F.lit(R.vocab.SCHEMA_VERSION))
-        .withField("errors", _with_defaults(r["errors"]))
-        .withField("cleanup", r["cleanup"].withField("errors", _with_defaults(r["cleanup"]["errors"])))
-        .withField(
-            "analyzers",
-            F.transform(r["analyzers"], lambda a: a.withField("errors", _with_defaults(a["errors"]))),
-        )
-    )
-    r = r.withField("file", _file_variant(r["file"])).withField(
-        "findings",
-        F.transform(
-            r["findings"], lambda f: f.withField("localization", _place_variant(f["localization"]))
-        ),
-    )
+        file = file.withField("original_name", F.lit(""))
+    # every new value is taken from the stored record, never from a changed one
+    changed = {
+        "schema_version": F.lit(R.vocab.SCHEMA_VERSION),
+        "file": let(file, _file_variant),
+        "analyzers": F.transform(r["analyzers"], analyzer),
+        "findings": F.transform(r["findings"], finding),
+        "cleanup": r["cleanup"].withField("errors", _with_defaults(r["cleanup"]["errors"])),
+        "errors": _with_defaults(r["errors"]),
+    }
+    names = results.schema["result"].dataType.fieldNames()
+    r = F.struct(*[changed.get(n, r[n]).alias(n) for n in names])
     text = F.to_json(r, KEEP_NULLS)
-    checked = F.when(
-        X.has_non_finite_number(text) | text.rlike(r'[:,\[]"(NaN|-?Infinity)"'),
-        F.raise_error(F.lit("JSON numbers must be finite")),
-    ).otherwise(text)
-    return results.select(r["analysis_id"].alias("analysis_id"), checked.alias("doc"))
+    checked = let(
+        text,
+        lambda t: F.when(
+            X.has_non_finite_number(t) | ~R.finite_numbers(F.col("result")),
+            F.raise_error(F.lit("JSON numbers must be finite")),
+        ).otherwise(t),
+    )
+    return results.select(F.col("result.analysis_id").alias("analysis_id"), checked.alias("doc"))

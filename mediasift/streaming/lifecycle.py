@@ -65,7 +65,12 @@ class TransitionChecker(StatefulProcessor):
 
 
 def check_transitions(events: DataFrame, *, ttl_minutes: int | None = None) -> DataFrame:
-    """Each event with its predecessor and whether the step is allowed."""
+    """Each event with its predecessor and whether the step is allowed.
+
+    With `ttl_minutes` the state of a quiet task expires (L04). Expiry follows the clock, so such a
+    stream has a batch to run at any time: start it with a processing-time trigger, because a run
+    over what is available now would not end.
+    """
     ttl_ms = ttl_minutes * 60_000 if ttl_minutes else None
     return (
         events.select("analysis_id", "seq", "status", "stage")

@@ -235,6 +235,18 @@ def test_export_switches(spark):
     assert hidden["file"]["original_name"] == ""
 
 
+def test_non_finite_numbers_fail_the_write(spark):
+    df = spark.createDataFrame([(json.dumps(result()),)], "doc string")
+    typed = results.judge(df).select("result")
+    bad = typed.select(
+        F.col("result").withField(
+            "risk_assessment", F.col("result.risk_assessment").withField("score", F.lit(float("inf")))
+        ).alias("result")
+    )
+    with pytest.raises(Exception, match="must be finite"):
+        results.documents(bad).collect()
+
+
 def test_upsert_and_existence(spark, tmp_path):
     old = spark.createDataFrame([("a", 1, "x"), ("b", 1, "x")], "analysis_id string, ts int, v string")
     new = spark.createDataFrame([("b", 2, "y"), ("b", 3, "z"), ("c", 1, "n")], old.schema)
