@@ -350,10 +350,19 @@ def shape_violations(
 
     def judge(members: Column) -> Column:
         keys = F.map_keys(members)
-        parts = [
+        # members come sorted by key, so a complete object is recognised by one comparison
+        odd_keys = F.concat(
             F.transform(
                 F.array_except(required, keys), lambda k: F.concat(F.lit(f"R04:{shape}."), k)
             ),
+            F.transform(
+                F.array_except(keys, allowed), lambda k: F.concat(F.lit(f"R03:{shape}."), k)
+            )
+            if strict
+            else _no_names(),
+        )
+        parts = [
+            F.when(keys == text_array(sorted(spec)), _no_names()).otherwise(odd_keys),
             F.transform(
                 F.filter(
                     F.map_entries(members),
@@ -369,16 +378,16 @@ def shape_violations(
                 lambda e: F.concat(F.lit(f"TYPE:{shape}."), e["key"]),
             ),
         ]
-        if strict:
-            unknown = F.array_except(keys, allowed)
-            parts.append(F.transform(unknown, lambda k: F.concat(F.lit(f"R03:{shape}."), k)))
+        nested_wrong = []
         for key, code in nested.items():
             member = F.try_element_at(members, F.lit(key))
             opened = J.members(member) if code[0] == "O" else J.items(member)
             wrong = member.isNotNull() & opened.isNull()
             if code.endswith("0"):
                 wrong = wrong & ~F.is_variant_null(member)
-            parts.append(F.when(wrong, text_array([f"TYPE:{shape}.{key}"])).otherwise(_no_names()))
+            nested_wrong.append(F.when(wrong, F.lit(f"TYPE:{shape}.{key}")))
+        if nested_wrong:
+            parts.append(F.array_compact(F.array(*nested_wrong)))
         if children is not None:
             parts.append(children(members))
         return F.concat(*parts)
