@@ -33,22 +33,22 @@ def with_previous(
 
     `chunk` must not decrease with `order` and bounds how many rows of one key share a task.
     The last row of each chunk is carried to the next chunk of that key through a table with
-    one row per (key, chunk). The window and the join use the same partitioning, so the large
-    side is shuffled once.
+    one row per (key, chunk). The window and the join use the same partitioning, so the rows are
+    shuffled once, and both readers of the windowed rows share that shuffle.
     """
-    rows = df.withColumn("_chunk", chunk)
     inside = W.partitionBy(key, "_chunk").orderBy(order)
     packed = F.struct(*values)
-    lasts = rows.groupBy(key, "_chunk").agg(F.max_by(packed, order).alias("_last"))
+    rows = df.withColumn("_chunk", chunk).withColumns(
+        {"_here": F.lag(packed).over(inside), "_is_last": F.lead(F.lit(1)).over(inside).isNull()}
+    )
+    lasts = rows.where("_is_last").select(key, "_chunk", packed.alias("_last"))
     across = W.partitionBy(key).orderBy("_chunk")
     carried = lasts.select(key, "_chunk", F.lag("_last").over(across).alias("_carried"))
-    joined = rows.withColumn("_here", F.lag(packed).over(inside)).join(
-        carried, [key, "_chunk"], "left"
-    )
+    joined = rows.join(carried, [key, "_chunk"], "left")
     previous = F.coalesce("_here", "_carried")
     return joined.withColumns(
         {f"{prefix}{v}": previous[v] for v in values}
-    ).drop("_chunk", "_here", "_carried")
+    ).drop("_chunk", "_here", "_is_last", "_carried")
 
 
 def with_position(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:

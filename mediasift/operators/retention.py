@@ -35,7 +35,7 @@ def retention_plan(
     place = F.col("location")
     trusted = X.is_system_id(F.col("analysis_id")) & ~F.col("is_symlink") & F.col("is_dir")
     expired = is_expired(F.col("mtime"), as_of, ttl_minutes(place, params))
-    busy = active_tasks.select("analysis_id", F.lit(True).alias("is_active")).distinct()
+    busy = active_tasks.select("analysis_id").distinct().withColumn("is_active", F.lit(True))
     joined = entries.join(busy, "analysis_id", "left")
     return joined.withColumns(
         {
