@@ -32,23 +32,27 @@ def with_previous(
     """Adds the `values` of the preceding row of the same key.
 
     `chunk` must not decrease with `order` and bounds how many rows of one key share a task.
-    The last row of each chunk is carried to the next chunk of that key through a table with
-    one row per (key, chunk). The window and the join use the same partitioning, so the rows are
-    shuffled once, and both readers of the windowed rows share that shuffle.
+    The last row of each chunk becomes one extra row at the head of the next chunk of that key, so
+    that a window over (key, chunk) sees it. Finding those rows is an aggregate that combines before
+    its shuffle; the rows themselves are shuffled once and joined with nothing.
     """
-    inside = W.partitionBy(key, "_chunk").orderBy(order)
+    rows = df.withColumn("_chunk", chunk)
     packed = F.struct(*values)
-    rows = df.withColumn("_chunk", chunk).withColumns(
-        {"_here": F.lag(packed).over(inside), "_is_last": F.lead(F.lit(1)).over(inside).isNull()}
-    )
-    lasts = rows.where("_is_last").select(key, "_chunk", packed.alias("_last"))
+    lasts = rows.groupBy(key, "_chunk").agg(F.max_by(packed, order).alias("_last"))
     across = W.partitionBy(key).orderBy("_chunk")
-    carried = lasts.select(key, "_chunk", F.lag("_last").over(across).alias("_carried"))
-    joined = rows.join(carried, [key, "_chunk"], "left")
-    previous = F.coalesce("_here", "_carried")
-    return joined.withColumns(
-        {f"{prefix}{v}": previous[v] for v in values}
-    ).drop("_chunk", "_here", "_is_last", "_carried")
+    heads = (
+        lasts.select(key, F.lead("_chunk").over(across).alias("_chunk"), "_last")
+        .where("_chunk IS NOT NULL")
+        .select(key, "_chunk", *[F.col("_last")[v].alias(v) for v in values], F.lit(True).alias("_head"))
+    )
+    inside = W.partitionBy(key, "_chunk").orderBy(F.desc_nulls_last("_head"), order)
+    return (
+        rows.unionByName(heads, allowMissingColumns=True)
+        .withColumn("_before", F.lag(packed).over(inside))
+        .where("_head IS NULL")
+        .withColumns({f"{prefix}{v}": F.col("_before")[v] for v in values})
+        .drop("_chunk", "_head", "_before")
+    )
 
 
 def with_position(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
