@@ -117,7 +117,7 @@ def run(request_rows: DataFrame, registry: Mapping[str, Analyzer]) -> DataFrame:
             if len(rows) == 1:
                 return failed(1)
         singles = [guarded(plugin, rows.iloc[i : i + 1]) for i in range(len(rows))]
-        return pd.concat(singles, ignore_index=True)
+        return pd.DataFrame([r for s in singles for r in s.to_dict("records")])
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediasift import schemas
 from mediasift.params import Params
 from mediasift.sources import dims
 
