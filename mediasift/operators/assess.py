@@ -67,8 +67,9 @@ def risk_scores(findings: DataFrame, params: Params | None = None) -> DataFrame:
     """Score per analysis, each correlation group counted once by its strongest finding (F10),
     with the override evidence (F12).
 
-    Findings without a group are independent. The first aggregation has one key for all of
-    them, so they collapse to one partial sum per task and a dominant analysis stays cheap.
+    A finding without a group is a group of its own, under its id, so a finding that arrives twice
+    counts once. Groups of one analysis spread over all tasks; the sum per analysis combines
+    before its shuffle.
     """
     params = params or Params()
     weight = severity_weight(F.col("severity"), params)
@@ -79,10 +80,9 @@ def risk_scores(findings: DataFrame, params: Params | None = None) -> DataFrame:
         if params.override_enabled and params.override_finding_types
         else F.lit(False)
     )
-    by_group = findings.groupBy("analysis_id", "correlation_group").agg(
-        F.when(F.col("correlation_group").isNull(), F.sum(weight))
-        .otherwise(F.max(weight))
-        .alias("weight"),
+    group = F.coalesce("correlation_group", "finding_id").alias("_group")
+    by_group = findings.groupBy("analysis_id", group).agg(
+        F.max(weight).alias("weight"),
         F.count("*").alias("n"),
         F.count_if(eligible).alias("critical"),
         F.min(F.when(eligible, F.col("finding_id"))).alias("first_critical"),
