@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediasift.llm import exact_dedup, piece_bpe, simhash
+from mediasift.llm import exact_dedup, fingerprints, piece_bpe, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,6 +27,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query("op2_minhash")
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = fingerprints.edited_pairs(_table(spark, sf_dir, "documents"))
+    return pairs.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_text(F.col("packed")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_packed")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("packed"), F.col("edited_packed")).alias("near_edited"),
+        fingerprints.likeness(F.col("packed"), F.col("next_packed")).alias("near_next"),
+    )
+
+
 @_query(
     "op5_exact_dedup",
     """
