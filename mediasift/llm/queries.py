@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediasift.llm import exact_dedup, fingerprints, piece_bpe, simhash
+from mediasift.llm import exact_dedup, fingerprints, licenses, piece_bpe, secret_scan, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -41,6 +41,37 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query("op3_licenses")
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = licenses.scan(_table(spark, sf_dir, "documents"))
+    named = scanned.withColumn("licenses", licenses.licenses_of(F.col("matches")))
+    return named.select(
+        "doc_id",
+        F.size("known").cast("long").alias("n_sentences"),
+        F.array_join(F.transform("known", lambda x: F.concat_ws(":", x["id"], x["at"].cast("string"))), ",").alias("sentences"),
+        F.array_join("matches", ",").alias("matches"),
+        F.array_join("licenses", ",").alias("licenses"),
+        licenses.kind_of(F.col("licenses")).alias("kind"),
+    )
+
+
+@_query("op4_sharding")
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.records(_table(spark, sf_dir, "documents"))
+    placed = sharding.placed(rows, sharding.first_map(24, *sharding.slot_loads(rows)))
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "virtual_slot",
+        "map_version",
+    )
+
+
 @_query(
     "op5_exact_dedup",
     """
@@ -69,3 +100,21 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(simhash.fingerprinted(_table(spark, sf_dir, "documents")))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@_query("op10_secret_ownership")
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, repository=F.struct("source", "lang"), owner=F.col("source"))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == secret_scan.KINDS.index(kind))).cast("long")
+    base = F.filter("spans", lambda x: x["kind"] < secret_scan.KINDS.index("named"))
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(secret_scan.written(base), 256).alias("base_sha256"),
+        secret_scan.written(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda x: x["live"])).cast("long").alias("n_live"),
+        F.size(F.filter("spans", lambda x: ~x["live"])).cast("long").alias("n_example"),
+    )
