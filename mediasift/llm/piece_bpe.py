@@ -28,9 +28,9 @@ from mediasift.llm.common import whole_text
 MARK = "▁"
 LONG_WORD = 200
 #: Words that a task remembers; then it starts anew.
-MOST_WORDS = 500_000
+MOST_WORDS = 150_000
 #: Characters of new words that are merged in one go.
-ROUND_CHARS = 2_000_000
+ROUND_CHARS = 500_000
 
 
 def _one_each(error: UnicodeDecodeError) -> tuple[str, int]:
@@ -244,7 +244,7 @@ class WordCache:
 
 
 #: Characters that are encoded or ids decoded in one go, so that long texts do not add up.
-PART_CHARS = 4_000_000
+PART_CHARS = 1_000_000
 
 
 def _parts(sizes: list[int], most: int) -> Iterator[slice]:
