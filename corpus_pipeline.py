@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mediasift.llm import exact_dedup, piece_bpe, simhash
+from mediasift.llm import exact_dedup, piece_bpe, simhash, toxicity
 from mediasift.sources.shared import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.keep_clean(docs, toxicity.train(docs, labels.where(~toxicity.held_out(F.col("doc_id")))))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_one_of_each(docs)
 
@@ -26,6 +32,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
     ("exact_dedup", drop_exact_copies),
     ("simhash_near_dedup", drop_near_copies),
     ("sentencepiece", tokenise),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +43,15 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner")
     salted = rows.withColumn(SALT, salt_of())
     pairs = salted.select(key, SALT).distinct().join(table, key, how)
     return salted.join(pairs, [key, SALT], how).drop(SALT)
+
+
+def parts_of(sizes: Sequence[int], most: int) -> Iterator[slice]:
+    """Stretches of a batch whose sizes add up to `most` or less, or hold one item."""
+    begin, total = 0, 0
+    for i, size in enumerate(sizes):
+        if i > begin and total + size > most:
+            yield slice(begin, i)
+            begin, total = i, 0
+        total += size
+    if begin < len(sizes):
+        yield slice(begin, len(sizes))

@@ -19,11 +19,13 @@ from itertools import chain, count, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from mediasift.llm.common import whole_text
+from mediasift.llm.common import parts_of, whole_text
 
 MARK = "▁"
 LONG_WORD = 200
@@ -33,6 +35,9 @@ MOST_WORDS = 150_000
 ROUND_CHARS = 500_000
 
 
+_ENCODED = [StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())]
+
+
 def _one_each(error: UnicodeDecodeError) -> tuple[str, int]:
     return "�" * (error.end - error.start), error.end
 
@@ -107,7 +112,7 @@ class PieceModel:
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         long = np.flatnonzero(sizes > LONG_WORD)
         symbols, owners = [], []
-        for part in _parts(np.where(sizes > LONG_WORD, 0, sizes).tolist(), ROUND_CHARS):
+        for part in parts_of(np.where(sizes > LONG_WORD, 0, sizes).tolist(), ROUND_CHARS):
             short = [w if len(w) <= LONG_WORD else "" for w in words[part]] if len(long) else words[part]
             flat, owner = self._rounds(self._symbols_of("".join(short)), np.array([len(w) for w in short], dtype=np.int64))
             symbols.append(flat)
@@ -247,7 +252,29 @@ class WordCache:
 PART_CHARS = 1_000_000
 
 
-def _parts(sizes: list[int], most: int) -> Iterator[slice]:
+def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids end to end, and how many each text has."""
+        if len(self.codes) > MOST_WORDS:
+            self._clear()
+        cut = re.compile(f"{MARK}+[^{MARK}]*").findall
+        words = [cut(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        known = len(self.codes)
+        at = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(words)), dtype=np.int64)
+        ids, sizes = self.model.encode_words(list(islice(self.codes, known, None)))
+        self.pool, self.sizes = np.concatenate([self.pool, ids]), np.concatenate([self.sizes, sizes])
+        start = np.cumsum(self.sizes) - self.sizes
+        size = self.sizes[at]
+        ends = np.cumsum(size)
+        flat = self.pool[np.repeat(start[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        per_text = np.array([len(ws) for ws in words], dtype=np.int64)
+        return flat, np.diff(np.r_[0, ends][np.r_[0, np.cumsum(per_text)]])
+
+
+#: Characters that are encoded or ids decoded in one go, so that long texts do not add up.
+PART_CHARS = 1_000_000
+
+
+def parts_of(sizes: list[int], most: int) -> Iterator[slice]:
     begin, total = 0, 0
     for i, size in enumerate(sizes):
         if i > begin and total + size > most:
@@ -267,7 +294,7 @@ def encode(text: Column, model_path: str) -> Column:
         for batch in batches:
             texts = batch.fillna("").tolist()
             out = []
-            for part in _parts([len(t) for t in texts], PART_CHARS):
+            for part in parts_of([len(t) for t in texts], PART_CHARS):
                 flat, lengths = cache.encode(texts[part])
                 out.extend(np.split(flat, np.cumsum(lengths)[:-1]))
             yield pd.Series(out, dtype=object)
@@ -285,7 +312,7 @@ def decode(ids: Column, model_path: str) -> Column:
         for batch in batches:
             lists = [nothing if x is None else x for x in batch]
             out = []
-            for part in _parts([len(x) for x in lists], PART_CHARS):
+            for part in parts_of([len(x) for x in lists], PART_CHARS):
                 chosen = lists[part]
                 out.extend(model.decode_flat(np.concatenate(chosen), np.array([len(x) for x in chosen], dtype=np.int64)))
             yield pd.Series(out, dtype=object)
@@ -297,10 +324,25 @@ def encoded(docs: DataFrame, model_path: str) -> DataFrame:
     """Of each row: doc_id, its ids and the text decoded from them.
 
     Null and empty texts have no ids and decode to the empty text; repeated rows are encoded each for
-    itself; an empty table gives no rows. Other columns are not looked at.
+    itself; an empty table gives no rows. Other columns are not looked at. Both ways are gone in one pass
+    over Arrow batches, which leave in parts of `PART_CHARS`, so that a task's memory does not follow its
+    batch.
     """
-    ids = docs.select("doc_id", encode(whole_text(), model_path).alias("ids"))
-    return ids.select("doc_id", "ids", decode(F.col("ids"), model_path).alias("decoded"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = PieceModel(model_path)
+        cache = WordCache(model)
+        for batch in batches:
+            doc_id, text = batch.column(0), batch.column(1)
+            for part in parts_of(pc.binary_length(text).to_pylist(), PART_CHARS):
+                n = part.stop - part.start
+                flat, lengths = cache.encode(text.slice(part.start, n).to_pylist())
+                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(flat, pa.int32()))
+                decoded = pa.array(model.decode_flat(flat, lengths), pa.string())
+                yield pa.RecordBatch.from_arrays([doc_id.slice(part.start, n), ids, decoded], ["doc_id", "ids", "decoded"])
+
+    rows = docs.select("doc_id", whole_text().alias("text"))
+    return rows.mapInArrow(run, StructType([rows.schema["doc_id"], *_ENCODED]))
 
 
 def token_digests(docs: DataFrame, model_path: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediasift.llm import exact_dedup, fingerprints, licenses, piece_bpe, secret_scan, sharding, simhash
+from mediasift.llm import exact_dedup, fingerprints, licenses, piece_bpe, secret_scan, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,6 +27,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query("op1_toxic_spans")
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = toxicity.held_out(F.col("doc_id"))
+    scored = toxicity.scored(docs, toxicity.train(docs, labels.where(~held_out)))
+    span = lambda x: F.concat_ws(":", x["start"].cast("string"), x["stop"].cast("string"))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted", F.array_join(F.transform("spans", span), ",").alias("spans")
+    )
+
+
 @_query("op2_minhash")
 def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = fingerprints.edited_pairs(_table(spark, sf_dir, "documents"))
