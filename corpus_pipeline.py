@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediasift.llm import exact_dedup, piece_bpe, simhash, toxicity
+from mediasift.llm import exact_dedup, mixing, piece_bpe, simhash, toxicity
 from mediasift.sources.shared import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -27,6 +27,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.keep_one_of_each(docs)
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.remix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return piece_bpe.token_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -35,6 +39,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("toxicity", drop_toxic),
     ("exact_dedup", drop_exact_copies),
     ("simhash_near_dedup", drop_near_copies),
+    ("mixing", mix),
     ("sentencepiece", tokenise),
 ]
 

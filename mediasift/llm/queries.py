@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediasift.llm import exact_dedup, fingerprints, licenses, piece_bpe, secret_scan, sharding, simhash, toxicity
+from mediasift.llm import (
+    exact_dedup,
+    fingerprints,
+    licenses,
+    mixing,
+    piece_bpe,
+    secret_scan,
+    sharding,
+    simhash,
+    toxicity,
+    url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -107,6 +118,18 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.token_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@_query("op7_url_filter")
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(_table(spark, sf_dir, "pages"))
+
+
+@_query("op8_soft_mixing")
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, domains = mixing.mixed(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    shares = [F.col("posterior")[k].alias(d) for k, d in enumerate(domains)]
+    return out.select("doc_id", "tokens", "rate", "copies", *shares)
+
+
 @_query("op9_simhash")
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(simhash.fingerprinted(_table(spark, sf_dir, "documents")))
