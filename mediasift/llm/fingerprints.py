@@ -14,6 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mediasift.functions.base import let
 from mediasift.llm.common import whole_text
 from mediasift.operators.ranges import long_array, range_bounds, range_place
 
@@ -44,9 +45,28 @@ def _words(text: Column) -> Column:
 
 
 def _hashes(words: Column, shingle: int) -> Column:
-    """One hash for each shingle; of fewer words, one of them all (a missing word adds nothing)."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - shingle, F.lit(0)))
-    return F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(shingle)]))
+    """One hash for each shingle; of fewer words, one of them all.
+
+    Runs of words grow by pairing neighbours: hashes of runs of `k` words with those `k` words on, and
+    single words at the end. Pairing hands both sides to the function; looking elements up costs more.
+    """
+
+    def paired(one: Column, other: Column) -> Column:
+        return F.zip_with(one, other, lambda x, y: F.xxhash64(x, y))
+
+    def grown(w: Column) -> Column:
+        n = F.size(w)
+        runs, length = w, 1
+        while length < shingle:
+            more = length if 2 * length <= shingle else 1
+            left = n - (length + more) + 1
+            other = runs if more == length else w
+            runs = paired(F.slice(runs, F.lit(1), left), F.slice(other, F.lit(length + 1), left))
+            length += more
+        return runs
+
+    few = F.array(F.xxhash64(F.array_join(words, " ")))
+    return let(words, lambda w: F.when(F.size(w) < shingle, few).otherwise(grown(w)))
 
 
 def _empty(value: Column) -> Column:
@@ -66,19 +86,20 @@ def with_fingerprint(frame: DataFrame, text: str, out: str, shingle: int = WORDS
 
     steps = frame.withColumn(words, _words(F.coalesce(F.col(text), F.lit(""))))
     steps = steps.withColumn(ordered, F.sort_array(F.concat(_hashes(F.col(words), shingle), sentinels)))
-    steps = steps.withColumn(
-        least,
-        F.filter(ordered, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(F.col(ordered), i - 1)))),
-    )
-    steps = steps.withColumn(filled, F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: ~_empty(F.get(F.col(least), i))))
-
-    def borrowed(i: Column) -> Column:
-        tabled = F.get(F.filter(F.get(probes, i), lambda j: ~_empty(F.get(F.col(least), j))), F.lit(0))
+    other_bin = F.lit(-1 << 63).bitwiseXOR(F.lit(-1)).cast("bigint")  # no value comes before the first one
+    shifted = F.concat(F.array(other_bin), F.col(ordered))
+    firsts = let(shifted, lambda s: F.filter(ordered, lambda x, i: bin_of(x.bitwiseXOR(F.get(s, i))) != 0))
+    steps = steps.withColumn(least, firsts)
+    steps = steps.withColumn(filled, let(F.col(least), lambda mins: F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: ~_empty(F.get(mins, i)))))
+
+    def borrowed(mins: Column, i: Column) -> Column:
+        tabled = F.get(F.filter(F.get(probes, i), lambda j: ~_empty(F.get(mins, j))), F.lit(0))
         later = F.array_min(F.transform(F.col(filled), lambda j: F.struct(F.xxhash64(i, j).alias("turn"), j.alias("bin"))))["bin"]
-        return F.get(F.col(least), F.coalesce(tabled, later))
+        return F.get(mins, F.coalesce(tabled, later))
 
-    value = lambda x, i: F.when(_empty(x), borrowed(i)).otherwise(x).bitwiseAND(F.lit((1 << LOW_BITS) - 1))
-    steps = steps.withColumn(low, F.transform(least, value))
+    some = F.lit((1 << LOW_BITS) - 1)
+    low_of = lambda mins: F.transform(mins, lambda x, i: F.when(_empty(x), borrowed(mins, i)).otherwise(x).bitwiseAND(some))
+    steps = steps.withColumn(low, let(F.col(least), low_of))
     packed = F.array(
         *[
             F.aggregate(F.slice(F.col(low), g * _EACH + 1, _EACH), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, LOW_BITS).bitwiseOR(x))
