@@ -95,7 +95,8 @@ def with_fingerprint(frame: DataFrame, text: str, out: str, shingle: int = WORDS
     def borrowed(mins: Column, i: Column) -> Column:
         tabled = F.get(F.filter(F.get(probes, i), lambda j: ~_empty(F.get(mins, j))), F.lit(0))
         later = F.array_min(F.transform(F.col(filled), lambda j: F.struct(F.xxhash64(i, j).alias("turn"), j.alias("bin"))))["bin"]
-        return F.get(mins, F.coalesce(tabled, later))
+        # hashed with the bin's number, so that two borrowers of one value do not agree by the same chance
+        return F.xxhash64(F.get(mins, F.coalesce(tabled, later)), i)
 
     some = F.lit((1 << LOW_BITS) - 1)
     low_of = lambda mins: F.transform(mins, lambda x, i: F.when(_empty(x), borrowed(mins, i)).otherwise(x).bitwiseAND(some))
