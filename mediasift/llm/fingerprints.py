@@ -151,7 +151,7 @@ def with_next(docs: DataFrame, order: str, carried: list[str]) -> DataFrame:
     heads = F.get(long_array(bounds), F.col("__place")) == F.col(order)
     copies = F.when(
         heads,
-        F.array(F.struct(F.col("__place").alias("at"), F.lit(0).alias("copy")), F.struct(F.pmod(F.col("__place") + 1, F.lit(n)).alias("at"), F.lit(1).alias("copy"))),
+        F.array(F.struct(F.col("__place").alias("at"), F.lit(0).alias("copy")), F.struct(F.pmod(F.col("__place") - 1, F.lit(n)).alias("at"), F.lit(1).alias("copy"))),
     ).otherwise(F.array(F.struct(F.col("__place").alias("at"), F.lit(0).alias("copy"))))
     dealt = placed.withColumn("__deal", F.explode(copies)).withColumns({"__at": F.col("__deal.at"), "__copy": F.col("__deal.copy")})
     ordered = Window.partitionBy("__at").orderBy("__copy", F.col(order).desc(), *[F.col(c) for c in reversed(carried)])
