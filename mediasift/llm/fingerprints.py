@@ -69,6 +69,12 @@ def _hashes(words: Column, shingle: int) -> Column:
     return let(words, lambda w: F.when(F.size(w) < shingle, few).otherwise(grown(w)))
 
 
+def shingle_hashes(text: Column, shingle: int = WORDS) -> Column:
+    """Hashes of the word shingles of a text, repeats included; none for a text without words."""
+    words = _words(text)
+    return let(words, lambda w: F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(_hashes(w, shingle)))
+
+
 def _empty(value: Column) -> Column:
     return value.bitwiseAND(F.lit(_REST)) == F.lit(_REST)
 

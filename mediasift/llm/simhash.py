@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediasift.llm.common import ROW, SALT, salt_of, spread_join, whole_text
+from mediasift.llm.fingerprints import shingle_hashes
 from mediasift.sources.shared import stored
 
 BITS = 64
@@ -31,13 +32,19 @@ WORDS = 4
 SEED = 42
 MOST_BITS = 4
 
+#: The stage that drops near copies: what its candidates are linked by, and what then makes a copy.
+STAGE_WORDS, STAGE_BITS = 2, 8
+SHINGLE, ALIKE = 5, 0.8
+TURNS = 8
+
 #: Children of a node, and fingerprints whose searches go down together.
 FAN = 8
 TOGETHER = 512
 #: Places of a search that are held at once.
 FRONTIER = 2_000_000
-#: Fingerprints that a task gets on average; a bucket of more is dealt again by further bits.
+#: Fingerprints that a task gets on average, and those of a bucket that is dealt again by further bits.
 TASK_ROWS = 50_000
+FULL_ROWS = 5_000
 LEAST_TASKS = 48
 DEPTH = 4
 
@@ -238,19 +245,19 @@ def _dealt(rows: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
     return out.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
 
 
-def near_edges(fingerprints: DataFrame, most: int = MOST_BITS, task_rows: int = TASK_ROWS) -> DataFrame:
+def near_edges(fingerprints: DataFrame, most: int = MOST_BITS, full_rows: int = FULL_ROWS) -> DataFrame:
     """Edges (a, b) between fingerprints whose components are those of all links.
 
     `fingerprints` has one row for each distinct `fp` and should be stored: each level of dealing reads
     it again.
     """
-    tasks = max(LEAST_TASKS, math.ceil(fingerprints.count() * (most + 1) / task_rows))
+    tasks = max(LEAST_TASKS, math.ceil(fingerprints.count() * (most + 1) / TASK_ROWS))
     masks = {0: _finer(0, most + 1)}
     rows = _dealt(fingerprints.select("fp", F.lit(0).cast("long").alias("mask")), masks)
     parts = []
     for _ in range(DEPTH - 1):
         sizes = rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n"))
-        full = stored(sizes.where(F.col("n") > task_rows).select("mask", "value"), "simhash-full-buckets")
+        full = stored(sizes.where(F.col("n") > full_rows).select("mask", "value"), "simhash-full-buckets")
         if full.isEmpty():
             break
         parts.append(rows.join(full, ["mask", "value"], "left_anti"))
@@ -289,7 +296,7 @@ def fingerprinted(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return stored(numbered.select(ROW, doc_id, fingerprint(whole_text(), words).alias("fp")), "simhash-rows")
 
 
-def near_groups(rows: DataFrame, most: int = MOST_BITS, task_rows: int = TASK_ROWS) -> DataFrame:
+def near_groups(rows: DataFrame, most: int = MOST_BITS, full_rows: int = FULL_ROWS) -> DataFrame:
     """Each row (`ROW`, doc_id, fp; stored) with component_id, keep_row and kept.
 
     Rows are linked when their fingerprints differ in `most` bits or fewer; component_id is the smallest
@@ -300,7 +307,7 @@ def near_groups(rows: DataFrame, most: int = MOST_BITS, task_rows: int = TASK_RO
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW))
     salted = rows.groupBy("fp", salt_of().alias(SALT)).agg(first.alias("first"))
     distinct = stored(salted.groupBy("fp").agg(F.min("first").alias("first")), "simhash-distinct")
-    stars = components(near_edges(distinct, most, task_rows))
+    stars = components(near_edges(distinct, most, full_rows))
     linked = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
     heads = linked.join(distinct, linked.node == distinct.fp).groupBy("root").agg(F.min("first").alias("head"))
     heads = linked.join(heads, "root").select(F.col("node").alias("fp"), "head")
@@ -316,10 +323,33 @@ def near_groups(rows: DataFrame, most: int = MOST_BITS, task_rows: int = TASK_RO
     )
 
 
-def keep_one_of_each(docs: DataFrame, words: int = WORDS, most: int = MOST_BITS) -> DataFrame:
-    """The documents with one of each group of near duplicates, all columns as they came."""
+def keep_one_of_each(docs: DataFrame, words: int = STAGE_WORDS, most: int = STAGE_BITS, alike: float = ALIKE) -> DataFrame:
+    """The documents with one of each group of near copies, all columns as they came.
+
+    Components of SimHash links are the candidates; a document goes if its set of `SHINGLE`-word shingles
+    is `alike` (Jaccard) to that of a document that stays. The first document of each component stays
+    (smallest doc_id, then row), those like it go, and the rest are asked again with the first of them,
+    for `TURNS` turns; what is left then stays. No document goes without such a likeness.
+    """
     numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
     tagged = stored(numbered.withColumn(FP, fingerprint(whole_text(), words)), "simhash-docs")
     rows = tagged.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col(FP).alias("fp"))
-    kept = near_groups(rows, most).where("kept").select(ROW)
-    return tagged.join(kept, ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    groups = stored(near_groups(rows, most).select(ROW, F.col("keep_row").alias("group")), "simhash-groups")
+    several = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
+    shingles = F.array_distinct(shingle_hashes(whole_text(), SHINGLE))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), ROW).alias("turn")
+    members = tagged.select(ROW, first, shingles.alias("shingles")).join(spread_join(groups, several, "group"), ROW)
+    rest, gone = stored(members, "simhash-members"), []
+    for _ in range(TURNS):
+        if rest.isEmpty():
+            break
+        heads = rest.groupBy("group").agg(F.min("turn").alias("head"))
+        stay = rest.select(F.col("turn").alias("head"), F.col("shingles").alias("like")).join(heads, "head").select("group", "head", "like")
+        asked = spread_join(rest, stay, "group").where(f"{ROW} != head.{ROW}")
+        shared, all_ = F.size(F.array_intersect("shingles", "like")), F.size(F.array_union("shingles", "like"))
+        asked = stored(asked.withColumn("goes", (all_ == 0) | (shared >= all_ * alike)).drop("head", "like"), "simhash-asked")
+        gone.append(asked.where("goes").select(ROW))
+        rest = asked.where("not goes").drop("goes")
+    for part in gone:
+        tagged = tagged.join(part, ROW, "left_anti")
+    return tagged.select(*[F.col(f"`{c}`") for c in docs.columns])

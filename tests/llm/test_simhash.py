@@ -80,14 +80,14 @@ def test_gray_neighbours_differ_in_one_bit():
     assert sh.gray_rank(codes).tolist() == list(range(64))
 
 
-@pytest.mark.parametrize("task_rows", [50_000, 40])
-def test_components_over_all_buckets(spark, task_rows):
+@pytest.mark.parametrize("full_rows", [5_000, 40])
+def test_components_over_all_buckets(spark, full_rows):
     """The same links whether buckets fit a task or are dealt again by further bits."""
     rng = random.Random(4)
     values = sorted(set(_clustered(rng, 40, 8, 6) + _clustered(rng, 1, 200, 3) + [0, 1, (1 << 64) - 1]))
     signed = [(v - (1 << 64) if v >> 63 else v,) for v in values]
     fps = spark.createDataFrame(signed, "fp long").repartition(4)
-    found = {r.node: r.root for r in sh.components(sh.near_edges(fps, 4, task_rows)).collect()}
+    found = {r.node: r.root for r in sh.components(sh.near_edges(fps, 4, full_rows)).collect()}
     ours, theirs = defaultdict(set), defaultdict(set)
     expected = _brute_components(values, 4)
     for v in values:
@@ -113,8 +113,25 @@ def test_groups_of_odd_documents(odd_docs):
     out = sh.near_groups(sh.fingerprinted(odd_docs))
     got = sorted(((r.doc_id, r.fp % (1 << 64), r.component_id) for r in out.collect()), key=repr)
     assert got == expected
+
+
+def test_stage_keeps_one_of_each_group(odd_docs, no_docs, spark, words):
     kept = sh.keep_one_of_each(odd_docs)
-    assert kept.columns == odd_docs.columns and kept.count() == len(smallest)
+    ids = sorted((r.doc_id for r in kept.collect()), key=repr)
+    assert kept.columns == odd_docs.columns and ids == [1, 10, 11, 3, 4, 7, 8, None]
+    assert sh.keep_one_of_each(no_docs).count() == 0
+    data, copies = [], set()
+    for g in range(30):
+        base = words(250).split()
+        data.append((10 * g, " ".join(base)))
+        for k in range(1, 4):
+            other = list(base)
+            other[17 * k] = "edited"
+            data.append((10 * g + k, " ".join(other)))
+            copies.add(10 * g + k)
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    left = {r.doc_id for r in sh.keep_one_of_each(docs).collect()}
+    assert {10 * g for g in range(30)} <= left and len(left & copies) <= 4
 
 
 def test_nothing_of_nothing(no_docs):
