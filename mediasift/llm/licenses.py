@@ -64,6 +64,7 @@ RULES = [
     ("CC-BY-NC-4.0#notice", ["cn1"]),
     ("CC-BY-4.0#notice", ["ccl"]),
     ("CC-BY-4.0#notice", ["cc1"]),
+    ("MIT#partial", ["mt2", "mt3", "mt4"]),
     ("MIT#partial", ["mt1"]),
     ("BSD#partial", ["bs1", "bs2"]),
 ]

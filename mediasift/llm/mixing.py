@@ -102,38 +102,58 @@ def posteriors(rows: DataFrame, labels: DataFrame) -> Posteriors:
     return Posteriors(said.select(ROW, "doc_id", F.col("__tokens").alias("tokens"), vector_to_array("__probability").alias("posterior")), domains)
 
 
+def _summed(table: DataFrame, rate: Column, domains: int, least: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Expected tokens of each domain at the given rates; overlap of the domains in the rows above `least`."""
+    cells = [(j, k) for j in range(domains) for k in range(j, domains)]
+    free = F.lit(1.0) if least is None else (F.col("__rate") > least).cast("double")
+    rows = table.withColumn("__rate", rate).withColumn("__free", free)
+    p = [F.col(f"p{k}") for k in range(domains)]
+    row = rows.agg(
+        *[F.sum(F.col("__rate") * F.col("tokens") * p[k]).alias(f"s{k}") for k in range(domains)],
+        *[F.sum(F.col("__free") * F.col("tokens") * p[j] * p[k]).alias(f"g{j}_{k}") for j, k in cells],
+    ).first()
+    gram = np.zeros((domains, domains))
+    for j, k in cells:
+        gram[j, k] = gram[k, j] = row[f"g{j}_{k}"] or 0.0
+    return np.array([row[f"s{k}"] or 0.0 for k in range(domains)], dtype=np.float64), gram
+
+
 def totals(table: DataFrame, rate: Column, domains: int) -> np.ndarray:
     """Expected tokens of each domain at the given rates."""
-    sums = table.agg(*[F.sum(rate * F.col("tokens") * F.col(f"p{k}")).alias(f"s{k}") for k in range(domains)]).first()
-    return np.array([sums[k] or 0.0 for k in range(domains)], dtype=np.float64)
+    return _summed(table, rate, domains, None)[0]
 
 
 def rates(table: DataFrame, targets: np.ndarray, least: float = 0.0) -> Column:
     """Rate of each row of `table` (tokens, p0, p1, ...) that brings domain totals to `targets`.
 
-    Starts from one copy of each and minimises the weighted squares of the misses over rates of `least`
-    or more. Weights are the inverse of the domains' overlap (the Gram matrix of tokens times posteriors),
-    under which the step length is 1 whatever the overlap; rows are scaled by their tokens.
+    Starts from one copy of each and takes projected-gradient steps for the weighted squares of the
+    misses over rates of `least` or more, rows scaled by their tokens. Weights are the inverse of the
+    domains' overlap (the Gram matrix of tokens times posteriors), under which the step length is 1; they
+    are taken over the rows that are not at `least`, which is the whole way once those stay the same. If
+    such a step does not lessen the misses, the targets cannot all be met, and the rest of the steps keep
+    to the weights over all rows.
     """
     n = len(targets)
     scale = float(max(targets.sum(), 1.0))
-    cells = [(j, k) for j in range(n) for k in range(j, n)]
-    sums = table.agg(*[F.sum(F.col("tokens") * F.col(f"p{j}") * F.col(f"p{k}")).alias(f"g{i}") for i, (j, k) in enumerate(cells)]).first()
-    gram = np.zeros((n, n))
-    for value, (j, k) in zip(sums, cells, strict=True):
-        gram[j, k] = gram[k, j] = (value or 0.0) / scale
-    weight = np.linalg.inv(gram + np.eye(n) * max(1e-12, 1e-6 * np.trace(gram) / n))
     rate: Column = F.lit(1.0)
-    history: list[np.ndarray] = []
+    best, best_rate, free, weight_all = np.inf, rate, True, None
     for _ in range(ROUNDS):
-        miss = (totals(table, rate, n) - targets) / scale
+        sums, gram = _summed(table, rate, n, least if free and weight_all is not None else None)
+        miss = (sums - targets) / scale
+        weight = np.linalg.inv(gram / scale + np.eye(n) * max(1e-12, 1e-6 * np.trace(gram) / scale / n))
+        weight_all = weight if weight_all is None else weight_all
+        now = float(miss @ weight_all @ miss)
         if np.abs(miss).max() < CLOSE:
+            return rate
+        if now >= best and free:
+            free, rate = False, best_rate
+            continue
+        if now >= best * (1 - 1e-6):
             break
-        step = weight @ miss
-        history.append(step)
-        change = sum(F.col(f"p{k}") * float(step[k]) for k in range(n))
-        rate = F.greatest(F.lit(float(least)), rate - change)
-    return rate
+        best, best_rate = now, rate
+        step = (weight if free else weight_all) @ miss
+        rate = F.greatest(F.lit(float(least)), rate - sum(F.col(f"p{k}") * float(step[k]) for k in range(n)))
+    return best_rate
 
 
 def table_of(found: Posteriors) -> DataFrame:
