@@ -195,8 +195,13 @@ def classify(header: Column, *, mpeg_before_bmff: bool = True) -> Column:
 
     The order of the branches decides overlaps. An MPEG sync pair outranks a box header, so
     a movie whose first bytes hold such a pair is classed as `mp3`; `mpeg_before_bmff=False`
-    looks for the boxes first.
+    looks for the boxes first. The header is bound once: an expression that cuts it out of the content
+    would else be evaluated, and copied, at every mention and step.
     """
+    return let(header, lambda bytes_: _classified(bytes_, mpeg_before_bmff))
+
+
+def _classified(header: Column, mpeg_before_bmff: bool) -> Column:
     magic = F.hex(F.substring(header, 1, 12))
     riff = magic.startswith("52494646") & (F.length(header) >= 12)
     form = F.substring(magic, 17, 8)

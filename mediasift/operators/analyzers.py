@@ -84,10 +84,10 @@ def run(request_rows: DataFrame, registry: Mapping[str, Analyzer]) -> DataFrame:
     """Run plug-ins over request rows, batch by batch, without a shuffle.
 
     A batch that fails is retried row by row; a row that fails becomes an `error` row with a safe
-    code and no exception text, and the others are unaffected. A request for an unknown analyzer
-    is an `error` row too.
+    code and no exception text, and the others are unaffected. A request for an analyzer, or a version
+    of one, that the registry lacks is an `error` row too.
     """
-    plugins = dict(registry)
+    plugins = {(p.analyzer_id, p.version): p for p in registry.values()}
 
     def one_call(plugin: Analyzer, rows: pd.DataFrame) -> pd.DataFrame:
         out = plugin.analyze(rows).reset_index(drop=True)
@@ -121,8 +121,8 @@ def run(request_rows: DataFrame, registry: Mapping[str, Analyzer]) -> DataFrame:
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for analyzer_id, rows in batch.groupby("analyzer_id", sort=False):
-                out = guarded(plugins.get(analyzer_id), rows)
+            for asked, rows in batch.groupby(["analyzer_id", "analyzer_version"], sort=False, dropna=False):
+                out = guarded(plugins.get(asked), rows)
                 keys = rows.reset_index(drop=True)
                 yield pd.DataFrame(
                     {

@@ -68,7 +68,7 @@ def risk_scores(findings: DataFrame, params: Params | None = None) -> DataFrame:
     with the override evidence (F12).
 
     A finding without a group is a group of its own, under its id, so a finding that arrives twice
-    counts once. Groups of one analysis spread over all tasks; the sum per analysis combines
+    counts once; a group that happens to bear that id is another one. Groups of one analysis spread over all tasks; the sum per analysis combines
     before its shuffle.
     """
     params = params or Params()
@@ -80,8 +80,8 @@ def risk_scores(findings: DataFrame, params: Params | None = None) -> DataFrame:
         if params.override_enabled and params.override_finding_types
         else F.lit(False)
     )
-    group = F.coalesce("correlation_group", "finding_id").alias("_group")
-    by_group = findings.groupBy("analysis_id", group).agg(
+    alone = F.when(F.col("correlation_group").isNull(), F.col("finding_id")).alias("_alone")
+    by_group = findings.groupBy("analysis_id", "correlation_group", alone).agg(
         F.max(weight).alias("weight"),
         F.count("*").alias("n"),
         F.count_if(eligible).alias("critical"),
@@ -244,58 +244,61 @@ def risk_record(assessed: DataFrame) -> DataFrame:
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
-def assemble(
-    heads: DataFrame,
-    analyzer_rows: DataFrame,
-    findings: DataFrame,
-    *,
-    part_size: int = 50_000,
-) -> DataFrame:
-    """Result documents as JSON text: analysis_id, part, n_parts, n_analyzers, n_findings, doc.
-
-    heads: one row per analysis with every other field of the document, `risk_assessment` among
-    them. analyzer_rows and findings: the fields of the nested records, plus analysis_id; findings
-    may have a boolean `_critical` that marks override evidence.
-
-    An analysis up to `part_size` children is one document. A larger one is written as several
-    documents with the same head; each child is in exactly one of them, so no task holds much more
-    than `part_size` children of one analysis. Children are spread by a hash of their id and sorted
-    by id inside a part. Lists are kept when empty.
-    """
+def _child_rows(analyzer_rows: DataFrame, findings: DataFrame) -> DataFrame:
+    """analysis_id, section, child_id, critical and JSON of every analyzer and finding."""
     critical = F.col("_critical") if "_critical" in findings.columns else F.lit(False)
 
-    def children(rows: DataFrame, kind: str, child_id: str, is_critical: Column) -> DataFrame:
+    def children(rows: DataFrame, section: str, child_id: str, is_critical: Column) -> DataFrame:
         fields = [c for c in rows.columns if c not in ("analysis_id", "_critical")]
         return rows.select(
             "analysis_id",
-            F.lit(kind).alias("kind"),
+            F.lit(section).alias("section"),
             F.col(child_id).alias("child_id"),
             is_critical.alias("critical"),
-            F.to_json(F.struct(*fields), _KEEP_NULLS).alias("child"),
+            F.to_json(F.struct(*fields), _KEEP_NULLS).alias("json"),
         )
 
-    every = children(analyzer_rows, "a", "analyzer_id", F.lit(False)).unionByName(
-        children(findings, "f", "finding_id", critical)
-    )
-    # only analyses with more than one part are looked up; adaptive execution broadcasts the
-    # list when its real size allows and splits the skewed side when it does not
-    large = (
-        every.groupBy("analysis_id")
-        .agg(F.ceil(F.count("*") / F.lit(part_size)).cast("bigint").alias("n_parts"))
-        .where("n_parts > 1")
+    return children(analyzer_rows, "analyzers", "analyzer_id", F.lit(False)).unionByName(
+        children(findings, "findings", "finding_id", critical)
     )
-    parted = every.join(large, "analysis_id", "left").withColumn(
-        "part", F.coalesce(F.pmod(F.xxhash64("child_id"), "n_parts"), F.lit(0))
+
+
+def document_rows(heads: DataFrame, analyzer_rows: DataFrame, findings: DataFrame) -> DataFrame:
+    """Result documents in long form: one `head` row per analysis, one row per analyzer and finding.
+
+    Columns: analysis_id, section, child_id, critical, json. Nothing is gathered, so that analyses of
+    any size have the same form; ids that an override rests on are the rows marked critical, and
+    children are in order by section and child_id.
+    """
+    fields = [c for c in heads.columns if c != "first_override_finding"]
+    head = heads.select(
+        "analysis_id",
+        F.lit("head").alias("section"),
+        F.lit(None).cast("string").alias("child_id"),
+        F.lit(False).alias("critical"),
+        F.to_json(F.struct(*fields), _KEEP_NULLS).alias("json"),
     )
+    return head.unionByName(_child_rows(analyzer_rows, findings))
+
+
+def assemble(heads: DataFrame, analyzer_rows: DataFrame, findings: DataFrame) -> DataFrame:
+    """Result documents as JSON text: analysis_id, n_analyzers, n_findings, doc.
+
+    heads: one row per analysis with every other field of the document, `risk_assessment` among
+    them. analyzer_rows and findings: the fields of the nested records, plus analysis_id; findings
+    may have a boolean `_critical` that marks override evidence.
+
+    Always one document per analysis, as it is one file; it holds all of its children, sorted by id, and
+    thus has to fit a row. `document_rows` is the form for analyses that may not. Empty lists are kept.
+    """
 
-    def items(kind: str) -> Column:
-        picked = F.collect_list(F.when(F.col("kind") == kind, F.struct("child_id", "child")))
-        return F.transform(F.sort_array(picked), lambda x: x["child"])
+    def items(section: str) -> Column:
+        picked = F.collect_list(F.when(F.col("section") == section, F.struct("child_id", "json")))
+        return F.transform(F.sort_array(picked), lambda x: x["json"])
 
-    lists = parted.groupBy("analysis_id", "part").agg(
-        F.coalesce(F.max("n_parts"), F.lit(1)).alias("n_parts"),
-        items("a").alias("analyzers"),
-        items("f").alias("findings"),
+    lists = _child_rows(analyzer_rows, findings).groupBy("analysis_id").agg(
+        items("analyzers").alias("analyzers"),
+        items("findings").alias("findings"),
         F.sort_array(F.collect_list(F.when(F.col("critical"), F.col("child_id")))).alias("critical_ids"),
     )
     none = F.array().cast("array<string>")
@@ -324,8 +327,6 @@ def assemble(
     )
     return heads.join(lists, "analysis_id", "left").select(
         "analysis_id",
-        F.coalesce("part", F.lit(0)).cast("int").alias("part"),
-        F.coalesce("n_parts", F.lit(1)).cast("int").alias("n_parts"),
         F.size(F.coalesce("analyzers", none)).alias("n_analyzers"),
         F.size(F.coalesce("findings", none)).alias("n_findings"),
         doc.alias("doc"),

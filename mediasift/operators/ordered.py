@@ -6,7 +6,6 @@ bounded pieces first, answer inside the pieces, and carry the small remainder ac
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,16 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from mediasift.sources.dims import broadcast_if_small
+from mediasift.sources.shared import shared_root
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a local one only where none is configured."""
+    """The session's shared checkpoint folder, or one below the warehouse where none is configured."""
     sc = spark.sparkContext
-    configured = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    folder = configured or tempfile.mkdtemp(prefix="spark-checkpoint-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return folder
+        sc.setCheckpointDir(shared_root(spark))
+    return sc.getCheckpointDir()
 
 
 def with_previous(

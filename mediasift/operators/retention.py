@@ -51,21 +51,22 @@ def retention_plan(
 
 
 def sweep_counts(plan: DataFrame) -> DataFrame:
-    """Entries per location, action and issue (F02, the counting half)."""
+    """Entries per location, action and issue (F02, the counting half); untrusted names are not shown."""
     return plan.groupBy("location", "action", "issue_code").agg(
         F.count("*").alias("n_entries"),
-        F.min("analysis_id").alias("first_id"),
-        F.max("analysis_id").alias("last_id"),
+        F.min("reported_id").alias("first_id"),
+        F.max("reported_id").alias("last_id"),
     )
 
 
 def sweep_listing(plan: DataFrame) -> DataFrame:
     """The ordered id lists of a sweep in long form: one row per id with its position.
 
-    A list per action would gather one action's ids in one task.
+    A list per action would gather one action's ids in one task. Untrusted entries have no id to list;
+    `sweep_counts` has their number.
     """
     return ordered.with_position(
-        plan.where("action <> 'keep'").select("location", "action", "analysis_id"),
+        plan.where("action <> 'keep' AND reported_id IS NOT NULL").select("location", "action", "analysis_id"),
         ["location", "action"],
         ["analysis_id"],
         "position",

@@ -37,7 +37,7 @@ def _risk(name: str) -> str:
     weight = f"CASE severity WHEN 'weak' THEN {PARAMS.weak_score} WHEN 'significant' THEN {PARAMS.significant_score} ELSE 0 END"
     eligible = "critical_override_eligible AND severity = 'critical' AND type = 'splice'"
     return (
-        f"g AS (SELECT analysis_id, coalesce(correlation_group, finding_id) AS grp, max({weight}) AS w, count(*) AS n, "
+        f"g AS (SELECT analysis_id, correlation_group IS NULL AS alone, coalesce(correlation_group, finding_id) AS grp, max({weight}) AS w, count(*) AS n, "
         f"count(*) FILTER ({eligible}) AS crit, min(finding_id) FILTER ({eligible}) AS first_crit "
         f"FROM {name} GROUP BY ALL), "
         "risk AS (SELECT analysis_id, CAST(sum(w) AS DOUBLE) AS score, CAST(sum(n) AS BIGINT) AS n_findings, "
@@ -371,7 +371,7 @@ def document_children(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFram
 
 @query(
     "assemble",
-    f"{_ASSESSED} SELECT analysis_id, CAST(0 AS INT) AS part, CAST(1 AS INT) AS n_parts, CAST(planned_analyzers AS INT) AS n_analyzers, "
+    f"{_ASSESSED} SELECT analysis_id, CAST(planned_analyzers AS INT) AS n_analyzers, "
     "CAST(n_findings AS INT) AS n_findings, final_level, CAST(n_override_findings AS INT) AS n_critical FROM f",
 )
 def assemble(spark: SparkSession, sf: str) -> DataFrame:
@@ -383,8 +383,6 @@ def assemble(spark: SparkSession, sf: str) -> DataFrame:
     )
     return docs.withColumn("risk", risk).select(
         "analysis_id",
-        "part",
-        "n_parts",
         "n_analyzers",
         "n_findings",
         F.col("risk.final_level").alias("final_level"),
@@ -392,6 +390,17 @@ def assemble(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "document_rows",
+    f"{cte('order_analyzer_v', 'order_finding_v')} SELECT DISTINCT analysis_id, 'head' AS section, NULL AS child_id, false AS critical FROM order_analyzer_v "
+    "UNION ALL SELECT analysis_id, 'analyzers', analyzer_id, false FROM order_analyzer_v UNION ALL SELECT analysis_id, 'findings', finding_id, "
+    "critical_override_eligible AND severity = 'critical' AND type = 'splice' FROM order_finding_v",
+)
+def document_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = assess.document_rows(document_heads(spark, sf), *document_children(spark, sf))
+    return rows.where("json IS NOT NULL").select("analysis_id", "section", "child_id", "critical")
+
+
 @query(
     "documents_valid",
     f"{_ASSESSED} SELECT completeness_status, count(*) AS n_documents, CAST(0 AS BIGINT) AS n_invalid, CAST(sum(planned_analyzers) AS BIGINT) AS n_analyzers, "

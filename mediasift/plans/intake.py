@@ -63,17 +63,19 @@ def triage_directory(
 ) -> DataFrame:
     """Outcome rows of every file under `path`, oversized ones included.
 
-    Spark's file sources do not list empty files. A `manifest` of what was received (path,
-    modificationTime, length) adds them, so that they are rejected and not overlooked.
+    Spark's file sources list neither empty files nor names that begin with `_` or `.`. A `manifest`
+    of what was received (path as the source writes it, modificationTime, length) adds every file that
+    is not listed, so that each received file has an outcome: an empty one is rejected, and one whose
+    bytes could not be read has failed on our side.
     """
     params = params or Params()
     small = media.register(media.scan_media(spark, path, params), source, as_of)
     checked = attach_probes(media.measure(small, params), probes, reads)
     unread = media.scan_oversized(spark, path, params)
     if manifest is not None:
-        unread = unread.unionByName(
-            manifest.where("length = 0").select("path", "modificationTime", "length")
-        )
+        listed = media.scan_listed(spark, path).select("path")
+        received = manifest.select("path", "modificationTime", "length")
+        unread = unread.unionByName(received.join(listed, "path", "left_anti"))
     rest = _unread(media.register(unread, source, as_of))
     return gate.validate(checked.unionByName(rest), params)
 

@@ -263,7 +263,7 @@ def retention_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "retention_summary",
-    f"{_PLAN} SELECT location, action, issue_code, count(*) AS n_entries, min(analysis_id) AS first_id, max(analysis_id) AS last_id FROM plan GROUP BY ALL",
+    f"{_PLAN} SELECT location, action, issue_code, count(*) AS n_entries, min(reported_id) AS first_id, max(reported_id) AS last_id FROM plan GROUP BY ALL",
 )
 def retention_summary(spark: SparkSession, sf: str) -> DataFrame:
     return retention.sweep_counts(_plan(spark, sf))
@@ -271,7 +271,7 @@ def retention_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "sweep_listing",
-    f"{_PLAN} SELECT location, action, analysis_id, row_number() OVER (PARTITION BY location, action ORDER BY analysis_id) AS position FROM plan WHERE action <> 'keep'",
+    f"{_PLAN} SELECT location, action, analysis_id, row_number() OVER (PARTITION BY location, action ORDER BY analysis_id) AS position FROM plan WHERE action <> 'keep' AND reported_id IS NOT NULL",
 )
 def sweep_listing(spark: SparkSession, sf: str) -> DataFrame:
     return retention.sweep_listing(_plan(spark, sf))

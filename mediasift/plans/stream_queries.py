@@ -28,12 +28,10 @@ def stream_gate(spark: SparkSession, sf: str) -> DataFrame:
     "FROM state_v WINDOW w AS (PARTITION BY analysis_id ORDER BY seq)) "
     "SELECT *, (prev_status, prev_stage, status, stage) IN (SELECT * FROM (VALUES ('none', 'none', 'queued', 'registered'), "
     + ", ".join(str(t) for t in lifecycle.vocab.ALLOWED_TRANSITIONS)
-    + ") AS t(a, b, c, d)) AS legal FROM h",
+    + ") AS t(a, b, c, d)) AS legal, false AS late FROM h",
 )
 def stream_state(spark: SparkSession, sf: str) -> DataFrame:
-    lifecycle.use_rocksdb(spark)
-    events = derive(stream_table(spark, sf, "events"), "state_v")
-    return run_available(lifecycle.check_transitions(events))
+    return lifecycle.run_transitions(derive(stream_table(spark, sf, "events"), "state_v"))
 
 
 @query("stream_dedupe", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS analysis_id FROM events")

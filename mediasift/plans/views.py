@@ -189,7 +189,8 @@ VIEWS: dict[str, View] = {
             {"k": "CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT)"},
             {
                 "analysis_id": "CAST(user_id AS STRING)",
-                "finding_id": "'f' || CAST(event_id AS STRING)",
+                # some findings without a group bear the name of another finding's group
+                "finding_id": "CASE WHEN k % 3 = 0 AND k % 50 = 0 THEN 'c' || CAST(k % 4 AS STRING) ELSE 'f' || CAST(event_id AS STRING) END",
                 "source_analyzer_id": "event_type",
                 "source_analyzer_version": "CASE WHEN event_id % 60 = 0 THEN '2.0' ELSE '1.0' END",
                 "severity": (

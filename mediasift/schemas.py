@@ -89,7 +89,7 @@ LOG_EVENT = (
 )
 LIFECYCLE_EVENT = f"analysis_id {S}, seq {L}, ts timestamp, status {S}, stage {S}"
 TRANSITION_VERDICT = (
-    f"analysis_id {S}, seq {L}, status {S}, stage {S}, prev_status {S}, prev_stage {S}, legal {B}"
+    f"analysis_id {S}, seq {L}, status {S}, stage {S}, prev_status {S}, prev_stage {S}, legal {B}, late {B}"
 )
 ANALYZER_ROW = (
     f"analysis_id {S}, analyzer_id {S}, analyzer_version {S}, media_type {S}, `group` {S}, "

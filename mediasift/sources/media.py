@@ -26,6 +26,17 @@ def scan_media(spark: SparkSession, path: str, params: Params, *, glob: str = "*
     )
 
 
+def scan_listed(spark: SparkSession, path: str, *, glob: str = "*") -> DataFrame:
+    """Every file that the source lists, without its content."""
+    return (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", glob)
+        .option("recursiveFileLookup", "true")
+        .load(path)
+        .select("path", "modificationTime", "length")
+    )
+
+
 def scan_oversized(spark: SparkSession, path: str, params: Params, *, glob: str = "*") -> DataFrame:
     """Files over the hard limit: listed, never read."""
     return (

@@ -18,14 +18,19 @@ from mediasift.sources.results import latest_per_id
 def read_arrivals(
     spark: SparkSession, path: str, params: Params, *, files_per_trigger: int = 1000
 ) -> DataFrame:
-    """New files as a stream; the trigger size is the back-pressure."""
-    return (
+    """New files as a stream; the trigger size is the back-pressure.
+
+    Files over the hard limit come without content, which is never read, and are judged by their size.
+    """
+    listed = (
         spark.readStream.format("binaryFile")
         .schema(schemas.BINARY_FILE)
         .option("maxFilesPerTrigger", files_per_trigger)
         .load(path)
-        .where(F.col("length") <= params.hard_limit_bytes)
     )
+    over = F.col("length") > params.hard_limit_bytes
+    unread = listed.where(over).withColumn("content", F.lit(None).cast("binary"))
+    return listed.where(~over).unionByName(unread)
 
 
 def gate_arrivals(

@@ -1,87 +1,107 @@
-"""Lifecycle events as a stream: keyed state, duplicate suppression, expiry."""
+"""Lifecycle events as a stream: transitions by trigger, duplicate suppression, expiry."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from mediasift import schemas, vocab
+from mediasift.operators import lifecycle
+from mediasift.sources import dims
+from mediasift.streaming.run import shared_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_NONE = ("none", "none")
-_ALLOWED = frozenset(vocab.ALLOWED_TRANSITIONS) | {(*_NONE, *vocab.INITIAL_STATE)}
+STATE = "analysis_id string, seq bigint, status string, stage string, changed_at timestamp"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """Keyed state needs the RocksDB provider; large state then lives on local disk, and in the
-    shared checkpoint for recovery."""
+    """Duplicate suppression keeps its ids in the RocksDB provider; large state then lives on local
+    disk, and in the shared checkpoint for recovery."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-class TransitionChecker(StatefulProcessor):
-    """Remembers the last (seq, status, stage) of a task and judges each step.
+def judge_trigger(batch: DataFrame, before: DataFrame) -> DataFrame:
+    """Each event of a trigger with its predecessor, `legal` and `late`.
 
-    Rows come in chunks of bounded size and are judged chunk by chunk, in sequence order inside a
-    chunk; a row at or below the remembered sequence is late and illegal. The state expires
-    `ttl_ms` after its last change (L04).
+    `before` has the last state of each task. Events are judged in sequence order over the whole
+    trigger, however they are spread over files and batches, and a task of any size is split by chunks of
+    its sequence. An event at or below the remembered sequence came after a later one had been judged: it
+    is late, and neither legal nor illegal.
     """
+    known = before.select("analysis_id", F.col("seq").alias("_seen"))
+    rows = batch.select("analysis_id", "seq", "status", "stage").join(known, "analysis_id", "left")
+    late = F.coalesce(F.col("seq") <= F.col("_seen"), F.lit(False))
+    fresh = rows.where(~late).drop("_seen")
+    seeds = before.join(fresh.select("analysis_id").distinct(), "analysis_id", "left_semi")
+    seeded = fresh.withColumn("_seed", F.lit(False)).unionByName(
+        seeds.select("analysis_id", "seq", "status", "stage", F.lit(True).alias("_seed"))
+    )
+    judged = lifecycle.with_previous_state(seeded, F.expr("seq div 65536")).where(~F.col("_seed"))
+    spark = batch.sparkSession
+    start = spark.createDataFrame(
+        [(lifecycle.NONE, lifecycle.NONE, *vocab.INITIAL_STATE)],
+        "prev_status string, prev_stage string, status string, stage string",
+    )
+    # nine rows, fixed
+    allowed = F.broadcast(dims.allowed_transitions(spark).unionByName(start).withColumn("_allowed", F.lit(True)))
+    steps = judged.join(allowed, ["prev_status", "prev_stage", "status", "stage"], "left")
+    none = F.lit(None).cast("string")
+    columns = ["analysis_id", "seq", "status", "stage", "prev_status", "prev_stage", "legal", "late"]
+    return (
+        steps.withColumns({"legal": F.coalesce("_allowed", F.lit(False)), "late": F.lit(False)})
+        .select(*columns)
+        .unionByName(
+            rows.where(late)
+            .withColumns({"prev_status": none, "prev_stage": none, "legal": F.lit(None).cast("boolean"), "late": F.lit(True)})
+            .select(*columns)
+        )
+    )
 
-    def __init__(self, ttl_ms: int | None):
-        self._ttl_ms = ttl_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = "seq bigint, status string, stage string"
-        if self._ttl_ms:
-            self._last = handle.getValueState("last", schema, self._ttl_ms)
-        else:
-            self._last = handle.getValueState("last", schema)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stored = self._last.get() if self._last.exists() else None
-        seq, state = (None, _NONE) if stored is None else (stored[0], (stored[1], stored[2]))
-        for chunk in rows:
-            out = []
-            for row in chunk.sort_values("seq").itertuples(index=False):
-                late = seq is not None and row.seq <= seq
-                legal = not late and (*state, row.status, row.stage) in _ALLOWED
-                out.append((key[0], row.seq, row.status, row.stage, *state, legal))
-                if not late:
-                    seq, state = row.seq, (row.status, row.stage)
-            yield pd.DataFrame(
-                out,
-                columns=[
-                    "analysis_id", "seq", "status", "stage", "prev_status", "prev_stage", "legal",
-                ],
-            )
-        if seq is not None:
-            self._last.update((int(seq), *state))
-
-    def close(self) -> None:
-        pass
-
-
-def check_transitions(events: DataFrame, *, ttl_minutes: int | None = None) -> DataFrame:
-    """Each event with its predecessor and whether the step is allowed.
-
-    With `ttl_minutes` the state of a quiet task expires (L04). Expiry follows the clock, so such a
-    stream has a batch to run at any time: start it with a processing-time trigger, because a run
-    over what is available now would not end.
+def state_after(batch: DataFrame, before: DataFrame, as_of: Column) -> DataFrame:
+    """Last state of each task; `changed_at` is the time of the trigger that changed it."""
+    rows = batch.select("analysis_id", "seq", "status", "stage", as_of.alias("changed_at"))
+    newest = F.max_by(F.struct("seq", "status", "stage", "changed_at"), F.struct("seq", F.col("changed_at").isNull(), -F.unix_micros("changed_at")))
+    return before.unionByName(rows).groupBy("analysis_id").agg(newest.alias("s")).select("analysis_id", "s.*")
+
+
+def run_transitions(
+    events: DataFrame,
+    folder: str | None = None,
+    *,
+    ttl_minutes: int | None = None,
+    as_of: Column | None = None,
+) -> DataFrame:
+    """Judge what is available now, trigger by trigger; the verdicts as a table.
+
+    Verdicts, the last state per task and progress lie in `folder`, which all executors share; a later
+    call with the same folder goes on where this one ended. A trigger that runs again replaces what it
+    wrote. With `ttl_minutes` the state of a task is forgotten when it has not changed for that long by
+    `as_of`, the present time if not given (L04).
     """
-    ttl_ms = ttl_minutes * 60_000 if ttl_minutes else None
-    return (
-        events.select("analysis_id", "seq", "status", "stage")
-        .groupBy("analysis_id")
-        .transformWithStateInPandas(
-            statefulProcessor=TransitionChecker(ttl_ms),
-            outputStructType=schemas.TRANSITION_VERDICT,
-            outputMode="Append",
-            timeMode="ProcessingTime" if ttl_ms else "None",
-        )
+    spark = events.sparkSession
+    folder = folder or shared_folder(spark, "transitions")
+    now = F.current_timestamp() if as_of is None else as_of
+
+    def trigger(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        if number:
+            before = session.read.schema(STATE).parquet(f"{folder}/state/{number - 1:012d}")
+        else:
+            before = session.createDataFrame([], STATE)
+        if ttl_minutes:
+            before = before.where(F.timestamp_diff("SECOND", F.col("changed_at"), now) <= ttl_minutes * 60)
+        judge_trigger(batch, before).write.mode("overwrite").parquet(f"{folder}/rows/trigger={number:012d}")
+        state_after(batch, before, now).write.mode("overwrite").parquet(f"{folder}/state/{number:012d}")
+
+    running = (
+        events.writeStream.foreachBatch(trigger)
+        .option("checkpointLocation", f"{folder}/progress")
+        .trigger(availableNow=True)
+        .start()
     )
+    running.awaitTermination()
+    return spark.read.schema(schemas.TRANSITION_VERDICT).parquet(f"{folder}/rows/trigger=*")
 
 
 def first_arrivals(events: DataFrame, *, time: str = "ts", delay: str = "1 hour") -> DataFrame:

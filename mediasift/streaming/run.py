@@ -17,14 +17,17 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 def stream_table(
     spark: SparkSession, sf_dir: str, table: str, *, files_per_trigger: int = 100
 ) -> DataFrame:
-    """A table's Parquet file as a stream, with the schema of the stored table."""
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .option("pathGlobFilter", f"{table}.parquet")
-        .parquet(sf_dir)
-    )
+    """A stored table as a stream, with its schema: a folder of part files, or one file.
+
+    A stream source takes a folder only, so that a single file is picked from its parent by name.
+    """
+    path = f"{sf_dir}/{table}.parquet"
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
 def run_available(stream: DataFrame, folder: str | None = None) -> DataFrame:

@@ -56,30 +56,26 @@ def test_no_level_without_coverage(spark):
     assert {r["probability"] for r in out.collect()} == {None}
 
 
-def test_large_analyses_are_written_in_parts(spark):
+@pytest.mark.parametrize("n", [20, 2000])
+def test_documents_have_one_form_at_any_size(spark, n):
     heads = spark.createDataFrame([("hot",), ("small",), ("bare",)], "analysis_id string").withColumn(
         "risk_assessment", F.struct(F.lit("high").alias("final_level"), F.array().cast("array<string>").alias("critical_finding_ids"))
-    ).withColumn("first_override_finding", F.when(F.col("analysis_id") == "hot", "f000"))
-    found = spark.range(200).select(
-        F.when(F.col("id") < 190, "hot").otherwise("small").alias("analysis_id"),
-        F.format_string("f%03d", "id").alias("finding_id"), (F.col("id") % 50 == 0).alias("_critical"),
+    ).withColumn("first_override_finding", F.when(F.col("analysis_id") == "hot", "f0000"))
+    found = spark.range(n).select(
+        F.when(F.col("id") < n - 10, "hot").otherwise("small").alias("analysis_id"),
+        F.format_string("f%04d", "id").alias("finding_id"), (F.col("id") % 5 == 0).alias("_critical"),
     )
     runs = spark.createDataFrame([("hot", "a1"), ("small", "a1")], "analysis_id string, analyzer_id string")
-    docs = assess.assemble(heads, runs, found, part_size=20).collect()
-    by_id = {}
-    for r in docs:
-        by_id.setdefault(r["analysis_id"], []).append((r["n_parts"], json.loads(r["doc"])))
-    assert len(by_id["hot"]) == 10 and {n for n, _ in by_id["hot"]} == {10}
-    ids = [f["finding_id"] for _, d in by_id["hot"] for f in d["findings"]]
-    assert sorted(ids) == [f"f{i:03d}" for i in range(190)]
-    assert max(len(d["findings"]) for _, d in by_id["hot"]) < 60
-    for _, d in by_id["hot"]:
-        assert [f["finding_id"] for f in d["findings"]] == sorted(f["finding_id"] for f in d["findings"])
-        assert d["risk_assessment"]["critical_finding_ids"]
-    critical = {i for _, d in by_id["hot"] for i in d["risk_assessment"]["critical_finding_ids"]}
-    assert critical == {"f000", "f050", "f100", "f150"}
-    assert len(by_id["small"]) == 1 and len(by_id["small"][0][1]["findings"]) == 10
-    assert (by_id["bare"][0][1]["findings"], by_id["bare"][0][1]["analyzers"]) == ([], [])
+    docs = {r["analysis_id"]: json.loads(r["doc"]) for r in assess.assemble(heads, runs, found).collect()}
+    ids = [f"f{i:04d}" for i in range(n - 10)]
+    assert [f["finding_id"] for f in docs["hot"]["findings"]] == ids
+    assert docs["hot"]["risk_assessment"]["critical_finding_ids"] == ids[::5]
+    assert len(docs["small"]["findings"]) == 10 and (docs["bare"]["findings"], docs["bare"]["analyzers"]) == ([], [])
+    rows = assess.document_rows(heads, runs, found).collect()
+    assert len(rows) == 3 + 2 + n
+    assert sorted(r["child_id"] for r in rows if r["critical"] and r["analysis_id"] == "hot") == ids[::5]
+    long = {r["child_id"]: json.loads(r["json"]) for r in rows if (r["analysis_id"], r["section"]) == ("hot", "findings")}
+    assert [long[i] for i in ids] == docs["hot"]["findings"]
 
 
 def test_flatten_and_references(spark):
@@ -132,7 +128,7 @@ def test_one_failing_row_does_not_stop_the_others(spark):
         return pd.DataFrame({"score": []})
 
     asked = spark.createDataFrame(
-        [(f"m{i}", a, "1", "image", "g", i) for i in range(6) for a in ("good", "short", "absent")],
+        [(f"m{i}", a, "1", "image", "g", i) for i in range(6) for a in ("good", "short", "absent")] + [("m9", "good", "2", "image", "g", 1)],
         "analysis_id string, analyzer_id string, analyzer_version string, media_type string, `group` string, size_bytes bigint",
     )
     registry = {
@@ -140,7 +136,7 @@ def test_one_failing_row_does_not_stop_the_others(spark):
         "short": analyzers.Analyzer("short", "1", "image", "g", wrong_length),
     }
     out = analyzers.run(asked, registry).collect()
-    assert len(out) == 18
+    assert len(out) == 19 and next(r for r in out if r["analysis_id"] == "m9")["error_code"] == "analyzer_failed"
     status = {(r["analysis_id"], r["analyzer_id"]): r["status"] for r in out}
     assert {k for k, v in status.items() if v == "completed"} == {(f"m{i}", "good") for i in range(6) if i != 3}
     bad = next(r for r in out if (r["analysis_id"], r["analyzer_id"]) == ("m3", "good"))

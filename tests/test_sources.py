@@ -63,16 +63,16 @@ def test_directory_end_to_end(spark, folder):
     reads = media.register(media.scan_media(spark, folder, PARAMS), source(), as_of()).select(
         "analysis_id", F.when(F.col("original_name") == "photo.png", "rejected").otherwise("ok").alias("read_status"), F.lit(None).alias("image")
     )
-    manifest = spark.createDataFrame([("in/empty.png", datetime(2026, 1, 1), 0), ("in/plain", datetime(2026, 1, 1), 5)], "path string, modificationTime timestamp, length bigint")
+    manifest = spark.createDataFrame([("in/empty.png", datetime(2026, 1, 1), 0), (f"file:{folder}/plain", datetime(2026, 1, 1), 5), (f"file:{folder}/.jpg", datetime(2026, 1, 1), 7)], "path string, modificationTime timestamp, length bigint")
     out = intake.triage_directory(spark, folder, probes(spark, folder), source=source(), as_of=as_of(), reads=reads, manifest=manifest, params=PARAMS)
     rows = {r["original_name"]: r for r in out.collect()}
-    assert {n: (r["status"], r["error_code"]) for n, r in rows.items()} == WANT
+    assert {n: (r["status"], r["error_code"]) for n, r in rows.items()} == WANT | {".jpg": ("failed", "internal_error")}
     for name, data in FILES.items():
         if name != "huge.wav":
             assert rows[name]["size_bytes"] == len(data)
             assert rows[name]["sha256"] == hashlib.sha256(data).hexdigest()
     assert rows["huge.wav"]["sha256"] is None and rows["song.mp3"]["source"]["channel"] == "api"
-    assert len({r["analysis_id"] for r in rows.values()}) == len(FILES)
+    assert len({r["analysis_id"] for r in rows.values()}) == len(FILES) + 1
 
 
 def test_large_files_are_listed_but_not_read(spark, folder):
@@ -102,10 +102,10 @@ def test_arrivals_as_a_stream(spark, folder, tmp_path):
     arrivals.write_latest(keep, out, progress).awaitTermination()
     rows = spark.read.parquet(out)
     assert {r["original_name"]: (r["status"], r["error_code"]) for r in rows.collect()} == {
-        "renamed.jpg": WANT["renamed.jpg"], "song.mp3": WANT["song.mp3"],
+        "renamed.jpg": WANT["renamed.jpg"], "song.mp3": WANT["song.mp3"], "huge.wav": ("rejected", "file_too_large"),
     }
     arrivals.write_latest(keep, out, progress).awaitTermination()
-    assert spark.read.parquet(out).count() == 2
+    assert spark.read.parquet(out).count() == 3
 
 
 def lifecycle_file(spark, path, rows):
@@ -114,37 +114,37 @@ def lifecycle_file(spark, path, rows):
 
 
 def test_state_survives_between_runs_and_files(spark, tmp_path):
-    lifecycle.use_rocksdb(spark)
     path, folder = str(tmp_path / "events"), str(tmp_path / "run")
     lifecycle_file(spark, path, [("a", 2, "queued", "routing"), ("a", 1, "queued", "registered"), ("b", 1, "running", "preprocessing")])
-    stream = lambda: lifecycle.check_transitions(lifecycle.event_stream(spark, path, files_per_trigger=1))
-    run_available(stream(), folder)
+    stream = lambda: lifecycle.event_stream(spark, path, files_per_trigger=1)
+    lifecycle.run_transitions(stream(), folder)
     lifecycle_file(spark, path, [("a", 3, "queued", "queued"), ("a", 4, "completed", "finished"), ("a", 2, "queued", "queued")])
-    rows = run_available(stream(), folder).collect()
-    verdicts = sorted((r["analysis_id"], r["seq"], r["stage"], r["legal"]) for r in rows)
+    rows = lifecycle.run_transitions(stream(), folder).collect()
+    verdicts = sorted((r["analysis_id"], r["seq"], r["stage"], r["legal"], r["late"]) for r in rows)
     assert verdicts == [
-        ("a", 1, "registered", True), ("a", 2, "queued", False), ("a", 2, "routing", True), ("a", 3, "queued", True),
-        ("a", 4, "finished", False), ("b", 1, "preprocessing", False),
+        ("a", 1, "registered", True, False), ("a", 2, "queued", None, True), ("a", 2, "routing", True, False),
+        ("a", 3, "queued", True, False), ("a", 4, "finished", False, False), ("b", 1, "preprocessing", False, False),
     ]
 
 
-def test_state_with_expiry_runs_on_a_clock(spark, tmp_path):
-    lifecycle.use_rocksdb(spark)
-    path, out = str(tmp_path / "events"), str(tmp_path / "rows")
-    lifecycle_file(spark, path, [("a", 1, "queued", "registered")])
-    checked = lifecycle.check_transitions(lifecycle.event_stream(spark, path), ttl_minutes=60)
-    running = (
-        checked.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "p"))
-        .trigger(processingTime="1 second").start()
-    )
-    try:
-        for _ in range(40):
-            running.awaitTermination(1)
-            if any((p.get("numInputRows") or 0) > 0 for p in running.recentProgress):
-                break
-    finally:
-        running.stop()
-    assert [tuple(r) for r in spark.read.parquet(out).select("analysis_id", "legal").collect()] == [("a", True)]
+@pytest.mark.parametrize("files", [1, 5])
+def test_legal_histories_are_legal_however_they_are_spread(spark, tmp_path, files):
+    steps = [("queued", "registered"), ("queued", "routing"), ("queued", "queued")]
+    rows = [(f"t{i}", k + 1, *s) for k, s in enumerate(steps) for i in range(20)]
+    for k in range(files):
+        lifecycle_file(spark, str(tmp_path / "events"), rows[::-1][k::files])
+    stream = lifecycle.event_stream(spark, str(tmp_path / "events"), files_per_trigger=10)
+    out = lifecycle.run_transitions(stream, str(tmp_path / "run"))
+    assert out.where("legal").count() == 60
+
+
+def test_quiet_tasks_are_forgotten(spark, tmp_path):
+    path, folder = str(tmp_path / "events"), str(tmp_path / "run")
+    for hour, row in enumerate([("a", 1, "queued", "registered"), ("a", 2, "queued", "routing"), ("a", 3, "queued", "queued")]):
+        lifecycle_file(spark, path, [row])
+        at = F.lit(datetime(2026, 1, 1, hour * hour))
+        out = lifecycle.run_transitions(lifecycle.event_stream(spark, path), folder, ttl_minutes=90, as_of=at)
+    assert sorted((r["seq"], r["legal"]) for r in out.collect()) == [(1, True), (2, True), (3, False)]
 
 
 def test_duplicates_are_suppressed(spark, tmp_path):
