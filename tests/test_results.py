@@ -45,7 +45,7 @@ GOOD = [
     result(risk_assessment__probability=0.5, risk_assessment__probability_method="bayes"),
     result(risk_assessment__critical_override_applied=True, risk_assessment__critical_finding_ids=["f1"]),
     place({"type": "file"}), place(BOX), place(SPAN), place(FRAMES),
-    result(created_at="2026-07-24T14:35:22.123456+00:00"),
+    result(created_at="2031-02-03T04:05:06.123456+00:00"),
 ]
 
 BAD = [
@@ -66,11 +66,11 @@ BAD = [
     (result(findings=[finding(localization=[])]), "TYPE:finding.localization"),
     (result(analyzers=[analyzer(raw_metrics=[])]), "TYPE:analyzer.raw_metrics"),
     (place({"type": "polygon"}), "R16:localization"),
-    (result(created_at="2026-07-24T14:35:22+03:00"), "R02"),
-    (result(updated_at="2026-07-24T14:35:22"), "R02"),
-    (result(analyzers=[analyzer(started_at="2026-07-24T14:35:22+01:00")]), "R02"),
+    (result(created_at="2031-02-03T04:05:06+03:00"), "R02"),
+    (result(updated_at="2031-02-03T04:05:06"), "R02"),
+    (result(analyzers=[analyzer(started_at="2031-02-03T04:05:06+01:00")]), "R02"),
     (result(cleanup__finished_at="yesterday"), "R02"),
-    (rejected(file=input_file(received_at="2026-07-24T14:35:22-05:00")), "R02"),
+    (rejected(file=input_file(received_at="2031-02-03T04:05:06-05:00")), "R02"),
     (result(status="done"), "R05"),
     (result(source__channel="mail"), "R05"),
     (result(recommendation__primary_action="delete"), "R05"),
@@ -126,8 +126,8 @@ def test_bad_documents(spark):
 def test_unreadable_documents(spark):
     text = json.dumps(result())
     docs = [
-        "", "{", "[]", "null", text.replace('"score": 5', '"score": NaN'),
-        text.replace('"score": 5', '"score": 1e999'), text.replace('"z": 2.5', '"z": -1e999'),
+        "", "{", "[]", "null", text.replace('"score": 8', '"score": NaN'),
+        text.replace('"score": 8', '"score": 1e999'), text.replace('"share": 0.75', '"share": -1e999'),
     ]
     assert judged(spark, docs) == [["JSON"]] * 5 + [["R01"]] * 2
 
@@ -180,7 +180,7 @@ def test_directory_reads(spark, tmp_path):
 
 def test_recent_order_and_limit(spark, tmp_path):
     a, b, c, d = ids(4)
-    late, early = "2026-07-24T15:00:00Z", "2026-07-24T13:00:00.5Z"
+    late, early = "2031-02-03T05:00:00Z", "2031-02-03T03:00:00.5Z"
     folder = tmp_path / "store"
     store(
         folder,
@@ -230,7 +230,7 @@ def test_export_switches(spark):
     df = spark.createDataFrame([(json.dumps(result()),)], "doc string")
     typed = results.judge(df).select("result")
     plain = json.loads(results.documents(typed).first()["doc"])
-    assert plain["analyzers"][0]["raw_metrics"] == {} and plain["file"]["original_name"] == "a.png"
+    assert plain["analyzers"][0]["raw_metrics"] == {} and plain["file"]["original_name"] == "shore.png"
     hidden = json.loads(results.documents(typed, Params(store_original_name=False)).first()["doc"])
     assert hidden["file"]["original_name"] == ""
 
