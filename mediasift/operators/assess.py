@@ -13,11 +13,19 @@ from mediasift.params import Params
 from mediasift.sources import dims
 
 
-def completeness(analyzer_rows: DataFrame, params: Params | None = None) -> DataFrame:
+#: Analyses that ended so had nothing to assess if no analyzer ran.
+_ENDED_EARLY = ("rejected", "failed")
+
+
+def completeness(
+    analyzer_rows: DataFrame, params: Params | None = None, *, analyses: DataFrame | None = None
+) -> DataFrame:
     """Counters, coverage ratio and status per analysis.
 
     `applicable` comes from its own column, never from the status. Coverage is the plain share of
-    applicable analyzers that completed.
+    applicable analyzers that completed. With `analyses` (analysis_id, status: one row each) those
+    without an analyzer row are there too, with zeros: `not_assessed` if they were rejected or failed,
+    `insufficient` otherwise.
     """
     params = params or Params()
     status = F.col("status")
@@ -31,6 +39,14 @@ def completeness(analyzer_rows: DataFrame, params: Params | None = None) -> Data
         F.count_if(status == "not_applicable").alias("not_applicable_analyzers"),
         F.count_if(F.col("applicable") & (status == "completed")).alias("_covered"),
     )
+    early = F.lit(False)
+    if analyses is not None:
+        ended = analyses.select("analysis_id", F.col("status").isin(*_ENDED_EARLY).alias("_early"))
+        counters = [c for c in counted.columns if c != "analysis_id"]
+        counted = ended.join(counted, "analysis_id", "left").withColumns(
+            {c: F.coalesce(c, F.lit(0)) for c in counters}
+        )
+        early = F.coalesce("_early", F.lit(False)) & (F.col("planned_analyzers") == 0)
     ratio = F.coalesce(
         F.try_divide(F.col("_covered").cast("double"), F.col("applicable_analyzers").cast("double")),
         F.lit(0.0),
@@ -39,9 +55,11 @@ def completeness(analyzer_rows: DataFrame, params: Params | None = None) -> Data
         counted.withColumn("coverage_ratio", ratio)
         .withColumn(
             "completeness_status",
-            completeness_status(F.col("coverage_ratio"), F.col("applicable_analyzers"), params),
+            F.when(early, "not_assessed").otherwise(
+                completeness_status(F.col("coverage_ratio"), F.col("applicable_analyzers"), params)
+            ),
         )
-        .drop("_covered")
+        .drop("_covered", "_early")
     )
 
 

@@ -56,6 +56,32 @@ _ASSESSED = (
 )
 
 
+_ANALYSES = (
+    "SELECT CAST(c_custkey AS STRING) AS analysis_id, CASE c_custkey % 5 WHEN 0 THEN 'rejected' WHEN 1 THEN 'failed' "
+    "ELSE 'completed' END AS status FROM customer"
+)
+_COUNTERS = "planned applicable completed failed timed_out skipped not_applicable".split()
+
+
+@query(
+    "completeness_of_all",
+    f"{cte('analyzer_v')}, part_v AS (SELECT * FROM analyzer_v WHERE CAST(analysis_id AS BIGINT) % 3 > 0), {_completeness('part_v')}, "
+    f"every_v AS ({_ANALYSES.replace('STRING', 'VARCHAR')}) SELECT analysis_id, "
+    + ", ".join(f"coalesce({c}_analyzers, 0) AS {c}_analyzers" for c in _COUNTERS)
+    + ", coalesce(coverage_ratio, 0.0) AS coverage_ratio, CASE WHEN planned_analyzers IS NULL THEN "
+    "CASE WHEN status = 'completed' THEN 'insufficient' ELSE 'not_assessed' END ELSE completeness_status END AS completeness_status "
+    "FROM every_v LEFT JOIN comp USING (analysis_id)",
+)
+def completeness_of_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Analyses with and without a run: the runs of every third analysis are taken away."""
+    every = read(spark, sf, "customer").selectExpr(
+        "CAST(c_custkey AS STRING) AS analysis_id",
+        "CASE c_custkey % 5 WHEN 0 THEN 'rejected' WHEN 1 THEN 'failed' ELSE 'completed' END AS status",
+    )
+    runs = view(spark, sf, "analyzer_v").where("CAST(analysis_id AS BIGINT) % 3 > 0")
+    return assess.completeness(runs, PARAMS, analyses=every)
+
+
 @query("completeness", f"{cte('analyzer_v')}, {_completeness('analyzer_v')} SELECT * FROM comp")
 def completeness(spark: SparkSession, sf: str) -> DataFrame:
     return assess.completeness(view(spark, sf, "analyzer_v"), PARAMS)
