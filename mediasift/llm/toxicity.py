@@ -32,6 +32,7 @@ SAMPLE_CHARS = 8_000_000
 #: Features that a model keeps at most, the most telling first, and what makes one telling.
 MOST_FEATURES = 20_000
 LEAST_Z = 2.5
+LEAST_DOCS = 3
 LEAST_LEAD = 2.8
 
 ROUNDS, RATE, RIDGE = 32, 0.4, 1e-4
@@ -162,15 +163,17 @@ def _telling(words: list[set[str]], labels: np.ndarray) -> dict[str, float]:
     Features whose odds differ less than `LEAST_LEAD` in either direction are left out: toxic documents
     may be longer, which makes every word a little commoner in them.
     """
+    def of(ws: set[str]) -> set[str]:
+        return set(chain.from_iterable(map(features, ws)))
+
+    # most features occur once; a count by hash finds those worth keeping by name
+    rough = np.zeros(1 << 22, dtype=np.int32)
+    for ws in words:
+        rough[np.unique(np.fromiter(map(hash, of(ws)), dtype=np.int64) & (len(rough) - 1))] += 1
+    often = rough >= LEAST_DOCS
     seen = (Counter(), Counter())
-    of_word: dict[str, list[str]] = {}
     for ws, label in zip(words, labels, strict=True):
-        here: set[str] = set()
-        for w in ws:
-            if w not in of_word:
-                of_word[w] = features(w)
-            here.update(of_word[w])
-        seen[label].update(here)
+        seen[label].update(f for f in of(ws) if often[hash(f) & (len(rough) - 1)])
     n0, n1 = int((labels == 0).sum()), int((labels == 1).sum())
     out = {}
     for f in seen[0].keys() | seen[1].keys():
