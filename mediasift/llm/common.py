@@ -33,16 +33,16 @@ def salt_of(column: str = ROW) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str = ROW) -> DataFrame:
     """`rows` with the columns of `table`, which has one row for each `key`.
 
     The rows of a key are first reduced to one pair (key, salt) for each salt, combined before the
     shuffle; the pairs meet the table, and the rows then join on the pair. A key that holds a third of
-    all rows is thus spread over `SALTS` parts. `rows` must have the column `ROW`.
+    all rows is thus spread over `SALTS` parts. The salt comes from the column `by`.
     """
-    salted = rows.withColumn(SALT, salt_of())
-    pairs = salted.select(key, SALT).distinct().join(table, key, how)
-    return salted.join(pairs, [key, SALT], how).drop(SALT)
+    salted = rows.withColumn(SALT, salt_of(by))
+    pairs = salted.select(key, SALT).distinct().join(table, key)
+    return salted.join(pairs, [key, SALT]).drop(SALT)
 
 
 def parts_of(sizes: Sequence[int], most: int) -> Iterator[slice]:

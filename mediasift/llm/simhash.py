@@ -273,7 +273,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of its component for each node of `edges` (a, b) but the roots.
 
     Large-star and small-star rounds: each node hands its neighbours to the least one it knows. Neighbour
-    lists are never gathered; each round is stored, and rounds end when the edges stay as they are.
+    lists are never gathered, and a node with very many is spread; each round is stored, and rounds end when
+    the edges stay as they are.
     """
     ordered = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
     now = stored(ordered.distinct(), "simhash-edges")
@@ -282,9 +283,9 @@ def components(edges: DataFrame) -> DataFrame:
         state = check
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        large = spread_join(both.where("b > a"), low, "a", by="b").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        small = spread_join(large, low, "a", by="b").where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         now = stored(small.unionByName(low.withColumnRenamed("low", "b")).distinct(), "simhash-edges")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
@@ -310,7 +311,7 @@ def near_groups(rows: DataFrame, most: int = MOST_BITS, full_rows: int = FULL_RO
     stars = components(near_edges(distinct, most, full_rows))
     linked = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
     heads = linked.join(distinct, linked.node == distinct.fp).groupBy("root").agg(F.min("first").alias("head"))
-    heads = linked.join(heads, "root").select(F.col("node").alias("fp"), "head")
+    heads = spread_join(linked, heads, "root", by="node").select(F.col("node").alias("fp"), "head")
     groups = distinct.join(heads, "fp", "left").select("fp", F.coalesce("head", "first").alias("head"))
     joined = spread_join(rows, groups, "fp")
     return joined.select(
