@@ -7,8 +7,6 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediasift.sources.shared import stored
-
 #: Parts into which the rows of one key are dealt before anything is grouped by that key.
 SALTS = 64
 
@@ -21,14 +19,6 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def with_rows(frame: DataFrame, label: str) -> DataFrame:
-    """`frame` stored with a number for each row (not gapless), so that repeated rows can be told apart.
-
-    Numbers depend on partitions, hence the stored copy: later reads see the same ones.
-    """
-    return stored(frame.withColumn(ROW, F.monotonically_increasing_id()), label)
-
-
 def salt_of(column: str = ROW) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
 

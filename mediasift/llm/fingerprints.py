@@ -9,8 +9,6 @@ likeness counts equal bins and takes off the share that agrees by chance.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,7 +90,7 @@ def with_fingerprint(frame: DataFrame, text: str, out: str, shingle: int = WORDS
 
     steps = frame.withColumn(words, _words(F.coalesce(F.col(text), F.lit(""))))
     steps = steps.withColumn(ordered, F.sort_array(F.concat(_hashes(F.col(words), shingle), sentinels)))
-    other_bin = F.lit(-1 << 63).bitwiseXOR(F.lit(-1)).cast("bigint")  # no value comes before the first one
+    other_bin = F.lit((1 << 63) - 1)  # the first value has no bin before it, so one that differs
     shifted = F.concat(F.array(other_bin), F.col(ordered))
     firsts = let(shifted, lambda s: F.filter(ordered, lambda x, i: bin_of(x.bitwiseXOR(F.get(s, i))) != 0))
     steps = steps.withColumn(least, firsts)
