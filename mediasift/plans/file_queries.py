@@ -16,7 +16,7 @@ from mediasift.operators import rules as R
 from mediasift.plans.intake import rejections_by_source
 from mediasift.plans.registry import PARAMS, query
 from mediasift.plans.views import cte, read, view
-from mediasift.sources import dims
+from mediasift.sources import dims, media
 
 # --- files: names, types, limits -----------------------------------------------------------
 _EXT = (
@@ -129,11 +129,10 @@ def artifact_path(spark: SparkSession, sf: str) -> DataFrame:
 @query("sha_hex", "SELECT doc_id, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS size_bytes FROM documents")
 def sha_hex(spark: SparkSession, sf: str) -> DataFrame:
     content = F.encode("text", "UTF-8")
-    return read(spark, sf, "documents").select(
-        "doc_id",
-        F.sha2(content, 256).alias("sha256"),
-        F.octet_length(content).cast("bigint").alias("size_bytes"),
+    files = read(spark, sf, "documents").select(
+        "doc_id", content.alias("content"), F.octet_length(content).cast("bigint").alias("length")
     )
+    return media.measure(files, PARAMS).select("doc_id", "sha256", "size_bytes")
 
 
 @query(

@@ -63,7 +63,7 @@ def results_latest(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "results_upsert",
     "WITH incoming AS (SELECT l_orderkey AS k, arg_max(l_returnflag, struct_pack(a := l_shipdate, b := l_partkey, c := l_suppkey, d := l_linenumber)) AS status "
-    "FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY l_orderkey) "
+    "FROM lineitem WHERE l_quantity >= 10 GROUP BY l_orderkey) "
     "SELECT o_orderkey AS k, o_orderstatus AS status FROM orders WHERE o_orderkey NOT IN (SELECT k FROM incoming) "
     "UNION ALL SELECT k, status FROM incoming",
 )
@@ -71,17 +71,13 @@ def results_upsert(spark: SparkSession, sf: str) -> DataFrame:
     stored = read(spark, sf, "orders").select(
         F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status")
     )
-    incoming = (
-        read(spark, sf, "lineitem")
-        .where("l_orderkey % 3 = 0")
-        .select(
-            F.col("l_orderkey").alias("k"),
-            F.col("l_returnflag").alias("status"),
-            F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_linenumber").alias("written"),
-        )
+    incoming = read(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("k"),
+        F.col("l_returnflag").alias("status"),
+        F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_linenumber").alias("written"),
+        "l_quantity",
     )
-    newest = results.latest_per_id(incoming, "k", "written").select("k", "status")
-    return stored.join(newest.select("k"), "k", "left_anti").unionByName(newest)
+    return results.upsert(stored, incoming, "k", "written", valid=F.col("l_quantity") >= 10)
 
 
 @query(

@@ -109,10 +109,21 @@ def latest_per_id(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return rows.groupBy(key).agg(newest.alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, key: str, *order: str) -> DataFrame:
-    """Whole-row replacement by key (A05): the stored table after the write."""
-    newest = latest_per_id(incoming, key, *order)
-    return stored.join(newest.select(key), key, "left_anti").unionByName(newest)
+def upsert(
+    stored: DataFrame, incoming: DataFrame, key: str, *order: str, valid: Column | None = None
+) -> DataFrame:
+    """Whole-row replacement by key (A05): the stored table after the write.
+
+    Rows of `incoming` for which `valid` does not hold are refused and replace nothing. Of several the
+    last by `order` is written. Both tables go through one aggregate that combines before its shuffle.
+    """
+    accepted = incoming if valid is None else incoming.where(valid)
+    row = F.struct(*[c for c in stored.columns if c != key]).alias("row")
+    written = accepted.select(key, row, F.struct(F.lit(1).alias("new"), *order).alias("turn"))
+    kept = stored.select(key, row, F.lit(None).cast(written.schema["turn"].dataType).alias("turn"))
+    turn = F.struct(F.col("turn").isNotNull(), "turn")
+    newest = kept.unionByName(written).groupBy(key).agg(F.max_by("row", turn).alias("row"))
+    return newest.select(*[F.col(key) if c == key else F.col("row")[c].alias(c) for c in stored.columns])
 
 
 def write_version(table: DataFrame, root: str, version: int) -> str:
