@@ -15,19 +15,21 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediasift.llm.common import ROW, whole_text
+from mediasift.llm.common import whole_text
 from mediasift.sources.shared import stored
 
 #: Labelled rows that the classifier is fitted on at most, those with the least hash of their id.
 SAMPLE_ROWS = 5_000
 
-ROUNDS = 25
+ROUNDS = 40
+#: Length of the steps over all rows; any below 2 leads to the minimum.
+LONGER = 1.9
 #: Relative miss of all domains at which iterations end.
 CLOSE = 1e-7
 
@@ -36,10 +38,23 @@ MEASURES = ("length", "word", "digit", "symbol", "upper", "lines", "marks")
 
 @dataclass
 class Posteriors:
-    """Documents with `ROW`, doc_id, tokens and `posterior` (array, one number for each of `domains`)."""
+    """Names of the domains, and the fitted classifier (none where every row is sure of the one domain)."""
 
-    rows: DataFrame
     domains: list[str]
+    model: LogisticRegressionModel | None
+
+    def on(self, measured_rows: DataFrame) -> DataFrame:
+        """Rows with measures, and with `__p0`, `__p1`, ...: their posterior over the domains."""
+        if self.model is None:
+            return measured_rows.withColumn("__p0", F.lit(1.0))
+        said = self.model.transform(_assembler().transform(measured_rows))
+        shares = said.withColumn("__shares", vector_to_array("__probability"))
+        added = ("__features", "__raw", "__probability", "__prediction", "__shares")
+        return shares.withColumns({f"__p{k}": F.col("__shares")[k] for k in range(len(self.domains))}).drop(*added)
+
+
+def _assembler() -> VectorAssembler:
+    return VectorAssembler(inputCols=[f"__{m}" for m in MEASURES], outputCol="__features")
 
 
 def tokens_of(text: Column) -> Column:
@@ -63,12 +78,16 @@ def measures_of(text: Column, tokens: Column) -> dict[str, Column]:
     }
 
 
-def measured(numbered: DataFrame) -> DataFrame:
-    """`ROW`, doc_id, tokens and measures of each row, stored: texts are read once."""
-    text = whole_text()
-    rows = numbered.select(ROW, "doc_id", text.alias("__text"), tokens_of(text).alias("__tokens"))
-    measures = {f"__{k}": v for k, v in measures_of(F.col("__text"), F.col("__tokens")).items()}
-    return stored(rows.withColumns(measures).drop("__text"), "mixing-measures")
+def with_measures(frame: DataFrame) -> DataFrame:
+    """`frame` with `__tokens` and the measures of its text."""
+    known = frame.withColumn("__tokens", tokens_of(whole_text()))
+    return known.withColumns({f"__{k}": v for k, v in measures_of(whole_text(), F.col("__tokens")).items()})
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, tokens, measures and the hash that decides copies, of each row, stored: texts are read once."""
+    rows = with_measures(docs.select("doc_id", "text")).withColumn("__turn", turn_of())
+    return stored(rows.drop("text"), "mixing-measures")
 
 
 def domain_of() -> Column:
@@ -77,7 +96,7 @@ def domain_of() -> Column:
 
 
 def posteriors(rows: DataFrame, labels: DataFrame) -> Posteriors:
-    """Posterior of each measured row (stored) over the domains that the labelled table has.
+    """Classifier from measured rows (stored) to the domains that the labelled table has.
 
     A document labelled more than once counts in its least domain; labels with a null are left out. With
     no labelled document at all there is the one domain `all`; with one domain it is everyone's.
@@ -89,17 +108,13 @@ def posteriors(rows: DataFrame, labels: DataFrame) -> Posteriors:
     sample = stored(sample.dropDuplicates(["doc_id"]), "mixing-sample")  # bounded by SAMPLE_ROWS ids
     domains = sorted(r["domain"] for r in sample.select("domain").distinct().collect())
     if len(domains) < 2:
-        sure = rows.select(ROW, "doc_id", F.col("__tokens").alias("tokens"), F.array(F.lit(1.0)).alias("posterior"))
-        return Posteriors(sure, domains or ["all"])
+        return Posteriors(domains or ["all"], None)
     place = F.coalesce(*[F.when(F.col("domain") == d, float(i)) for i, d in enumerate(domains)])
-    assembler = VectorAssembler(inputCols=[f"__{m}" for m in MEASURES], outputCol="__features")
-    fitted = assembler.transform(sample.withColumn("__label", place)).select("__features", "__label").coalesce(1).cache()
-    model = LogisticRegression(
-        featuresCol="__features", labelCol="__label", probabilityCol="__probability", family="multinomial", regParam=1e-4, maxIter=40
-    ).fit(fitted)
+    fitted = _assembler().transform(sample.withColumn("__label", place)).select("__features", "__label").coalesce(1).cache()
+    learner = LogisticRegression(featuresCol="__features", labelCol="__label", family="multinomial", regParam=1e-4, maxIter=40)
+    model = learner.setRawPredictionCol("__raw").setProbabilityCol("__probability").setPredictionCol("__prediction").fit(fitted)
     fitted.unpersist()
-    said = model.transform(assembler.transform(rows))
-    return Posteriors(said.select(ROW, "doc_id", F.col("__tokens").alias("tokens"), vector_to_array("__probability").alias("posterior")), domains)
+    return Posteriors(domains, model)
 
 
 def _summed(table: DataFrame, rate: Column, domains: int, least: float | None) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +122,7 @@ def _summed(table: DataFrame, rate: Column, domains: int, least: float | None) -
     cells = [(j, k) for j in range(domains) for k in range(j, domains)]
     free = F.lit(1.0) if least is None else (F.col("__rate") > least).cast("double")
     rows = table.withColumn("__rate", rate).withColumn("__free", free)
-    p = [F.col(f"p{k}") for k in range(domains)]
+    p = [F.col(f"__p{k}") for k in range(domains)]
     row = rows.agg(
         *[F.sum(F.col("__rate") * F.col("tokens") * p[k]).alias(f"s{k}") for k in range(domains)],
         *[F.sum(F.col("__free") * F.col("tokens") * p[j] * p[k]).alias(f"g{j}_{k}") for j, k in cells],
@@ -124,7 +139,7 @@ def totals(table: DataFrame, rate: Column, domains: int) -> np.ndarray:
 
 
 def rates(table: DataFrame, targets: np.ndarray, least: float = 0.0) -> Column:
-    """Rate of each row of `table` (tokens, p0, p1, ...) that brings domain totals to `targets`.
+    """Rate of each row of `table` (tokens, `__p0`, `__p1`, ...) that brings domain totals to `targets`.
 
     Starts from one copy of each and takes projected-gradient steps for the weighted squares of the
     misses over rates of `least` or more, rows scaled by their tokens. Weights are the inverse of the
@@ -146,20 +161,20 @@ def rates(table: DataFrame, targets: np.ndarray, least: float = 0.0) -> Column:
         if np.abs(miss).max() < CLOSE:
             return rate
         if now >= best and free:
-            free, rate = False, best_rate
+            free, rate, best = False, best_rate, np.inf
             continue
         if now >= best * (1 - 1e-6):
             break
         best, best_rate = now, rate
-        step = (weight if free else weight_all) @ miss
-        rate = F.greatest(F.lit(float(least)), rate - sum(F.col(f"p{k}") * float(step[k]) for k in range(n)))
+        step = (weight if free else LONGER * weight_all) @ miss
+        rate = F.greatest(F.lit(float(least)), rate - sum(F.col(f"__p{k}") * float(step[k]) for k in range(n)))
     return best_rate
 
 
-def table_of(found: Posteriors) -> DataFrame:
-    """Compact stored table: `ROW`, doc_id, tokens, p0, p1, ..."""
-    columns = [F.col("posterior")[k].alias(f"p{k}") for k in range(len(found.domains))]
-    return stored(found.rows.select(ROW, "doc_id", "tokens", *columns), "mixing-posteriors")
+def table_of(rows: DataFrame, found: Posteriors) -> DataFrame:
+    """Compact stored table of measured rows: doc_id, tokens, `__turn`, `__p0`, `__p1`, ..."""
+    shares = [f"__p{k}" for k in range(len(found.domains))]
+    return stored(found.on(rows).select("doc_id", F.col("__tokens").alias("tokens"), "__turn", *shares), "mixing-posteriors")
 
 
 def targets_of(now: np.ndarray, weights: Sequence[float], shrink: bool) -> np.ndarray:
@@ -181,10 +196,15 @@ def tilted(domains: Sequence[str], now: np.ndarray, tilt: dict[str, float]) -> l
     return [float(s) * tilt.get(d, 1.0) for d, s in zip(domains, now, strict=True)]
 
 
-def copies_of(rate: Column, seed: int = 42) -> Column:
-    """Whole copies: the rate rounded down, or up with its fraction as the chance, decided by a hash."""
-    chance = F.pmod(F.xxhash64(F.col("doc_id"), F.col(ROW), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return (F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+def turn_of(seed: int = 42) -> Column:
+    """A number from 0 to below 1 that decides a row's fraction of a copy; equal rows have the same."""
+    bits = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), whole_text(), F.lit(seed)), F.lit(1 << 30))
+    return bits / float(1 << 30)
+
+
+def copies_of(rate: Column, turn: Column) -> Column:
+    """Whole copies: the rate rounded down, or up with its fraction as the chance."""
+    return (F.floor(rate) + F.when(turn < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
 #: What the mix asks for: good documents gain, poor ones lose part of their share.
@@ -197,13 +217,13 @@ def mixed(docs: DataFrame, labels: DataFrame, tilt: dict[str, float] = TILT) ->
     Null and empty texts have no tokens and do not count towards any target; repeated rows are rows of
     their own; an empty table gives no rows. Domains that the labels lack cannot be asked for.
     """
-    rows = measured(docs.select("doc_id", "text").withColumn(ROW, F.monotonically_increasing_id()))
+    rows = measured(docs)
     found = posteriors(rows, labels)
-    table, n = table_of(found), len(found.domains)
+    table, n = table_of(rows, found), len(found.domains)
     now = totals(table, F.lit(1.0), n)
     rate = rates(table, targets_of(now, tilted(found.domains, now, tilt), shrink=True))
-    out = table.withColumn("rate", rate).withColumn("copies", copies_of(F.col("rate")))
-    return out.select("doc_id", "tokens", F.array(*[f"p{k}" for k in range(n)]).alias("posterior"), "rate", "copies"), found.domains
+    out = table.withColumn("rate", rate).withColumn("copies", copies_of(F.col("rate"), F.col("__turn")))
+    return out.select("doc_id", "tokens", F.array(*[f"__p{k}" for k in range(n)]).alias("posterior"), "rate", "copies"), found.domains
 
 
 #: The pipeline's mix leaves no document out, so that each step of the tilt means repeats; it asks for less.
@@ -213,13 +233,15 @@ REMIX_TILT = {"quality1": 1.0, "quality0": 0.9}
 def remix(docs: DataFrame, labels: DataFrame, tilt: dict[str, float] = REMIX_TILT) -> DataFrame:
     """The documents, each repeated as its rate asks and none left out, all columns as they came.
 
-    Targets have the tilted ratio at a total where no domain has to lose tokens; rates are 1 or more.
+    Targets have the tilted ratio at a total where no domain has to lose tokens; rates are 1 or more. The
+    fitted rate is a closed expression of a text's measures, so documents are read once more and neither
+    joined nor copied aside.
     """
-    numbered = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "mixing-docs")
-    found = posteriors(measured(numbered), labels)
-    table, n = table_of(found), len(found.domains)
+    rows = measured(docs)
+    found = posteriors(rows, labels)
+    table, n = table_of(rows, found), len(found.domains)
     now = totals(table, F.lit(1.0), n)
     rate = rates(table, targets_of(now, tilted(found.domains, now, tilt), shrink=False), least=1.0)
-    more = table.withColumn("__copies", copies_of(rate)).where("__copies > 1").select(ROW, "__copies")
-    repeated = numbered.join(more, ROW, "left").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.coalesce("__copies", F.lit(1)))))
+    judged = found.on(with_measures(docs)).withColumn("__copies", copies_of(rate, turn_of()))
+    repeated = judged.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies"))))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from mediasift.llm import mixing as mx
-from mediasift.llm.common import ROW
 
 
 def _brute(t, p, targets, least, rounds=2_000):
@@ -24,8 +23,8 @@ def _table(spark, n=300, seed=1):
     rng = np.random.default_rng(seed)
     p = rng.dirichlet([0.4, 0.4, 0.4], n)
     t = rng.integers(1, 500, n).astype(float)
-    rows = [(int(i), int(i), int(t[i]), *map(float, p[i])) for i in range(n)]
-    return spark.createDataFrame(rows, f"{ROW} long, doc_id long, tokens long, p0 double, p1 double, p2 double"), t, p
+    rows = [(int(i), int(t[i]), *map(float, p[i])) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, tokens long, __p0 double, __p1 double, __p2 double"), t, p
 
 
 def test_rates_meet_their_targets(spark):
@@ -49,7 +48,7 @@ def test_projection_agrees_with_brute_force(spark, least):
 
 
 def test_copies_add_up(spark):
-    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.col("id").alias(ROW)).withColumn("c", mx.copies_of(F.lit(1.3)))
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).withColumn("c", mx.copies_of(F.lit(1.3), mx.turn_of()))
     out = rows.agg(F.min("c"), F.max("c"), F.avg("c")).first()
     assert out[0] == 1 and out[1] == 2 and abs(out[2] - 1.3) < 0.02
 
