@@ -40,6 +40,7 @@ ROUNDS, RATE, RIDGE = 32, 0.4, 1e-4
 CURVE_EVERY = 3
 
 PART_CHARS = 2_000_000
+PART_TOKENS = 100_000
 MOST_WORDS = 150_000
 SPAN_LEAST = 0.5
 
@@ -185,6 +186,19 @@ def _telling(words: list[set[str]], labels: np.ndarray) -> dict[str, float]:
     return out
 
 
+def _slopes(emission: np.ndarray, gold: np.ndarray, first: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labels less marginals of the tokens of whole texts, and how often each move is expected."""
+    forward, backward = messages(emission, first, moves)
+    odds = forward * backward
+    before, e, m = np.r_[1.0, forward[:-1]], np.exp(emission) * backward, np.exp(moves)
+    pair = [m[0, 0] + 0 * e, m[0, 1] * e, m[1, 0] * before, m[1, 1] * before * e]
+    total = sum(pair)
+    later = ~first
+    start = 1 / (1 + m[2, 0] / (m[2, 1] * e[first]))
+    sums = [float((p[later] / total[later]).sum()) for p in pair]
+    return gold - odds / (1 + odds), np.array([sums[:2], sums[2:], [float((1 - start).sum()), float(start.sum())]])
+
+
 def _train_field(model: ToxicModel, words: list[list[str]], labels: np.ndarray, z: dict[str, float]) -> None:
     """Fit weights and moves by gradient steps (Adam) on the sample's labelled tokens."""
     kept = sorted((f for f in z if abs(z[f]) >= LEAST_Z), key=lambda f: (-abs(z[f]), f))[:MOST_FEATURES]
@@ -203,23 +217,18 @@ def _train_field(model: ToxicModel, words: list[list[str]], labels: np.ndarray,
     np.add.at(gold_moves, (origin, gold.astype(np.int64)), 1)
 
     n = max(1.0, gold.sum())
+    parts = [slice(int(sizes[: p.start].sum()), int(sizes[: p.stop].sum())) for p in parts_of(sizes.tolist(), PART_TOKENS)]
     theta = np.r_[np.zeros(len(kept)), model.bias, np.zeros(6)]
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, ROUNDS + 1):
         weights, bias, moves = theta[: len(kept)], theta[len(kept)], theta[-6:].reshape(3, 2)
-        of_word = np.bincount(pair_word, weights=weights[pair_feature], minlength=len(lists)) + bias
-        emission = np.clip(of_word, -30, 30)[at]
-        forward, backward = messages(emission, first, moves)
-        odds = forward * backward
-        miss = gold - odds / (1 + odds)
-        per_word = np.bincount(at, weights=miss, minlength=len(lists))
-        before, e, m = np.r_[1.0, forward[:-1]], np.exp(emission) * backward, np.exp(moves)
-        pair = [m[0, 0] + 0 * e, m[0, 1] * e, m[1, 0] * before, m[1, 1] * before * e]
-        total = sum(pair)
-        start = np.where(first, 0.0, 1.0)
-        toxic_first = 1 / (1 + m[2, 0] / (m[2, 1] * e[first]))
-        expected = np.array([[(p / total * start).sum() for p in pair[:2]], [(p / total * start).sum() for p in pair[2:]], [(1 - toxic_first).sum(), toxic_first.sum()]])
-        slope = np.r_[np.bincount(pair_feature, weights=per_word[pair_word], minlength=len(kept)), miss.sum(), (gold_moves - expected).ravel()] / n
+        of_word = np.clip(np.bincount(pair_word, weights=weights[pair_feature], minlength=len(lists)) + bias, -30, 30)
+        per_word, expected = np.zeros(len(lists)), np.zeros((3, 2))
+        for part in parts:  # whole texts, so that memory does not follow the sample
+            miss, moved = _slopes(of_word[at[part]], gold[part], first[part], moves)
+            per_word += np.bincount(at[part], weights=miss, minlength=len(lists))
+            expected += moved
+        slope = np.r_[np.bincount(pair_feature, weights=per_word[pair_word], minlength=len(kept)), per_word.sum(), (gold_moves - expected).ravel()] / n
         slope[: len(kept)] -= RIDGE * weights
         mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope * slope
         theta = theta + RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
@@ -247,7 +256,8 @@ def fit(texts: list[str], labels: list[int], share: float) -> ToxicModel:
     model, y = ToxicModel(prior=share), np.array(labels, dtype=np.int64)
     if min((y == 0).sum(), (y == 1).sum()) < 2:
         return model
-    words = [WORD.findall(t) for t in texts]
+    pool: dict[str, str] = {}  # one string for each word, however often it occurs
+    words = [[pool.setdefault(w, w) for w in WORD.findall(t)] for t in texts]
     turn = np.zeros(len(y), dtype=np.int64)
     for label in (0, 1):
         turn[y == label] = np.arange((y == label).sum())
