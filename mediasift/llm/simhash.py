@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediasift.llm.common import ROW, SALT, salt_of, spread_join, whole_text
+from mediasift.llm.common import ROW, SALT, SALTS, salt_of, spread_join, whole_text
 from mediasift.llm.fingerprints import shingle_hashes
 from mediasift.sources.shared import stored
 
@@ -35,7 +35,9 @@ MOST_BITS = 4
 #: The stage that drops near copies: what its candidates are linked by, and what then makes a copy.
 STAGE_WORDS, STAGE_BITS = 2, 8
 SHINGLE, ALIKE = 5, 0.8
-TURNS = 8
+#: Shingles of the first members of a component, which a task decides together, and of those asked about
+#: them in a task; what a member counts beside its shingles.
+FIRST_SHINGLES, ASKED_SHINGLES, MEMBER_COST = 250_000, 1_000_000, 32
 
 #: Children of a node, and fingerprints whose searches go down together.
 FAN = 8
@@ -52,6 +54,7 @@ DEPTH = 4
 SHINGLES = 100_000
 
 EDGES_SCHEMA = "a long, b long"
+GOES_SCHEMA = f"{ROW} long, goes boolean"
 FP = "__fp"
 
 
@@ -324,13 +327,68 @@ def near_groups(rows: DataFrame, most: int = MOST_BITS, full_rows: int = FULL_RO
     )
 
 
+def goes(sets: list[np.ndarray], alike: float, heads: int) -> np.ndarray:
+    """Whether each set is `alike` (Jaccard) to an earlier one that does not go itself; only the first `heads` are asked for."""
+    size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    holder = np.repeat(np.arange(len(sets)), size)[np.argsort(code, kind="stable")]
+    begin, stop = np.cumsum(count) - count, np.cumsum(size)
+    gone = np.zeros(len(sets), dtype=bool)
+    for i in range(heads):
+        if gone[i]:
+            continue
+        own = code[stop[i] - size[i] : stop[i]]
+        shared = np.zeros(len(sets), dtype=np.int64)
+        for part in _pieces(count[own]):
+            n = count[own[part]]
+            at = np.repeat(begin[own[part]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            shared += np.bincount(holder[at], minlength=len(sets))
+        like = shared >= (size[i] + size - shared) * alike
+        gone[i + 1 :] |= like[i + 1 :]
+    return gone
+
+
+def _decided(alike: float):
+    """Work of a task: members of one component, all that are open up to some place in its order."""
+
+    def decide(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["none", "id", ROW])
+        return pd.DataFrame({ROW: rows[ROW], "goes": goes(rows["shingles"].tolist(), alike, len(rows))})
+
+    return decide
+
+
+def _asked(alike: float):
+    """Work of a task: later members of one component, and those before them that stay."""
+
+    def ask(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("stays", ascending=False)
+        n = int(rows["stays"].sum())
+        return pd.DataFrame({ROW: rows[ROW], "goes": goes(rows["shingles"].tolist(), alike, n)})[n:]
+
+    return ask
+
+
+def _first_members(rest: DataFrame) -> DataFrame:
+    """`ROW` of the first members of each group, whose costs `n` add up to about `FIRST_SHINGLES` at most.
+
+    Running sums are taken in each salt of a group first, so that the sum over the group meets few rows.
+    """
+    first = rest.select(ROW, "group", "turn", "n").withColumn(SALT, salt_of())
+    for keys in (["group", SALT], ["group"]):
+        so_far = F.sum("n").over(Window.partitionBy(*keys).orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
+        first = first.withColumn("so_far", so_far).where(F.col("so_far") - F.col("n") < FIRST_SHINGLES)
+    return first.select(ROW)
+
+
 def keep_one_of_each(docs: DataFrame, words: int = STAGE_WORDS, most: int = STAGE_BITS, alike: float = ALIKE) -> DataFrame:
     """The documents with one of each group of near copies, all columns as they came.
 
-    Components of SimHash links are the candidates; a document goes if its set of `SHINGLE`-word shingles
-    is `alike` (Jaccard) to that of a document that stays. The first document of each component stays
-    (smallest doc_id, then row), those like it go, and the rest are asked again with the first of them,
-    for `TURNS` turns; what is left then stays. No document goes without such a likeness.
+    Components of SimHash links are the candidates; a document goes exactly if its set of `SHINGLE`-word
+    shingles is `alike` (Jaccard) to that of an earlier document of its component (smaller doc_id, then
+    row) that stays. First all are asked about the first of their component, which thins out large groups
+    of copies; then the first of those left are decided together in a task and the later ones asked about
+    those of them that stay, until none is left. No document goes without such a likeness.
     """
     numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
     tagged = stored(numbered.withColumn(FP, fingerprint(whole_text(), words)), "simhash-docs")
@@ -340,17 +398,30 @@ def keep_one_of_each(docs: DataFrame, words: int = STAGE_WORDS, most: int = STAG
     shingles = F.array_distinct(shingle_hashes(whole_text(), SHINGLE))
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), ROW).alias("turn")
     members = tagged.select(ROW, first, shingles.alias("shingles")).join(spread_join(groups, several, "group"), ROW)
-    rest, gone = stored(members, "simhash-members"), []
-    for _ in range(TURNS):
-        if rest.isEmpty():
+    members = stored(members.withColumn("n", F.size("shingles") + MEMBER_COST), "simhash-members")
+
+    heads = members.groupBy("group").agg(F.min("turn").alias("head"))
+    stay = members.select(F.col("turn").alias("head"), F.col("shingles").alias("like")).join(heads, "head").select("group", "head", "like")
+    asked = spread_join(members, stay, "group").where(f"{ROW} != head.{ROW}")
+    shared, all_ = F.size(F.array_intersect("shingles", "like")), F.size(F.array_union("shingles", "like"))
+    asked = stored(asked.select(ROW, ((all_ == 0) | (shared >= all_ * alike)).alias("goes")), "simhash-asked")
+    gone = asked.where("goes").select(ROW)
+    while not (left := asked.where("not goes").select(ROW)).isEmpty():
+        rest = members.join(left, ROW)
+        first = stored(_first_members(rest), "simhash-first")
+        now = members.join(first, ROW)
+        now = now.select("group", ROW, "shingles", F.col("turn.none").alias("none"), F.coalesce("turn.doc_id", F.lit(0)).alias("id"))
+        decided = stored(now.groupBy("group").applyInPandas(_decided(alike), GOES_SCHEMA), "simhash-decided")
+        gone = gone.unionByName(decided.where("goes").select(ROW))
+        later = stored(left.join(first, ROW, "left_anti"), "simhash-later")
+        if later.isEmpty():
             break
-        heads = rest.groupBy("group").agg(F.min("turn").alias("head"))
-        stay = rest.select(F.col("turn").alias("head"), F.col("shingles").alias("like")).join(heads, "head").select("group", "head", "like")
-        asked = spread_join(rest, stay, "group").where(f"{ROW} != head.{ROW}")
-        shared, all_ = F.size(F.array_intersect("shingles", "like")), F.size(F.array_union("shingles", "like"))
-        asked = stored(asked.withColumn("goes", (all_ == 0) | (shared >= all_ * alike)).drop("head", "like"), "simhash-asked")
-        gone.append(asked.where("goes").select(ROW))
-        rest = asked.where("not goes").drop("goes")
-    for part in gone:
-        tagged = tagged.join(part, ROW, "left_anti")
-    return tagged.select(*[F.col(f"`{c}`") for c in docs.columns])
+        later = members.join(later, ROW).select("group", ROW, "shingles", "n")
+        parts = later.groupBy("group").agg(F.ceil(F.sum("n") / ASKED_SHINGLES).alias("parts"))
+        dealt = spread_join(later, parts, "group").withColumn("part", F.pmod(F.xxhash64(ROW), "parts")).drop("parts", "n").withColumn("stays", F.lit(False))
+        stay = members.join(decided.where("not goes").select(ROW), ROW).join(parts, "group")
+        stay = stay.select("group", ROW, "shingles", F.lit(True).alias("stays"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+        both = dealt.unionByName(stay).groupBy("group", "part")
+        asked = stored(both.applyInPandas(_asked(alike), GOES_SCHEMA), "simhash-asked")
+        gone = gone.unionByName(asked.where("goes").select(ROW))
+    return tagged.join(gone, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

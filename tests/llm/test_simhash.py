@@ -134,5 +134,38 @@ def test_stage_keeps_one_of_each_group(odd_docs, no_docs, spark, words):
     assert {10 * g for g in range(30)} <= left and len(left & copies) <= 4
 
 
+def _brute_kept(rows):
+    """Ids that stay of (doc_id, text): by component in order of ids, unless alike to one that stays."""
+    fps, sets = {}, {}
+    for i, text in rows:
+        w = text.lower().split()
+        fps[i] = int(sh._fingerprints([text], sh.STAGE_WORDS)[0])
+        sets[i] = {" ".join(w[k : k + sh.SHINGLE]) for k in range(max(1, len(w) - sh.SHINGLE + 1))} if w else set()
+    roots, stay = _brute_components(fps.values(), sh.STAGE_BITS), defaultdict(list)
+    for i in sorted(fps):
+        mine = stay[roots[fps[i]]]
+        if not any(len(sets[i] & sets[j]) >= len(sets[i] | sets[j]) * sh.ALIKE for j in mine):
+            mine.append(i)
+    return [i for ids in stay.values() for i in ids], max(map(len, stay.values()))
+
+
+def _family(rng, words, copies, share):
+    """Copies of one text of 127 words, each with that share of its words replaced."""
+    base = words(127).split()
+    return [" ".join(w if rng.random() > share else words(1) for w in base) for _ in range(copies)]
+
+
+@pytest.mark.parametrize("first,asked", [(250_000, 1_000_000), (15_000, 10_000)])
+def test_every_member_of_a_family_is_decided(spark, words, monkeypatch, first, asked):
+    """Far more unlike documents in one component than are ever asked about at once."""
+    monkeypatch.setattr(sh, "FIRST_SHINGLES", first, raising=False)
+    monkeypatch.setattr(sh, "ASKED_SHINGLES", asked, raising=False)
+    rows = list(enumerate(_family(random.Random(5), words, 300, 0.02)))
+    expected, heads = _brute_kept(rows)
+    assert heads > 40 and len(expected) < len(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in sh.keep_one_of_each(docs).collect()) == sorted(expected)
+
+
 def test_nothing_of_nothing(no_docs):
     assert sh.near_groups(sh.fingerprinted(no_docs)).count() == 0
