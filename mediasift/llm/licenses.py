@@ -1,8 +1,9 @@
 """Licences by sentence rules, in built-in functions.
 
-A text is cut into sentences; each is normalised and looked up among known licence sentences. What is
-found is a sequence of identifiers in the order of the text, in which too many other sentences between
-two leave a break. Ordered rules are matched against the sequence: at each place the first rule that fits
+A text is cut into pieces at marks and line ends, and the pieces are normalised. A known licence sentence
+is found wherever its words are those of one piece or of several in a row, so that it does not matter how
+its lines are wrapped, indented or commented, nor which marks stand inside it. What is found is a sequence
+of identifiers in the order of the text, in which too many other pieces between two leave a break. Ordered rules are matched against the sequence: at each place the first rule that fits
 takes its identifiers, and the matching goes on behind them.
 """
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from mediasift.functions.base import text_array, text_map
 from mediasift.llm.common import whole_text
 
-#: Sentences that may lie between two of one licence.
+#: Pieces that may lie between two sentences of one licence.
 MOST_BETWEEN = 2
 
 # Sentences of public licences, as they stand after normalisation, by identifier.
@@ -25,6 +26,7 @@ SENTENCES = {
     "ap3": "you may obtain a copy of the license at http www apache org licenses license 2 0",
     "ap4": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "ap5": "see the license for the specific language governing permissions and limitations under the license",
+    "ap6": "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "mtl": "released under the mit license",
     "mt0": "mit license",
     "mt1": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
@@ -48,6 +50,7 @@ SENTENCES = {
 # Rules in the order in which they are tried; a letter after # tells grant, notice or partial text.
 RULES = [
     ("Apache-2.0#grant", ["ap1", "ap2", "ap3", "ap4", "ap5"]),
+    ("Apache-2.0#grant", ["ap1", "ap2", "ap6", "ap5"]),  # on one line no mark follows the address
     ("MIT#grant", ["mt0", "mt1", "mt2", "mt3", "mt4"]),
     ("MIT#grant", ["mt1", "mt2", "mt3", "mt4"]),
     ("BSD-3-Clause#grant", ["bs1", "bs2", "bs3", "bs4"]),
@@ -69,13 +72,17 @@ RULES = [
     ("BSD#partial", ["bs1", "bs2"]),
 ]
 
-#: A sentence ends at a mark before a space, at an empty line, and at a line's end that is no mere wrap:
+#: A piece ends at a mark before a space, at an empty line, and at a line's end that is no mere wrap:
 #: the next line begins in lower case, or both lines are in capitals.
 BOUNDARY = r"(?<=[.!?;:])\s+|\n\s*\n|\n(?![a-z])(?!(?<=[A-Z,]\n)[A-Z])"
 
 
+#: Marks alone at a line's beginning are comment signs and end no sentence.
+MARK_SIGN = r"(?m)^([ \t]*)[.!?;:]+(?=\s)"
+
+
 def sentences(text: Column) -> Column:
-    return F.split(text, BOUNDARY)
+    return F.split(F.regexp_replace(text, MARK_SIGN, "$1"), BOUNDARY)
 
 
 def normalise(sentence: Column) -> Column:
@@ -83,26 +90,45 @@ def normalise(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
+#: Where a piece begins in a text of numbered pieces: a line and the piece's number.
+PIECE = "\n[0-9]+:"
+
+
+def _known(text: Column) -> Column:
+    """Known sentences in the order of the text: id, and the numbers of the first and last piece."""
+    ids = text_map({v: k for k, v in SENTENCES.items()})
+    numbered = F.transform(sentences(text), lambda s, i: F.concat(F.lit("\n"), i.cast("string"), F.lit(":"), normalise(s)))
+    longest_first = sorted(SENTENCES.values(), key=len, reverse=True)
+    any_of = "|".join(s.replace(" ", f"(?: |(?:{PIECE})+)") for s in longest_first)
+    pieces = F.concat(F.array_join(numbered, ""), F.lit("\n"))
+    found = F.regexp_extract_all(pieces, F.lit(f"{PIECE}(?:{any_of})(?=\n)"), F.lit(0))
+    number = lambda x, pattern: F.regexp_extract(x, pattern, 1).cast("int")
+
+    def one(x: Column) -> Column:
+        words = F.trim(F.regexp_replace(x, f"(?:{PIECE})+", " "))
+        return F.struct(F.element_at(ids, words).alias("id"), number(x, "^\n([0-9]+):").alias("at"), number(x, "\n([0-9]+):[^\n]*$").alias("last"))
+
+    return F.transform(found, one)
+
+
 def _sequence(known: Column) -> Column:
     """Identifiers, each with a semicolon, and a bar where too many other sentences lie between."""
 
     def one(x: Column, i: Column) -> Column:
-        far = x["at"] - F.get(known, i - 1)["at"] > MOST_BETWEEN + 1
+        far = x["at"] - F.get(known, i - 1)["last"] > MOST_BETWEEN + 1
         return F.concat(F.when((i > 0) & far, "|").otherwise(""), x["id"], F.lit(";"))
 
     return F.array_join(F.transform(known, one), "")
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Of each row: doc_id, known (identifier and number of each recognised sentence), matches.
+    """Of each row: doc_id, known (identifier, first and last piece of each recognised sentence), matches.
 
     `matches` has, in the order of the text, the licence and form of each rule that fits. Null and empty
     texts, and those without a known sentence, have empty arrays; repeated rows are scanned each for
     itself; an empty table gives no rows.
     """
-    ids = text_map({v: k for k, v in SENTENCES.items()})
-    found = F.transform(sentences(whole_text()), lambda s, i: F.struct(F.element_at(ids, normalise(s)).alias("id"), i.alias("at")))
-    known = docs.select("doc_id", F.filter(found, lambda x: x["id"].isNotNull()).alias("known"))
+    known = docs.select("doc_id", _known(whole_text()).alias("known"))
     whole = ["".join(f"{i};" for i in rule) for _, rule in RULES]
     first_of = {}
     for (name, _), run in zip(RULES, whole, strict=True):

@@ -74,6 +74,70 @@ def test_licences_found(spark):
     assert out[10] == ([], "none") and out[11][0] == ["CC-BY-NC-4.0"]
 
 
+GPL_NOTICE = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+APACHE_NOTICE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+BSD_NOTICE = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_3 = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+NOTICES = {"GPL-3.0-or-later": GPL_NOTICE, "Apache-2.0": APACHE_NOTICE, "MIT": MIT, "BSD-2-Clause": BSD_NOTICE, "BSD-3-Clause": BSD_NOTICE + BSD_3}
+
+
+def _forms(text):
+    bare = [line.strip() for line in text.splitlines()]
+    yield text
+    yield "\n".join(bare)
+    yield " ".join(bare).replace("MIT License", "MIT License.")
+    for sign in ("    ", "# ", " * ", "// ", ";; "):
+        yield "\n".join(f"{sign}{line}".rstrip() for line in bare)
+
+
+def test_standard_wording_in_any_layout(spark):
+    """Wrapped, indented, commented or on one line: the whole grant, once."""
+    asked = [(name, form) for name, text in NOTICES.items() for form in _forms(text)]
+    rows = spark.createDataFrame([(i, form) for i, (_, form) in enumerate(asked)], "doc_id int, text string")
+    found = {r.doc_id: list(r.matches) for r in lic.scan(rows).collect()}
+    assert [(n, found[i]) for i, (n, _) in enumerate(asked)] == [(n, [f"{n}#grant"]) for n, _ in asked]
+
+
+def test_each_rule_fires_on_its_own_sentences(spark):
+    text = lambda rule: "\n\n".join(lic.SENTENCES[i] + "." for i in rule)
+    rows = spark.createDataFrame([(i, text(rule)) for i, (_, rule) in enumerate(lic.RULES)], "doc_id int, text string")
+    found = {r.doc_id: list(r.matches) for r in lic.scan(rows).collect()}
+    assert found == {i: [name] for i, (name, _) in enumerate(lic.RULES)}
+
+
 def test_sentences_are_as_normalised():
     for sentence in lic.SENTENCES.values():
         assert re.fullmatch(r"[a-z0-9]+( [a-z0-9]+)*", sentence)
