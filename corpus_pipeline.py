@@ -28,7 +28,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.remix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixing.remix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), mixing.TILT)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -226,7 +226,7 @@ def mixed(docs: DataFrame, labels: DataFrame, tilt: dict[str, float] = TILT) ->
     return out.select("doc_id", "tokens", F.array(*[f"__p{k}" for k in range(n)]).alias("posterior"), "rate", "copies"), found.domains
 
 
-#: The pipeline's mix leaves no document out, so that each step of the tilt means repeats; it asks for less.
+#: Default of `remix`: no document is left out, so that each step of the tilt means repeats. The pipeline asks for `TILT`.
 REMIX_TILT = {"quality1": 1.0, "quality0": 0.9}
 
 

@@ -1,6 +1,7 @@
 import pytest
 
 import corpus_pipeline
+from mediasift.llm import mixing
 from mediasift.llm.queries import ORACLE, QUERIES
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,3 +30,11 @@ def test_odd_documents_go_through(spark, odd_docs, no_docs, tmp_path, empty):
         read = spark.read.parquet(str(tmp_path / name))
     assert read.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert (read.count() == 0) == empty
+
+
+def test_mixing_stage_has_the_target_of_op8(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    asked = []
+    monkeypatch.setattr(mixing, "remix", lambda docs, labels, tilt=mixing.REMIX_TILT: asked.append(tilt) or docs)
+    corpus_pipeline.mix(spark, spark.range(1), str(tmp_path))
+    assert asked == [mixing.TILT] and mixing.TILT == {"quality1": 1.0, "quality0": 0.6}
