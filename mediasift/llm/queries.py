@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mediasift.llm import (
     exact_dedup,
     fingerprints,
+    lexical_rank,
     licenses,
     mixing,
     piece_bpe,
@@ -18,6 +19,7 @@ from mediasift.llm import (
     simhash,
     toxicity,
     url_filter,
+    whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +154,41 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(F.filter("spans", lambda x: x["live"])).cast("long").alias("n_live"),
         F.size(F.filter("spans", lambda x: ~x["live"])).cast("long").alias("n_example"),
     )
+
+
+_TERMS = (
+    "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+)
+
+
+@_query(
+    "op12_lexical_rank",
+    f"""
+    WITH d AS (SELECT doc_id, {_TERMS.format("text")} AS terms FROM documents WHERE text IS NOT NULL),
+    size AS (SELECT doc_id, len(terms)::BIGINT AS n FROM d WHERE len(terms) > 0),
+    whole AS (SELECT count(*)::BIGINT AS all_docs, sum(n)::BIGINT AS all_terms FROM size),
+    held AS (SELECT doc_id, term, count(*)::BIGINT AS tf
+             FROM (SELECT doc_id, unnest(terms) AS term FROM d) GROUP BY doc_id, term),
+    wanted AS (SELECT item_id, term, count(*)::BIGINT AS repeats
+               FROM (SELECT item_id, unnest({_TERMS.format("text")}) AS term FROM benchmark WHERE text IS NOT NULL)
+               GROUP BY item_id, term),
+    weighed AS (SELECT term, floor(1000 * ln((2 * all_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+                FROM held, whole WHERE term IN (SELECT term FROM wanted) GROUP BY term, all_docs),
+    scored AS (
+        SELECT item_id, doc_id,
+               sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * all_docs) // all_terms))))::BIGINT AS score
+        FROM wanted JOIN weighed USING (term) JOIN held USING (term) JOIN size USING (doc_id), whole
+        GROUP BY item_id, doc_id),
+    placed AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+               FROM scored WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 10
+    """,
+)
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_rank.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query("op13_whitening")
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
