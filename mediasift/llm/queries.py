@@ -13,6 +13,7 @@ from mediasift.llm import (
     lexical_rank,
     licenses,
     mixing,
+    neighbours,
     piece_bpe,
     secret_scan,
     sharding,
@@ -156,6 +157,11 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query("op11_neighbours")
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_groups(_table(spark, sf_dir, "embeddings"))
+
+
 _TERMS = (
     "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
     "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
