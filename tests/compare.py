@@ -57,7 +57,9 @@ def main() -> int:
 
     from pyspark.sql import SparkSession
 
-    from mediasift.plans.catalog import ORACLE, QUERIES
+    import __spark_entry__ as entry
+
+    ORACLE, QUERIES = entry.oracle_sql(), entry.queries()
 
     logging.disable(logging.WARNING)
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
