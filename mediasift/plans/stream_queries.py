@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mediasift import vocab
 from mediasift.operators import gate
 from mediasift.plans.file_queries import GATE_SQL, gate_inputs
 from mediasift.plans.registry import PARAMS, query
@@ -21,17 +22,47 @@ def stream_gate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_STEPS = (
+    "(SELECT * FROM (VALUES ('none', 'none', 'queued', 'registered'), "
+    + ", ".join(str(t) for t in vocab.ALLOWED_TRANSITIONS)
+    + ") AS t(a, b, c, d))"
+)
+
+
+def _histories(spark: SparkSession, sf: str) -> DataFrame:
+    return derive(stream_table(spark, sf, "events"), "state_v").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 @query(
     "stream_state",
     f"{cte('state_v')}, h AS (SELECT analysis_id, seq, status, stage, "
     "coalesce(lag(status) OVER w, 'none') AS prev_status, coalesce(lag(stage) OVER w, 'none') AS prev_stage "
     "FROM state_v WINDOW w AS (PARTITION BY analysis_id ORDER BY seq)) "
-    "SELECT *, (prev_status, prev_stage, status, stage) IN (SELECT * FROM (VALUES ('none', 'none', 'queued', 'registered'), "
-    + ", ".join(str(t) for t in lifecycle.vocab.ALLOWED_TRANSITIONS)
-    + ") AS t(a, b, c, d)) AS legal, false AS late FROM h",
+    f"SELECT *, (prev_status, prev_stage, status, stage) IN {_STEPS} AS legal, false AS late FROM h",
 )
 def stream_state(spark: SparkSession, sf: str) -> DataFrame:
-    return lifecycle.run_transitions(derive(stream_table(spark, sf, "events"), "state_v"))
+    return lifecycle.run_transitions(_histories(spark, sf)).drop("expired")
+
+
+_TTL_MINUTES, _DELAY_MINUTES = 2880, 1440
+
+
+@query(
+    "stream_expiry",
+    f"{cte('state_v')}, h AS (SELECT analysis_id, seq, status, stage, ts, "
+    "lag(status) OVER w AS before_status, lag(stage) OVER w AS before_stage, "
+    f"ts - lag(ts) OVER w > INTERVAL {_TTL_MINUTES} MINUTE AS forgotten, lead(ts) OVER w - ts > INTERVAL {_TTL_MINUTES} MINUTE AS silent, "
+    "lead(ts) OVER w AS next_ts FROM state_v WINDOW w AS (PARTITION BY analysis_id ORDER BY seq)), "
+    "j AS (SELECT *, CASE WHEN before_status IS NULL OR forgotten THEN 'none' ELSE before_status END AS prev_status, "
+    "CASE WHEN before_status IS NULL OR forgotten THEN 'none' ELSE before_stage END AS prev_stage FROM h) "
+    f"SELECT analysis_id, seq, (prev_status, prev_stage, status, stage) IN {_STEPS} AS legal, "
+    f"CASE WHEN next_ts IS NULL THEN epoch_ms(ts) + {_TTL_MINUTES * 60_000} + 1 <= "
+    f"(SELECT max(epoch_ms(ts)) FROM state_v) - {_DELAY_MINUTES * 60_000} ELSE silent END AS expired FROM j",
+)
+def stream_expiry(spark: SparkSession, sf: str) -> DataFrame:
+    """Tasks silent for two days are forgotten: by a timer, or when their next event shows the silence."""
+    out = lifecycle.run_transitions(_histories(spark, sf), delay=f"{_DELAY_MINUTES} minutes", ttl_minutes=_TTL_MINUTES)
+    return out.select("analysis_id", "seq", "legal", "expired")
 
 
 @query("stream_dedupe", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS analysis_id FROM events")

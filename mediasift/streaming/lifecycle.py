@@ -1,107 +1,207 @@
-"""Lifecycle events as a stream: transitions by trigger, duplicate suppression, expiry."""
+"""Lifecycle events as a stream: histories judged as they arrive, duplicate suppression, expiry.
+
+The state of a task is the stretch of its history that a later event can still change, and nothing else:
+events older than the watermark are settled, and only the last of them is kept, as the predecessor of what
+follows. A trigger reads and writes the tasks that it has events of. An event that arrives out of order is
+judged in its place, and verdicts that it changes are given again with a higher revision.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from mediasift import schemas, vocab
-from mediasift.operators import lifecycle
-from mediasift.sources import dims
+from mediasift.operators.lifecycle import NONE
 from mediasift.streaming.run import shared_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE = "analysis_id string, seq bigint, status string, stage string, changed_at timestamp"
+
+STEPS = frozenset({(NONE, NONE, *vocab.INITIAL_STATE), *vocab.ALLOWED_TRANSITIONS})
+KEPT = "struct<seq: bigint, at: bigint, status: string, stage: string, prev_status: string, prev_stage: string>"
+STATE = f"revision bigint, settled boolean, timer bigint, events array<{KEPT}>"
+REVISED = f"{schemas.TRANSITION_VERDICT}, expired boolean, revision bigint"
+
+
+@dataclass(frozen=True, order=True)
+class Event:
+    """An event of one task; `prev` is what it was judged against, `expired` that the task was silent after it."""
+
+    seq: int
+    at: int
+    status: str | None
+    stage: str | None
+    prev: tuple[str, str] = (NONE, NONE)
+    expired: bool = False
+
+    @property
+    def legal(self) -> bool:
+        return (*self.prev, self.status, self.stage) in STEPS
+
+
+@dataclass(frozen=True)
+class History:
+    """What is kept of a task: events in sequence order, the first of which may be settled."""
+
+    events: tuple[Event, ...] = ()
+    settled: bool = False
+
+    def advance(self, arrived: Iterable[Event], ttl: int | None) -> tuple[History, list[Event], list[Event]]:
+        """The history with `arrived` in their places, the events judged anew, and those that came too late.
+
+        An event that is here already changes nothing. One with the number of another event, or before the
+        settled one, is late and takes no place. Silence of more than `ttl` microseconds ends a history: the
+        event before it has expired, and the next begins anew.
+        """
+        places = {e.seq: e for e in self.events}
+        floor = self.events[0].seq if self.settled else None
+        late = []
+        for e in sorted(arrived, key=lambda e: (e.seq, e.at, str(e.status), str(e.stage))):
+            here = places.get(e.seq)
+            if here is None and (floor is None or e.seq > floor):
+                places[e.seq] = e
+            elif here is None or (here.status, here.stage) != (e.status, e.stage):
+                late.append(e)
+        before = {e.seq: e for e in self.events}
+        rows: list[Event] = []
+        for seq in sorted(places):
+            e = places[seq]
+            if rows:
+                silent = ttl is not None and e.at - rows[-1].at > ttl
+                rows[-1] = replace(rows[-1], expired=silent)
+                e = replace(e, prev=(NONE, NONE) if silent else (rows[-1].status or "", rows[-1].stage or ""))
+            elif not self.settled:
+                e = replace(e, prev=(NONE, NONE))
+            rows.append(replace(e, expired=False))
+        return History(tuple(rows), self.settled), [e for e in rows if before.get(e.seq) != e], late
+
+    def settle(self, horizon: int) -> History:
+        """Without the events that nothing at or after `horizon` can follow directly."""
+        n = 0
+        while n < len(self.events) and self.events[n].at < horizon:
+            n += 1
+        return History(self.events[n - 1 :], True) if n else self
+
+    def expire(self) -> Event:
+        return replace(self.events[-1], expired=True)
+
+
+class _Judge(StatefulProcessor):
+    def __init__(self, ttl: int | None):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("history", STATE)
+
+    def _rows(self, key, judged: list[Event], late: list[Event], revision: int) -> pd.DataFrame:
+        of = lambda e, was_late: {
+            "analysis_id": key[0],
+            "seq": e.seq,
+            "status": e.status,
+            "stage": e.stage,
+            "prev_status": None if was_late else e.prev[0],
+            "prev_stage": None if was_late else e.prev[1],
+            "legal": None if was_late else e.legal,
+            "late": was_late,
+            "expired": e.expired,
+            "revision": revision,
+        }
+        return pd.DataFrame([of(e, False) for e in judged] + [of(e, True) for e in late])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        arrived = [Event(*r) for part in rows for r in part[["seq", "at", "status", "stage"]].itertuples(index=False, name=None)]
+        history, revision, timer = History(), 0, None
+        if self.kept.exists():
+            revision, settled, timer, events = self.kept.get()
+            history = History(tuple(Event(*e[:4], prev=(e[4], e[5])) for e in events), settled)
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        # `expired` of what is kept is false but for the last event, which an event after it revises
+        history, judged, late = history.advance(arrived, self.ttl)
+        history = history.settle(timerValues.getCurrentWatermarkInMs() * 1000)
+        timer = None
+        if self.ttl is not None:
+            timer = (max(e.at for e in history.events) + self.ttl) // 1000 + 1
+            self.handle.registerTimer(timer)
+        kept = [(e.seq, e.at, e.status, e.stage, *e.prev) for e in history.events]
+        self.kept.update((revision + 1, history.settled, timer, kept))
+        if judged or late:
+            yield self._rows(key, judged, late, revision + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.kept.exists():
+            revision, settled, _, events = self.kept.get()
+            last = History(tuple(Event(*e[:4], prev=(e[4], e[5])) for e in events), settled).expire()
+            self.kept.clear()
+            yield self._rows(key, [last], [], revision + 1)
+
+    def close(self) -> None:
+        pass
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """Duplicate suppression keeps its ids in the RocksDB provider; large state then lives on local
-    disk, and in the shared checkpoint for recovery."""
+    """State lives in the RocksDB provider, on local disk and, as a log of changes, in the shared checkpoint."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
-def judge_trigger(batch: DataFrame, before: DataFrame) -> DataFrame:
-    """Each event of a trigger with its predecessor, `legal` and `late`.
+def verdicts(events: DataFrame, *, delay: str = "1 day", ttl_minutes: int | None = None) -> DataFrame:
+    """Verdicts of a stream of events (analysis_id, seq, ts, status, stage), with corrections.
 
-    `before` has the last state of each task. Events are judged in sequence order over the whole
-    trigger, however they are spread over files and batches, and a task of any size is split by chunks of
-    its sequence. An event at or below the remembered sequence came after a later one had been judged: it
-    is late, and neither legal nor illegal.
+    An event may come up to `delay` after later ones. Those that come later still are dropped by the
+    watermark; `unjudged` finds them. With `ttl_minutes` a task that has been silent for so long, by event
+    time, is forgotten by a timer, and its last verdict is given again as `expired`.
     """
-    known = before.select("analysis_id", F.col("seq").alias("_seen"))
-    rows = batch.select("analysis_id", "seq", "status", "stage").join(known, "analysis_id", "left")
-    late = F.coalesce(F.col("seq") <= F.col("_seen"), F.lit(False))
-    fresh = rows.where(~late).drop("_seen")
-    seeds = before.join(fresh.select("analysis_id").distinct(), "analysis_id", "left_semi")
-    seeded = fresh.withColumn("_seed", F.lit(False)).unionByName(
-        seeds.select("analysis_id", "seq", "status", "stage", F.lit(True).alias("_seed"))
-    )
-    judged = lifecycle.with_previous_state(seeded, F.expr("seq div 65536")).where(~F.col("_seed"))
-    spark = batch.sparkSession
-    start = spark.createDataFrame(
-        [(lifecycle.NONE, lifecycle.NONE, *vocab.INITIAL_STATE)],
-        "prev_status string, prev_stage string, status string, stage string",
-    )
-    # nine rows, fixed
-    allowed = F.broadcast(dims.allowed_transitions(spark).unionByName(start).withColumn("_allowed", F.lit(True)))
-    steps = judged.join(allowed, ["prev_status", "prev_stage", "status", "stage"], "left")
-    none = F.lit(None).cast("string")
-    columns = ["analysis_id", "seq", "status", "stage", "prev_status", "prev_stage", "legal", "late"]
-    return (
-        steps.withColumns({"legal": F.coalesce("_allowed", F.lit(False)), "late": F.lit(False)})
-        .select(*columns)
-        .unionByName(
-            rows.where(late)
-            .withColumns({"prev_status": none, "prev_stage": none, "legal": F.lit(None).cast("boolean"), "late": F.lit(True)})
-            .select(*columns)
-        )
+    use_rocksdb(events.sparkSession)
+    timed = events.where("analysis_id is not null and seq is not null and ts is not null").withWatermark("ts", delay)
+    rows = timed.select("analysis_id", "seq", "ts", F.unix_micros("ts").alias("at"), "status", "stage")
+    ttl = None if ttl_minutes is None else ttl_minutes * 60_000_000
+    return rows.groupBy("analysis_id").transformWithStateInPandas(
+        statefulProcessor=_Judge(ttl), outputStructType=REVISED, outputMode="append", timeMode="eventTime"
     )
 
 
-def state_after(batch: DataFrame, before: DataFrame, as_of: Column) -> DataFrame:
-    """Last state of each task; `changed_at` is the time of the trigger that changed it."""
-    rows = batch.select("analysis_id", "seq", "status", "stage", as_of.alias("changed_at"))
-    newest = F.max_by(F.struct("seq", "status", "stage", "changed_at"), F.struct("seq", F.col("changed_at").isNull(), -F.unix_micros("changed_at")))
-    return before.unionByName(rows).groupBy("analysis_id").agg(newest.alias("s")).select("analysis_id", "s.*")
+def latest_verdicts(revised: DataFrame) -> DataFrame:
+    """The last verdict on each event, as an aggregate that combines before its shuffle."""
+    key = ["analysis_id", "seq", "status", "stage"]
+    rest = ["prev_status", "prev_stage", "legal", "late", "expired"]
+    last = F.max_by(F.struct(*rest), "revision").alias("v")
+    return revised.groupBy(*key).agg(last).select(*key, *[f"v.{c}" for c in rest])
 
 
 def run_transitions(
-    events: DataFrame,
-    folder: str | None = None,
-    *,
-    ttl_minutes: int | None = None,
-    as_of: Column | None = None,
+    events: DataFrame, folder: str | None = None, *, delay: str = "1 day", ttl_minutes: int | None = None
 ) -> DataFrame:
-    """Judge what is available now, trigger by trigger; the verdicts as a table.
+    """Judge what is available now; the last verdict on each event as a table.
 
-    Verdicts, the last state per task and progress lie in `folder`, which all executors share; a later
-    call with the same folder goes on where this one ended. A trigger that runs again replaces what it
-    wrote. With `ttl_minutes` the state of a task is forgotten when it has not changed for that long by
-    `as_of`, the present time if not given (L04).
+    Verdicts, state and progress lie in `folder`, which all executors share; a later call with the same
+    folder goes on where this one ended. The verdicts are those of the batch operator, however the events
+    are spread over files and triggers, as long as none is later than `delay`.
     """
     spark = events.sparkSession
     folder = folder or shared_folder(spark, "transitions")
-    now = F.current_timestamp() if as_of is None else as_of
-
-    def trigger(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        if number:
-            before = session.read.schema(STATE).parquet(f"{folder}/state/{number - 1:012d}")
-        else:
-            before = session.createDataFrame([], STATE)
-        if ttl_minutes:
-            before = before.where(F.timestamp_diff("SECOND", F.col("changed_at"), now) <= ttl_minutes * 60)
-        judge_trigger(batch, before).write.mode("overwrite").parquet(f"{folder}/rows/trigger={number:012d}")
-        state_after(batch, before, now).write.mode("overwrite").parquet(f"{folder}/state/{number:012d}")
-
     running = (
-        events.writeStream.foreachBatch(trigger)
+        verdicts(events, delay=delay, ttl_minutes=ttl_minutes)
+        .writeStream.format("parquet")
+        .option("path", f"{folder}/rows")
         .option("checkpointLocation", f"{folder}/progress")
+        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
     running.awaitTermination()
-    return spark.read.schema(schemas.TRANSITION_VERDICT).parquet(f"{folder}/rows/trigger=*")
+    return latest_verdicts(spark.read.schema(REVISED).parquet(f"{folder}/rows"))
+
+
+def unjudged(events: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows of `events`, as a table, that have no verdict: they came after the watermark."""
+    return events.join(judged, ["analysis_id", "seq", "status", "stage"], "left_anti")
 
 
 def first_arrivals(events: DataFrame, *, time: str = "ts", delay: str = "1 hour") -> DataFrame:

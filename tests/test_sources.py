@@ -11,8 +11,6 @@ from mediasift import Params
 from mediasift.plans import intake
 from mediasift.sources import dims, logs, media
 from mediasift.streaming import intake as arrivals
-from mediasift.streaming import lifecycle
-from mediasift.streaming.run import run_available
 
 FILES = {
     "photo.png": b"\x89PNG\r\n\x1a\n" + b"x" * 50,
@@ -108,53 +106,6 @@ def test_arrivals_as_a_stream(spark, folder, tmp_path):
     assert spark.read.parquet(out).count() == 3
 
 
-def lifecycle_file(spark, path, rows):
-    t = datetime(2026, 1, 1)
-    spark.createDataFrame([(a, s, t, st, sg) for a, s, st, sg in rows], "analysis_id string, seq bigint, ts timestamp, status string, stage string").coalesce(1).write.mode("append").parquet(path)
-
-
-def test_state_survives_between_runs_and_files(spark, tmp_path):
-    path, folder = str(tmp_path / "events"), str(tmp_path / "run")
-    lifecycle_file(spark, path, [("a", 2, "queued", "routing"), ("a", 1, "queued", "registered"), ("b", 1, "running", "preprocessing")])
-    stream = lambda: lifecycle.event_stream(spark, path, files_per_trigger=1)
-    lifecycle.run_transitions(stream(), folder)
-    lifecycle_file(spark, path, [("a", 3, "queued", "queued"), ("a", 4, "completed", "finished"), ("a", 2, "queued", "queued")])
-    rows = lifecycle.run_transitions(stream(), folder).collect()
-    verdicts = sorted((r["analysis_id"], r["seq"], r["stage"], r["legal"], r["late"]) for r in rows)
-    assert verdicts == [
-        ("a", 1, "registered", True, False), ("a", 2, "queued", None, True), ("a", 2, "routing", True, False),
-        ("a", 3, "queued", True, False), ("a", 4, "finished", False, False), ("b", 1, "preprocessing", False, False),
-    ]
-
-
-@pytest.mark.parametrize("files", [1, 5])
-def test_legal_histories_are_legal_however_they_are_spread(spark, tmp_path, files):
-    steps = [("queued", "registered"), ("queued", "routing"), ("queued", "queued")]
-    rows = [(f"t{i}", k + 1, *s) for k, s in enumerate(steps) for i in range(20)]
-    for k in range(files):
-        lifecycle_file(spark, str(tmp_path / "events"), rows[::-1][k::files])
-    stream = lifecycle.event_stream(spark, str(tmp_path / "events"), files_per_trigger=10)
-    out = lifecycle.run_transitions(stream, str(tmp_path / "run"))
-    assert out.where("legal").count() == 60
-
-
-def test_quiet_tasks_are_forgotten(spark, tmp_path):
-    path, folder = str(tmp_path / "events"), str(tmp_path / "run")
-    for hour, row in enumerate([("a", 1, "queued", "registered"), ("a", 2, "queued", "routing"), ("a", 3, "queued", "queued")]):
-        lifecycle_file(spark, path, [row])
-        at = F.lit(datetime(2026, 1, 1, hour * hour))
-        out = lifecycle.run_transitions(lifecycle.event_stream(spark, path), folder, ttl_minutes=90, as_of=at)
-    assert sorted((r["seq"], r["legal"]) for r in out.collect()) == [(1, True), (2, True), (3, False)]
-
-
-def test_duplicates_are_suppressed(spark, tmp_path):
-    lifecycle.use_rocksdb(spark)
-    path = str(tmp_path / "events")
-    lifecycle_file(spark, path, [("a", 1, "queued", "registered"), ("a", 1, "queued", "registered"), ("b", 1, "queued", "registered")])
-    out = run_available(lifecycle.first_arrivals(lifecycle.event_stream(spark, path)), str(tmp_path / "run"))
-    assert sorted(r["analysis_id"] for r in out.collect()) == ["a", "b"]
-
-
 def test_log_round_trip(spark, tmp_path):
     t = datetime(2026, 1, 1, 1, 2, 3, 4567)
     df = spark.createDataFrame([(t, "INFO", "app", "result_saved", "ж", None, 1), (t, "INFO", "app", None, "m", "h", None)], "ts timestamp, level string, logger string, event string, message string, host string, port int")
