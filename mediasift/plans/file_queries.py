@@ -425,8 +425,8 @@ _CHECK_NAME = (
 )
 
 
-def gate_inputs(files: DataFrame) -> DataFrame:
-    """Gate columns from `files_v`."""
+def gate_inputs(files: DataFrame, *more: str) -> DataFrame:
+    """Gate columns from `files_v`, and `more` of its columns."""
     image = F.struct(
         (F.col("doc_id") % 4096 + 1).cast("int").alias("width"),
         (F.col("doc_id") % 2048 + 1).cast("int").alias("height"),
@@ -450,6 +450,7 @@ def gate_inputs(files: DataFrame) -> DataFrame:
         P.flatten(F.col("probe_json")).alias("probe"),
         "read_status",
         F.when(F.col("detected_no") < 4, image).alias("image"),
+        *more,
     )
 
 

@@ -22,8 +22,12 @@ def attach_probes(measured: DataFrame, probes: DataFrame, reads: DataFrame | Non
     out = measured.join(flat, "analysis_id", "left")
     if reads is not None:
         return out.join(reads.select("analysis_id", "read_status", "image"), "analysis_id", "left")
-    # without decoder output a readable probe is taken as the safe read of audio and video
-    return out.withColumns(
+    return without_reads(out)
+
+
+def without_reads(files: DataFrame) -> DataFrame:
+    """Without decoder output a readable probe is taken as the safe read of audio and video."""
+    return files.withColumns(
         {
             "read_status": F.when(F.col("header_kind").isin(*vocab.PROBED_KINDS), F.col("probe_status")),
             "image": F.lit(None).cast(schemas.IMAGE),

@@ -9,8 +9,8 @@ from mediasift import vocab
 from mediasift.operators import gate
 from mediasift.plans.file_queries import GATE_SQL, gate_inputs
 from mediasift.plans.registry import PARAMS, query
-from mediasift.plans.views import cte, derive
-from mediasift.streaming import lifecycle
+from mediasift.plans.views import cte, derive, read
+from mediasift.streaming import intake, lifecycle
 from mediasift.streaming.run import run_available, stream_table
 
 
@@ -65,6 +65,50 @@ def stream_expiry(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("analysis_id", "seq", "legal", "expired")
 
 
+_WITHIN = 120
+_RECEIVED = "TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' SECOND * doc_id"
+# bytes of some files never come, and some probes come before the file, or too late
+_CAME = "(doc_id % 17 <> 3 AND size_bytes > 0)"
+_FILE_AFTER, _PROBE_AFTER = "((doc_id * 7) % 30)", "((doc_id * 13) % 180 - 20)"
+_ARRIVED = (
+    f"arrived_v AS (SELECT * REPLACE (CASE WHEN probe_status IS NULL OR {_PROBE_AFTER} <= {_WITHIN} THEN probe_status ELSE 'system_failure' END AS probe_status, "
+    f"CASE WHEN {_CAME} THEN header_kind END AS header_kind, CASE WHEN {_CAME} THEN read_status END AS read_status) FROM files_v), p AS ("
+)
+
+
+@query(
+    "stream_late_probes",
+    GATE_SQL.replace("p AS (", _ARRIVED, 1)
+    .replace("FROM files_v),\nd AS", "FROM arrived_v),\nd AS", 1)
+    .replace("doc_id % 37 = 0 AS broken", f"CASE WHEN {_CAME} THEN doc_id % 37 = 0 ELSE size_bytes > 0 END AS broken", 1)
+    + " SELECT doc_id, status, error_code FROM o",
+)
+def stream_late_probes(spark: SparkSession, sf: str) -> DataFrame:
+    """Receipts, bytes and probes as three streams, each with a last row that closes its time."""
+
+    def arriving(frame: DataFrame, time: str) -> DataFrame:
+        regions = stream_table(spark, sf, "region").where("r_regionkey = 0")
+        ends = regions.select(F.lit("end").alias("analysis_id"), F.expr("TIMESTAMP '2099-01-01 00:00:00'").alias(time))
+        return frame.unionByName(ends, allowMissingColumns=True)
+
+    def files() -> DataFrame:
+        return derive(stream_table(spark, sf, "documents"), "files_v").withColumn("received_at", F.expr(_RECEIVED))
+
+    after = lambda minutes: F.expr(f"received_at + INTERVAL '1' MINUTE * {minutes}")
+    inputs = gate_inputs(files(), "received_at")
+    manifest = inputs.select("doc_id", "analysis_id", "original_name", "declared_content_type", F.col("size_bytes").alias("length"), "received_at")
+    came = gate_inputs(files().where(_CAME), "received_at").select(
+        "analysis_id", "size_bytes", "sha256", "header_kind", "document_type", "brands", "read_status", "image", after(_FILE_AFTER).alias("file_at")
+    )
+    probes = files().where("probe_status IS NOT NULL").select("analysis_id", "probe_status", "probe_json", after(_PROBE_AFTER).alias("probed_at"))
+    joined = intake.complete_arrivals(
+        arriving(manifest, "received_at"), arriving(came, "file_at"), arriving(probes, "probed_at"), within_minutes=_WITHIN
+    )
+    judged = intake.gate_complete(joined, PARAMS).select("analysis_id", "doc_id", "status", "error_code", "probed_at", "file_at")
+    received = derive(read(spark, sf, "documents"), "files_v").select("analysis_id")
+    return intake.latest_outcomes(run_available(judged), received).select("doc_id", "status", "error_code")
+
+
 @query("stream_dedupe", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS analysis_id FROM events")
 def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     lifecycle.use_rocksdb(spark)
