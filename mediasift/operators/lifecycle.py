@@ -13,9 +13,16 @@ from mediasift.sources import dims
 NONE = "none"
 
 
-def with_previous_state(events: DataFrame, chunk: Column, order: str = "seq") -> DataFrame:
-    """prev_status and prev_stage of each event; `none` for the first event of a task."""
-    out = ordered.with_previous(events, "analysis_id", order, chunk, ["status", "stage"])
+def with_previous_state(events: DataFrame, chunk: Column | None = None, order: str = "seq") -> DataFrame:
+    """prev_status and prev_stage of each event; `none` for the first event of a task.
+
+    Without a `chunk` that bounds the rows of a task, tasks are cut wherever a partition ends.
+    """
+    values = ["status", "stage"]
+    if chunk is None:
+        out = ordered.with_previous_ranged(events, "analysis_id", order, values)
+    else:
+        out = ordered.with_previous(events, "analysis_id", order, chunk, values)
     return out.withColumns(
         {
             "prev_status": F.coalesce("prev_status", F.lit(NONE)),
@@ -24,7 +31,7 @@ def with_previous_state(events: DataFrame, chunk: Column, order: str = "seq") ->
     )
 
 
-def illegal_transitions(events: DataFrame, chunk: Column, order: str = "seq") -> DataFrame:
+def illegal_transitions(events: DataFrame, chunk: Column | None = None, order: str = "seq") -> DataFrame:
     """Events whose step is not in the transition table.
 
     A history must begin in the initial state, which is one more allowed step.

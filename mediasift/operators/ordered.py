@@ -6,14 +6,17 @@ bounded pieces first, answer inside the pieces, and carry the small remainder ac
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from mediasift.sources.dims import broadcast_if_small
-from mediasift.sources.shared import shared_root
+from mediasift.sources.shared import shared_root, stored
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -53,6 +56,60 @@ def with_previous(
     )
 
 
+def _shifted(key: str, values: Sequence[str], prefix: str):
+    """Work of a task over sorted rows: the values of the row before; a last row tells what the task ends with."""
+
+    def shift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, before, first, columns = TaskContext.get().partitionId(), None, True, None
+        for rows in batches:
+            if not len(rows):
+                continue
+            columns = rows.columns
+            lead = rows[[key, *values]].shift(1).astype(object)
+            if before is not None:
+                lead.iloc[0] = before
+            same = lead[key].eq(rows[key])
+            found = {f"{prefix}{v}": lead[v].where(same, None) for v in values}
+            head = pd.Series(False, index=rows.index)
+            head.iloc[0], first = first, False
+            before = rows[[key, *values]].iloc[-1].tolist()
+            yield rows.assign(**found, _part=part, _head=head, _end=False)
+        if columns is not None:
+            end = {c: [None] for c in columns} | {key: [before[0]]}
+            yield pd.DataFrame(end | {f"{prefix}{v}": [b] for v, b in zip(values, before[1:], strict=True)} | {"_part": [part], "_head": [False], "_end": [True]})
+
+    return shift
+
+
+def with_previous_ranged(
+    df: DataFrame, key: str, order: str, values: Sequence[str], prefix: str = "prev_"
+) -> DataFrame:
+    """Adds the `values` of the preceding row of the same key, where nothing bounds the rows of a key.
+
+    Rows are range-partitioned by key and order, so a key may span any number of tasks, and each row looks
+    at the one before it. The first row of a partition finds it at the end of the partition before, of
+    which there is one row each. The ranged rows are stored once, because their bounds are sampled. Rows
+    without a key are left out.
+    """
+    spark, names = df.sparkSession, df.columns
+    ranged = df.where(F.col(key).isNotNull()).repartitionByRange(key, order).sortWithinPartitions(key, order)
+    schema = T.StructType(list(df.schema.fields))
+    for v in values:
+        schema = schema.add(f"{prefix}{v}", df.schema[v].dataType)
+    schema = schema.add("_part", T.IntegerType()).add("_head", T.BooleanType()).add("_end", T.BooleanType())
+    nullable = T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])
+    rows = stored(ranged.mapInPandas(_shifted(key, values, prefix), nullable), "previous")
+    looked = [f"{prefix}{v}" for v in values]
+    ends = sorted(rows.where("_end").select("_part", key, *looked).collect())  # one a partition
+    seams = [(after["_part"], *end[1:]) for end, after in zip(ends, ends[1:], strict=False)]
+    fields = [T.StructField("_part", T.IntegerType()), T.StructField("_key", df.schema[key].dataType)]
+    fields += [T.StructField(f"_{c}", nullable[c].dataType) for c in looked]
+    seam = F.broadcast(spark.createDataFrame(seams, T.StructType(fields)))
+    joined = rows.where("not _end").join(seam, "_part", "left")
+    at_seam = F.col("_head") & (F.col("_key") == F.col(key))
+    return joined.select(*names, *[F.when(at_seam, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in looked])
+
+
 def with_position(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """Adds the 1-based position of each row inside its group, for groups of any size.
 

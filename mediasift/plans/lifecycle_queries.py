@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediasift import vocab
-from mediasift.operators import gate, lifecycle, retention
+from mediasift.operators import gate, histories, lifecycle, retention
 from mediasift.operators import rules as R
 from mediasift.plans.registry import PARAMS, event_chunk, query
 from mediasift.plans.views import cte, read, view
@@ -44,14 +44,67 @@ def transitions_illegal(spark: SparkSession, sf: str) -> DataFrame:
 )
 def transitions_task(spark: SparkSession, sf: str) -> DataFrame:
     steps = view(spark, sf, "task_step_v").select("analysis_id", "seq", "status", "stage").distinct()
-    chunk = F.expr("seq div 65536000000")
     return (
-        lifecycle.illegal_transitions(steps, chunk)
+        lifecycle.illegal_transitions(steps)
         .groupBy("prev_status", "prev_stage", "status", "stage")
         .agg(F.count("*").alias("n_steps"))
     )
 
 
+_OPS = "(SELECT DISTINCT analysis_id, seq, op, status, stage, started, finished, route, media_type FROM task_op_v)"
+#: Runs the machine over every task at once, one event of each task a round.
+_RUN = f"""{cte('task_op_v')}, e AS (SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY seq) AS n FROM {_OPS}),
+r AS (
+  SELECT e.analysis_id, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::VARCHAR AS op, 'none' AS at_status, 'none' AS at_stage,
+    false AS bound, false AS queued, NULL::BOOLEAN AS accepted FROM (SELECT DISTINCT analysis_id FROM e) e
+  UNION ALL
+  SELECT analysis_id, n, seq, op, CASE WHEN ok AND op = 'transition' THEN status ELSE at_status END,
+    CASE WHEN ok AND op = 'transition' THEN stage ELSE at_stage END, bound OR (ok AND op = 'bind_route'), queued OR (ok AND op = 'enqueue'), ok
+  FROM (
+    SELECT e.analysis_id, e.n, e.seq, e.op, e.status, e.stage, r.at_status, r.at_stage, r.bound, r.queued,
+      CASE e.op
+        WHEN 'transition' THEN (r.at_status, r.at_stage, e.status, e.stage) IN (SELECT * FROM {_ALLOWED})
+          AND (e.started = (e.stage = 'preprocessing')) AND (e.finished = (e.stage = 'finished')) AND (e.stage <> 'preprocessing' OR r.queued)
+        WHEN 'bind_route' THEN r.at_stage = 'routing' AND NOT r.bound AND e.route = e.media_type
+        WHEN 'enqueue' THEN r.at_stage = 'queued' AND NOT r.queued
+        ELSE false END AS ok
+    FROM r JOIN e ON e.analysis_id = r.analysis_id AND e.n = r.n + 1))"""
+
+
+def _judged_ops(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.col
+    events = view(spark, sf, "task_op_v").select(
+        "analysis_id", "seq", "op", "status", "stage", "started", "finished", "route", "media_type"
+    )
+    symbol = histories.symbol_of(
+        c("op"),
+        c("status"),
+        c("stage"),
+        started=F.when(c("started"), c("seq")),
+        finished=F.when(c("finished"), c("seq")),
+        route=c("route"),
+        media_type=c("media_type"),
+    )
+    return histories.judged(events.distinct().withColumn("symbol", symbol).select("analysis_id", "seq", "op", "status", "stage", "symbol"))
+
+
+@query("history_accepted", f"WITH RECURSIVE {_RUN[5:]} SELECT analysis_id, seq, op, accepted FROM r WHERE n > 0")
+def history_accepted(spark: SparkSession, sf: str) -> DataFrame:
+    return _judged_ops(spark, sf).select("analysis_id", "seq", "op", "accepted")
+
+
+@query(
+    "history_states",
+    f"WITH RECURSIVE {_RUN[5:]} SELECT analysis_id, arg_max(at_status, n) AS status, arg_max(at_stage, n) AS stage, "
+    "max(seq) FILTER (accepted AND op = 'bind_route') AS bound_at, max(seq) FILTER (accepted AND op = 'enqueue') AS queued_at, "
+    "count(*) FILTER (NOT accepted) AS n_refused, min(seq) FILTER (NOT accepted) AS first_refused FROM r GROUP BY analysis_id",
+)
+def history_states(spark: SparkSession, sf: str) -> DataFrame:
+    out = histories.last_states(_judged_ops(spark, sf))
+    none = F.lit(lifecycle.NONE)
+    return out.withColumns({"status": F.coalesce("state.status", none), "stage": F.coalesce("state.stage", none)}).drop("state")
+
+
 @query(
     "start_once",
     f"{cte('state_v')}, c AS (SELECT analysis_id, "

@@ -285,6 +285,26 @@ VIEWS: dict[str, View] = {
             },
         ),
     ),
+    # what was asked of a task: line = step, with repeated, strayed and wrongly stamped ones
+    "task_op_v": View(
+        "lineitem",
+        (
+            {
+                "analysis_id": "CAST(l_orderkey AS STRING)",
+                "seq": "CAST(l_linenumber AS BIGINT) * 1000000000000 + CAST(l_partkey AS BIGINT) * 1000000 + l_suppkey",
+                "step": "CAST((l_linenumber - 1 + CASE WHEN l_partkey % 9 = 0 THEN 1 ELSE 0 END) % 7 AS INT)",
+            },
+            {
+                "op": _pick("step", _quoted(("transition", "transition", "bind_route", "transition", "enqueue", "transition", "transition"))),
+                "status": _pick("step", ("'queued'", "'queued'", "NULL", "'queued'", "NULL", "'running'", "'failed'")),
+                "stage": _pick("step", ("'registered'", "'routing'", "NULL", "'queued'", "NULL", "'preprocessing'", "'cleanup'")),
+                "started": "step = 5 AND l_partkey % 11 <> 0 OR l_partkey % 53 = 0",
+                "finished": "l_partkey % 59 = 0",
+                "media_type": "'video'",
+                "route": "CASE WHEN step = 2 THEN CASE WHEN l_suppkey % 7 = 0 THEN 'audio' ELSE 'video' END END",
+            },
+        ),
+    ),
     # waiting tasks: one per event
     "queue_v": View(
         "events",
