@@ -12,7 +12,8 @@ from mediasift.operators import findings
 from mediasift.operators import rules as R
 from mediasift.plans.registry import query
 from mediasift.plans.views import cte, read, view
-from mediasift.sources import results
+from mediasift.sources import results, store
+from mediasift.sources.shared import new_folder
 
 # --- stored results ------------------------------------------------------------------------------
 def _summaries(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,6 +91,48 @@ def results_exists(spark: SparkSession, sf: str) -> DataFrame:
     return results.existing(ids, stored.select(F.col("o_orderkey").alias("analysis_id")))
 
 
+_BUCKETS = 64
+_LATE_LINES = "l_shipdate >= (SELECT max(l_shipdate) - INTERVAL 3 DAY FROM lineitem)"
+
+
+def _order_store(spark: SparkSession, sf: str) -> store.Snapshot:
+    """All orders, then the newest lines of their last three days written over them."""
+    orders = read(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("k"), F.col("o_orderstatus").alias("status"))
+    lines = read(spark, sf, "lineitem")
+    newest = lines.agg(F.max("l_shipdate").alias("newest"))
+    recent = lines.join(newest, F.col("l_shipdate") >= F.col("newest") - F.expr("INTERVAL 3 DAY"))
+    incoming = recent.select(
+        F.col("l_orderkey").cast("string").alias("k"),
+        F.col("l_returnflag").alias("status"),
+        F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_linenumber").alias("written"),
+        "l_quantity",
+    )
+    made = store.create(orders, new_folder(spark, "orders"), "k", _BUCKETS)
+    return store.upsert(made, incoming, "k", "written", valid=F.col("l_quantity") >= 10)
+
+
+_ORDER_STORE = (
+    "WITH incoming AS (SELECT l_orderkey AS k, arg_max(l_returnflag, struct_pack(a := l_shipdate, b := l_partkey, c := l_suppkey, d := l_linenumber)) AS status "
+    f"FROM lineitem WHERE l_quantity >= 10 AND {_LATE_LINES} GROUP BY l_orderkey), "
+    "stored AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, o_orderstatus AS status FROM orders WHERE o_orderkey NOT IN (SELECT k FROM incoming) "
+    "UNION ALL SELECT CAST(k AS VARCHAR), status FROM incoming)"
+)
+
+
+@query("store_upsert", f"{_ORDER_STORE} SELECT k, status FROM stored")
+def store_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    return _order_store(spark, sf).table()
+
+
+@query(
+    "store_exists",
+    f"{_ORDER_STORE}, asked AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS k FROM lineitem) SELECT k FROM asked WHERE k IN (SELECT k FROM stored)",
+)
+def store_exists(spark: SparkSession, sf: str) -> DataFrame:
+    asked = read(spark, sf, "lineitem").select(F.col("l_partkey").cast("string").alias("k")).distinct()
+    return _order_store(spark, sf).existing(asked, "k")
+
+
 # --- integrity rules -----------------------------------------------------------------------------
 def _listing(parts: list[tuple[str, str]]) -> str:
     """Comma-separated names of the SQL conditions that are violated, in order."""
