@@ -99,13 +99,15 @@ def _known(text: Column) -> Column:
     ids = text_map({v: k for k, v in SENTENCES.items()})
     numbered = F.transform(sentences(text), lambda s, i: F.concat(F.lit("\n"), i.cast("string"), F.lit(":"), normalise(s)))
     longest_first = sorted(SENTENCES.values(), key=len, reverse=True)
-    any_of = "|".join(s.replace(" ", f"(?: |(?:{PIECE})+)") for s in longest_first)
-    pieces = F.concat(F.array_join(numbered, ""), F.lit("\n"))
+    any_of = "|".join(s.replace(" ", f"(?: |{PIECE})") for s in longest_first)
+    # pieces without a word are left out before the rest is joined: no pattern has to step over a run of them
+    worded = F.filter(numbered, lambda s: ~s.endswith(":"))
+    pieces = F.concat(F.array_join(worded, ""), F.lit("\n"))
     found = F.regexp_extract_all(pieces, F.lit(f"{PIECE}(?:{any_of})(?=\n)"), F.lit(0))
     number = lambda x, pattern: F.regexp_extract(x, pattern, 1).cast("int")
 
     def one(x: Column) -> Column:
-        words = F.trim(F.regexp_replace(x, f"(?:{PIECE})+", " "))
+        words = F.trim(F.regexp_replace(x, PIECE, " "))
         return F.struct(F.element_at(ids, words).alias("id"), number(x, "^\n([0-9]+):").alias("at"), number(x, "\n([0-9]+):[^\n]*$").alias("last"))
 
     return F.transform(found, one)

@@ -144,5 +144,12 @@ def test_sentences_are_as_normalised():
     assert len(set(lic.SENTENCES.values())) == len(lic.SENTENCES)
 
 
+def test_long_runs_of_pieces_without_words(spark):
+    texts = ["MIT\n" + "第一行\n" * 2500, "licensed\n" + ".\n#\n" * 3000, "The\n" + "Это строка\n" * 200_000, "MIT\n" + "-\n" * 200_000 + "License\n"]
+    texts.append("Released under\n" + "—\n" * 5000 + "the MIT license.")
+    rows = spark.createDataFrame(enumerate(texts), "doc_id int, text string")
+    assert {r.doc_id: list(r.matches) for r in lic.scan(rows).collect()} == {0: [], 1: [], 2: [], 3: ["MIT#notice"], 4: ["MIT#notice"]}
+
+
 def test_odd_documents(odd_docs, no_docs):
     assert lic.scan(odd_docs).count() == odd_docs.count() and lic.scan(no_docs).count() == 0
