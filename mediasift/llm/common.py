@@ -35,6 +35,16 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str = ROW) -> D
     return salted.join(pairs, [key, SALT]).drop(SALT)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """One column `row` with all columns of `docs`, so that no name of an operator's own can meet one of them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def unpacked(frame: DataFrame) -> DataFrame:
+    """The columns as they came to `packed`."""
+    return frame.select("row.*")
+
+
 def parts_of(sizes: Sequence[int], most: int) -> Iterator[slice]:
     """Stretches of a batch whose sizes add up to `most` or less, or hold one item."""
     begin, total = 0, 0

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediasift.llm.common import ROW, SALT, salt_of, whole_text
+from mediasift.llm.common import ROW, SALT, packed, salt_of, unpacked, whole_text
 from mediasift.sources.shared import stored
 
 #: Characters that do not count when texts are compared.
@@ -150,12 +150,12 @@ def normalised(text: Column) -> Column:
     return F.translate(text, SPACES, "")
 
 
-def chars_of() -> Column:
-    return F.length(whole_text()).cast("long")
+def chars_of(column: str = "text") -> Column:
+    return F.length(whole_text(column)).cast("long")
 
 
-def digest_of() -> Column:
-    return F.unhex(F.sha2(normalised(whole_text()), 256))
+def digest_of(column: str = "text") -> Column:
+    return F.unhex(F.sha2(normalised(whole_text(column)), 256))
 
 
 def text_keys(docs: DataFrame) -> DataFrame:
@@ -217,9 +217,9 @@ def duplicate_groups(keys: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without exact duplicates, all columns as they came."""
-    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
-    rows = stored(numbered.withColumns({CHARS: chars_of(), DIGEST: digest_of()}), "exact-dedup-rows")
-    keys = rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col(CHARS).alias("chars"), F.col(DIGEST).alias("digest"))
+    """The documents without exact duplicates, all columns as they came, whatever their names."""
+    numbered = packed(docs).withColumn(ROW, F.monotonically_increasing_id())
+    rows = stored(numbered.withColumns({CHARS: chars_of("row.text"), DIGEST: digest_of("row.text")}), "exact-dedup-rows")
+    keys = rows.select(ROW, F.col("row.doc_id").cast("long").alias("doc_id"), F.col(CHARS).alias("chars"), F.col(DIGEST).alias("digest"))
     kept = duplicate_groups(keys).where("kept").select(ROW)
-    return rows.join(kept, ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(rows.join(kept, ROW, "left_semi"))

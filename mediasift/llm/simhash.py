@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediasift.llm.common import ROW, SALT, SALTS, salt_of, spread_join, whole_text
+from mediasift.llm.common import ROW, SALT, SALTS, packed, salt_of, spread_join, unpacked, whole_text
 from mediasift.llm.fingerprints import shingle_hashes
 from mediasift.sources.shared import stored
 
@@ -382,7 +382,7 @@ def _first_members(rest: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, words: int = STAGE_WORDS, most: int = STAGE_BITS, alike: float = ALIKE) -> DataFrame:
-    """The documents with one of each group of near copies, all columns as they came.
+    """The documents with one of each group of near copies, all columns as they came, whatever their names.
 
     Components of SimHash links are the candidates; a document goes exactly if its set of `SHINGLE`-word
     shingles is `alike` (Jaccard) to that of an earlier document of its component (smaller doc_id, then
@@ -390,13 +390,14 @@ def keep_one_of_each(docs: DataFrame, words: int = STAGE_WORDS, most: int = STAG
     of copies; then the first of those left are decided together in a task and the later ones asked about
     those of them that stay, until none is left. No document goes without such a likeness.
     """
-    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
-    tagged = stored(numbered.withColumn(FP, fingerprint(whole_text(), words)), "simhash-docs")
-    rows = tagged.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col(FP).alias("fp"))
+    numbered = packed(docs).withColumn(ROW, F.monotonically_increasing_id())
+    tagged = stored(numbered.withColumn(FP, fingerprint(whole_text("row.text"), words)), "simhash-docs")
+    rows = tagged.select(ROW, F.col("row.doc_id").cast("long").alias("doc_id"), F.col(FP).alias("fp"))
     groups = stored(near_groups(rows, most).select(ROW, F.col("keep_row").alias("group")), "simhash-groups")
     several = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
-    shingles = F.array_distinct(shingle_hashes(whole_text(), SHINGLE))
-    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), ROW).alias("turn")
+    shingles = F.array_distinct(shingle_hashes(whole_text("row.text"), SHINGLE))
+    own_id = F.col("row.doc_id")
+    first = F.struct(own_id.isNull().alias("none"), own_id.cast("long").alias("doc_id"), ROW).alias("turn")
     members = tagged.select(ROW, first, shingles.alias("shingles")).join(spread_join(groups, several, "group"), ROW)
     members = stored(members.withColumn("n", F.size("shingles") + MEMBER_COST), "simhash-members")
 
@@ -424,4 +425,4 @@ def keep_one_of_each(docs: DataFrame, words: int = STAGE_WORDS, most: int = STAG
         both = dealt.unionByName(stay).groupBy("group", "part")
         asked = stored(both.applyInPandas(_asked(alike), GOES_SCHEMA), "simhash-asked")
         gone = gone.unionByName(asked.where("goes").select(ROW))
-    return tagged.join(gone, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(tagged.join(gone, ROW, "left_anti"))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediasift.llm.common import parts_of, whole_text
+from mediasift.llm.common import packed, parts_of, unpacked, whole_text
 from mediasift.sources.shared import stored
 
 #: Bounds of the labelled sample that is fitted: rows of each label, and characters in all.
@@ -352,5 +352,5 @@ def scored(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """The documents that are not predicted toxic, all columns as they came."""
-    return docs.withColumn("__judged", judged(whole_text(), model)).where("__judged.score < 0.5").drop("__judged")
+    """The documents that are not predicted toxic, all columns as they came, whatever their names."""
+    return unpacked(packed(docs).withColumn("judged", judged(whole_text("row.text"), model)).where("judged.score < 0.5"))

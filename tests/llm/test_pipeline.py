@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mediasift.llm import mixing
@@ -12,7 +13,7 @@ def test_stages_in_order():
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(ORACLE) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("empty", [False, True])
@@ -32,9 +33,25 @@ def test_odd_documents_go_through(spark, odd_docs, no_docs, tmp_path, empty):
     assert (read.count() == 0) == empty
 
 
+def test_columns_with_names_of_the_stages_own_come_back(spark, odd_docs, tmp_path):
+    """Every stage but the last returns the caller's columns with their values, and nothing else."""
+    names = ["__row", "__fp", "__judged", "__tokens", "__copy", "__copies", "__turn", "__p0", "__salt", "row", "judged", "shingles", "n", "group", "fp2", "Digest2"]
+    folder = tmp_path / "sf"
+    spark.createDataFrame([(1, 1, 0), (8, 0, 0), (7, 1, 1), (3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+    value = lambda c: F.concat_ws("-", F.lit(c), F.col("doc_id"))
+    odd_docs.select(*COLUMNS).withColumns({c: value(c) for c in names}).write.parquet(str(folder / "documents.parquet"))
+    docs = spark.read.parquet(str(folder / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(folder))
+        assert out.columns == docs.columns, name
+        out.write.parquet(str(tmp_path / name))
+        back = spark.read.parquet(str(tmp_path / name))
+        assert back.count() > 0 and all(back.where(F.col(f"`{c}`") != value(c)).isEmpty() for c in names), name
+
+
 def test_mixing_stage_has_the_target_of_op8(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     asked = []
-    monkeypatch.setattr(mixing, "remix", lambda docs, labels, tilt=mixing.REMIX_TILT: asked.append(tilt) or docs)
+    monkeypatch.setattr(mixing, "remix", lambda docs, labels, tilt=mixing.TILT: asked.append(tilt) or docs)
     corpus_pipeline.mix(spark, spark.range(1), str(tmp_path))
     assert asked == [mixing.TILT] and mixing.TILT == {"quality1": 1.0, "quality0": 0.6}
