@@ -11,17 +11,18 @@ rate is a closed expression of the misses so far and is never stored between ite
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediasift.llm.common import whole_text
+from mediasift.llm.common import packed, unpacked, whole_text
 from mediasift.sources.shared import stored
 
 #: Labelled rows that the classifier is fitted on at most, those with the least hash of their id.
@@ -117,29 +118,57 @@ def posteriors(rows: DataFrame, labels: DataFrame) -> Posteriors:
     return Posteriors(domains, model)
 
 
-def _summed(table: DataFrame, rate: Column, domains: int, least: float | None) -> tuple[np.ndarray, np.ndarray]:
-    """Expected tokens of each domain at the given rates; overlap of the domains in the rows above `least`."""
-    cells = [(j, k) for j in range(domains) for k in range(j, domains)]
-    free = F.lit(1.0) if least is None else (F.col("__rate") > least).cast("double")
-    rows = table.withColumn("__rate", rate).withColumn("__free", free)
-    p = [F.col(f"__p{k}") for k in range(domains)]
-    row = rows.agg(
-        *[F.sum(F.col("__rate") * F.col("tokens") * p[k]).alias(f"s{k}") for k in range(domains)],
-        *[F.sum(F.col("__free") * F.col("tokens") * p[j] * p[k]).alias(f"g{j}_{k}") for j, k in cells],
-    ).first()
-    gram = np.zeros((domains, domains))
-    for j, k in cells:
-        gram[j, k] = gram[k, j] = row[f"g{j}_{k}"] or 0.0
-    return np.array([row[f"s{k}"] or 0.0 for k in range(domains)], dtype=np.float64), gram
+Steps = tuple[np.ndarray, ...]
+
+
+def rate_after(steps: Steps, least: float, domains: int) -> Column:
+    """Rate of a row with `__p0`, `__p1`, ...: one copy, less each step by its posterior, never below `least`."""
+    rate: Column = F.lit(1.0)
+    for step in steps:
+        rate = F.greatest(F.lit(float(least)), rate - sum(F.col(f"__p{k}") * float(step[k]) for k in range(domains)))
+    return rate
+
+
+def _summed(table: DataFrame, steps: Steps, domains: int, least: float, free: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Expected tokens of each domain after `steps`; overlap of the domains in the rows that are `free`: above `least`, or all.
+
+    The steps go to the tasks as numbers and not into the plan, which is the same in every round.
+    """
+    names = [f"__p{k}" for k in range(domains)]
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((domains + 1, domains))
+        for batch in batches:
+            p, tokens = batch[names].to_numpy(dtype=np.float64), batch["tokens"].to_numpy(dtype=np.float64)
+            rate = np.ones(len(p))
+            for step in steps:
+                rate = np.maximum(least, rate - p @ step)
+            total[0] += (rate * tokens) @ p
+            counts = tokens * (rate > least) if free else tokens
+            total[1:] += (p * counts[:, None]).T @ p
+        i, j = np.divmod(np.arange(total.size), domains)
+        yield pd.DataFrame({"i": i, "j": j, "value": total.ravel()})
+
+    out = np.zeros((domains + 1, domains))
+    found = table.select("tokens", *names).mapInPandas(add_up, "i int, j int, value double")
+    for r in found.groupBy("i", "j").agg(F.sum("value").alias("value")).collect():
+        out[r["i"], r["j"]] = r["value"]
+    return out[0], out[1:]
 
 
 def totals(table: DataFrame, rate: Column, domains: int) -> np.ndarray:
     """Expected tokens of each domain at the given rates."""
-    return _summed(table, rate, domains, None)[0]
+    row = table.withColumn("__rate", rate).agg(*[F.sum(F.col("__rate") * F.col("tokens") * F.col(f"__p{k}")) for k in range(domains)]).first()
+    return np.array([s or 0.0 for s in row], dtype=np.float64)
 
 
 def rates(table: DataFrame, targets: np.ndarray, least: float = 0.0) -> Column:
-    """Rate of each row of `table` (tokens, `__p0`, `__p1`, ...) that brings domain totals to `targets`.
+    """`fitted` without what it misses."""
+    return fitted(table, targets, least)[0]
+
+
+def fitted(table: DataFrame, targets: np.ndarray, least: float = 0.0) -> tuple[Column, np.ndarray]:
+    """Rate, and the misses of the domains over the sum of all targets, of each row of `table` (tokens, `__p0`, `__p1`, ...) that brings domain totals to `targets`.
 
     Starts from one copy of each and takes projected-gradient steps for the weighted squares of the
     misses over rates of `least` or more, rows scaled by their tokens. Weights are the inverse of the
@@ -150,25 +179,24 @@ def rates(table: DataFrame, targets: np.ndarray, least: float = 0.0) -> Column:
     """
     n = len(targets)
     scale = float(max(targets.sum(), 1.0))
-    rate: Column = F.lit(1.0)
-    best, best_rate, free, weight_all = np.inf, rate, True, None
+    steps: Steps = ()
+    best, best_steps, best_miss, free, weight_all = np.inf, steps, np.zeros(n), True, None
     for _ in range(ROUNDS):
-        sums, gram = _summed(table, rate, n, least if free and weight_all is not None else None)
+        sums, gram = _summed(table, steps, n, least, free and weight_all is not None)
         miss = (sums - targets) / scale
         weight = np.linalg.inv(gram / scale + np.eye(n) * max(1e-12, 1e-6 * np.trace(gram) / scale / n))
         weight_all = weight if weight_all is None else weight_all
         now = float(miss @ weight_all @ miss)
         if np.abs(miss).max() < CLOSE:
-            return rate
+            return rate_after(steps, least, n), miss
         if now >= best and free:
-            free, rate, best = False, best_rate, np.inf
+            free, steps, best = False, best_steps, np.inf
             continue
         if now >= best * (1 - 1e-6):
             break
-        best, best_rate = now, rate
-        step = (weight if free else LONGER * weight_all) @ miss
-        rate = F.greatest(F.lit(float(least)), rate - sum(F.col(f"__p{k}") * float(step[k]) for k in range(n)))
-    return best_rate
+        best, best_steps, best_miss = now, steps, miss
+        steps = (*steps, (weight if free else LONGER * weight_all) @ miss)
+    return rate_after(best_steps, least, n), best_miss
 
 
 def table_of(rows: DataFrame, found: Posteriors) -> DataFrame:
@@ -214,6 +242,9 @@ TILT = {"quality1": 1.0, "quality0": 0.6}
 def mixed(docs: DataFrame, labels: DataFrame, tilt: dict[str, float] = TILT) -> tuple[DataFrame, list[str]]:
     """Each row with doc_id, tokens, posterior, rate and copies; and the domains of the posterior.
 
+    `missed` is the largest difference of a domain's expected tokens from its target, as a share of all
+    tokens asked for: where bounds on rates forbid the targets, it says by how much they are not met.
+
     Null and empty texts have no tokens and do not count towards any target; repeated rows are rows of
     their own; an empty table gives no rows. Domains that the labels lack cannot be asked for.
     """
@@ -221,17 +252,14 @@ def mixed(docs: DataFrame, labels: DataFrame, tilt: dict[str, float] = TILT) ->
     found = posteriors(rows, labels)
     table, n = table_of(rows, found), len(found.domains)
     now = totals(table, F.lit(1.0), n)
-    rate = rates(table, targets_of(now, tilted(found.domains, now, tilt), shrink=True))
+    rate, miss = fitted(table, targets_of(now, tilted(found.domains, now, tilt), shrink=True))
     out = table.withColumn("rate", rate).withColumn("copies", copies_of(F.col("rate"), F.col("__turn")))
-    return out.select("doc_id", "tokens", F.array(*[f"__p{k}" for k in range(n)]).alias("posterior"), "rate", "copies"), found.domains
-
-
-#: Default of `remix`: no document is left out, so that each step of the tilt means repeats. The pipeline asks for `TILT`.
-REMIX_TILT = {"quality1": 1.0, "quality0": 0.9}
+    shares = F.array(*[f"__p{k}" for k in range(n)]).alias("posterior")
+    return out.select("doc_id", "tokens", shares, "rate", "copies", F.lit(float(np.abs(miss).max())).alias("missed")), found.domains
 
 
-def remix(docs: DataFrame, labels: DataFrame, tilt: dict[str, float] = REMIX_TILT) -> DataFrame:
-    """The documents, each repeated as its rate asks and none left out, all columns as they came.
+def remix(docs: DataFrame, labels: DataFrame, tilt: dict[str, float] = TILT) -> DataFrame:
+    """The documents, each repeated as its rate asks and none left out, all columns as they came, whatever their names.
 
     Targets have the tilted ratio at a total where no domain has to lose tokens; rates are 1 or more. The
     fitted rate is a closed expression of a text's measures, so documents are read once more and neither
@@ -242,6 +270,6 @@ def remix(docs: DataFrame, labels: DataFrame, tilt: dict[str, float] = REMIX_TIL
     table, n = table_of(rows, found), len(found.domains)
     now = totals(table, F.lit(1.0), n)
     rate = rates(table, targets_of(now, tilted(found.domains, now, tilt), shrink=False), least=1.0)
-    judged = found.on(with_measures(docs)).withColumn("__copies", copies_of(rate, turn_of()))
-    repeated = judged.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = packed(docs).select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
+    judged = found.on(with_measures(whole)).withColumn("__copies", copies_of(rate, turn_of()))
+    return unpacked(judged.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))))

@@ -130,7 +130,7 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, domains = mixing.mixed(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     shares = [F.col("posterior")[k].alias(d) for k, d in enumerate(domains)]
-    return out.select("doc_id", "tokens", "rate", "copies", *shares)
+    return out.select("doc_id", "tokens", "rate", "copies", *shares, "missed")
 
 
 @_query("op9_simhash")

@@ -78,7 +78,7 @@ def test_domains_are_told_apart_and_mixed(spark, words):
 
 def test_remix_loses_no_document(spark, words, odd_docs, no_docs):
     docs, labels = _docs(spark, words)
-    out = mx.remix(docs, labels)
+    out = mx.remix(docs, labels, {"quality1": 1.0, "quality0": 0.9})
     assert out.columns == docs.columns and out.select("doc_id").distinct().count() == 400 and 400 < out.count() < 480
     labelled = spark.createDataFrame([(1, 1, 0), (7, 0, None), (None, 1, 1), (8, None, 1), (1, 1, 1)], "doc_id long, quality int, toxic int")
     odd = mx.remix(odd_docs, labelled)
