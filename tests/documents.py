@@ -1,201 +1,105 @@
-"""Stored results for tests, grown from sheets of `path value` lines; values are JSON.
+"""Documents for tests, generated from the shapes that the library judges stored documents by.
 
-A path names a field of the stored result, with dots between levels. A variant is a sheet laid over
-another one: later lines win, and a line that ends in `-` takes the field away.
+Every required field gets the least value of its type: null where it may be null, no text, zero, false,
+an empty list, a generated object. Ids are named after their field, times are `NOW`, enumerated fields take
+the first value of their enumeration. `made("result")` is thus valid for the shape alone; what a status
+demands beyond that is added by the three builders at the end. In keyword arguments `__` goes down a level.
 """
 
-import json
+import copy
 
-NOW = "2031-02-03T04:05:06Z"
-
-FILE_SHEET = """
-original_name "shore.png"
-extension "png"
-declared_mime_type null
-detected_mime_type "image/png"
-media_type "image"
-size_bytes 4096
-sha256 "%s"
-signature_match true
-safe_read true
-technical_parameters.width 64
-technical_parameters.height 48
-technical_parameters.format "PNG"
-technical_parameters.color_mode "RGB"
-technical_parameters.frame_count null
-technical_parameters.has_metadata false
-""" % ("0f" * 32)
-
-INPUT_SHEET = """
-original_name "shore.png"
-declared_content_type null
-size_bytes 4096
-received_at $now
-"""
-
-ERROR_SHEET = """
-code "decoder_gave_up"
-category "analyzer"
-message "no more frames"
-retryable false
-"""
-
-ANALYZER_SHEET = """
-analyzer_id "noise"
-analyzer_version "1.0"
-media_type "image"
-group "pixels"
-status "completed"
-applicable true
-started_at $now
-finished_at $now
-duration_ms 41
-score 0.25
-score_name "grain"
-summary "even grain"
-raw_metrics {"bands": [3, {"share": 0.75}]}
-candidate_findings []
-warnings []
-errors []
-"""
-
-FINDING_SHEET = """
-finding_id "f1"
-group "pixels"
-type "splice"
-severity "weak"
-source_analyzer_id "noise"
-source_analyzer_version "1.0"
-description "an edge without blur"
-localization null
-source_score null
-score_impact null
-critical_override_eligible false
-correlation_group null
-evidence_refs []
-"""
-
-RESULT_SHEET = """
-schema_version "1.0"
-analysis_id "%s"
-created_at $now
-updated_at $now
-status "completed"
-stage "finished"
-source.channel "api"
-processing.queued_at $now
-processing.started_at $now
-processing.finished_at $now
-processing.duration_ms 90
-processing.config_snapshot_id "settings-3"
-processing.application_version "0.9"
-completeness.status "complete"
-completeness.planned_analyzers 1
-completeness.applicable_analyzers 1
-completeness.completed_analyzers 1
-completeness.failed_analyzers 0
-completeness.timed_out_analyzers 0
-completeness.skipped_analyzers 0
-completeness.not_applicable_analyzers 0
-completeness.coverage_ratio 1.0
-completeness.missing_capabilities []
-completeness.explanation ""
-risk_assessment.model_id "sum"
-risk_assessment.model_version "3"
-risk_assessment.score 8
-risk_assessment.score_based_level "low"
-risk_assessment.critical_override_applied false
-risk_assessment.critical_finding_ids []
-risk_assessment.final_level "low"
-risk_assessment.probability null
-risk_assessment.probability_method null
-risk_assessment.summary "little"
-risk_assessment.explanation "one weak finding"
-risk_assessment.limitations []
-recommendation.primary_action "manual_review"
-recommendation.additional_actions ["verify_source"]
-recommendation.text "look again"
-recommendation.requires_manual_review true
-cleanup.status "completed"
-cleanup.original_file_deleted true
-cleanup.intermediate_files_deleted true
-cleanup.quarantine_used false
-cleanup.finished_at null
-cleanup.errors []
-warnings []
-errors []
-""" % ("5e" * 16)
-
-REJECTED_SHEET = """
-status "rejected"
-completeness.status "not_assessed"
-risk_assessment.final_level null
-risk_assessment.score_based_level null
-risk_assessment.score null
-"""
-
-PARTIAL_SHEET = """
-status "partial"
-completeness.status "partial"
-warnings ["one analyzer was skipped"]
-"""
+from mediasift import vocab
+from mediasift.operators.rules import SHAPES
 
+NOW = "2031-02-03T04:05:06Z"
 
-def grown(sheet, onto=None):
-    """The record that a sheet describes, or `onto` with the sheet laid over it."""
-    record = json.loads(json.dumps(onto)) if onto is not None else {}
-    for line in filter(None, sheet.strip().split("\n")):
-        path, value = line.split(" ", 1)
-        *levels, field = path.split(".")
-        at = record
+LEAST = {"S": "", "I": 0, "N": 0.0, "B": False, "A": []}
+CHOICES = {
+    "media_type": vocab.MEDIA_TYPES,
+    "channel": vocab.SOURCE_CHANNELS,
+    "stage": vocab.STAGES,
+    "severity": vocab.SEVERITIES,
+    "category": vocab.ERROR_CATEGORIES,
+    "primary_action": vocab.RECOMMENDED_ACTIONS,
+    "result.status": vocab.ANALYSIS_STATUSES,
+    "analyzer.status": vocab.ANALYZER_STATUSES,
+    "completeness.status": vocab.COMPLETENESS_STATUSES,
+    "cleanup.status": vocab.CLEANUP_STATUSES,
+}
+#: Objects that may have one of several shapes.
+CHOSEN = {"file": "validated_file", "technical_parameters": "image"}
+
+
+def _least(shape, name, code):
+    if code.endswith("0"):
+        return None
+    if code == "O":
+        inner = CHOSEN.get(name, name)
+        return made(inner) if inner in SHAPES else {}
+    choices = CHOICES.get(f"{shape}.{name}", CHOICES.get(name))
+    if choices:
+        return choices[0]
+    if name.endswith("_at"):
+        return NOW
+    return name if name.endswith("_id") else copy.copy(LEAST[code])
+
+
+def changed(record, over):
+    out = copy.deepcopy(record)
+    for path, value in over.items():
+        *levels, field = path.split("__")
+        at = out
         for level in levels:
-            at = at.setdefault(level, {})
-        if value == "-":
-            del at[field]
-        else:
-            at[field] = NOW if value == "$now" else json.loads(value)
-    return record
+            at = at[level]
+        at[field] = value
+    return out
 
 
-def _laid(record, over):
-    """Keyword arguments as sheet lines; `__` stands for a dot."""
-    return grown("\n".join(f"{k.replace('__', '.')} {json.dumps(v)}" for k, v in over.items()), record)
+def without(record, *path):
+    out = copy.deepcopy(record)
+    at = out
+    for level in path[:-1]:
+        at = at[level]
+    del at[path[-1]]
+    return out
 
 
-def without(record, *path):
-    return grown(".".join(path) + " -", record)
+def made(shape, **over):
+    """The least document of a shape, with changes."""
+    fields = {name: code for name, code in SHAPES[shape].items() if not name.endswith("?")}
+    return changed({name: _least(shape, name, code) for name, code in fields.items()}, over)
 
 
 def validated_file(**over):
-    return _laid(grown(FILE_SHEET), over)
+    return made("validated_file", **over)
 
 
 def input_file(**over):
-    return _laid(grown(INPUT_SHEET), over)
+    return made("input_file", **over)
 
 
 def analyzer(**over):
-    return _laid(grown(ANALYZER_SHEET), over)
+    return made("analyzer", **over)
 
 
 def finding(**over):
-    return _laid(grown(FINDING_SHEET), over)
-
+    return made("finding", **over)
 
-ERROR = grown(ERROR_SHEET)
 
-
-def _whole(sheet, parts, over):
-    return _laid({**grown(sheet, grown(RESULT_SHEET)), **parts}, over)
+ERROR = made("error")
 
 
 def result(**over):
-    return _whole("", {"file": validated_file(), "analyzers": [analyzer()], "findings": [finding()]}, over)
+    """Least document that rule R20 lets be `completed`: assessed whole, with a level."""
+    return changed(made("result", status="completed", risk_assessment__final_level="low"), over)
 
 
-def rejected(**over):
-    return _whole(REJECTED_SHEET, {"file": input_file(), "analyzers": [], "findings": [], "errors": [ERROR]}, over)
+def partial(**over):
+    """Assessed in part, and one warning says so."""
+    return changed(result(status="partial", completeness__status="partial", warnings=["w"]), over)
 
 
-def partial(**over):
-    return _whole(PARTIAL_SHEET, {"file": validated_file(), "analyzers": [analyzer()], "findings": [finding()]}, over)
+def rejected(**over):
+    """A file that was only received, nothing assessed, one error."""
+    base = made("result", status="rejected", file=input_file(), completeness__status="not_assessed", errors=[ERROR])
+    return changed(base, over)

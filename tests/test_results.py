@@ -29,7 +29,7 @@ def place(p):
 
 GOOD = [
     result(),
-    without(result(), "schema_version"),
+    result(schema_version="1.0", analyzers=[analyzer()], findings=[finding()]),
     rejected(),
     rejected(status="failed"),
     partial(),
@@ -76,8 +76,8 @@ BAD = [
     (result(recommendation__primary_action="delete"), "R05"),
     (result(errors=[{**ERROR, "category": "other"}]), "R05"),
     (result(file=validated_file(media_type="audio")), "R06"),
-    (result(analyzers=[analyzer(score_name=None)]), "R08-12"),
-    (result(analyzers=[analyzer(status="not_applicable")]), "R08-12"),
+    (result(analyzers=[analyzer(score=0.25)]), "R08-12"),
+    (result(analyzers=[analyzer(status="not_applicable", applicable=True)]), "R08-12"),
     (result(analyzers=[analyzer(status="error")]), "R08-12"),
     (result(analyzers=[analyzer(status="skipped", summary=" ", warnings=["\t"])]), "R08-12"),
     (result(analyzers=[analyzer(duration_ms=-1)]), "R08-12"),
@@ -124,7 +124,7 @@ def test_bad_documents(spark):
 
 
 def test_unreadable_documents(spark):
-    text = json.dumps(result())
+    text = json.dumps(result(risk_assessment__score=8, analyzers=[analyzer(raw_metrics={"bands": [3, {"share": 0.75}]})]))
     docs = [
         "", "{", "[]", "null", text.replace('"score": 8', '"score": NaN'),
         text.replace('"score": 8', '"score": 1e999'), text.replace('"share": 0.75', '"share": -1e999'),
@@ -208,7 +208,8 @@ def test_recent_order_and_limit(spark, tmp_path):
 
 def test_written_documents_read_back_unchanged(spark, tmp_path):
     docs = [
-        result(), rejected(), place(BOX), place(SPAN), place(FRAMES), place({"type": "file"}),
+        result(analyzers=[analyzer(raw_metrics={"a": [1, {"b": 0.5}]})]), rejected(),
+        place(BOX), place(SPAN), place(FRAMES), place({"type": "file"}),
         result(file=validated_file(media_type="audio", technical_parameters=AUDIO)),
         result(file=validated_file(media_type="video", technical_parameters=VIDEO)),
     ]
@@ -227,7 +228,8 @@ def test_written_documents_read_back_unchanged(spark, tmp_path):
 
 
 def test_export_switches(spark):
-    df = spark.createDataFrame([(json.dumps(result()),)], "doc string")
+    doc = result(file__original_name="shore.png", analyzers=[analyzer(raw_metrics={"a": 1})])
+    df = spark.createDataFrame([(json.dumps(doc),)], "doc string")
     typed = results.judge(df).select("result")
     plain = json.loads(results.documents(typed).first()["doc"])
     assert plain["analyzers"][0]["raw_metrics"] == {} and plain["file"]["original_name"] == "shore.png"
