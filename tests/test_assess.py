@@ -79,7 +79,8 @@ def test_documents_have_one_form_at_any_size(spark, n):
 
 
 def test_flatten_and_references(spark):
-    doc = D.result(analyzers=[D.analyzer()], findings=[D.finding(finding_id="x"), D.finding(finding_id="y", source_analyzer_version="2")])
+    found = [D.finding(finding_id="x", source_analyzer_id="n"), D.finding(finding_id="y", source_analyzer_id="n", source_analyzer_version="2")]
+    doc = D.result(analyzers=[D.analyzer(analyzer_id="n")], findings=found)
     typed = spark.createDataFrame([(json.dumps(doc),)], "doc string").select(F.from_json("doc", schemas.RESULT).alias("result"))
     flat = findings.flatten_array(typed, "findings")
     assert [(r["pos"], r["finding_id"]) for r in flat.collect()] == [(0, "x"), (1, "y")]
