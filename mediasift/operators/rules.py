@@ -187,20 +187,14 @@ def terminal_rules(
     }
 
 
-def context_rules(g: Get) -> dict[str, Column]:
+def context_rules(g: Get, *times: str) -> dict[str, Column]:
+    """A context has ids, and those of its times that are set are UTC texts."""
     return {
-        "R29": (F.coalesce(g("analysis_id"), F.lit("")) != "")
-        & (F.coalesce(g("config_snapshot_id"), F.lit("")) != "")
-    }
-
-
-def task_rules(g: Get) -> dict[str, Column]:
-    """Identity and descriptor agree across the records of one task."""
-    return {
-        "R28": (g("analysis_id") == g("source_analysis_id"))
-        & g("validation")["accepted"]
-        & g("validation")["validated_file"].eqNullSafe(g("validated_file"))
-        & (g("media_type") == g("validated_file")["media_type"])
+        "R29": both(
+            F.coalesce(g("analysis_id"), F.lit("")) != "",
+            F.coalesce(g("config_snapshot_id"), F.lit("")) != "",
+            *[g(t).isNull() | X.is_utc_text(g(t)) for t in times],
+        )
     }
 
 

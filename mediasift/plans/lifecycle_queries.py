@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediasift import vocab
-from mediasift.operators import gate, histories, lifecycle, retention
+from mediasift.operators import gate, histories, lifecycle, reconcile, retention
 from mediasift.operators import rules as R
 from mediasift.plans.registry import PARAMS, event_chunk, query
 from mediasift.plans.views import cte, read, view
@@ -105,6 +105,59 @@ def history_states(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({"status": F.coalesce("state.status", none), "stage": F.coalesce("state.stage", none)}).drop("state")
 
 
+_FILE = ("file_name", "file_bytes", "file_media")
+#: Full joins of the distinct records, which the operator does without.
+_AGREE = f"""{cte('accepted_v', 'held_source_v', 'verdict_v')},
+t AS (SELECT analysis_id, sum(n) AS n, count(*) AS kinds, any_value(media_type) AS media_type, {', '.join(f"any_value({f}) AS {f}" for f in _FILE)}
+  FROM (SELECT analysis_id, media_type, {', '.join(_FILE)}, count(*) AS n FROM accepted_v GROUP BY ALL) GROUP BY 1),
+s AS (SELECT analysis_id, count(*) AS n FROM held_source_v GROUP BY 1),
+v AS (SELECT analysis_id, sum(n) AS n, count(*) AS kinds, any_value(accepted) AS accepted, any_value(described) AS described, {', '.join(f"any_value({f}) AS {f}" for f in _FILE)}
+  FROM (SELECT analysis_id, accepted, described, {', '.join(_FILE)}, count(*) AS n FROM verdict_v GROUP BY ALL) GROUP BY 1),
+a AS (SELECT i.analysis_id, coalesce(t.n, 0)::BIGINT AS n_tasks, coalesce(s.n, 0)::BIGINT AS n_sources, coalesce(v.n, 0)::BIGINT AS n_validations,
+  CASE WHEN t.n IS NULL THEN 'no_task' WHEN s.n IS NULL THEN 'no_source' WHEN v.n IS NULL THEN 'no_validation'
+    WHEN t.kinds > 1 THEN 'several_tasks' WHEN v.kinds > 1 THEN 'several_validations'
+    WHEN v.accepted IS NOT TRUE THEN 'not_accepted' WHEN NOT v.described THEN 'no_descriptor'
+    WHEN t.file_name IS DISTINCT FROM v.file_name THEN 'descriptor:original_name'
+    WHEN t.file_bytes <> v.file_bytes THEN 'descriptor:size_bytes'
+    WHEN t.file_media <> v.file_media THEN 'descriptor:media_type'
+    WHEN t.media_type <> t.file_media THEN 'media_type' END AS first_disagreement
+  FROM (SELECT analysis_id FROM t UNION SELECT analysis_id FROM s UNION SELECT analysis_id FROM v) i
+  LEFT JOIN t USING (analysis_id) LEFT JOIN s USING (analysis_id) LEFT JOIN v USING (analysis_id))"""
+
+
+def _agreement(spark: SparkSession, sf: str) -> DataFrame:
+    file = F.struct(
+        F.col("file_name").alias("original_name"), F.col("file_bytes").alias("size_bytes"), F.col("file_media").alias("media_type")
+    )
+    tasks = view(spark, sf, "accepted_v").withColumn("validated_file", file)
+    verdicts = view(spark, sf, "verdict_v").withColumn("validated_file", F.when(F.col("described"), file))
+    return reconcile.agreement(tasks, view(spark, sf, "held_source_v"), verdicts)
+
+
+@query("task_agreement", f"{_AGREE} SELECT * FROM a")
+def task_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    return _agreement(spark, sf)
+
+
+@query(
+    "task_disagreements",
+    f"{_AGREE} SELECT first_disagreement, count(*) AS n_ids, sum(n_tasks)::BIGINT AS n_tasks FROM a GROUP BY 1",
+)
+def task_disagreements(spark: SparkSession, sf: str) -> DataFrame:
+    return _agreement(spark, sf).groupBy("first_disagreement").agg(F.count("*").alias("n_ids"), F.sum("n_tasks").alias("n_tasks"))
+
+
+@query(
+    "rules_context",
+    f"{cte('accepted_v')} SELECT analysis_id, config_snapshot_id = '' OR NOT regexp_matches(created_at, '(Z|\+00:00)$') "
+    "OR coalesce(NOT regexp_matches(started_at, '(Z|\+00:00)$'), false) AS broken FROM accepted_v",
+)
+def rules_context(spark: SparkSession, sf: str) -> DataFrame:
+    contexts = view(spark, sf, "accepted_v").select("analysis_id", "config_snapshot_id", "created_at", "started_at")
+    judged = R.with_violations(contexts, R.context_rules(F.col, "created_at", "started_at"))
+    return judged.select("analysis_id", F.array_contains("violations", "R29").alias("broken"))
+
+
 @query(
     "start_once",
     f"{cte('state_v')}, c AS (SELECT analysis_id, "

@@ -402,6 +402,40 @@ VIEWS: dict[str, View] = {
             },
         ),
     ),
+    # the records of a task: one order each, with a known share of damaged ones
+    "accepted_v": View(
+        "orders",
+        (
+            {
+                "analysis_id": "md5(CAST(o_orderkey AS STRING))",
+                "file_media": _pick("CAST(o_custkey % 3 AS INT)", _quoted(vocab.MEDIA_TYPES)),
+                "file_name": "CASE WHEN o_orderkey % 41 = 0 THEN NULL ELSE 'f' || CAST(o_orderkey AS STRING) END",
+                "file_bytes": "o_orderkey * 7 + 1",
+                "config_snapshot_id": "CASE WHEN o_orderkey % 43 = 0 THEN '' ELSE 'c1' END",
+                "created_at": "CASE o_orderkey % 5 WHEN 0 THEN '2031-02-03T04:05:06+03:00' WHEN 1 THEN '2031-02-03T04:05:06+00:00' "
+                "WHEN 2 THEN '2031-02-03T04:05:06' ELSE '2031-02-03T04:05:06Z' END",
+                "started_at": "CASE o_orderkey % 7 WHEN 0 THEN '2031-02-03T05:05:06-01:00' WHEN 1 THEN NULL ELSE '2031-02-03T05:05:06Z' END",
+            },
+            {"media_type": "CASE WHEN o_orderkey % 23 = 0 THEN 'none' ELSE file_media END"},
+        ),
+    ),
+    "held_source_v": View(
+        "orders",
+        ({"analysis_id": "md5(CAST(CASE WHEN o_orderkey % 11 = 0 THEN -1 - o_orderkey ELSE o_orderkey END AS STRING))"},),
+    ),
+    "verdict_v": View(
+        "orders",
+        (
+            {
+                "analysis_id": "md5(CAST(CASE WHEN o_orderkey % 29 = 0 THEN o_orderkey + 1 ELSE o_orderkey END AS STRING))",
+                "accepted": "CASE WHEN o_orderkey % 47 = 0 THEN NULL ELSE o_orderkey % 7 <> 0 END",
+                "described": "o_orderkey % 7 <> 0 AND o_orderkey % 31 <> 0",
+                "file_media": _pick("CAST((o_custkey + CASE WHEN o_orderkey % 19 = 0 THEN 1 ELSE 0 END) % 3 AS INT)", _quoted(vocab.MEDIA_TYPES)),
+                "file_name": "CASE WHEN o_orderkey % 37 = 0 OR o_orderkey % 41 = 0 THEN NULL ELSE 'f' || CAST(o_orderkey AS STRING) END",
+                "file_bytes": "o_orderkey * 7 + CASE WHEN o_orderkey % 17 = 0 THEN 2 ELSE 1 END",
+            },
+        ),
+    ),
     # log records
     "log_v": View(
         "events",

@@ -269,6 +269,7 @@ def test_violation_counts(spark):
 
 
 def test_rule_sets_on_tables(spark):
-    df = spark.createDataFrame([("a", ""), ("", "c"), ("a", "c")], "analysis_id string, config_snapshot_id string")
-    got = R.with_violations(df, R.context_rules(F.col)).select(F.size("violations")).collect()
-    assert [r[0] for r in got] == [1, 1, 0]
+    rows = [("a", "", None), ("", "c", NOW), ("a", "c", NOW), ("a", "c", None), ("a", "c", NOW[:-1]), ("a", "c", NOW[:-1] + "+01:00")]
+    df = spark.createDataFrame(rows, "analysis_id string, config_snapshot_id string, started_at string")
+    got = R.with_violations(df, R.context_rules(F.col, "started_at")).select(F.size("violations")).collect()
+    assert [r[0] for r in got] == [1, 1, 0, 0, 1, 1]
