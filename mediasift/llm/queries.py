@@ -22,6 +22,7 @@ from mediasift.llm import (
     url_filter,
     whitening,
 )
+from mediasift.sources.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -83,7 +84,10 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_sharding")
 def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.records(_table(spark, sf_dir, "documents"))
-    placed = sharding.placed(rows, sharding.first_map(24, *sharding.slot_loads(rows)))
+    folder = new_folder(spark, "sharding-map")
+    sharding.write_map(sharding.even_map(24), spark, folder)
+    sharding.rebalance(rows, folder)
+    placed = sharding.placed(rows, sharding.read_map(spark, folder))
     return placed.select(
         "doc_id",
         "size",

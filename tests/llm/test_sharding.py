@@ -2,12 +2,18 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+
 from mediasift.llm import sharding as sd
+from mediasift.sources.shared import new_folder
 
 
 def _placed(docs, shards=24, slots=sd.SLOTS):
-    rows = sd.records(docs, slots)
-    return sd.placed(rows, sd.first_map(shards, *sd.slot_loads(rows, slots))).collect()
+    spark = docs.sparkSession
+    rows, folder = sd.records(docs, slots), new_folder(spark, "map")
+    sd.write_map(sd.even_map(shards, slots), spark, folder)
+    sd.rebalance(rows, folder)
+    return sd.placed(rows, sd.read_map(spark, folder)).collect()
 
 
 def _gapless(out):
@@ -30,6 +36,30 @@ def test_shards_are_near_equal(spark, words):
     assert all(r.size == len(by_id[r.doc_id].encode()) + 8 and r.text_crc32 == zlib.crc32(by_id[r.doc_id].encode()) for r in out)
 
 
+def test_a_row_stored_for_a_third_of_the_table(spark, words):
+    rng = random.Random(4)
+    data = [(i, words(rng.randint(1, 60))) for i in range(6000)] + [(77, words(30))] * 3000
+    rng.shuffle(data)
+    out = _placed(spark.createDataFrame(data, "doc_id long, text string").repartition(7))
+    # sizes, checksums and repeats against a plain count
+    want = Counter((i, len(t.encode()) + 8, zlib.crc32(t.encode())) for i, t in data)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == want
+    load, hot = Counter(), Counter()
+    for r in out:
+        load[r.shard] += r.size
+        hot[r.virtual_slot] += r.doc_id == 77
+    assert set(load) == set(range(24)) and max(load.values()) < 1.02 * min(load.values())
+    assert max(hot.values()) < 10 and {r.map_version for r in out} == {2}
+    _gapless(out)
+
+
+def test_slots_do_not_depend_on_partitions(spark, words):
+    data = [(i % 40, words(3) if i % 3 else "same") for i in range(300)]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    slots = [Counter(map(tuple, sd.records(frame.repartition(n)).collect())) for n in (1, 5)]
+    assert slots[0] == slots[1]
+
+
 def test_odd_documents(odd_docs, no_docs):
     out = _placed(odd_docs)
     assert len(out) == odd_docs.count()
@@ -69,5 +99,7 @@ def test_versions_are_kept(spark, tmp_path):
     for m in (old, new):
         sd.write_map(m, spark, str(tmp_path / "map"))
     assert sd.read_map(spark, str(tmp_path / "map")).shard == new.shard
+    with pytest.raises(Exception, match="(?i)exist"):
+        sd.write_map(new, spark, str(tmp_path / "map"))
     first = sd.read_map(spark, str(tmp_path / "map"), 1)
     assert (first.shard, first.size, first.shards) == (old.shard, old.size, 7)
