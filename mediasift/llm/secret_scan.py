@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -53,11 +55,15 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
         t = m[0]
         if not t.islower() and any("0" <= c <= "9" for c in t) and any("a" <= c <= "z" for c in t) and any("A" <= c <= "Z" for c in t) and _entropy(t) >= LEAST_ENTROPY:
             own.append((4, m.start(), m.end(), t))
-    taken = sorted((a, b) for _, a, b, _ in found)
+    # base spans that begin before a stop are a prefix by start; one meets the own span if the prefix's last end does
+    base = sorted((a, b) for _, a, b, _ in found)
+    starts, ends = [a for a, _ in base], list(accumulate((b for _, b in base), max))
+    kept_end = 0
     for span in sorted(own, key=lambda x: (x[1], x[0])):
-        if not any(a < span[2] and span[1] < b for a, b in taken):
+        before = bisect_left(starts, span[2])
+        if kept_end <= span[1] and (before == 0 or ends[before - 1] <= span[1]):
             found.append(span)
-            taken.append((span[1], span[2]))
+            kept_end = span[2]
     return sorted(found, key=lambda x: (x[1], x[0]))
 
 
@@ -106,7 +112,9 @@ def scan(docs: DataFrame, repository: Column, owner: Column, example_owners: int
 
     Base spans always stay; the method's own stay where fewer than `example_owners` owners hold the
     value (`live`). Null and empty texts have no spans; a null owner is an owner of its own; repeated
-    rows count as one repository and get the same spans; an empty table gives no rows.
+    rows count as one repository and get the same spans; very long texts are read whole, in time that follows
+    their length; of own spans that meet, the first stays; further columns are not read, whatever their names;
+    an empty table gives no rows.
     """
     rows = scanned(docs, repository, owner)
     each = rows.select(ROW, F.inline("found"))
