@@ -151,8 +151,8 @@ def pending_by_media(tasks: DataFrame) -> DataFrame:
 def backlog(tasks: DataFrame, params: Params | None = None) -> DataFrame:
     """FIFO position of every waiting task in its media type, and whether it fits.
 
-    There are only three media types, so positions come from range partitions and not from a
-    window per type.
+    There are only three media types, so positions come from pieces of days, minutes and, within a minute,
+    instants and beginnings of ids, not from a window per type.
     """
     params = params or Params()
     waiting = tasks.where((F.col("status") == "queued") & (F.col("stage") == "queued")).select(
@@ -161,8 +161,13 @@ def backlog(tasks: DataFrame, params: Params | None = None) -> DataFrame:
     capacity = F.create_map(
         *[x for m in vocab.MEDIA_TYPES for x in (F.lit(m), F.lit(params.capacity(m)))]
     )
+    pieces = [
+        F.date_trunc("day", "queued_at"),
+        F.date_trunc("minute", "queued_at"),
+        F.struct("queued_at", F.substring("analysis_id", 1, 2)),
+    ]
     return ordered.with_position(
-        waiting, ["media_type"], ["queued_at", "analysis_id"], "fifo_position"
+        waiting, ["media_type"], ["queued_at", "analysis_id"], pieces, "fifo_position"
     ).withColumn(
         "within_capacity",
         F.col("fifo_position") <= F.try_element_at(capacity, F.col("media_type")),

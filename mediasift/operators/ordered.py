@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from mediasift.sources.dims import broadcast_if_small
 from mediasift.sources.shared import shared_root, stored
 
 
@@ -110,26 +109,35 @@ def with_previous_ranged(
     return joined.select(*names, *[F.when(at_seam, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in looked])
 
 
-def with_position(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+def with_position(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], pieces: Sequence[Column], name: str
+) -> DataFrame:
     """Adds the 1-based position of each row inside its group, for groups of any size.
 
-    Rows are range-partitioned by group and order, so one group spans many tasks. The sorted
-    rows are checkpointed once, because the range boundaries are sampled and must not change
-    between the count and the numbering. `order` must be unique inside a group.
+    `pieces` cut the order ever finer: none may decrease along `order` within the piece before it, and the
+    last bounds how many rows of a group share a task. Rows are counted for each piece, combined before the
+    shuffle; at every level the counts of earlier pieces are added up within the piece above, so no window
+    holds more than the parts of one piece. All of it is one plan: nothing is sampled, stored or run
+    beforehand, and a recomputed task numbers alike. `order` must be unique inside a group. Nulls, in the
+    group and in the order, come first.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    ranged = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
-    # the low 33 bits count rows within the task, in sorted order
-    index = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    fixed = ranged.withColumns({"_part": F.spark_partition_id(), "_index": index}).checkpoint()
-    pieces = fixed.groupBy(*group, "_part").agg(
-        F.count("*").alias("_n"), F.min("_index").alias("_first")
-    )
-    before = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = pieces.select(
-        *group, "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
-    )
-    numbered = fixed.join(broadcast_if_small(offsets), [*group, "_part"])
-    return numbered.withColumn(
-        name, F.col("_before") + F.col("_index") - F.col("_first") + 1
-    ).drop("_part", "_index", "_first", "_before")
+    levels = [f"_piece{i}" for i in range(len(pieces))]
+    rows = df.withColumns(dict(zip(levels, pieces, strict=True)))
+    offsets = None
+    for depth in range(len(levels), 0, -1):
+        inside, level = [*group, *levels[: depth - 1]], levels[depth - 1]
+        counts = rows.groupBy(*inside, level).agg(F.count("*").alias("_n"))
+        earlier = W.partitionBy(*inside).orderBy(level).rowsBetween(W.unboundedPreceding, -1)
+        before = counts.select(*inside, level, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+        offsets = before if offsets is None else _added(offsets, before, [*inside, level])
+    place = F.row_number().over(W.partitionBy(*group, *levels).orderBy(*order))
+    numbered = _added(rows.withColumn("_before", place.cast("bigint")), offsets, [*group, *levels])
+    return numbered.withColumnRenamed("_before", name).drop(*levels)
+
+
+def _added(rows: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`rows` with the offset of their keys added to `_before`; a null key meets null."""
+    right = offsets.select(*[F.col(k).alias(f"{k}_of") for k in keys], F.col("_before").alias("_more"))
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in keys]
+    joined = rows.join(right, same).withColumn("_before", F.col("_before") + F.col("_more"))
+    return joined.drop("_more", *[f"{k}_of" for k in keys])

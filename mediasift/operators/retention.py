@@ -62,13 +62,15 @@ def sweep_counts(plan: DataFrame) -> DataFrame:
 def sweep_listing(plan: DataFrame) -> DataFrame:
     """The ordered id lists of a sweep in long form: one row per id with its position.
 
-    A list per action would gather one action's ids in one task. Untrusted entries have no id to list;
+    A list per action would gather one action's ids in one task; positions come from pieces by the first two,
+    four and six characters of the ids. Untrusted entries have no id to list;
     `sweep_counts` has their number.
     """
     return ordered.with_position(
         plan.where("action <> 'keep' AND reported_id IS NOT NULL").select("location", "action", "analysis_id"),
         ["location", "action"],
         ["analysis_id"],
+        [F.substring("analysis_id", 1, n) for n in (2, 4, 6)],
         "position",
     )
 

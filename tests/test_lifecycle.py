@@ -54,17 +54,20 @@ def test_previous_state_of_a_hot_key(spark, chunk):
     assert {r["seq"]: (r["prev_status"], r["prev_stage"]) for r in found.collect()} == want
 
 
-def test_positions_of_a_hot_group(spark):
+@pytest.mark.parametrize("cuts", [["t div 7", "t"], ["t div 3"], ["t div 9", "t div 3", "struct(t, substr(id, 1, 3))"]])
+def test_positions_of_a_hot_group(spark, cuts):
     rng = random.Random(1)
-    rows = [("hot" if i % 3 else "cold", rng.randrange(20), f"{i:05d}") for i in range(3000)]
+    rows = [("hot" if i % 3 else rng.choice(["cold", None]), rng.choice([None, *range(20)]), f"{i:05d}") for i in range(3000)]
     df = spark.createDataFrame(rows, "g string, t int, id string").repartition(7)
-    found = ordered.with_position(df, ["g"], ["t", "id"], "pos")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    found = ordered.with_position(df, ["g"], ["t", "id"], [F.expr(c) for c in cuts], "pos")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == jobs
+    assert found.columns == ["g", "t", "id", "pos"]
     want = {}
-    for g in ("hot", "cold"):
-        for n, row in enumerate(sorted(r for r in rows if r[0] == g), 1):
-            want[row[2]] = n
+    for g in ("hot", "cold", None):
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        want |= {row[2]: n for n, row in enumerate(mine, 1)}
     assert {r["id"]: r["pos"] for r in found.collect()} == want
-    assert found.select(F.spark_partition_id()).distinct().count() >= 1
 
 
 def test_backlog_capacity(spark):
