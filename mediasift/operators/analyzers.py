@@ -63,23 +63,28 @@ def complete_plan(plan: DataFrame, executed: DataFrame) -> DataFrame:
 
 
 def requests(validated: DataFrame, catalog: DataFrame, params: Params | None = None) -> DataFrame:
-    """What each analyzer is given (M05): the descriptor, how many artifacts were prepared per
-    analysis, and its own settings. No source, no credentials, no paths.
+    """What each analyzer is given (M05): the descriptor, how many artifacts are prepared for it, its time
+    limit and its own settings. No source, no credentials, no paths.
 
     validated: analysis_id, media_type, duration_seconds, has_audio, size_bytes, sha256.
     """
-    prepared = grids.artifact_catalog(validated, params).groupBy("analysis_id").agg(
-        F.count("*").alias("n_artifacts")
-    )
-    plan = planned(validated, catalog).where(F.col("planned_status").isNull())
-    return plan.join(prepared, "analysis_id", "left").select(
+    params = params or Params()
+    return planned(validated, catalog).where(F.col("planned_status").isNull()).select(
         "analysis_id", "media_type", "analyzer_id", "analyzer_version", "group",
         "duration_seconds", "size_bytes", "sha256",
-        F.coalesce("n_artifacts", F.lit(0)).alias("n_artifacts"),
+        grids.artifact_count(params).alias("n_artifacts"),
+        F.lit(params.analyzer_timeout_seconds).alias("limit_seconds"),
         "settings",
     )
 
 
+def request_artifacts(validated: DataFrame, catalog: DataFrame, params: Params | None = None) -> DataFrame:
+    """The artifacts of each request as rows, made from the file's own row without a join."""
+    return planned(validated, catalog).where(F.col("planned_status").isNull()).select(
+        "analysis_id", "analyzer_id", "analyzer_version", F.inline(grids.artifacts(params))
+    )
+
+
 def run(request_rows: DataFrame, registry: Mapping[str, Analyzer]) -> DataFrame:
     """Run plug-ins over request rows, batch by batch, without a shuffle.
 

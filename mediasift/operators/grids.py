@@ -1,4 +1,8 @@
-"""Preprocessing grids and the artifact catalog."""
+"""Preprocessing grids and the artifact catalog.
+
+The artifacts of a file are one array expression over its own row, so a catalog is one scan and one
+generator, and their number is known without making them.
+"""
 
 from __future__ import annotations
 
@@ -46,51 +50,71 @@ def video_keyframes(media: DataFrame, params: Params | None = None) -> DataFrame
     )
 
 
-def artifact_catalog(media: DataFrame, params: Params | None = None) -> DataFrame:
-    """Every prepared artifact that must be deleted later (N03): no internal paths.
+ARTIFACT = "struct<artifact_id:string,artifact_type:string,format:string,start_seconds:double,end_seconds:double>"
 
-    media: analysis_id, media_type, duration_seconds, has_audio.
+
+def _artifact(kind: str, fmt: str, number: Column | None = None, start: Column | None = None, end: Column | None = None) -> Column:
+    none = F.lit(None)
+    return F.struct(
+        (F.lit(kind) if number is None else F.concat(F.lit(f"{kind}_"), number)).alias("artifact_id"),
+        F.lit(kind).alias("artifact_type"),
+        F.lit(fmt).alias("format"),
+        (none if start is None else start).cast("double").alias("start_seconds"),
+        (none if end is None else end).cast("double").alias("end_seconds"),
+    ).cast(ARTIFACT)
+
+
+def _singles(params: Params) -> list[tuple[Column, str, str]]:
+    """Artifacts of which a file has one or none: condition, kind, format."""
+    kind = F.col("media_type")
+    wanted = [
+        (params.normalize_images, kind == "image", "normalized_image", "png"),
+        (params.build_spectrogram, kind == "audio", "spectrogram", "png"),
+        (params.extract_audio_track, (kind == "video") & F.col("has_audio"), "extracted_audio_track", "wav"),
+        (params.extract_metadata, kind.isNotNull(), "metadata_snapshot", "json"),
+    ]
+    return [tuple(rest) for on, *rest in wanted if on]
+
+
+def artifacts(params: Params | None = None) -> Column:
+    """array<ARTIFACT> of a row with media_type, duration_seconds and has_audio.
+
+    Fragments of audio, key frames of video, then the single ones. Without a duration, or with one that is
+    not positive, there are no fragments or key frames.
     """
     params = params or Params()
+    kind, duration = F.col("media_type"), F.col("duration_seconds")
+    step, beat = F.lit(float(params.fragment_seconds)), F.lit(float(params.keyframe_seconds))
+    cut = lambda i: _artifact("audio_fragment", "wav", i, i * step, F.least((i + 1) * step, duration))
+    shot = lambda i: _artifact("key_frame", "png", i, i * beat, i * beat)
+    lists = [
+        F.when(kind == "audio", F.transform(_steps(duration, params.fragment_seconds), cut)),
+        F.when(kind == "video", F.transform(_steps(duration, params.keyframe_seconds), shot)),
+        *[F.when(condition, F.array(_artifact(name, fmt))) for condition, name, fmt in _singles(params)],
+    ]
+    none = F.array().cast(f"array<{ARTIFACT}>")
+    return F.concat(*[F.coalesce(part, none) for part in lists])
 
-    def single(condition: Column, kind: str, fmt: str) -> DataFrame:
-        return media.where(condition).select(
-            "analysis_id",
-            F.lit(kind).alias("artifact_id"),
-            F.lit(kind).alias("artifact_type"),
-            F.lit(fmt).alias("format"),
-            F.lit(None).cast("double").alias("start_seconds"),
-            F.lit(None).cast("double").alias("end_seconds"),
-        )
 
-    kind = F.col("media_type")
+def artifact_count(params: Params | None = None) -> Column:
+    """Size of `artifacts`, reckoned from the duration."""
+    params = params or Params()
+    kind, duration = F.col("media_type"), F.col("duration_seconds")
+    steps = lambda step: F.greatest(F.ceil(duration / F.lit(step)).cast("bigint"), F.lit(0))
     parts = [
-        audio_fragments(media, params).select(
-            "analysis_id",
-            F.concat(F.lit("audio_fragment_"), F.col("fragment")).alias("artifact_id"),
-            F.lit("audio_fragment").alias("artifact_type"),
-            F.lit("wav").alias("format"),
-            "start_seconds",
-            "end_seconds",
-        ),
-        video_keyframes(media, params).select(
-            "analysis_id",
-            F.concat(F.lit("key_frame_"), F.col("keyframe")).alias("artifact_id"),
-            F.lit("key_frame").alias("artifact_type"),
-            F.lit("png").alias("format"),
-            F.col("at_seconds").alias("start_seconds"),
-            F.col("at_seconds").alias("end_seconds"),
-        ),
+        F.when(kind == "audio", steps(params.fragment_seconds)),
+        F.when(kind == "video", steps(params.keyframe_seconds)),
+        *[F.when(condition, F.lit(1)) for condition, _, _ in _singles(params)],
     ]
-    if params.normalize_images:
-        parts.append(single(kind == "image", "normalized_image", "png"))
-    if params.build_spectrogram:
-        parts.append(single(kind == "audio", "spectrogram", "png"))
-    if params.extract_audio_track:
-        parts.append(single((kind == "video") & F.col("has_audio"), "extracted_audio_track", "wav"))
-    if params.extract_metadata:
-        parts.append(single(kind.isNotNull(), "metadata_snapshot", "json"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("must_delete", F.lit(True))
+    total = F.lit(0).cast("bigint")
+    for part in parts:
+        total = total + F.coalesce(part, F.lit(0))
+    return total
+
+
+def artifact_catalog(media: DataFrame, params: Params | None = None) -> DataFrame:
+    """Every prepared artifact that must be deleted later (N03): no internal paths.
+
+    media: analysis_id, media_type, duration_seconds, has_audio.
+    """
+    return media.select("analysis_id", F.inline(artifacts(params))).withColumn("must_delete", F.lit(True))

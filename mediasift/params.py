@@ -29,6 +29,7 @@ class Params:
     # preprocessing grids
     fragment_seconds: int = 10
     keyframe_seconds: int = 2
+    analyzer_timeout_seconds: int = 120
     normalize_images: bool = True
     build_spectrogram: bool = True
     extract_audio_track: bool = True
@@ -56,7 +57,7 @@ class Params:
         at_least_one = (
             "image_limit_mib audio_limit_mib video_limit_mib image_capacity audio_capacity "
             "video_capacity workspace_ttl_minutes quarantine_ttl_hours fragment_seconds "
-            "keyframe_seconds"
+            "keyframe_seconds analyzer_timeout_seconds"
         ).split()
         at_least_zero = "cleanup_retries low_max medium_max weak_score significant_score".split()
         for name in at_least_one:

@@ -116,6 +116,10 @@ def test_grids(spark):
     assert kinds == set(assess.dims.vocab.ARTIFACT_TYPES)
     few = grids.artifact_catalog(df, Params(build_spectrogram=False, extract_metadata=False))
     assert "spectrogram" not in {r[0] for r in few.select("artifact_type").collect()}
+    for params in (Params(), Params(build_spectrogram=False, extract_metadata=False, keyframe_seconds=3)):
+        odd = df.unionAll(media(spark, ("n", "audio", -3.0, None, 1, "s"), ("v", "video", 0.0, None, 1, "s"), ("u", None, 9.0, True, 1, "s")))
+        counts = odd.select(F.size(grids.artifacts(params)).alias("made"), grids.artifact_count(params).alias("reckoned")).collect()
+        assert all(r["made"] == r["reckoned"] for r in counts) and len(counts) == 9
 
 
 def test_one_failing_row_does_not_stop_the_others(spark):
