@@ -569,3 +569,30 @@ def outcome_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "declared_as_of",
+    f"""{cte('received_v', 'declaration_v')}, d AS (
+      SELECT r.path, d.original_name, d.declared_content_type,
+        row_number() OVER (PARTITION BY r.path ORDER BY d.declared_at DESC, d.version DESC, d.original_name DESC, d.declared_content_type DESC NULLS LAST) AS n
+      FROM received_v r JOIN declaration_v d ON d.path = r.path AND d.declared_at <= r.arrived)
+    SELECT r.path, strlen(r.body)::BIGINT AS size_bytes, sha256(r.body) AS sha256, coalesce(d.original_name, split_part(r.path, '/', 2)) AS original_name,
+      {_MIME} AS declared_mime, true AS registered
+    FROM received_v r LEFT JOIN d ON d.path = r.path AND d.n = 1""",
+)
+def declared_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw bytes measured, registered with a safe id and a UTC time, and named as of their arrival."""
+    body = F.col("body").cast("binary")
+    files = view(spark, sf, "received_v").select(
+        "path", F.col("arrived").alias("modificationTime"), F.length(body).cast("long").alias("length"), body.alias("content")
+    )
+    as_of = F.lit("2031-02-03T06:00:00Z")
+    known = media.measure(media.register(files, F.lit("api"), as_of).drop("original_name", "declared_content_type"), PARAMS)
+    named = media.declared_as_of(known, view(spark, sf, "declaration_v"))
+    return named.select(
+        "path",
+        "size_bytes",
+        "sha256",
+        "original_name",
+        X.normalized_mime(F.col("declared_content_type")).alias("declared_mime"),
+        media.registration_valid(F.col("analysis_id"), F.col("registered_at"), F.col("size_bytes")).alias("registered"),
+    )

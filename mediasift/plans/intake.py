@@ -63,6 +63,7 @@ def triage_directory(
     as_of: Column,
     reads: DataFrame | None = None,
     manifest: DataFrame | None = None,
+    declarations: DataFrame | None = None,
     params: Params | None = None,
 ) -> DataFrame:
     """Outcome rows of every file under `path`, oversized ones included.
@@ -70,17 +71,21 @@ def triage_directory(
     Spark's file sources list neither empty files nor names that begin with `_` or `.`. A `manifest`
     of what was received (path as the source writes it, modificationTime, length) adds every file that
     is not listed, so that each received file has an outcome: an empty one is rejected, and one whose
-    bytes could not be read has failed on our side.
+    bytes could not be read has failed on our side. `declarations` give names and types that were stated
+    with the files (`media.declared_as_of`); without them check 8 has nothing to compare.
     """
     params = params or Params()
     small = media.register(media.scan_media(spark, path, params), source, as_of)
-    checked = attach_probes(media.measure(small, params), probes, reads)
+    measured = media.measure(small, params)
+    if declarations is not None:
+        measured = media.declared_as_of(measured.drop("original_name", "declared_content_type"), declarations)
+    checked = attach_probes(measured, probes, reads)
     unread = media.scan_oversized(spark, path, params)
     if manifest is not None:
         listed = media.scan_listed(spark, path).select("path")
         received = manifest.select("path", "modificationTime", "length")
         unread = unread.unionByName(received.join(listed, "path", "left_anti"))
-    rest = _unread(media.register(unread, source, as_of))
+    rest = _unread(media.register(unread, source, as_of, declarations=declarations))
     return gate.validate(checked.unionByName(rest), params)
 
 

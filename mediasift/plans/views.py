@@ -402,6 +402,29 @@ VIEWS: dict[str, View] = {
             },
         ),
     ),
+    # received files, and what was declared of them in versions before and after they came
+    "received_v": View(
+        "documents",
+        (
+            {
+                "path": "'in/' || CAST(doc_id AS STRING) || '.png'",
+                "body": "coalesce(text, '')",
+                "arrived": "CAST('2031-02-03 04:' || lpad(CAST(doc_id % 60 AS STRING), 2, '0') || ':00' AS TIMESTAMP)",
+            },
+        ),
+    ),
+    "declaration_v": View(
+        "lineitem",
+        (
+            {
+                "path": "'in/' || CAST(l_orderkey AS STRING) || '.png'",
+                "version": "CAST(l_linenumber AS BIGINT)",
+                "declared_at": "CAST('2031-02-03 04:' || lpad(CAST(l_partkey % 60 AS STRING), 2, '0') || ':00' AS TIMESTAMP)",
+                "original_name": "'n' || CAST(l_suppkey AS STRING) || '.png'",
+                "declared_content_type": _pick("CAST(l_suppkey % 4 AS INT)", ("'image/png'", "' IMAGE/JPEG; q=1'", "NULL", "'?'")),
+            },
+        ),
+    ),
     # the records of a task: one order each, with a known share of damaged ones
     "accepted_v": View(
         "orders",

@@ -90,28 +90,65 @@ def source_record(
     ).cast(schemas.SOURCE)
 
 
-def register(files: DataFrame, source: Column, as_of: Column, *, repeatable: bool = True) -> DataFrame:
+def declared_as_of(files: DataFrame, declarations: DataFrame) -> DataFrame:
+    """`files` with original_name and declared_content_type of the newest declaration not after their arrival.
+
+    declarations: path, version, declared_at, original_name, declared_content_type; every version of the
+    manifest is kept, so a file registered again finds what was known when it arrived. Of one instant the
+    greatest version counts, then the greatest values. A file that nothing was declared of has its own name
+    and no type. The newest entry is an aggregate that combines before its shuffle; a listing has a path once.
+    """
+    at = files.select(F.col("path"), F.col("modificationTime").alias("_arrived")).distinct()
+    entry = F.struct("declared_at", "version", "original_name", "declared_content_type")
+    newest = (
+        declarations.join(at, "path")
+        .where(F.col("declared_at") <= F.col("_arrived"))
+        .groupBy("path", "_arrived")
+        .agg(F.max(entry).alias("_entry"))
+        .withColumnRenamed("_arrived", "modificationTime")
+    )
+    own = F.element_at(F.split("path", "/"), -1)
+    return (
+        files.join(newest, ["path", "modificationTime"], "left")
+        .withColumn("original_name", F.coalesce(F.col("_entry.original_name"), own))
+        .withColumn("declared_content_type", F.col("_entry.declared_content_type"))
+        .drop("_entry")
+    )
+
+
+def register(
+    files: DataFrame,
+    source: Column,
+    as_of: Column,
+    *,
+    declarations: DataFrame | None = None,
+    repeatable: bool = True,
+) -> DataFrame:
     """Adds analysis_id, registered_at, source and the input descriptor columns.
 
     Repeatable ids come from path, length and modification time: a recomputed partition gives
-    the same ids. Random ids are only safe once written.
+    the same ids. Random ids are only safe once written. Names and declared types come from
+    `declarations` where given, as of each file's arrival; register before reading bytes, or measure
+    first, since that lookup shuffles the rows it gets.
     """
     new_id = (
         X.stable_id(F.col("path"), F.col("length"), F.unix_micros("modificationTime"))
         if repeatable
         else X.random_id()
     )
-    return files.withColumns(
+    registered = files.withColumns(
+        {"analysis_id": new_id, "registered_at": as_of, "received_at": as_of, "source": source}
+    )
+    if declarations is not None:
+        return declared_as_of(registered, declarations)
+    return registered.withColumns(
         {
-            "analysis_id": new_id,
-            "registered_at": as_of,
-            "received_at": as_of,
-            "source": source,
             "original_name": F.element_at(F.split("path", "/"), -1),
             "declared_content_type": F.lit(None).cast("string"),
         }
     )
 
 
-def descriptor_valid(received_at_text: Column, size_bytes: Column) -> Column:
-    return X.is_utc_text(received_at_text) & size_bytes.isNotNull()
+def registration_valid(analysis_id: Column, registered_at_text: Column, size_bytes: Column) -> Column:
+    """A safe id, a UTC time and a measured size."""
+    return F.coalesce(X.is_safe_id(analysis_id) & X.is_utc_text(registered_at_text) & size_bytes.isNotNull(), F.lit(False))

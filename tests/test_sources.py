@@ -73,6 +73,30 @@ def test_directory_end_to_end(spark, folder):
     assert len({r["analysis_id"] for r in rows.values()}) == len(FILES) + 1
 
 
+@pytest.mark.parametrize(
+    "entries, want",
+    [
+        ([(1, 1990, "a.mp3", "image/png"), (2, 1991, "track.mp3", "Audio/MPEG"), (3, 2990, "b.mp3", "image/png")], ("track.mp3", "accepted", None)),
+        ([(1, 1990, "track.mp3", "audio/mpeg"), (2, 1990, "track.mp3", "audio/flac")], ("track.mp3", "rejected", "declared_mime_consistent")),
+        ([(1, 2990, "a.mp3", "image/png")], ("song.mp3", "accepted", None)),
+        ([(1, 1990, None, "?")], ("song.mp3", "rejected", "declared_mime_consistent")),
+    ],
+)
+def test_declared_types_as_of_arrival(spark, folder, entries, want):
+    path = next(r["path"] for r in media.scan_listed(spark, folder, glob="*.mp3").collect())
+    rows = [(path, v, datetime(year, 1, 1), name, kind) for v, year, name, kind in entries] + [("elsewhere", 1, datetime(1990, 1, 1), "x", "y")]
+    said = spark.createDataFrame(rows, "path string, version int, declared_at timestamp, original_name string, declared_content_type string")
+    out = intake.triage_directory(spark, folder, probes(spark, folder), source=source(), as_of=as_of(), declarations=said, params=PARAMS)
+    song = out.where(F.col("path") == path).select("original_name", "status", "failed_check").collect()
+    assert [tuple(r) for r in song] == [want]
+
+
+def test_registration_rules(spark):
+    rows = [("a1", "2031-02-03T04:05:06Z", 1), ("a/1", "2031-02-03T04:05:06Z", 1), ("a1", "2031-02-03T04:05:06+01:00", 1), ("a1", "2031-02-03T04:05:06Z", None), (None, None, 1)]
+    df = spark.createDataFrame(rows, "i string, t string, n long")
+    assert [r[0] for r in df.coalesce(1).select(media.registration_valid(F.col("i"), F.col("t"), F.col("n"))).collect()] == [True, False, False, False, False]
+
+
 def test_large_files_are_listed_but_not_read(spark, folder):
     plan = media.scan_media(spark, folder, PARAMS)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(length), LessThanOrEqual(length,1048576)]" in plan
