@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+import signal
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -18,13 +19,35 @@ from mediasift.sources import dims
 @dataclass(frozen=True)
 class Analyzer:
     """A plug-in: `analyze` gets a batch of request rows and returns, for each of them in order,
-    score, score_name, summary, raw_metrics (JSON) and candidate_findings (list of JSON)."""
+    score, score_name, summary, raw_metrics (JSON) and candidate_findings (list of JSON).
+    `check_applicability` tells, for each row of a batch, whether this version can judge it; rows it
+    declines are never handed to `analyze`."""
 
     analyzer_id: str
     version: str
     media_type: str
     group: str
     analyze: Callable[[pd.DataFrame], pd.DataFrame]
+    check_applicability: Callable[[pd.DataFrame], Sequence[bool]] | None = None
+
+
+class Overdue(BaseException):
+    """A plug-in passed its time limit; not an `Exception`, so that no plug-in swallows it."""
+
+
+def _within(seconds: float, call: Callable[[], pd.DataFrame]) -> pd.DataFrame:
+    """The result of `call`, which is interrupted after `seconds` by the timer of its process."""
+
+    def late(*_) -> None:
+        raise Overdue
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        return call()
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
 
 
 _OUT = ["score", "score_name", "summary", "raw_metrics", "candidate_findings"]
@@ -90,34 +113,63 @@ def run(request_rows: DataFrame, registry: Mapping[str, Analyzer]) -> DataFrame:
 
     A batch that fails is retried row by row; a row that fails becomes an `error` row with a safe
     code and no exception text, and the others are unaffected. A request for an analyzer, or a version
-    of one, that the registry lacks is an `error` row too.
+    of one, that the registry lacks is an `error` row too. A call may last as long as the greatest
+    `limit_seconds` of its rows (the default of `Params` where there is none); a batch that does not end
+    in time is retried row by row, and a row that does not is a `timeout` row, so a plug-in that hangs costs
+    its own rows only. The timer interrupts Python code, and native code when it returns to Python. Rows that
+    the plug-in declines are `not_applicable`.
     """
     plugins = {(p.analyzer_id, p.version): p for p in registry.values()}
+    usual = float(Params().analyzer_timeout_seconds)
 
-    def one_call(plugin: Analyzer, rows: pd.DataFrame) -> pd.DataFrame:
-        out = plugin.analyze(rows).reset_index(drop=True)
-        if len(out) != len(rows):
-            raise ValueError("an analyzer must return one row per request")
-        return out.reindex(columns=_OUT).assign(status="completed", error_code=None)
-
-    def failed(n: int) -> pd.DataFrame:
+    def without_result(n: int, status: str, summary: str, code: str | None) -> pd.DataFrame:
         return pd.DataFrame(
             {
                 "score": [None] * n,
                 "score_name": [None] * n,
-                "summary": ["The analyzer failed."] * n,
+                "summary": [summary] * n,
                 "raw_metrics": ["{}"] * n,
                 "candidate_findings": [[] for _ in range(n)],
-                "status": ["error"] * n,
-                "error_code": ["analyzer_failed"] * n,
+                "status": [status] * n,
+                "error_code": [code] * n,
             }
         )
 
+    def failed(n: int) -> pd.DataFrame:
+        return without_result(n, "error", "The analyzer failed.", "analyzer_failed")
+
+    def one_call(plugin: Analyzer, rows: pd.DataFrame) -> pd.DataFrame:
+        fits = [True] * len(rows)
+        if plugin.check_applicability is not None:
+            fits = [bool(x) for x in plugin.check_applicability(rows)]
+        if len(fits) != len(rows):
+            raise ValueError("an analyzer must decide on every request")
+        chosen = [i for i, fit in enumerate(fits) if fit]
+        declined = without_result(len(rows) - len(chosen), "not_applicable", "The analyzer does not apply.", None)
+        if not chosen:
+            return declined
+        out = plugin.analyze(rows.iloc[chosen]).reset_index(drop=True)
+        if len(out) != len(chosen):
+            raise ValueError("an analyzer must return one row per request")
+        out = out.reindex(columns=_OUT).assign(status="completed", error_code=None)
+        if len(chosen) == len(rows):
+            return out
+        out.index, declined.index = chosen, [i for i, fit in enumerate(fits) if not fit]
+        return pd.concat([out.astype(object), declined.astype(object)]).sort_index()
+
+    def limit_of(rows: pd.DataFrame) -> float:
+        if "limit_seconds" not in rows:
+            return usual
+        return float(rows["limit_seconds"].astype("float64").fillna(usual).max())
+
     def guarded(plugin: Analyzer | None, rows: pd.DataFrame) -> pd.DataFrame:
         if plugin is None:
             return failed(len(rows))
         try:
-            return one_call(plugin, rows)
+            return _within(limit_of(rows), lambda: one_call(plugin, rows))
+        except Overdue:
+            if len(rows) == 1:
+                return without_result(1, "timeout", "The analyzer did not end in time.", "analyzer_timeout")
         except Exception:
             if len(rows) == 1:
                 return failed(1)
@@ -137,7 +189,7 @@ def run(request_rows: DataFrame, registry: Mapping[str, Analyzer]) -> DataFrame:
                         "media_type": keys["media_type"],
                         "group": keys["group"],
                         "status": out["status"],
-                        "applicable": True,
+                        "applicable": out["status"] != "not_applicable",
                         "score": out["score"].astype("float64"),
                         "score_name": out["score_name"],
                         "summary": out["summary"],

@@ -148,6 +148,34 @@ def test_one_failing_row_does_not_stop_the_others(spark):
     assert bad["score"] is None and bad["error_code"] == "analyzer_failed" and "secret" not in bad["summary"]
 
 
+def test_hanging_and_declined_rows_cost_only_themselves(spark):
+    def analyze(rows: pd.DataFrame) -> pd.DataFrame:
+        import time
+
+        while (rows["size_bytes"] == 3).any():
+            try:
+                time.sleep(60)
+            except Exception:  # swallows what it can
+                pass
+        assert not rows["size_bytes"].isin([1, 4]).any()
+        n = len(rows)
+        return pd.DataFrame({"score": rows["size_bytes"].astype("float64").tolist(), "score_name": ["p"] * n, "summary": ["ok"] * n, "raw_metrics": ["{}"] * n, "candidate_findings": [["{}"]] * n})
+
+    asked = spark.createDataFrame(
+        [(f"m{i}", "slow", "1", "image", "g", i, 1) for i in range(6)] + [("m4", "never", "1", "image", "g", 4, None)],
+        "analysis_id string, analyzer_id string, analyzer_version string, media_type string, `group` string, size_bytes bigint, limit_seconds int",
+    ).coalesce(1)
+    registry = {
+        "slow": analyzers.Analyzer("slow", "1", "image", "g", analyze, lambda rows: ~rows["size_bytes"].isin([1, 4])),
+        "never": analyzers.Analyzer("never", "1", "image", "g", analyze, lambda rows: [False] * len(rows)),
+    }
+    out = {(r["analyzer_id"], r["analysis_id"]): (r["status"], r["applicable"], r["score"], r["error_code"]) for r in analyzers.run(asked, registry).collect()}
+    declined = ("not_applicable", False, None, None)
+    want = {("slow", f"m{i}"): ("completed", True, float(i), None) for i in (0, 2, 5)}
+    want |= {("slow", "m1"): declined, ("slow", "m4"): declined, ("never", "m4"): declined}
+    assert out == want | {("slow", "m3"): ("timeout", True, None, "analyzer_timeout")}
+
+
 @pytest.mark.parametrize("bad", ["not json", "{}"])
 def test_unusable_candidates_still_name_their_source(spark, bad):
     df = spark.createDataFrame([("a", "n", "1", "g", 0.5, [bad])], "analysis_id string, analyzer_id string, analyzer_version string, `group` string, score double, candidate_findings array<string>")
