@@ -55,3 +55,14 @@ def test_mixing_stage_has_the_target_of_op8(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(mixing, "remix", lambda docs, labels, tilt=mixing.TILT: asked.append(tilt) or docs)
     corpus_pipeline.mix(spark, spark.range(1), str(tmp_path))
     assert asked == [mixing.TILT] and mixing.TILT == {"quality1": 1.0, "quality0": 0.6}
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_workers_get_texts_in_small_batches(spark, odd_docs, tmp_path, name):
+    """Whole texts went to a worker 10,000 at a time, which made its memory follow the length of the texts."""
+    spark.createDataFrame([(1, 1, 0), (8, 0, 0), (7, 1, 1), (3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for setting in corpus_pipeline.BATCH:
+        spark.conf.unset(setting)
+    dict(corpus_pipeline.STAGES)[name](spark, odd_docs.select(*COLUMNS), str(tmp_path))
+    sizes = spark.range(3000, numPartitions=1).mapInPandas(lambda parts: (p.iloc[:1].assign(id=len(p)) for p in parts), "id long")
+    assert max(r["id"] for r in sizes.collect()) <= 500
