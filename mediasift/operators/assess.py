@@ -262,8 +262,8 @@ def risk_record(assessed: DataFrame) -> DataFrame:
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
-def _child_rows(analyzer_rows: DataFrame, findings: DataFrame) -> DataFrame:
-    """analysis_id, section, child_id, critical and JSON of every analyzer and finding."""
+def _children(analyzer_rows: DataFrame, findings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """analysis_id, section, child_id, critical and JSON of every analyzer, and of every finding."""
     critical = F.col("_critical") if "_critical" in findings.columns else F.lit(False)
 
     def children(rows: DataFrame, section: str, child_id: str, is_critical: Column) -> DataFrame:
@@ -276,8 +276,9 @@ def _child_rows(analyzer_rows: DataFrame, findings: DataFrame) -> DataFrame:
             F.to_json(F.struct(*fields), _KEEP_NULLS).alias("json"),
         )
 
-    return children(analyzer_rows, "analyzers", "analyzer_id", F.lit(False)).unionByName(
-        children(findings, "findings", "finding_id", critical)
+    return (
+        children(analyzer_rows, "analyzers", "analyzer_id", F.lit(False)),
+        children(findings, "findings", "finding_id", critical),
     )
 
 
@@ -296,7 +297,8 @@ def document_rows(heads: DataFrame, analyzer_rows: DataFrame, findings: DataFram
         F.lit(False).alias("critical"),
         F.to_json(F.struct(*fields), _KEEP_NULLS).alias("json"),
     )
-    return head.unionByName(_child_rows(analyzer_rows, findings))
+    analyzers, found = _children(analyzer_rows, findings)
+    return head.unionByName(analyzers).unionByName(found)
 
 
 def assemble(heads: DataFrame, analyzer_rows: DataFrame, findings: DataFrame) -> DataFrame:
@@ -310,15 +312,12 @@ def assemble(heads: DataFrame, analyzer_rows: DataFrame, findings: DataFrame) ->
     thus has to fit a row. `document_rows` is the form for analyses that may not. Empty lists are kept.
     """
 
-    def items(section: str) -> Column:
-        picked = F.collect_list(F.when(F.col("section") == section, F.struct("child_id", "json")))
-        return F.transform(F.sort_array(picked), lambda x: x["json"])
+    def gathered(rows: DataFrame, section: str) -> DataFrame:
+        picked = F.transform(F.sort_array(F.collect_list(F.struct("child_id", "json"))), lambda x: x["json"])
+        ids = F.sort_array(F.collect_list(F.when(F.col("critical"), F.col("child_id"))))
+        return rows.groupBy("analysis_id").agg(picked.alias(section), *([ids.alias("critical_ids")] if section == "findings" else []))
 
-    lists = _child_rows(analyzer_rows, findings).groupBy("analysis_id").agg(
-        items("analyzers").alias("analyzers"),
-        items("findings").alias("findings"),
-        F.sort_array(F.collect_list(F.when(F.col("critical"), F.col("child_id")))).alias("critical_ids"),
-    )
+    lists = [gathered(rows, section) for rows, section in zip(_children(analyzer_rows, findings), ("analyzers", "findings"), strict=True)]
     none = F.array().cast("array<string>")
     risk = F.col("risk_assessment")
     fields = [c for c in heads.columns if c not in ("risk_assessment", "first_override_finding")]
@@ -343,7 +342,7 @@ def assemble(heads: DataFrame, analyzer_rows: DataFrame, findings: DataFrame) ->
         as_list("findings"),
         F.lit("}"),
     )
-    return heads.join(lists, "analysis_id", "left").select(
+    return heads.join(lists[0], "analysis_id", "left").join(lists[1], "analysis_id", "left").select(
         "analysis_id",
         F.size(F.coalesce("analyzers", none)).alias("n_analyzers"),
         F.size(F.coalesce("findings", none)).alias("n_findings"),

@@ -186,3 +186,15 @@ def test_unusable_candidates_still_name_their_source(spark, bad):
 def test_judge_documents_of_assessment(spark):
     df = spark.createDataFrame([(json.dumps(D.result()),)], "doc string")
     assert results.judge(df).first()["violations"] == []
+
+
+@pytest.mark.parametrize("name", ["assemble", "flatten_findings", "documents_valid"])
+def test_documents_shuffle_bare_columns_only(spark, name):
+    """The JSON text of every child went through a shuffle, and each grouping and join by analysis through one more."""
+    from mediasift.plans import assess_queries as Q
+
+    plan = Q.result_documents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 4 and all("cast(l_orderkey" in line for line in dealt)
+    asked = getattr(Q, name)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not any("analysis_id" in line or "json" in line for line in asked.splitlines() if "Exchange hashpartitioning" in line)
