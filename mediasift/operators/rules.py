@@ -389,6 +389,81 @@ def shape_violations(
     return F.coalesce(let(J.members(value), judge), _no_names())
 
 
+_SCALAR_TYPES = {"S": "STRING", "I": "BIGINT", "N": r"(?:BIGINT|DECIMAL\(\d+,\d+\)|DOUBLE)", "B": "BOOLEAN"}
+#: Content of nested values that is not looked into: whatever has no nested value and no quoted name.
+_FLAT = "[^<>`]*"
+_TEXTS_TYPE = "ARRAY<(?:VOID|STRING)>"
+_TEXTS_JSON = r'\[(?:"[^"\\]*"(?:,"[^"\\]*")*)?\]'
+_ERROR_JSON = r'\{"category":"[^"\\]*","code":"[^"\\]*","message":"[^"\\]*","retryable":(?:true|false)\}'
+
+
+def _type_pattern(shape: str, **nested: str) -> str:
+    """How `schema_of_variant` writes an object of the shape without violations; `nested` has its arrays and objects."""
+    fields = []
+    for name, code in sorted((name.rstrip("?"), code) for name, code in SHAPES[shape].items()):
+        kind = nested.get(name) or {"O": f"OBJECT<{_FLAT}>", "A": f"ARRAY<{_FLAT}>"}.get(code[0]) or _SCALAR_TYPES[code[0]]
+        field = f"{name}: " + (f"(?:{kind}|VOID)" if code.endswith("0") else kind) + "(?:, |(?=>))"
+        fields.append(f"(?:{field})?" if f"{name}?" in SHAPES[shape] else field)
+    return f"OBJECT<{''.join(fields)}>"
+
+
+def is_plain_document(doc: Column, described: Column) -> Column:
+    """True only for documents without shape violations, told from `described`, their `schema_of_variant`.
+
+    The type of an array is that of all its items together: it shows what no item may have, but neither a
+    key that one item lacks nor a null, for which items are opened once. What is not so plain (errors with
+    optional keys, places other than the file, nested metrics) is left to `document_shape`.
+    """
+    errors_type = f"ARRAY<(?:VOID|{_type_pattern('error')})>"
+    parameters = "|".join(_type_pattern(kind) for kind in vocab.MEDIA_TYPES)
+    pattern = _type_pattern(
+        "result",
+        source=_type_pattern("source"),
+        file=_type_pattern("validated_file", technical_parameters=f"(?:{parameters})"),
+        processing=_type_pattern("processing"),
+        analyzers=f"ARRAY<(?:VOID|{_type_pattern('analyzer', warnings=_TEXTS_TYPE, errors=errors_type)})>",
+        findings=f"ARRAY<(?:VOID|{_type_pattern('finding', evidence_refs=_TEXTS_TYPE, localization=_type_pattern('file'))})>",
+        completeness=_type_pattern("completeness", missing_capabilities=_TEXTS_TYPE),
+        risk_assessment=_type_pattern("risk_assessment", critical_finding_ids=_TEXTS_TYPE, limitations=_TEXTS_TYPE),
+        recommendation=_type_pattern("recommendation", additional_actions=_TEXTS_TYPE),
+        cleanup=_type_pattern("cleanup", errors=errors_type),
+        warnings=_TEXTS_TYPE,
+        errors=errors_type,
+    )
+
+    def items(path: str, good: Body, kind: str = "string") -> Column:
+        return F.forall(F.try_variant_get(doc, f"$.{path}", f"array<{kind}>"), lambda e: F.coalesce(good(e), F.lit(False)))
+
+    def records(path: str, shape: str, *rules: Body) -> Column:
+        nullable = [name for name, code in SHAPES[shape].items() if code.endswith("0")]
+
+        def good(members: Column) -> Column:
+            missing = F.map_filter(members, lambda k, v: v.isNull() & ~k.isin(*nullable))
+            return both(F.size(members) == len(SHAPES[shape]), F.size(missing) == 0, *[rule(members) for rule in rules])
+
+        return items(path, good, "map<string,string>")
+
+    def written(key: str, json: str) -> Body:
+        return lambda members: F.try_element_at(members, F.lit(key)).rlike(rf"^{json}\z")
+
+    texts = "warnings completeness.missing_capabilities risk_assessment.critical_finding_ids risk_assessment.limitations recommendation.additional_actions"
+    return F.coalesce(
+        both(
+            described.rlike(rf"^{pattern}\z"),
+            *[items(path, lambda e: e.isNotNull()) for path in texts.split()],
+            *[items(path, lambda e: e.rlike(rf"^{_ERROR_JSON}\z")) for path in ("errors", "cleanup.errors")],
+            records("analyzers", "analyzer", written("warnings", _TEXTS_JSON), written("errors", rf"\[(?:{_ERROR_JSON}(?:,{_ERROR_JSON})*)?\]")),
+            records(
+                "findings",
+                "finding",
+                written("evidence_refs", _TEXTS_JSON),
+                lambda m: F.coalesce(F.try_element_at(m, F.lit("localization")), F.lit('{"type":"file"}')) == '{"type":"file"}',
+            ),
+        ),
+        F.lit(False),
+    )
+
+
 def document_shape(doc: Column, *, strict: bool = True) -> Column:
     """Shape violations of a stored result, at every nesting level."""
 

@@ -39,17 +39,19 @@ def _judgement(strict: bool, named: bool) -> Column:
     """struct(result, violations) of `doc`: parsed once, every stage only if the one before held."""
     readable = F.is_valid_utf8(F.col("doc"))
     not_json = F.array(F.lit("JSON"))
-    shape = let(
-        F.when(readable, F.try_parse_json("doc")),
-        lambda v: F.when(J.members(v).isNull(), not_json).otherwise(
-            R.document_shape(v, strict=strict)
-        ),
-    )
-    early = (
-        F.when(~readable, F.array(F.lit("UTF8")))
-        .when(X.has_non_finite_number(F.col("doc")), F.array(F.lit("R01")))
-        .otherwise(shape)
-    )
+
+    def stages(tree: Column, described: Column) -> Column:
+        # a number beyond the range is a double, which a mixed array may hide; without either there is none
+        perhaps = F.coalesce(described.contains("DOUBLE") | described.contains("VARIANT"), F.lit(True))
+        return (
+            F.when(~readable, F.array(F.lit("UTF8")))
+            .when(perhaps & X.has_non_finite_number(F.col("doc")), F.array(F.lit("R01")))
+            .when(R.is_plain_document(tree, described), F.array().cast("array<string>"))
+            .when(J.members(tree).isNull(), not_json)
+            .otherwise(R.document_shape(tree, strict=strict))
+        )
+
+    early = let(F.when(readable, F.try_parse_json("doc")), lambda v: let(F.schema_of_variant(v), lambda d: stages(v, d)))
 
     def typed(found: Column) -> Column:
         parsed = F.when(F.size(found) == 0, F.from_json("doc", schemas.RESULT))

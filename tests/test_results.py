@@ -273,3 +273,47 @@ def test_rule_sets_on_tables(spark):
     df = spark.createDataFrame(rows, "analysis_id string, config_snapshot_id string, started_at string")
     got = R.with_violations(df, R.context_rules(F.col, "started_at")).select(F.size("violations")).collect()
     assert [r[0] for r in got] == [1, 1, 0, 0, 1, 1]
+
+
+def test_plain_documents_have_no_shape_violation(spark):
+    """Most documents are judged by the text of their type; whatever an array's common type hides goes the long way."""
+    two = [analyzer(), analyzer(analyzer_id="b", errors=[ERROR], warnings=["w"])]
+    found = [finding(), finding(finding_id="g", localization={"type": "file"})]
+    lacking = lambda record, key: {k: v for k, v in record.items() if k != key}
+    hidden = [
+        result(analyzers=[two[0], lacking(two[1], "summary")]),
+        result(analyzers=[two[0], {**two[1], "summary": None}]),
+        result(analyzers=[two[0], {**two[1], "errors": [ERROR, lacking(ERROR, "code")]}]),
+        result(analyzers=[two[0], {**two[1], "errors": [ERROR, {**ERROR, "code": None}]}]),
+        result(analyzers=[two[0], {**two[1], "warnings": [None, "x"]}]),
+        result(analyzers=[two[0], None]),
+        result(analyzers=[None]),
+        result(analyzers=[two[0], {**two[1], "raw_metrics": {}, "raz": {}}]),
+        result(analyzers=[{**two[0], "raw_metrics": {"a>, b: OBJECT<": 1}, "raz": {}}]),
+        result(findings=[found[0], lacking(found[1], "severity")]),
+        result(findings=[found[0], {**found[1], "severity": None}]),
+        result(findings=[found[0], {**found[1], "localization": {"type": "polygon"}}]),
+        result(findings=[found[0], {**found[1], "localization": {}}]),
+        result(findings=[found[0], {**found[1], "evidence_refs": [None]}]),
+        result(warnings=[None]),
+        result(warnings=["x", None]),
+        result(errors=[ERROR, lacking(ERROR, "message")]),
+        result(errors=[None]),
+        result(risk_assessment__limitations=[None]),
+        result(recommendation__additional_actions=["verify_source", None]),
+    ]
+    plain = [result(analyzers=two, findings=found), result(analyzers=[], findings=[]), result(warnings=["a", "b"], errors=[ERROR, ERROR])]
+    docs = [*plain, *hidden, *GOOD, *[doc for doc, _ in BAD]]
+    rows = spark.createDataFrame([(i, d if isinstance(d, str) else json.dumps(d)) for i, d in enumerate(docs)], "i int, doc string")
+    rows = rows.withColumn("v", F.try_parse_json("doc"))
+    told = rows.select("i", R.is_plain_document(F.col("v"), F.schema_of_variant("v")).alias("plain"), R.document_shape(F.col("v")).alias("shape"))
+    got = told.orderBy("i").collect()
+    assert all(not r["shape"] for r in got if r["plain"])
+    assert [r["plain"] for r in got[: len(plain)]] == [True] * len(plain)
+    assert not any(r["plain"] for r in got[len(plain) : len(plain) + len(hidden)])
+
+
+def test_non_finite_numbers_are_found_beside_other_types(spark):
+    mixed = '{"bands": [1e999, "x"], "n": 1}'
+    texts = [json.dumps(result(analyzers=[analyzer(raw_metrics=0)])).replace('"raw_metrics": 0', f'"raw_metrics": {m}') for m in (mixed, '{"a": [{"b": 2E+400}]}', '{"a": "1e999"}')]
+    assert judged(spark, texts) == [["R01"], ["R01"], []]
