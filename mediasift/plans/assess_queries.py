@@ -275,9 +275,10 @@ def missing_caps(spark: SparkSession, sf: str) -> DataFrame:
 # --- documents -------------------------------------------------------------------------------------
 def _together(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A view of the lines with those of an analysis in one partition: only bare columns are shuffled, and what is
-    counted, gathered and joined by analysis afterwards needs no further shuffle."""
-    lines = read(spark, sf, "lineitem")
-    return derive(lines.repartition(F.col("l_orderkey").cast("string")), name)
+    counted, gathered and joined by analysis afterwards needs no further shuffle. The number of partitions is
+    stated: bare columns are small, so that Spark would put them together into few tasks, and documents are not."""
+    lines, partitions = read(spark, sf, "lineitem"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return derive(lines.repartition(partitions, F.col("l_orderkey").cast("string")), name)
 
 
 def document_heads(spark: SparkSession, sf: str, of=view) -> DataFrame:
