@@ -49,6 +49,8 @@ TASK_ROWS = 50_000
 FULL_ROWS = 5_000
 LEAST_TASKS = 48
 DEPTH = 4
+#: Edges that a task unites on average, before rounds over all of them.
+TASK_EDGES = 20_000
 
 #: Shingles whose bits are counted at once.
 SHINGLES = 100_000
@@ -123,6 +125,28 @@ def gray_rank(values: np.ndarray) -> np.ndarray:
     return rank
 
 
+def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the components of a[i] and b[i]; labels stay the least place of a component."""
+    one, two = label[a], label[b]
+    apart = one != two
+    if not apart.any():
+        return
+    pairs = np.unique(np.stack([np.maximum(one, two)[apart], np.minimum(one, two)[apart]], axis=1), axis=0)
+
+    def top(x: int) -> int:
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    for x, y in pairs.tolist():
+        x, y = top(x), top(y)
+        if x != y:
+            label[max(x, y)] = min(x, y)
+    while not np.array_equal(label, flat := label[label]):
+        label[:] = flat
+
+
 class GrayIndex:
     """Nodes over fingerprints sorted by (bucket, Gray rank), level by level from the leaves up."""
 
@@ -152,28 +176,6 @@ class GrayIndex:
         self.last = [np.r_[f[1:], len(values)] for f in self.first]
         self.root = np.searchsorted(roots, np.arange(len(values)), side="right") - 1
 
-    def _unite(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Join the components of a[i] and b[i]; labels stay the least place of a component."""
-        one, two = self.label[a], self.label[b]
-        apart = one != two
-        if not apart.any():
-            return
-        pairs = np.unique(np.stack([np.maximum(one, two)[apart], np.minimum(one, two)[apart]], axis=1), axis=0)
-        up = self.label
-
-        def top(x: int) -> int:
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        for x, y in pairs.tolist():
-            x, y = top(x), top(y)
-            if x != y:
-                up[max(x, y)] = min(x, y)
-        while not np.array_equal(up, flat := up[up]):
-            up[:] = flat
-
     def link(self, most: int) -> np.ndarray:
         """Label of each fingerprint's component, where links are at most `most` differing bits."""
         top = len(self.mask) - 1
@@ -182,7 +184,7 @@ class GrayIndex:
             if len(tight):
                 size = (last - first)[tight]
                 begin = np.repeat(first[tight], size)
-                self._unite(begin + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size), begin)
+                unite(self.label, begin + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size), begin)
         for begin in range(0, len(self.values), TOGETHER):
             query = np.arange(begin, min(begin + TOGETHER, len(self.values)))
             one = [(np.minimum.reduceat(self.label, f), np.maximum.reduceat(self.label, f)) for f in self.first]
@@ -196,7 +198,7 @@ class GrayIndex:
                 near = (sum_ <= most) & (self.last[level][node] > query + 1) & ~united
                 query, node, sum_ = query[near], node[near], sum_[near]
                 whole = sum_ + self.free[level][node] <= most
-                self._unite(query[whole], self.first[level][node[whole]])
+                unite(self.label, query[whole], self.first[level][node[whole]])
                 if level == 0:
                     continue
                 query, node, sum_ = query[~whole], node[~whole], sum_[~whole]
@@ -272,15 +274,30 @@ def near_edges(fingerprints: DataFrame, most: int = MOST_BITS, full_rows: int =
     return dealt.groupBy("task").applyInPandas(linker(most), EDGES_SCHEMA)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def stars(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Work of a task: from edges (a, b) to those of each of their nodes to the least one that they reach."""
+    edges = np.concatenate([np.zeros((0, 2), dtype=np.int64), *(p[["a", "b"]].to_numpy() for p in parts)])
+    nodes, at = np.unique(edges, return_inverse=True)
+    at, label = at.reshape(-1, 2), np.arange(len(nodes))
+    unite(label, at[:, 0], at[:, 1])
+    later = label != np.arange(len(nodes))
+    yield pd.DataFrame({"a": nodes[later], "b": nodes[label[later]]})
+
+
+def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, root): the least node of its component for each node of `edges` (a, b) but the roots.
 
-    Large-star and small-star rounds: each node hands its neighbours to the least one it knows. Neighbour
+    Tasks first unite about `task_edges` edges each, which is all where there are no more. Else follow
+    large-star and small-star rounds: each node hands its neighbours to the least one it knows. Neighbour
     lists are never gathered, and a node with very many is spread; each round is stored, and rounds end when
-    the edges stay as they are.
+    the edges stay as they are. Each stage and each scan of a round costs the driver a broadcast.
     """
     ordered = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
     now = stored(ordered.distinct(), "simhash-edges")
+    tasks = math.ceil(now.count() / task_edges)
+    now = stored(now.repartition(max(1, tasks)).mapInPandas(stars, EDGES_SCHEMA), "simhash-edges")
+    if tasks <= 1:
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     state = None
     while (check := now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()) != state and check[0]:
         state = check
@@ -311,8 +328,8 @@ def near_groups(rows: DataFrame, most: int = MOST_BITS, full_rows: int = FULL_RO
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW))
     salted = rows.groupBy("fp", salt_of().alias(SALT)).agg(first.alias("first"))
     distinct = stored(salted.groupBy("fp").agg(F.min("first").alias("first")), "simhash-distinct")
-    stars = components(near_edges(distinct, most, full_rows))
-    linked = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+    rooted = components(near_edges(distinct, most, full_rows))
+    linked = rooted.unionByName(rooted.select(F.col("root").alias("node"), "root").distinct())
     heads = linked.join(distinct, linked.node == distinct.fp).groupBy("root").agg(F.min("first").alias("head"))
     heads = spread_join(linked, heads, "root", by="node").select(F.col("node").alias("fp"), "head")
     groups = distinct.join(heads, "fp", "left").select("fp", F.coalesce("head", "first").alias("head"))

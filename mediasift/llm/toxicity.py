@@ -158,14 +158,14 @@ def _firsts(sizes: np.ndarray) -> np.ndarray:
     return first
 
 
-def _telling(words: list[set[str]], labels: np.ndarray) -> dict[str, float]:
+def _telling(words: list[list[str]], labels: np.ndarray) -> dict[str, float]:
     """z of the log odds ratio of each feature between toxic and clean sample documents.
 
     Features whose odds differ less than `LEAST_LEAD` in either direction are left out: toxic documents
     may be longer, which makes every word a little commoner in them.
     """
-    def of(ws: set[str]) -> set[str]:
-        return set(chain.from_iterable(map(features, ws)))
+    def of(ws: list[str]) -> set[str]:
+        return set(chain.from_iterable(map(features, set(ws))))  # one text's set at a time
 
     # most features occur once; a count by hash finds those worth keeping by name
     rough = np.zeros(1 << 22, dtype=np.int32)
@@ -204,19 +204,20 @@ def _train_field(model: ToxicModel, words: list[list[str]], labels: np.ndarray,
     kept = sorted((f for f in z if abs(z[f]) >= LEAST_Z), key=lambda f: (-abs(z[f]), f))[:MOST_FEATURES]
     number = {f: i for i, f in enumerate(kept)}
     codes: dict[str, int] = defaultdict(count().__next__)
-    at = np.fromiter(map(codes.__getitem__, chain.from_iterable(words)), dtype=np.int64)
+    at = np.fromiter(map(codes.__getitem__, chain.from_iterable(words)), dtype=np.int32)
     sizes = np.array([len(w) for w in words], dtype=np.int64)
     lists = [[number[f] for f in features(w) if f in number] for w in codes]
     pair_word = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     pair_feature = np.fromiter(chain.from_iterable(lists), dtype=np.int64)
     marked = np.array([any(z[kept[i]] >= LEAST_Z for i in x) for x in lists], dtype=bool)
-    gold = (marked[at] & np.repeat(labels == 1, sizes)).astype(np.float64)
+    gold = marked[at] & np.repeat(labels == 1, sizes)
     first = _firsts(sizes)
-    origin = np.where(first, 2, np.r_[0, gold[:-1]].astype(np.int64))
-    gold_moves = np.zeros((3, 2))
-    np.add.at(gold_moves, (origin, gold.astype(np.int64)), 1)
+    move = gold.astype(np.int8)
+    move[1:] += 2 * gold[:-1]
+    move[first] = 4 + gold[first]
+    gold_moves = np.bincount(move, minlength=6).reshape(3, 2).astype(np.float64)
 
-    n = max(1.0, gold.sum())
+    n = max(1.0, float(gold.sum()))
     parts = [slice(int(sizes[: p.start].sum()), int(sizes[: p.stop].sum())) for p in parts_of(sizes.tolist(), PART_TOKENS)]
     theta = np.r_[np.zeros(len(kept)), model.bias, np.zeros(6)]
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
@@ -225,7 +226,7 @@ def _train_field(model: ToxicModel, words: list[list[str]], labels: np.ndarray,
         of_word = np.clip(np.bincount(pair_word, weights=weights[pair_feature], minlength=len(lists)) + bias, -30, 30)
         per_word, expected = np.zeros(len(lists)), np.zeros((3, 2))
         for part in parts:  # whole texts, so that memory does not follow the sample
-            miss, moved = _slopes(of_word[at[part]], gold[part], first[part], moves)
+            miss, moved = _slopes(of_word[at[part]], gold[part].astype(np.float64), first[part], moves)
             per_word += np.bincount(at[part], weights=miss, minlength=len(lists))
             expected += moved
         slope = np.r_[np.bincount(pair_feature, weights=per_word[pair_word], minlength=len(kept)), per_word.sum(), (gold_moves - expected).ravel()] / n
@@ -264,7 +265,7 @@ def fit(texts: list[str], labels: list[int], share: float) -> ToxicModel:
     curve = (turn % CURVE_EVERY == 1) if len(y) >= 300 else np.ones(len(y), dtype=bool)
     trained = ~curve if len(y) >= 300 else curve
     own = [w for w, k in zip(words, trained, strict=True) if k]
-    _train_field(model, own, y[trained], _telling([set(w) for w in own], y[trained]))
+    _train_field(model, own, y[trained], _telling(own, y[trained]))
     own = [w for w, k in zip(words, curve, strict=True) if k]
     sizes = np.array([len(w) for w in own], dtype=np.int64)
     toxic = marginals(WordScores(model).of(own), _firsts(sizes), model.moves)

@@ -7,6 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from mediasift.llm import simhash as sh
+from mediasift.sources.shared import stored
 
 
 def _brute_fingerprint(text):
@@ -169,3 +170,21 @@ def test_every_member_of_a_family_is_decided(spark, words, monkeypatch, first, a
 
 def test_nothing_of_nothing(no_docs):
     assert sh.near_groups(sh.fingerprinted(no_docs)).count() == 0
+
+
+@pytest.mark.parametrize("task_edges", [1, 7, 10_000])
+def test_few_edges_are_united_without_rounds(spark, monkeypatch, task_edges):
+    """Every round of every table cost the driver a broadcast for each stage and scan, however few edges there were."""
+    rng = random.Random(9)
+    pairs = [(rng.randrange(-90, 90), rng.randrange(-90, 90)) for _ in range(70)] + [(1000 + i, 1001 + i) for i in range(30)]
+    tables = []
+    monkeypatch.setattr(sh, "stored", lambda frame, label: tables.append(label) or stored(frame, label))
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(3)
+    found = {r.node: r.root for r in sh.components(edges, *[task_edges][: task_edges != 10_000]).collect()}
+    root = {x: x for pair in pairs for x in pair}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert found == {x: r for x, r in root.items() if x != r}
+    assert task_edges < 10_000 or len(tables) <= 2
+    assert sh.components(edges.limit(0)).count() == 0
