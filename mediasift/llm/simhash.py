@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediasift.llm.common import ROW, SALT, SALTS, packed, salt_of, spread_join, unpacked, whole_text
+from mediasift.llm.common import MARK, ROW, SALT, SALTS, marked, packed, salt_of, spread_join, unpacked, whole_text
 from mediasift.llm.fingerprints import shingle_hashes
 from mediasift.sources.shared import stored
 
@@ -405,22 +405,24 @@ def keep_one_of_each(docs: DataFrame, words: int = STAGE_WORDS, most: int = STAG
     shingles is `alike` (Jaccard) to that of an earlier document of its component (smaller doc_id, then
     row) that stays. First all are asked about the first of their component, which thins out large groups
     of copies; then the first of those left are decided together in a task and the later ones asked about
-    those of them that stay, until none is left. No document goes without such a likeness.
+    those of them that stay, until none is left. No document goes without such a likeness. Texts of documents
+    that are alone in their component are in no shuffle, but for few marked by chance (`marked`).
     """
     numbered = packed(docs).withColumn(ROW, F.monotonically_increasing_id())
     tagged = stored(numbered.withColumn(FP, fingerprint(whole_text("row.text"), words)), "simhash-docs")
     rows = tagged.select(ROW, F.col("row.doc_id").cast("long").alias("doc_id"), F.col(FP).alias("fp"))
-    groups = stored(near_groups(rows, most).select(ROW, F.col("keep_row").alias("group")), "simhash-groups")
-    several = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
-    shingles = F.array_distinct(shingle_hashes(whole_text("row.text"), SHINGLE))
-    own_id = F.col("row.doc_id")
-    first = F.struct(own_id.isNull().alias("none"), own_id.cast("long").alias("doc_id"), ROW).alias("turn")
-    members = tagged.select(ROW, first, shingles.alias("shingles")).join(spread_join(groups, several, "group"), ROW)
+    later = near_groups(rows, most).where("not kept").select(ROW, F.col("keep_row").alias("group"))
+    later = stored(later, "simhash-groups")
+    several = stored(later.unionByName(later.select(F.col("group").alias(ROW), "group").distinct()), "simhash-several")
+    tagged = marked(tagged, several)
+    own_id = F.col("row.doc_id").cast("long")
+    turn = F.struct(own_id.isNull().alias("none"), own_id.alias("doc_id"), ROW).alias("turn")
+    members = tagged.where(MARK).select(ROW, turn, whole_text("row.text").alias("text")).join(several, ROW)
+    members = members.select(ROW, "group", "turn", F.array_distinct(shingle_hashes(F.col("text"), SHINGLE)).alias("shingles"))
     members = stored(members.withColumn("n", F.size("shingles") + MEMBER_COST), "simhash-members")
 
-    heads = members.groupBy("group").agg(F.min("turn").alias("head"))
-    stay = members.select(F.col("turn").alias("head"), F.col("shingles").alias("like")).join(heads, "head").select("group", "head", "like")
-    asked = spread_join(members, stay, "group").where(f"{ROW} != head.{ROW}")
+    stay = members.where(F.col(ROW) == F.col("group")).select("group", F.col("shingles").alias("like"))
+    asked = spread_join(members.where(F.col(ROW) != F.col("group")), stay, "group")
     shared, all_ = F.size(F.array_intersect("shingles", "like")), F.size(F.array_union("shingles", "like"))
     asked = stored(asked.select(ROW, ((all_ == 0) | (shared >= all_ * alike)).alias("goes")), "simhash-asked")
     gone = asked.where("goes").select(ROW)
@@ -442,4 +444,5 @@ def keep_one_of_each(docs: DataFrame, words: int = STAGE_WORDS, most: int = STAG
         both = dealt.unionByName(stay).groupBy("group", "part")
         asked = stored(both.applyInPandas(_asked(alike), GOES_SCHEMA), "simhash-asked")
         gone = gone.unionByName(asked.where("goes").select(ROW))
-    return unpacked(tagged.join(gone, ROW, "left_anti"))
+    still = tagged.where(MARK).join(gone, ROW, "left_anti")
+    return unpacked(tagged.where(~F.col(MARK)).unionByName(still))

@@ -6,6 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from mediasift.llm import common
 from mediasift.llm import simhash as sh
 from mediasift.sources.shared import stored
 
@@ -188,3 +189,44 @@ def test_few_edges_are_united_without_rounds(spark, monkeypatch, task_edges):
     assert found == {x: r for x, r in root.items() if x != r}
     assert task_edges < 10_000 or len(tables) <= 2
     assert sh.components(edges.limit(0)).count() == 0
+
+
+def _shuffled(spark):
+    """Bytes that tasks have written for shuffles so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    executors = context.statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_texts_of_lone_documents_are_in_no_shuffle(spark, words):
+    """Shingles of every document, more bytes than its text, were shuffled to meet the few that have a near copy."""
+    texts = [words(1000) for _ in range(400)]
+    copies = [f"{t} end" for t in texts[:5]]
+    docs = spark.createDataFrame(list(enumerate(texts + copies)), "doc_id long, text string").repartition(4)
+    docs = stored(docs, "test-docs")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
+    try:
+        before = _shuffled(spark)
+        kept = stored(sh.keep_one_of_each(docs), "test-kept")
+        written = _shuffled(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(400))
+    assert 0 < written < sum(map(len, texts)) / 3
+
+
+@pytest.mark.parametrize("bits,most", [(8, 4_096), (64, 4_096), (8, 1)])
+def test_no_row_is_left_unmarked(spark, monkeypatch, bits, most):
+    """With one bitmap or several, and with far fewer than the rows ask for; others are marked by chance only."""
+    monkeypatch.setattr(common, "MARK_BITS", bits)
+    monkeypatch.setattr(common, "MOST_BITMAPS", most)
+    frame = spark.range(40_000).select((F.col("id") * 3 - 60_000).alias(common.ROW))
+    asked = frame.where(F.pmod(common.ROW, F.lit(5)) == 1)
+    out = common.marked(frame, asked)
+    assert out.columns == [common.ROW, common.MARK]
+    found = {r[0]: r[1] for r in out.collect()}
+    assert len(found) == 40_000 and all(found[i] for i in found if i % 5 == 1)
+    others = [found[i] for i in found if i % 5 != 1]
+    assert sum(others) / len(others) < {(8, 4_096): 0.14, (64, 4_096): 0.03, (8, 1): 0.3}[bits, most]
+    assert not any(r[1] for r in common.marked(frame, asked.limit(0)).collect())
