@@ -110,12 +110,16 @@ def iso_utc_millis(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+#: Times that exist whatever the month, in the usual form.
+_CERTAIN_UTC = r"^[1-9]\d{3}-(?:0[1-9]|1[0-2])-(?:0[1-9]|1\d|2[0-8])T(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d(?:\.\d{1,6})?Z\z"
+
+
 def is_utc_text(value: Column) -> Column:
     """A timestamp text that states offset zero; other offsets are not converted."""
     shape = value.rlike(
         r"^\d{4}-\d{2}-\d{2}[Tt _]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?([Zz]|[+-]00:?00)\z"
     )
-    return F.coalesce(shape & utc_timestamp(value).isNotNull(), F.lit(False))
+    return F.coalesce(value.rlike(_CERTAIN_UTC) | (shape & utc_timestamp(value).isNotNull()), F.lit(False))
 
 
 def utc_timestamp(value: Column) -> Column:

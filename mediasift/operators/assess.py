@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mediasift.operators import rules as R
 from mediasift.params import Params
 from mediasift.sources import dims
 
@@ -319,29 +320,28 @@ def assemble(heads: DataFrame, analyzer_rows: DataFrame, findings: DataFrame) ->
 
     lists = [gathered(rows, section) for rows, section in zip(_children(analyzer_rows, findings), ("analyzers", "findings"), strict=True)]
     none = F.array().cast("array<string>")
-    risk = F.col("risk_assessment")
-    fields = [c for c in heads.columns if c not in ("risk_assessment", "first_override_finding")]
     first = (
         F.array_compact(F.array("first_override_finding"))
         if "first_override_finding" in heads.columns
         else none
     )
     ids = F.when(F.size(F.coalesce("critical_ids", none)) > 0, F.col("critical_ids")).otherwise(first)
-    body = F.to_json(F.struct(*fields), _KEEP_NULLS)
+    risk = F.col("risk_assessment").withField("critical_finding_ids", ids).alias("risk_assessment")
+    fields = [c for c in heads.columns if c != "first_override_finding"]
+    # the lists come where the data model has them
+    order = list(R.SHAPES["result"])
+    behind = [c for c in fields if c in order[order.index("findings") :]]
+
+    def members(names: list[str]) -> list[Column]:
+        text = F.to_json(F.struct(*[risk if c == "risk_assessment" else c for c in names]), _KEEP_NULLS)
+        inner = F.substring(text.cast("binary"), F.lit(2), F.octet_length(text) - 2)  # bytes are cut without being counted
+        return [inner.cast("string")] if names else []
 
     def as_list(name: str) -> Column:
-        return F.concat(F.lit("["), F.array_join(F.coalesce(F.col(name), none), ","), F.lit("]"))
-
-    doc = F.concat(
-        F.substring(body, F.lit(1), F.length(body) - 1),
-        F.lit(',"risk_assessment":'),
-        F.to_json(risk.withField("critical_finding_ids", ids), _KEEP_NULLS),
-        F.lit(',"analyzers":'),
-        as_list("analyzers"),
-        F.lit(',"findings":'),
-        as_list("findings"),
-        F.lit("}"),
-    )
+        return F.concat(F.lit(f'"{name}":['), F.array_join(F.coalesce(F.col(name), none), ","), F.lit("]"))
+
+    parts = [*members([c for c in fields if c not in behind]), as_list("analyzers"), as_list("findings"), *members(behind)]
+    doc = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
     return heads.join(lists[0], "analysis_id", "left").join(lists[1], "analysis_id", "left").select(
         "analysis_id",
         F.size(F.coalesce("analyzers", none)).alias("n_analyzers"),

@@ -464,6 +464,84 @@ def is_plain_document(doc: Column, described: Column) -> Column:
     )
 
 
+#: ASCII that needs no escape in a JSON text, each character by itself: Java tests ranges more slowly.
+_JSON_BARE = "[" + "".join(f"\\{c}" if c in "[]^-&" else c for c in map(chr, range(32, 127)) if c not in '"\\') + "]*"
+#: U+FFFD is left out because bytes that are no UTF-8 are read as it.
+_JSON_OTHER = r'(?:\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4})|[^\x00-\x7E\uFFFD])'
+_JSON_STRING = f'"{_JSON_BARE}(?:{_JSON_OTHER}{_JSON_BARE})*+"'
+_JSON_INTEGER = r"-?+(?:0|[1-9]\d{0,17}+)"
+_JSON_NUMBER = rf"{_JSON_INTEGER}(?:\.\d{{1,17}}+)?+(?:[eE][-+]?+\d{{1,2}}+)?+"
+_JSON_SCALARS = {"S": _JSON_STRING, "I": _JSON_INTEGER, "N": _JSON_NUMBER, "B": "(?:true|false)"}
+
+
+def _json_list(item: str) -> str:
+    return rf"\[(?>{item}(?:,{item})*+)?+\]"
+
+
+def _json_pattern(shape: str, unknown: str = "", **nested: str) -> str:
+    """JSON text of an object of the shape without violations, without spaces and with its fields in the order of
+    `SHAPES`; `nested` has the patterns of its lists and objects, others are lists of texts and empty objects.
+    Members that `unknown` matches may stand anywhere between."""
+    before, after = (f"(?:{unknown},)*+", f"(?:,{unknown})*+") if unknown else ("", "")
+    text, follows = before, False
+    for name, code in SHAPES[shape].items():
+        value = nested.get(name) or {"O": r"\{\}", "A": _json_list(_JSON_STRING)}.get(code[0]) or _JSON_SCALARS[code[0]]
+        member = f'"{name.rstrip("?")}":' + (f"(?:{value}|null)" if code.endswith("0") else value)
+        if name.endswith("?"):
+            text += f"(?:,{member})?+{after}" if follows else f"(?:{member},)?+{before}"
+        else:
+            text, follows = text + ("," if follows else "") + member + after, True
+    return rf"\{{{text}\}}"
+
+
+def _document_pattern(unknown: str = "") -> str:
+    errors = _json_list(_json_pattern("error"))
+    parameters = "|".join(_json_pattern(kind) for kind in vocab.MEDIA_TYPES)
+    files = (_json_pattern("validated_file", technical_parameters=f"(?:{parameters})"), _json_pattern("input_file"))
+    places = "|".join(_json_pattern(kind, type=f'"{kind}"') for kind in vocab.LOCALIZATION_TYPES)
+    return _json_pattern(
+        "result",
+        unknown,
+        source=_json_pattern("source"),
+        file=f"(?:{'|'.join(files)})",
+        processing=_json_pattern("processing"),
+        analyzers=_json_list(_json_pattern("analyzer", errors=errors)),
+        findings=_json_list(_json_pattern("finding", localization=f"(?:{places})")),
+        completeness=_json_pattern("completeness"),
+        risk_assessment=_json_pattern("risk_assessment"),
+        recommendation=_json_pattern("recommendation"),
+        cleanup=_json_pattern("cleanup", errors=errors),
+        errors=errors,
+    )
+
+
+def is_plain_text(doc: Column) -> Column:
+    """True only for texts that are UTF-8 and JSON within the number range, without shape violations.
+
+    One pass over the text decides, nothing is parsed: its pattern follows from `SHAPES` and never backtracks into
+    a field. Other orders of fields, spaces, metrics and unknown fields are left to `document_shape`."""
+    return doc.rlike(rf"^{_document_pattern()}\z")
+
+
+def is_plain_beside_unknown(doc: Column) -> Column:
+    """The same, with unknown scalar fields of the document anywhere between its own; they may repeat."""
+    known = "|".join(name.rstrip("?") for name in SHAPES["result"])
+    scalar = f"(?:{_JSON_STRING}|{_JSON_NUMBER}|true|false|null)"
+    unknown = rf'"(?!(?:{known})")[ !#-\[\]-~]*+":{scalar}'
+    return doc.rlike(rf"^{_document_pattern(unknown)}\z")
+
+
+def unknown_fields(doc: Column, *, strict: bool = True) -> Column:
+    """R03 for each unknown field of a document that is plain beside them; null if one repeats, as it is no JSON then."""
+    known = text_array(name.rstrip("?") for name in SHAPES["result"])
+
+    def listed(names: Column) -> Column:
+        unknown = F.transform(F.array_sort(F.array_except(names, known)), lambda k: F.concat(F.lit("R03:result."), k))
+        return F.when(F.size(F.array_distinct(names)) == F.size(names), unknown if strict else _no_names())
+
+    return let(F.json_object_keys(doc), listed)
+
+
 def document_shape(doc: Column, *, strict: bool = True) -> Column:
     """Shape violations of a stored result, at every nesting level."""
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediasift import vocab
+from mediasift import schemas, vocab
 from mediasift.functions import text as X
 from mediasift.operators import analyzers, assess, findings, grids, retention
 from mediasift.params import Params
@@ -453,12 +453,12 @@ def documents_valid(spark: SparkSession, sf: str) -> DataFrame:
         .when(kind == 2, F.replace(doc, F.lit('"channel":"'), F.lit('"channel":"x')))
         .otherwise(doc)
     )
-    stated = F.get_json_object("doc", "$.completeness.status").alias("completeness_status")
-    docs = result_documents(spark, sf).select(damaged.alias("doc"), stated)
-    r = F.col("result")
+    docs, r = result_documents(spark, sf).select(damaged.alias("doc")), F.col("result")
+    # a document without a typed result is asked for its text
+    stated = F.coalesce(r["completeness"]["status"], F.get_json_object("doc", "$.completeness.status"))
     return (
-        results.judge(docs)
-        .groupBy("completeness_status")
+        results.judge(docs, typed_as=schemas.JUDGED)
+        .groupBy(stated.alias("completeness_status"))
         .agg(
             F.count("*").alias("n_documents"),
             F.count_if(F.size("violations") > 0).alias("n_invalid"),

@@ -75,6 +75,27 @@ RESULT = (
     f"warnings:array<{S}>,errors:array<{ERROR}>>"
 )
 
+# the part of a result that a rule of `rules.result_rules` reads, or a caller counts
+_JUDGED_ERRORS = f"array<struct<category:{S}>>"
+JUDGED = (
+    f"struct<schema_version:{S},analysis_id:{S},created_at:{S},updated_at:{S},status:{S},stage:{S},"
+    f"source:struct<channel:{S}>,"
+    f"file:struct<received_at:{S},media_type:{S},sha256:{S},technical_parameters:"
+    f"struct<duration_seconds:{D},fps:{D},color_mode:{S},sample_rate_hz:int,video_codec:{S}>>,"
+    f"processing:struct<queued_at:{S},started_at:{S},finished_at:{S},duration_ms:{L}>,"
+    f"analyzers:array<struct<media_type:{S},status:{S},applicable:{B},started_at:{S},finished_at:{S},"
+    f"duration_ms:{L},score:{D},score_name:{S},summary:{S},warnings:array<{S}>,errors:{_JUDGED_ERRORS}>>,"
+    f"findings:array<struct<severity:{S},localization:{LOCALIZATION},source_score:{D},score_impact:{D}>>,"
+    f"completeness:struct<status:{S},planned_analyzers:int,applicable_analyzers:int,completed_analyzers:int,"
+    f"failed_analyzers:int,timed_out_analyzers:int,skipped_analyzers:int,not_applicable_analyzers:int,"
+    f"coverage_ratio:{D},explanation:{S}>,"
+    f"risk_assessment:struct<score:{D},score_based_level:{S},critical_override_applied:{B},"
+    f"critical_finding_ids:array<{S}>,final_level:{S},probability:{D},probability_method:{S},limitations:array<{S}>>,"
+    f"recommendation:struct<primary_action:{S},additional_actions:array<{S}>>,"
+    f"cleanup:struct<status:{S},finished_at:{S},errors:{_JUDGED_ERRORS}>,"
+    f"warnings:array<{S}>,errors:{_JUDGED_ERRORS}>"
+)
+
 BINARY_FILE = T.StructType(
     [
         T.StructField("path", T.StringType()),

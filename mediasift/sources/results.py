@@ -23,52 +23,60 @@ def scan_documents(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def judge(documents: DataFrame, params: Params | None = None) -> DataFrame:
+def judge(documents: DataFrame, params: Params | None = None, *, typed_as: str = schemas.RESULT) -> DataFrame:
     """Adds `result` (typed) and `violations`; needs `doc` and, if present, uses `file_name`.
 
+    Who needs no more of the result than its rules do passes `schemas.JUDGED`; the violations are the same.
+
     Order of judgement: encoding, JSON, number range, shape, then rules over typed fields.
     A document that fails an early stage is not judged by the later ones.
     """
     params = params or Params()
-    named = "file_name" in documents.columns
-    return with_fields_of(documents, _judgement(params.strict_fields, named))
+    shaped = with_fields_of(documents, F.struct(_first_stages(params.strict_fields).alias("_found")))
+    typed = with_fields_of(shaped, F.struct(F.when(F.size("_found") == 0, F.from_json("doc", typed_as)).alias("result")))
+    holds, broken = _rules("file_name" in documents.columns)
+    found = F.when(F.size("_found") > 0, F.col("_found")).when(holds, _none()).otherwise(broken)
+    return typed.select(*documents.columns, "result", found.alias("violations"))
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
 
 
 @built_once
-def _judgement(strict: bool, named: bool) -> Column:
-    """struct(result, violations) of `doc`: parsed once, every stage only if the one before held."""
-    readable = F.is_valid_utf8(F.col("doc"))
-    not_json = F.array(F.lit("JSON"))
+def _first_stages(strict: bool) -> Column:
+    """Violations that `doc` has before it is typed, every stage only if the one before held; plain texts are not parsed."""
+    doc = F.col("doc")
 
     def stages(tree: Column, described: Column) -> Column:
         # a number beyond the range is a double, which a mixed array may hide; without either there is none
         perhaps = F.coalesce(described.contains("DOUBLE") | described.contains("VARIANT"), F.lit(True))
         return (
-            F.when(~readable, F.array(F.lit("UTF8")))
-            .when(perhaps & X.has_non_finite_number(F.col("doc")), F.array(F.lit("R01")))
-            .when(R.is_plain_document(tree, described), F.array().cast("array<string>"))
-            .when(J.members(tree).isNull(), not_json)
+            F.when(perhaps & X.has_non_finite_number(doc), F.array(F.lit("R01")))
+            .when(R.is_plain_document(tree, described), _none())
+            .when(J.members(tree).isNull(), F.array(F.lit("JSON")))
             .otherwise(R.document_shape(tree, strict=strict))
         )
 
-    early = let(F.when(readable, F.try_parse_json("doc")), lambda v: let(F.schema_of_variant(v), lambda d: stages(v, d)))
-
-    def typed(found: Column) -> Column:
-        parsed = F.when(F.size(found) == 0, F.from_json("doc", schemas.RESULT))
-
-        def judged(result: Column) -> Column:
-            rules = R.result_rules(result)
-            rules["R26"] = X.is_safe_id(result["analysis_id"])
-            if named:
-                rules["R26"] = rules["R26"] & (
-                    F.col("file_name") == F.concat(result["analysis_id"], F.lit(".json"))
-                )
-            broken = F.when(F.size(found) > 0, found).otherwise(R.violations(rules))
-            return F.struct(result.alias("result"), broken.alias("violations"))
+    opened = let(F.try_parse_json(doc), lambda v: let(F.schema_of_variant(v), lambda d: stages(v, d)))
+    return (
+        F.when(R.is_plain_text(doc), _none())
+        .when(~F.is_valid_utf8(doc), F.array(F.lit("UTF8")))
+        .otherwise(F.coalesce(F.when(R.is_plain_beside_unknown(doc), R.unknown_fields(doc, strict=strict)), opened))
+    )
 
-        return let(parsed, judged)
 
-    return let(early, typed)
+@built_once
+def _rules(named: bool) -> tuple[Column, Column]:
+    """Whether every rule over `result` holds, and the names of those that do not.
+
+    They stand in a projection of their own: inside a lambda nothing is compiled, and typed documents are copied."""
+    result = F.col("result")
+    rules = R.result_rules(result)
+    rules["R26"] = X.is_safe_id(result["analysis_id"])
+    if named:
+        rules["R26"] = rules["R26"] & (F.col("file_name") == F.concat(result["analysis_id"], F.lit(".json")))
+    return R.both(*[F.coalesce(rule, F.lit(False)) for rule in rules.values()]), R.violations(rules)
 
 
 def read_results(spark: SparkSession, directory: str, params: Params | None = None) -> DataFrame:

@@ -317,3 +317,66 @@ def test_non_finite_numbers_are_found_beside_other_types(spark):
     mixed = '{"bands": [1e999, "x"], "n": 1}'
     texts = [json.dumps(result(analyzers=[analyzer(raw_metrics=0)])).replace('"raw_metrics": 0', f'"raw_metrics": {m}') for m in (mixed, '{"a": [{"b": 2E+400}]}', '{"a": "1e999"}')]
     assert judged(spark, texts) == [["R01"], ["R01"], []]
+
+
+def compact(doc, **options):
+    return json.dumps(doc, separators=(",", ":"), **options)
+
+
+def test_plain_texts_are_judged_as_parsed_ones(spark):
+    """A text in the model's order is told from one pattern; spaces send the same document the long way round."""
+    from mediasift import schemas
+
+    many = [analyzer(analyzer_id=f"a{i}", errors=[ERROR] * (i % 3), warnings=["w", "ä一\U0001f600", 'q"\\\n\t'][: i % 4]) for i in range(3000)]
+    places = [{"type": "file"}, {"type": "time_interval", "start_seconds": 0, "end_seconds": 1.5}, {"type": "frame_interval", "start_frame": 3, "end_frame": 2}, None]
+    plain = [result(analyzers=many), result(findings=[finding(finding_id=str(i), localization=p, source_score=-2.5e-7) for i, p in enumerate(places)]), partial(), rejected()]
+    docs = [*plain, *GOOD, *[doc for doc, _ in BAD if not isinstance(doc, str)]]
+    texts = [compact(d, ensure_ascii=a) for d in docs for a in (False, True)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, doc string")
+    told = [r["plain"] for r in rows.select("i", R.is_plain_text(F.col("doc")).alias("plain")).orderBy("i").collect()]
+    assert all(told[: 2 * len(plain)])
+    assert judged(spark, texts) == judged(spark, [d for d in docs for _ in range(2)])
+    narrow = results.judge(rows, typed_as=schemas.JUDGED).orderBy("i")
+    assert [r["violations"] for r in narrow.collect()] == judged(spark, texts)
+
+
+def test_texts_that_only_look_plain(spark):
+    text = compact(result(analyzers=[analyzer(summary="s")], warnings=["w"]))
+    odd = [
+        text.replace('"warnings":["w"]', '"warnings":["w",]'), text[:-1] + ",}", text + " ", text + "x", text[:-1], text.replace('"s"', '"\x01"'),
+        text.replace('"s"', '"\\x"'), text.replace('"s"', '"\\u12"'), text.replace('"score":null', '"score":01'), text.replace('"score":null', '"score":1e999'),
+        text.replace('"score":null', '"score":1.'), text.replace('"score":null', '"score":NaN'), text.replace('"applicable":false', '"applicable":null'),
+        text.replace('"summary":"s"', '"summary":"s","summary":"t"'), text.replace('"stage":', '"stage":"x","stage":'), text.replace('"size_bytes":0', '"size_bytes":0.0'),
+        text.replace('"size_bytes":0', f'"size_bytes":{10**30}'), text.replace('"raw_metrics":{}', '"raw_metrics":{"a":1,"a":2}'),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([text, *odd])], "i int, doc string")
+    told = [r["p"] for r in rows.select("i", R.is_plain_text(F.col("doc")).alias("p")).orderBy("i").collect()]
+    assert told == [True] + [False] * len(odd)
+    spaced = [t.replace(":", ": ", 1) for t in odd]
+    assert judged(spark, odd) == judged(spark, spaced)
+    broken = rows.limit(1).select(F.replace(F.lit(text).cast("binary").cast("string"), F.lit('"s"'), F.unhex(F.lit("22FF22")).cast("string")).alias("doc"))
+    assert results.judge(broken).first()["violations"] == ["UTF8"]
+
+
+def test_unknown_fields_beside_plain_ones(spark):
+    text = compact(result())
+    with_extra = [
+        '{"extra":1,' + text[1:], text[:-1] + ',"extra":"x","b":null}', text.replace('"findings":', '"zz":true,"findings":'),
+        '{"b":-1.5,' + text[1:-1] + ',"extra":1}',
+    ]
+    rows = spark.createDataFrame([(t,) for t in with_extra], "doc string")
+    assert rows.where(R.is_plain_beside_unknown(F.col("doc"))).count() == len(with_extra)
+    names = [["extra"], ["b", "extra"], ["zz"], ["b", "extra"]]
+    assert judged(spark, with_extra) == [[f"R03:result.{n}" for n in found] for found in names]
+    assert judged(spark, with_extra) == judged(spark, [t.replace(":", ": ", 1) for t in with_extra])
+    assert judged(spark, with_extra, Params(strict_fields=False)) == [[]] * len(with_extra)
+    twice = ['{"extra":1,"extra":2,' + text[1:], '{"stage":"x",' + text[1:], '{"extra":{},' + text[1:]]
+    assert judged(spark, twice) == [["JSON"], ["JSON"], ["R03:result.extra"]]
+
+
+def test_built_documents_are_plain_texts(spark):
+    """Each was parsed to a variant, described and opened before it was typed."""
+    from mediasift.plans import assess_queries as Q
+
+    docs = Q.result_documents(spark, "/root/testdata/sf0.001")
+    assert docs.where(~R.is_plain_text(F.col("doc"))).count() == 0

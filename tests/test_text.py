@@ -91,3 +91,10 @@ def test_ids(spark):
     stable = df.select(X.stable_id(F.col("id"), F.lit("p")).alias("r"))
     assert stable.collect() == stable.collect()
     assert stable.select(X.is_system_id(F.col("r")).alias("ok")).distinct().collect() == [(True,)]
+
+
+def test_utc_texts_that_need_no_cast(spark):
+    texts = ["2031-02-28T04:05:06Z", "2031-02-28T04:05:06.5Z", "2031-02-29T04:05:06Z", "2032-02-29T04:05:06Z", "2031-13-01T04:05:06Z", "2031-02-03T24:05:06Z", "0000-01-01T00:00:00Z"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [(r["u"], r["c"]) for r in df.select("i", X.is_utc_text(F.col("t")).alias("u"), X.utc_timestamp(F.col("t")).isNotNull().alias("c")).orderBy("i").collect()]
+    assert all(u == c for u, c in got) and [u for u, _ in got][:6] == [True, True, False, True, False, False]
