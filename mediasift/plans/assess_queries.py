@@ -449,7 +449,7 @@ def documents_valid(spark: SparkSession, sf: str) -> DataFrame:
     kind, doc = F.col("analysis_id").cast("long") % 7, F.col("doc")
     damaged = (
         F.when(kind == 0, F.replace(doc, F.lit('"schema_version":"1.0"'), F.lit('"schema_version":"2.0"')))
-        .when(kind == 1, F.concat(F.lit('{"extra":1,'), F.substring(doc, F.lit(2), F.length(doc))))
+        .when(kind == 1, F.concat(F.lit('{"extra":1,'), F.substring(doc.cast("binary"), F.lit(2), F.octet_length(doc)).cast("string")))
         .when(kind == 2, F.replace(doc, F.lit('"channel":"'), F.lit('"channel":"x')))
         .otherwise(doc)
     )
