@@ -36,7 +36,9 @@ def judge(documents: DataFrame, params: Params | None = None, *, typed_as: str =
     typed = with_fields_of(shaped, F.struct(F.when(F.size("_found") == 0, F.from_json("doc", typed_as)).alias("result")))
     holds, broken = _rules("file_name" in documents.columns)
     found = F.when(F.size("_found") > 0, F.col("_found")).when(holds, _none()).otherwise(broken)
-    return typed.select(*documents.columns, "result", found.alias("violations"))
+    ruled = typed.select(*documents.columns, "result", found.alias("_found"))
+    # a filter on the violations stops at the generator, so that no rule is asked twice
+    return with_fields_of(ruled, F.struct(F.col("_found").alias("violations")), *documents.columns, "result")
 
 
 def _none() -> Column:
